@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,7 +49,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
         if batch.num_rows == 0:
             continue
         text = batch.column(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > max_bytes:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding, simhash, topk
+from . import bpe, chat, langid, packing, quality, sharding, simhash, topk
+from .tokens import vocabulary_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_table(spark, sf_dir, "documents"), n_shards=16)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_simhash, op4_chat, op6_sharding)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), length=2048).drop("ids")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path("byte_bpe_50k.json")
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), path)
+    decoded = bpe.decode_column(path)(F.col("ids"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_simhash, op4_chat, op6_sharding, op7_packing, op8_bpe, op9_langid)}
 
 ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL}
