@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lm, packing, quality, sharding, simhash, topk
+from . import bpe, chat, html, langid, lm, packing, quality, sharding, simhash, topk
 from .tokens import vocabulary_path
 
 
@@ -58,6 +58,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_simhash, op4_chat, op5_lm, op6_sharding, op7_packing, op8_bpe, op9_langid)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_simhash, op4_chat, op5_lm, op6_sharding, op7_packing, op8_bpe, op9_langid, op10_html)}
 
 ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL}
