@@ -77,7 +77,7 @@ def exact_topk(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         probes = [open_queries.select("*", F.lit(j).alias("segment"), F.explode(_masks(hi - lo, radius)).alias("mask")).withColumn("key", F.col("mask").bitwiseXOR(F.col(f"qc{j}"))).drop("mask") for j, (lo, hi) in enumerate(bounds) if radius <= hi - lo]
         near = [F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in code]
         first = reduce(lambda a, b: a & b, ((F.col("segment") <= i) | (d > radius) for i, d in enumerate(near))) & reduce(lambda a, b: a & b, (d >= radius for d in near))
-        found = reduce(DataFrame.unionAll, probes).join(index, ["segment", "key"]).where(first).select("q", "first_id", "copies", reduce(add, near).alias("distance"))
+        found = reduce(DataFrame.unionAll, probes).join(index.hint("shuffle_hash"), ["segment", "key"]).where(first).select("q", "first_id", "copies", reduce(add, near).alias("distance"))
         every = found if best is None else best.select("q", "first_id", "copies", "distance").unionAll(found)
         order = W.partitionBy("q").orderBy("distance", "first_id")
         ranked = every.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
