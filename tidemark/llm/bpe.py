@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import bounded_batches, small_batches
 from .tokens import Encoded, byte_ids, decode_ids
 
 PIECE = 32_768
@@ -93,6 +93,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     A special token's string in a text is that token, as the library has it.  A null text is empty (no ids); repeated
     rows come back each; an empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = F.char_length("text") > piece
     short = rows.where(~long).mapInArrow(_encode_short(path), "doc_id long, ids array<int>")

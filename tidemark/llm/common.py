@@ -57,3 +57,26 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
                 start, held = i, 0
             held += int(n)
         yield batch.slice(start)
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], column: str, bytes_each: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition in batches whose texts come to about ``bytes_each``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in small_batches(batches, column, bytes_each):
+        n = batch.nbytes
+        if held and size + n > bytes_each:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Spark hand whole texts to Python a thousand rows at a time (its default is ten thousand), so that a worker's
+    memory stays small; a session that has its own smaller setting keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

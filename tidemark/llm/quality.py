@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import bounded_batches, durable
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks", "n_ended", "n_top_word"]
 SYMBOLS = b"#*$%&|<>"
@@ -147,6 +147,7 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     kept.  The others are kept if ``quality >= threshold``.  A null or empty text has zero counts and fails; repeated
     rows are judged alike; an empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     counted = docs.select(F.col(id_col).alias("doc_id"), count_text(F.col(text_col)).alias("c")).select("doc_id", "c.*")
     votes = durable(with_votes(counted))
     judged = votes.withColumns({"quality": quality_model(votes), "base_failed": base_failed()})
@@ -159,6 +160,7 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5
     The rules are fitted in a first pass over these same documents; a second pass counts again beside each whole row,
     so no text is shuffled or joined.
     """
+    bounded_batches(docs.sparkSession)
     inner = "_tidemark_row"
     counted = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(inner), count_text(docs[text_col]).alias("_c")).select(inner, "_c.*")
     votes = with_votes(counted)

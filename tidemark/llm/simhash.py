@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import bounded_batches, durable
 from .graph import components
 
 RADIUS = 3
@@ -170,6 +170,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeated rows come back each; null ids never name a component unless all its ids are null; an empty table gives an
     empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     prints = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("code")))
     return grouped(prints).select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -185,6 +186,7 @@ def grouped(prints: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns unchanged."""
+    bounded_batches(docs.sparkSession)
     row = "_tidemark_row"
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), docs[id_col].cast("long").alias("doc_id"), fingerprint_column(docs[text_col]).alias("code"))
     prints = durable(whole.select("doc_id", "code"))
