@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, durable
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks", "n_ended", "n_top_word"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks", "n_stops", "n_top_word"]
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
 WINDOW = 8
+DOUBT = 0.02
 
 
 def repeated_words(ids: np.ndarray, width: int = WINDOW) -> int:
@@ -64,7 +65,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
         len(data) - len(data.translate(None, UPPER)),
         len(data) - len(data.translate(None, LETTERS)),
         data.count(b"!") + data.count(b"?"),
-        sum(x.rstrip().endswith((b".", b"!", b"?", b'"', b":")) for x in lines),
+        data.count(b".") + data.count(b"!") + data.count(b"?"),
         int(np.bincount(ids).max()) if len(ids) else 0,
     )
 
@@ -87,7 +88,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "symbol_share": (c("n_symbols") * 20 > c("word_chars"), never),
         "dup_lines": (c("n_dup_lines") * 10 > c("n_lines") * 6, never),
         "repetition": (c("n_repeat_words") * 4 > words, never),
-        "sentences": ((c("n_ended") == 0) & (words >= 60), c("n_ended") * 10 >= c("n_lines") * 7),
+        "sentences": ((c("n_stops") == 0) & (words >= 150), c("n_stops") * 40 >= words),
         "word_length": ((c("word_chars") < words * 2) | (c("word_chars") > words * 14), never),
         "top_word": (c("n_top_word") * 4 > words, never),
     }
@@ -107,7 +108,8 @@ def fit_votes(patterns: np.ndarray, n: np.ndarray, rounds: int = 60, strength: f
     Each rule has a probability of each vote given a good and given a bad document.  ``strength`` pseudo-documents say
     that a rule votes on the right side more often than on the wrong one; they settle tables of few rows and keep the
     two classes from changing places.  The first guess doubts any document that some rule calls bad: such rules abstain
-    on what they do not know, so a single bad vote says more than several good ones, which tend to come together.
+    on what they do not know, so a single bad vote says more than several good ones, which tend to come together.  For the
+    same reason no rule may vote bad on good documents more than ``DOUBT`` times as often as on bad ones.
     """
     rules_n = patterns.shape[1]
     lean = np.array([[0.10, 0.35, 0.55], [0.55, 0.35, 0.10]])[:, None, :] * strength  # [good, bad] x vote -1, 0, 1
@@ -120,6 +122,9 @@ def fit_votes(patterns: np.ndarray, n: np.ndarray, rounds: int = 60, strength: f
             table[:, :, v] = weight @ (chosen == v)
         table = table + lean
         table /= table.sum(2, keepdims=True)
+        excess = np.maximum(table[0, :, 0] - DOUBT * table[1, :, 0], 0)  # a rule that says bad is at least this sure of it
+        table[0, :, 0] -= excess
+        table[0, :, 1] += excess
         prior = (weight[0].sum() + 2) / (n.sum() + 4)
         odds = np.log(table[0]) - np.log(table[1])
         score = math.log(prior / (1 - prior)) + odds[np.arange(rules_n), chosen].sum(1)
