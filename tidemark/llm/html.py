@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 PATH_BUCKETS, WORD_BUCKETS, SHAPE, HIDDEN = 96, 32, 8, 16
 SAMPLE_PAGES, ALTERED = 240, 6
 
@@ -329,7 +331,9 @@ def extract_column(net: Labeller | None):
 def fit(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Labeller | None:
     """A labeller from at most ``sample`` pages, chosen by a hash of the id; only pages below 200,000 characters are
     taken for training."""
-    chosen = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) < 200_000)).select(F.col(html_col).alias("h"), F.xxhash64(F.col(id_col), F.lit(1)).alias("k")).orderBy("k", "h").limit(sample)
+    rows = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) < 200_000)).select(F.col(html_col).alias("h"), F.xxhash64(F.col(id_col), F.lit(1)).alias("k"))
+    last = rows.select("k").orderBy("k").limit(sample).agg(F.max("k")).first()[0]  # only hashes are ordered
+    chosen = rows.where(F.col("k") <= last).orderBy("k", "h").limit(sample) if last is not None else rows.limit(0)
     return train([r["h"] for r in chosen.collect()])
 
 
@@ -340,5 +344,6 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     in its markup, all texts are empty; repeated rows come back each; an empty table gives an empty result; other
     columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     text = extract_column(fit(pages, id_col=id_col, html_col=html_col))(F.col(html_col))
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .common import bounded_batches
+
 HIDDEN, PAD = 8, 256
 WINDOW, TRAIN_WINDOW = 192, 64
 PER_LANGUAGE, WINDOWS_EACH = 400, 4
@@ -154,14 +156,18 @@ def sample_windows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str
     """At most ``per_language`` labelled documents of each language outside the held-out part, chosen by a hash of the
     id, and ``WINDOWS_EACH`` windows at places over the whole of each text."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("binary").alias("data"))
+    # the sample's hashes are found from two small columns, so texts of other rows never move
     first = W.partitionBy("lang").orderBy("h")
-    chosen = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+    last = rows.select("lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    few = rows.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))  # one row for each language, as the network has outputs
+    chosen = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "data"))).where(F.col("n") <= per_language)
     places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda i: F.substring("data", (F.octet_length("data") * i / WINDOWS_EACH).cast("int") + 1, F.lit(TRAIN_WINDOW)))
     return chosen.select("lang", "h", "n", F.posexplode(places).alias("at", "w")).where(F.octet_length("w") > 0).orderBy("lang", "n", "at").select("lang", "w").toPandas()
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
     """A network trained on the sample, or None if nothing is labelled."""
+    bounded_batches(docs.sparkSession)
     seen = sample_windows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language)
     if seen.empty:
         return None
