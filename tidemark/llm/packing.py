@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import bounded_batches, durable, regrouped, small_batches
 from .sharding import prefix_sums
 from .tokens import word_ids
 
@@ -69,8 +69,8 @@ def _tokenize(path: str):
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        for batch in small_batches(batches, "text"):
-            ids = [np.append(word_ids(t or "", path), np.uint16(END_ID)) for t in batch.column("text").to_pylist()]
+        for batch in regrouped(batches, "text", 6 << 20):
+            ids = [np.append(x, np.uint16(END_ID)) for x in word_ids(batch.column("text").to_pylist(), path)]
             columns = [pa.array(np.arange(row, row + len(ids))), batch.column("doc_id"), pa.array(curve_keys(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())]
             row += len(ids)
             yield pa.RecordBatch.from_arrays(columns, schema=_TOKENS)
@@ -104,6 +104,7 @@ def pack(docs: DataFrame, path: str, *, length: int = 2048, id_col: str = "doc_i
     ties on the curve are ordered by a hash of the id and the row's place in its file; repeated rows are packed each; an
     empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tokens = durable(rows.mapInArrow(_tokenize(path), "row long, doc_id long, curve long, n long, ids binary"))
     order = ["curve", "tie", "row"]

@@ -7,12 +7,13 @@ repeat far more often than texts; each worker keeps the ids of the chunks it has
 from __future__ import annotations
 
 import os
+from array import array
 from functools import cache
 
 import numpy as np
 import regex
 
-CACHE = 300_000
+CACHE = 250_000
 SPECIAL = "<|endoftext|>"
 #: The byte-level vocabulary's split pattern, white space written out as Unicode's White_Space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -38,27 +39,70 @@ def tokenizer(path: str):
     return found
 
 
+#: ASCII marks that no letter or digit shares a token with
+MARKS = ".,!#$%&*|;:?"
+#: Letters that normalizing and splitting leave as they are, lower case alone or with an optional blank before.
+_PLAIN_LOWER = regex.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)()")
+_PLAIN = regex.compile(rf"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([{regex.escape(MARKS)}]*)")
+
+
+@cache
+def byte_characters() -> dict[int, str]:
+    """The visible character by which byte-level vocabularies write each byte."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class ChunkCache:
-    """chunk -> its ids as little-endian uint16 bytes; ids above 65,535 are refused."""
+    """chunk -> its ids as little-endian uint16 bytes; ids above 65,535 are refused.
+
+    A chunk of plain letters goes to the vocabulary's merge model directly; all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the cache holds 16-bit ids")
         self.known: dict = {}
+        self.plain = _PLAIN if self.tokenizer.normalizer is None else _PLAIN_LOWER
+        self.model = self.tokenizer.model
 
-    def ids(self, chunks: list) -> bytes:
+    def _merge(self, letters: str) -> bytes:
+        written = letters.encode().decode("latin-1").translate(byte_characters())
+        return array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def learn(self, chunks, keep: bool = False) -> None:
+        """Encode the chunks that are not known yet; a full cache starts anew, unless the caller must ``keep`` it."""
         known = self.known
-        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = list(dict.fromkeys(chunks))
-            texts = [c.decode() if isinstance(c, bytes) else c for c in missing]
-            for at in range(0, len(missing), 4096):
-                for chunk, code in zip(missing[at : at + 4096], self.tokenizer.encode_batch(texts[at : at + 4096], add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(code.ids, "<u2").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+        missing = [c for c in chunks if c not in known]
+        if not keep and len(known) + len(missing) > CACHE:
+            known.clear()
+            missing = list(chunks)
+        other, marked = [], []
+        for chunk in missing:
+            text = chunk.decode() if isinstance(chunk, bytes) else chunk
+            found = self.plain.fullmatch(text)
+            if not found:
+                other.append((chunk, text))
+            elif found[2]:
+                marked.append((chunk, found))
+            else:
+                known[chunk] = self._merge(found[1])
+        other += [(m, m) for m in {f[2] for _, f in marked} if m not in known]
+        for at in range(0, len(other), 1024):
+            part = other[at : at + 1024]
+            coded = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            known.update((chunk, np.array(code.ids, "<u2").tobytes()) for (chunk, _), code in zip(part, coded, strict=True))
+        for chunk, found in marked:
+            known[chunk] = self._merge(found[1]) + known[found[2]]
+
+    def ids(self, chunks: list) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, chunks))
+        except KeyError:
+            self.learn(dict.fromkeys(chunks))
+            return b"".join(map(self.known.__getitem__, chunks))
 
 
 @cache
@@ -66,9 +110,49 @@ def chunk_cache(path: str) -> ChunkCache:
     return ChunkCache(path)
 
 
-def word_ids(text: str, path: str) -> np.ndarray:
-    """Ids of a vocabulary that drops white space: no token crosses an ASCII blank."""
-    return np.frombuffer(chunk_cache(path).ids(text.encode().split()), "<u2")
+_MARK_BYTES = MARKS.encode()
+
+
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word without its last marks, in lower case, and the marks; the lower-casing vocabulary encodes both alone."""
+    stem = word.rstrip(_MARK_BYTES)
+    if stem and (stem[-1:].isalnum() or stem[-2:].decode("utf-8", "replace")[-1].lower()[-1].isalpha()):
+        return stem.lower(), word[len(stem) :]
+    return word, b""
+
+
+def word_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Ids of a lower-casing vocabulary that drops white space: no token crosses an ASCII blank.
+
+    The cache holds stems, which are far fewer than words; ASCII letters need no other step than the merges.
+    """
+    held = chunk_cache(path)
+    known, merge = held.known, held.model.tokenize
+    words = [(t or "").encode().split() for t in texts]
+    if len(known) > CACHE:
+        known.clear()
+    found: dict[bytes, bytes] = {}
+    other: list[bytes] = []
+    for word in set().union(*words):
+        end = word.rstrip(_MARK_BYTES)
+        stem = end.lower()
+        if not stem.isalpha():  # ASCII letters only
+            other.append(word)
+            continue
+        ids = known.get(stem)
+        if ids is None:
+            ids = known[stem] = array("H", [t.id for t in merge(stem.decode())]).tobytes()
+        if len(end) < len(word):
+            marks = word[len(end) :]
+            if marks not in known:
+                held.learn([marks], keep=True)
+            ids += known[marks]
+        found[word] = ids
+    parts = list(map(_stem, other))
+    held.learn(dict.fromkeys(x for pair in parts for x in pair if x), keep=True)
+    for word, (stem, marks) in zip(other, parts, strict=True):
+        found[word] = known[stem] + known[marks] if marks else known[stem]
+    return [np.frombuffer(b"".join(map(found.__getitem__, ws)), "<u2") for ws in words]
 
 
 def byte_ids(text: str, path: str) -> np.ndarray:
@@ -101,9 +185,7 @@ def unit_ids(unit: str, path: str) -> np.ndarray:
 @cache
 def token_bytes(path: str) -> list[bytes]:
     """The bytes that each id stands for; byte-level vocabularies write byte b as one visible character."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in visible]
-    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    byte_of = {c: b for b, c in byte_characters().items()}
     names = tokenizer(path)
     out = []
     for i in range(names.get_vocab_size()):
