@@ -4,7 +4,8 @@ A vector becomes a binary code (bit i is 1 if component i is above zero).  The c
 log2(number of distinct codes) bits, and every segment value is an index key.  In round r each open query probes, in all
 m indexes, the keys at Hamming distance exactly r from its own segment.  After round r every code within distance
 ``m * (r + 1) - 1`` has been met (pigeonhole), so a query is finished once its k-th distance is not above that bound.
-A candidate is taken only by the first segment that attains its smallest segment distance, so it is met once.
+A candidate is taken only by the first segment that attains its smallest segment distance, so it is met once, and only
+if it is no farther than the query's k-th so far.
 
 All steps are DataFrame joins, windows and aggregations; nothing is gathered on the driver but counts.
 """
@@ -67,31 +68,33 @@ def exact_topk(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     # the k smallest ids of each code are enough for any answer; row_number <= k is limited before its shuffle
     held = rows.withColumn("n", F.row_number().over(W.partitionBy(*code).orderBy("id"))).where(F.col("n") <= k)
     codes = durable(held.groupBy(*code).agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    queries = durable(rows.where("is_query").groupBy(*code).agg(F.min("id").alias("q")))
-    index = codes.select(*code, F.element_at("ids", 1).alias("first_id"), F.size("ids").alias("copies")).select("*", F.posexplode(F.array(*code)).alias("segment", "key"))
+    queries = durable(rows.where("is_query").select(*code).distinct().withColumn("q", F.concat_ws(".", *code)))
+    index = codes.select(*code, F.concat_ws(".", *code).alias("code"), F.element_at("ids", 1).alias("first_id"), F.size("ids").alias("copies")).select("*", F.posexplode(F.array(*code)).alias("segment", "key"))
 
     spread = lambda name: [F.col(c).alias(f"{name}{c}") for c in code]
-    open_queries, best, radius = queries.select("q", *spread("q")), None, 0
+    open_queries, best, radius = queries.select("q", *spread("q"), F.lit(bits).alias("limit")), None, 0
     while True:
         widths = {hi - lo for lo, hi in bounds}
         probes = [open_queries.select("*", F.lit(j).alias("segment"), F.explode(_masks(hi - lo, radius)).alias("mask")).withColumn("key", F.col("mask").bitwiseXOR(F.col(f"qc{j}"))).drop("mask") for j, (lo, hi) in enumerate(bounds) if radius <= hi - lo]
         near = [F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in code]
         first = reduce(lambda a, b: a & b, ((F.col("segment") <= i) | (d > radius) for i, d in enumerate(near))) & reduce(lambda a, b: a & b, (d >= radius for d in near))
-        found = reduce(DataFrame.unionAll, probes).join(index.hint("shuffle_hash"), ["segment", "key"]).where(first).select("q", "first_id", "copies", reduce(add, near).alias("distance"))
-        every = found if best is None else best.select("q", "first_id", "copies", "distance").unionAll(found)
-        order = W.partitionBy("q").orderBy("distance", "first_id")
+        close = reduce(add, near) <= F.col("limit")  # farther than the k-th so far can't be an answer
+        found = reduce(DataFrame.unionAll, probes).join(index.hint("shuffle_hash"), ["segment", "key"]).where(first & close).select("q", "code", "first_id", "copies", reduce(add, near).alias("distance"))
+        every = found if best is None else best.select("q", "code", "first_id", "copies", "distance").unionAll(found)
+        order = W.partitionBy("q").orderBy("distance", "first_id", "code")
         ranked = every.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
         best = durable(ranked.withColumn("have", F.sum("copies").over(order.rowsBetween(W.unboundedPreceding, 0))))
         covered = m * (radius + 1) - 1
-        sure = best.where((F.col("have") >= k) & (F.col("distance") <= covered)).select("q").distinct()
+        kth = best.where(F.col("have") >= k).groupBy("q").agg(F.min("distance").alias("kth"))
         radius += 1
         if radius > max(widths):
             break
-        open_queries = durable(open_queries.join(sure, "q", "left_anti"))
+        still = open_queries.drop("limit").join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > covered))
+        open_queries = durable(still.select("q", *(f"q{c}" for c in code), F.coalesce("kth", F.lit(bits)).alias("limit")))
         if open_queries.isEmpty():
             break
 
-    answers = best.join(codes.select(F.element_at("ids", 1).alias("first_id"), "ids"), "first_id").select("q", "distance", F.explode("ids").alias("vec_id"))
+    answers = best.join(codes.select(F.concat_ws(".", *code).alias("code"), "ids"), "code").select("q", "distance", F.explode("ids").alias("vec_id"))
     answers = answers.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
     asked = rows.where("is_query").join(queries, code).select(F.col("id").alias("query_id"), "q")
     return asked.join(answers, "q").select("query_id", F.col("rank").cast(T.IntegerType()), "vec_id", F.col("distance").cast("int"))
