@@ -267,6 +267,58 @@ def test_model_probabilities_sum_to_one():
     assert shown.sum() == len(t.ids) * lm.USED and abs(expected.sum() - shown.sum()) < 1e-3
 
 
+def test_history_chooses_the_word_within_its_class(spark):
+    """Words of one class and equal frequency, told apart by the word before them alone."""
+    twins = [w for w in (f"{a}{b}zzing" for a in "abcdefgh" for b in "abcdefgh") if lm.word_class(w.encode()) == lm.word_class(b"aazzing")][:8]
+    rng = random.Random(3)
+    draw = lambda right: " ".join(f"left{(i + (0 if right else 1)) % 8} {twins[i]}" for i in (rng.randrange(8) for _ in range(20)))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, draw(i not in held or held.index(i) % 2 == 0)) for i in range(400)]
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    right, wrong = (np.mean([got[i]["score"] for i in held[k::2]]) for k in (0, 1))
+    assert right > wrong + 20 * 0.5
+
+
+def test_words_of_a_class_sum_to_one_after_every_history(spark):
+    texts = ["a bb a cc", "bb a a dd a", "cc a bb"]
+    pairs, c = Counter(), Counter()
+    for ws in ([*t.encode().split(), b""] for t in texts):
+        for i, w in enumerate(ws):
+            c[w] += 1
+            for n in (1, 2):
+                left = ws[i - n] if i >= n else b""
+                pairs[n, left, w] += 1
+                pairs[n, left, lm.word_class(w)] += 1
+    words = [*c, b"unseen"]
+    k = lm.word_class(b"a")
+    inside = [w for w in words if lm.word_class(w) == k]
+    total = sum(c[w] for w in inside) + sum(c[w] > 0 for w in inside) + 1
+    share = np.array([*((c[w] + 1) / total for w in inside), 1 / total])  # the last stands for the unseen
+    for left in words:
+        n = np.array([[pairs[1, left, x] for x in [*inside, None]], [pairs[2, left, x] for x in [*inside, None]], *[[pairs[i, left, k]] * len(share) for i in (1, 2)]])
+        assert abs(lm.in_class(share, n).sum() - 1) < 1e-9
+
+
+def test_pair_counts_are_those_of_the_whole_corpus(spark):
+    """Blocks and hash ranges of any number give the scores of one block and one range."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, prose(rng, "en", 60)) for i in range(80)], "doc_id long, text string")
+    score = lambda parts: {r["doc_id"]: r["score"] for r in lm.score_documents(docs.repartition(parts)).collect()}
+    want, bucket = score(1), lm.BUCKET_PAIRS
+    try:
+        lm.BUCKET_PAIRS = 3000
+        got = score(3)
+    finally:
+        lm.BUCKET_PAIRS = bucket
+    assert all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
+def test_model_grows_with_its_training_tokens():
+    assert lm.sizes(0) == (lm.FEATURES, lm.CLASSES)
+    assert lm.sizes(150_000_000)[0] > lm.FEATURES and lm.sizes(9_000_000_000) == (lm.MOST_FEATURES, lm.CLASS_SIZES[-1])
+    assert lm.Tokens(["aa longer"], 96).features(1 << 16).max() < 1 << 16
+
+
 # -- op6 ---------------------------------------------------------------------------------------------------------------
 
 
