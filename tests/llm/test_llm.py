@@ -319,6 +319,19 @@ def test_model_grows_with_its_training_tokens():
     assert lm.Tokens(["aa longer"], 96).features(1 << 16).max() < 1 << 16
 
 
+def test_no_round_is_empty_where_ids_are_equal(spark):
+    rows = spark.createDataFrame([(None if i % 2 else 7, f"text {i}") for i in range(200)], "doc_id long, text string")
+    assert {r["share"] for r in rows.select(lm.share(lm.ROUNDS).alias("share")).distinct().collect()} == set(range(lm.ROUNDS))
+
+
+def test_class_distribution_is_that_of_all_training_documents(spark):
+    rows = [(i, "a bb longer" if i % 3 else "zz") for i in range(30)]
+    model = lm.train(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1)
+    n = Counter(lm.word_class(w) for _, t in rows for w in [*t.encode().split(), b""])
+    want = np.array([n[k] + 0.5 for k in range(lm.CLASSES)])
+    assert np.allclose(np.exp(model.bias), want / want.sum(), atol=1e-6)
+
+
 # -- op6 ---------------------------------------------------------------------------------------------------------------
 
 
