@@ -58,3 +58,19 @@ def test_sketch_estimates_are_near_the_exact_counts(spark):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 60
+
+
+def test_whole_history_is_seen(spark):
+    """FIXTURES.md: the peak of sf 0.01 is 44 in minute 2, outside the default window."""
+    (row,) = catalogue.QUERIES["peak_summary_whole"](spark, "/root/testdata/sf0.01").collect()
+    assert (row["peak"], row["peak_minute"], row["occupied_minutes"]) == (44, datetime.datetime(2024, 1, 1, 0, 2), 146)
+    assert catalogue.QUERIES["local_peaks_whole"](spark, DATA).count() == 6
+
+
+def test_checks_see_every_minute(spark):
+    m = catalogue.Model(spark, DATA)
+    dip = m.deltas.limit(1).select(*[c for c in m.deltas.columns if c not in ("minute", "delta_sessions", "delta_open")])
+    rows = [dip.selectExpr("*", f"cast({oracle.W0 - at} as long) as minute", f"cast({d} as long) as delta_sessions", "0L as delta_open") for at, d in ((20, -1000), (10, 1000))]
+    m.deltas = m.deltas.unionByName(rows[0]).unionByName(rows[1])
+    got = {r["check"]: r for r in catalogue.data_checks(m).collect()}
+    assert all(got[c]["observed"] == 10 and not got[c]["ok"] for c in ("negative_minutes", "curve_against_occupancy"))

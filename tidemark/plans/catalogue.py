@@ -23,7 +23,7 @@ from ..sources import tables as IO
 from ..sources.adapter import SessionData
 from ..streaming import live
 from .config import DEFAULT
-from .oracle import DIMS_FOR_BREAKDOWN, MARK_MS, W0, W1
+from .oracle import DIMS_FOR_BREAKDOWN, MARK_MS, W0, W1, WHOLE
 
 MAIN_CONTENT = 49
 HOUR_MS = 3_600_000
@@ -32,6 +32,14 @@ HOUR_MS = 3_600_000
 class Model(SessionData):
     """The source tables and the states derived from them, as lazy DataFrames."""
 
+    start, end = W0, W1  # the minutes of the curves
+
+    @cached_property
+    def bounds(self) -> tuple[int, int]:
+        """[first, last + 1) of the minutes that have deltas."""
+        lo, hi = self.deltas.agg(F.min("minute"), F.max("minute")).first()
+        return (0, 0) if lo is None else (lo, hi + 1)
+
     @cached_property
     def line(self) -> DataFrame:
         return G.timeline(self.events)
@@ -74,7 +82,7 @@ class Model(SessionData):
 
     @cached_property
     def curve(self) -> DataFrame:
-        return Q.dense_curve(self.deltas, W0, W1)
+        return Q.dense_curve(self.deltas, self.start, self.end)
 
     @cached_property
     def bare_events(self) -> DataFrame:
@@ -88,6 +96,13 @@ class Model(SessionData):
         return Q.with_attribute(self.deltas, self.content, *attributes)
 
 
+class WholeModel(Model):
+    """The model with curves over the whole history instead of the default window."""
+
+    start = property(lambda self: self.bounds[0])
+    end = property(lambda self: self.bounds[1])
+
+
 def _hours(intervals: DataFrame):
     return rounded(F.coalesce(F.sum(F.col("end_ms") - F.col("start_ms")), F.lit(0)) / HOUR_MS, 4).alias("active_hours")
 
@@ -169,16 +184,17 @@ def phantom_share_by(m: Model, dim: str = "platform") -> DataFrame:
 def data_checks(m: Model) -> DataFrame:
     """V1-V25 as one table."""
     e, empty = m.events, (F.coalesce(F.col("platform"), F.lit("")) == "") | (F.coalesce(F.col("country"), F.lit("")) == "") | F.col("content_id").isNull()
-    dense_by = Q.dense_curve(m.deltas, W0, W1, ["platform"])
+    start, end = m.bounds
+    curve, dense_by = Q.dense_curve(m.deltas, start, end), Q.dense_curve(m.deltas, start, end, ["platform"])
     points = Q.change_points(m.deltas)
     as_curve = points.withColumnRenamed("cc", "concurrency")
     return _union([
         V.has_columns(e, "raw_columns", [*G.KEYS, "event_type", "event", "event_ms", "app_version", "audio_language", "subtitle_language", "player_version"]),
         V.known_event_types(e), V.one_content_per_session(e), V.arrival_order(e), V.keepalive_cadence(m.line), V.gap_p99(m.line), V.watched_has_metadata(e, m.content), V.active_after_error(m.line),
         V.count_events(e, "resume_beats", F.col("event") == "resume", 100), V.distinct_values(e, "platforms", "platform", 1, 20), V.count_events(e, "empty_dimensions", empty, 0, V.EQUAL), V.distinct_values(e, "categories", "category", 20, 200),
-        V.repeated_events(e), V.ties(m.line, 0), V.never_negative(m.curve), V.nets_to_zero(m.deltas), V.equals_occupancy(m.curve, m.minutes, W0, W1), V.equals_occupancy(dense_by, m.minutes, W0, W1, ["platform"]),
+        V.repeated_events(e), V.ties(m.line, 0), V.never_negative(curve), V.nets_to_zero(m.deltas), V.equals_occupancy(curve, m.minutes, start, end), V.equals_occupancy(dense_by, m.minutes, start, end, ["platform"]),
         V.active_within_presence(m.minutes, m.open_minutes), V.ledger_is_sound(S.run_ledger(m.runs)), V.pinned_is_first(m.line, e), V.ended_is_inactive(m.states, m.active),
-        V.hour_cut_equals(as_curve, Q.hour_seeded_curve(S.hour_cut_deltas(m.runs))), V.gap_minutes_carry(m.curve, points), V.one_partition_per_session(e), V.has_columns(m.deltas, "delta_columns", [*G.KEYS, "minute", "delta_sessions", "delta_open"]),
+        V.hour_cut_equals(as_curve, Q.hour_seeded_curve(S.hour_cut_deltas(m.runs))), V.gap_minutes_carry(curve, points), V.one_partition_per_session(e), V.has_columns(m.deltas, "delta_columns", [*G.KEYS, "minute", "delta_sessions", "delta_open"]),
     ])
 
 
@@ -230,16 +246,16 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "presence_minute_sketch": lambda m: R.estimated_users(R.presence_minute(m.events, sketches=True)),
     "content_estimated_end": lambda m: R.content_estimated_end(m.deltas, m.content),
     "minute_serving": lambda m: R.minute_serving(m.minutes, m.line, m.spans),
-    "hour_anchors": lambda m: R.hour_anchors(m.deltas, W0, W1),
+    "hour_anchors": lambda m: R.hour_anchors(m.deltas, m.start, m.end),
     "representation_row_counts": lambda m: R.representation_row_counts(m.events, m.minutes, m.intervals, m.runs, m.deltas),
     "concurrency_curve": lambda m: Q.concurrency_curve(m.deltas, W0, W1),
     "concurrency_curve_hour": lambda m: Q.concurrency_curve(m.deltas, W0, W1, "hour"),
     "dim_filter": lambda m: m.filtered(platform=["android", "ios"], video_type="live"),
     "minute_fill": lambda m: Q.dense_curve(m.deltas, W0, W1, ["platform"]),
     "peak_summary": lambda m: Q.peak_summary(m.curve),
-    "peak_by_platform": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, W0, W1, ["platform"]), ["platform"]),
-    "peak_by_country": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, W0, W1, ["country"]), ["country"]),
-    "peak_by_video_type": lambda m: Q.peak_summary(Q.dense_curve(m.typed("video_type"), W0, W1, ["video_type"]), ["video_type"]),
+    "peak_by_platform": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, m.start, m.end, ["platform"]), ["platform"]),
+    "peak_by_country": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, m.start, m.end, ["country"]), ["country"]),
+    "peak_by_video_type": lambda m: Q.peak_summary(Q.dense_curve(m.typed("video_type"), m.start, m.end, ["video_type"]), ["video_type"]),
     "active_vs_open": lambda m: Q.active_vs_open(m.deltas, W0, W1),
     "unique_active_users": lambda m: Q.unique_active_users(m.deltas, W0, W1),
     "hourly_summary": lambda m: Q.hourly_summary(m.curve),
@@ -264,7 +280,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "kpis": lambda m: D.kpis(m.deltas, m.bare_events, W0, W1),
     "traffic": lambda m: D.traffic(m.deltas, W0, W1, "hour"),
     "traffic_minute": lambda m: D.traffic(m.deltas, W0, W1, "minute"),
-    "traffic_day": lambda m: D.traffic(m.deltas, W0, W1, "day"),
+    "traffic_day": lambda m: D.traffic(m.deltas, m.start, m.end, "day"),
     "traffic_split_by_category": lambda m: D.traffic_split(m.deltas, m.content, W0, W1, "hour", "category"),
     "traffic_split_by_platform": lambda m: D.traffic_split(m.deltas, m.content, W0, W1, "minute", "platform"),
     "geo": lambda m: D.geo(m.deltas, W0, W1),
@@ -313,7 +329,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "liveness_family_coverage": lambda m: A.liveness_family_coverage(m.bare_events),
     "background_signal_share": lambda m: A.background_signal_share(m.states),
     "dim_join_coverage": lambda m: A.dim_join_coverage(m.bare_events, m.content),
-    "peak_minute_shift": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, W0, W1, ["platform"]), ["platform"]),
+    "peak_minute_shift": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, m.start, m.end, ["platform"]), ["platform"]),
     "heartbeat_write_amplification": lambda m: A.heartbeat_write_amplification(m.line),
     "heartbeat_taxonomy": lambda m: A.heartbeat_taxonomy(m.states),
     "opening_closing_signatures": lambda m: A.opening_closing_signatures(m.line),
@@ -342,8 +358,9 @@ STREAMS: dict[str, Callable[[Model], DataFrame]] = {
 }
 
 
-def _query(build: Callable[[Model], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: shown(build(Model(spark, sf_dir)))
+def _query(build: Callable[[Model], DataFrame], model: type[Model] = Model) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: shown(build(model(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(build) for name, build in (BUILD | STREAMS).items()}
+QUERIES |= {f"{name}_whole": _query(BUILD[name], WholeModel) for name in WHOLE}

@@ -410,3 +410,15 @@ BODIES: dict[str, str] = {
 }
 
 ORACLE_SQL = {name: PREFIX + body.replace("round(", "round(1e-9 + ") for name, body in BODIES.items()}
+
+#: Questions about no given range, asked of the whole history too, under the name with ``_whole``.
+WHOLE = ("peak_summary", "peak_by_platform", "peak_by_country", "peak_by_video_type", "peak_minute_shift", "local_peaks", "hour_anchors", "hourly_summary", "decline_alert", "phantom_audience", "fg_vs_naive", "traffic_day")
+
+
+def over_history(sql: str) -> str:
+    """The same SQL with the axis from the first to the last delta minute."""
+    axis = "SELECT unnest(range(lo, hi + 1))::BIGINT AS minute FROM (SELECT min(minute) AS lo, max(minute) AS hi FROM deltas)"
+    return sql.replace(f"SELECT unnest(range({W0}, {W1}))::BIGINT AS minute", axis).replace(f" AND minute >= {W0} AND minute < {W1}", "").replace(f" WHERE minute < {W1}", "")
+
+
+ORACLE_SQL |= {f"{name}_whole": over_history(ORACLE_SQL[name]) for name in WHOLE if name in ORACLE_SQL}
