@@ -188,14 +188,53 @@ def test_bk_tree_roots_and_sharded_buckets(spark):
     got = simhash.linked_roots(codes)
     assert len(set(zip(want, got.tolist(), strict=True))) == len(set(want)) == len(set(got.tolist()))
     df = spark.createDataFrame([(int(c.astype(np.int64)),) for c in codes], "code long")
-    for shard in (10_000, 40):  # whole buckets, and buckets cut into shards
-        linked = {r["node"]: r["root"] for r in graph.components(simhash.fingerprint_links(df, shard)).collect()}
+    for shard, tree in ((10_000, 1000), (10_000, 8), (40, 1000), (10, 64)):  # one tree, routed trees, and shards cut further
+        linked = {r["node"]: r["root"] for r in graph.components(simhash.fingerprint_links(df, shard, tree)).collect()}
         groups = {}
         for c, g in zip(codes.view(np.int64).tolist(), want, strict=True):
             groups.setdefault(g, set()).add(linked.get(c, c))
         assert all(len(roots) == 1 for roots in groups.values()) and len(set.union(*groups.values())) == len(groups)
 
 
+def test_search_follows_only_edges_within_the_radius():
+    rng = np.random.RandomState(4)
+    codes = np.unique(rng.randint(0, 2**63, 900).astype(np.uint64))
+    codes = np.unique(np.concatenate([codes, codes[:90] ^ np.uint64(5)]))
+    tree, visited, hits = simhash.bk_tree(codes), np.zeros(len(codes), int), set()
+    for node, (_, children) in enumerate(tree):
+        assert all((int(codes[tree[node][0]]) ^ int(codes[tree[c][0]])).bit_count() == d for d, c in children.items())
+    waiting = [(0, i) for i in range(len(codes))]
+    while waiting:  # one code at a time, as a plain search does
+        node, i = waiting.pop()
+        visited[i] += 1
+        d = (int(codes[i]) ^ int(codes[tree[node][0]])).bit_count()
+        hits |= {(tree[node][0], i)} if d <= 3 else set()
+        waiting += [(child, i) for edge, child in tree[node][1].items() if abs(edge - d) <= 3]
+    together = [(own, int(i)) for own, found in simhash.search_all(tree, codes, 3) for i in found]
+    assert set(together) == hits and len(together) == len(hits)
+    assert hits == {(i, j) for i in range(len(codes)) for j in range(len(codes)) if (int(codes[i]) ^ int(codes[j])).bit_count() <= 3}
+    assert visited.mean() < 0.75 * len(codes)
+
+
+def test_routes_lose_no_link_and_follow_the_number_of_codes():
+    rng = random.Random(8)
+    for n, masks, bits in ((10, 1, 0), (5000, 4, 3), (60_000_000, 4, 16), (10**9, 10, 20)):
+        found = simhash.routes(n)
+        assert len(found) == masks and {m.bit_count() for m in found} == {bits}
+        for _ in range(300):
+            change = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(not change & m for m in found)
+
+
+def test_one_row_stays_of_repeated_ids_and_null_ids(spark):
+    base = " ".join(f"word{i}" for i in range(300))
+    near = next(t for i in range(300) if 0 < (brute_print(t := base.replace(f"word{i} ", "changed ")) ^ brute_print(base)).bit_count() <= 3)
+    other = " ".join(f"other{i}" for i in range(50))
+    df = spark.createDataFrame([(1, base, "a"), (1, near, "b"), (2, base, "c"), (None, base, "d"), (None, other, "e"), (None, other, "f")], "doc_id long, text string, _n string")
+    stay = simhash.keep_one_of_each(df.coalesce(1)).collect()
+    assert sorted((r["doc_id"] is None, r["_n"]) for r in stay) == [(False, "a"), (True, "e")]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (200, 201)], "a long, b long")
     assert {(r["node"], r["root"]) for r in graph.components(links).collect()} == {(i, 0) for i in range(1, 61)} | {(201, 200)}
@@ -361,6 +400,27 @@ BYTE, WORD = K.vocabulary_path("byte_bpe_50k.json"), K.vocabulary_path("word_bpe
 PARTS = ["A.", "the,", "É.", "é.", "…", "!#", ".", "a", "b", "the", "'s", "'", "'re", " ", "  ", "\n", "\t", "\xa0", "\x1c", " ", "é", "ß", "1", "23", "!!", "<|endoftext|>", "<|endof", "日本", "🎉", "Σ", "İ", "AAAA", "-", "="]
 
 
+def test_special_strings_in_other_cases_are_the_librarys():
+    path = K.vocabulary_path("word_bpe_49k.json")
+    parts = ["<|STARTOFTEXT|>", "<|startoftext|>", "<|EndOfText|>", "x", "É", "İ", "ẞ", "\u212a", "'S", "don't", "12", "...", "|", "<|", "|>", "日本", " ", "\xa0", "ΣΑΣ", "\x85", "µ"]
+    rng = random.Random(1)
+    texts = ["<|STARTOFTEXT|>x", "<|ENDOFTEXT|>x", None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(1500)]
+    for text, ids in zip(texts, K.word_ids(texts, path), strict=True):
+        assert ids.tolist() == K.tokenizer(path).encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_full_caches_change_nothing(monkeypatch):
+    path = K.vocabulary_path("word_bpe_49k.json")
+    monkeypatch.setattr(K, "CACHE", 40)
+    held = K.WordCache(path)
+    monkeypatch.setattr(K, "word_cache", lambda _: held)
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [" ".join(rng.choice("abcdé") * rng.randint(1, 9) + rng.choice(["", ".", "!?"]) for _ in range(30)) for _ in range(3)]
+        assert [x.tolist() for x in K.word_ids(texts, path)] == [K.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(held.known) <= 40 + 90 and len(held.stems) <= 20 + 90
+
+
 def test_chunked_ids_are_the_librarys():
     rng = random.Random(2)
     for _ in range(1200):

@@ -69,7 +69,7 @@ def _tokenize(path: str):
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        for batch in regrouped(batches, "text", 6 << 20):
+        for batch in regrouped(batches, "text", 4 << 20):
             ids = [np.append(x, np.uint16(END_ID)) for x in word_ids(batch.column("text").to_pylist(), path)]
             columns = [pa.array(np.arange(row, row + len(ids))), batch.column("doc_id"), pa.array(curve_keys(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())]
             row += len(ids)

@@ -162,12 +162,12 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that ``judge_quality`` would not keep, all columns unchanged.
 
-    The rules are fitted in a first pass over these same documents; a second pass counts again beside each whole row,
-    so no text is shuffled or joined.
+    Every text is counted once: whole rows and their counts go to a table in the shared folder, the rules are fitted to
+    its counts alone, and its rows are filtered by them.  A null or empty text goes; repeated rows are judged alike; an
+    empty table gives an empty result; columns may have any names.
     """
     bounded_batches(docs.sparkSession)
     inner = "_tidemark_row"
-    counted = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(inner), count_text(docs[text_col]).alias("_c")).select(inner, "_c.*")
-    votes = with_votes(counted)
-    quality = quality_model(votes)
-    return votes.where(~base_failed() & (quality >= threshold)).select(f"{inner}.*")
+    counted = durable(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(inner), count_text(docs[text_col]).alias("_c")))
+    quality = quality_model(with_votes(counted.select("_c.*")))
+    return with_votes(counted.select(inner, "_c.*")).where(~base_failed() & (quality >= threshold)).select(f"{inner}.*")

@@ -1,11 +1,15 @@
 """Near-duplicates by 64-bit SimHash fingerprints and BK-trees.
 
-Fingerprints are cut into five blocks.  Two of them that differ in at most three bits agree on at least two blocks, so
-each distinct fingerprint goes to ten buckets, one for each pair of blocks (a 25 or 26 bit key), and every link lies in
-some bucket.  Each bucket becomes a BK-tree (children keyed by their integer Hamming distance to the parent), and all its
-fingerprints search it together, following only edges within the radius.  A bucket of more than ``SHARD`` fingerprints
-is cut into shards; each pair of shards is searched in a task of its own.  A bucket returns a spanning forest of its
-links, never all its pairs.
+The distinct fingerprints are dealt to shards, each shard becomes a BK-tree (children keyed by their integer Hamming
+distance to the parent), and the fingerprints search the trees, following only edges within the radius.
+
+No tree could be broadcast: all trees together are all fingerprints, which may not pass through the driver and have no
+size bound.  So fingerprints are routed to the trees that can hold their neighbours: two fingerprints that differ in at
+most three bits agree on one of four blocks of 16 bits whole (and, for very many fingerprints, on two of five blocks), so
+a shard holds the fingerprints that agree in the first bits of one block, and each fingerprint goes to one shard for each
+block.  The number of routing bits follows from the number of fingerprints, so that a tree has about ``TREE`` nodes at any
+size.  A shard of more than ``SHARD`` fingerprints is cut further; each pair of its parts is one tree in a task of its own.
+A tree returns a spanning forest of its links, never all its pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +30,7 @@ from .common import bounded_batches, durable
 from .graph import components
 
 RADIUS = 3
-BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
-SHARD = 8192
+TREE, SHARD, HOT_CODES = 1024, 8192, 1024
 _digest = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -81,12 +84,7 @@ def linked_roots(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
     order = np.argsort(codes)
     codes = codes[order]
-    if len(codes) <= 24:  # a tree of a few nodes is its list
-        near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius
-        visits = ((i, np.flatnonzero(row)) for i, row in enumerate(near))
-    else:
-        visits = _search_all(bk_tree(codes), codes, radius)
-    for node, hits in visits:
+    for node, hits in search_all(bk_tree(codes), codes, radius):
         if len(hits) > 1:
             tops = roots(np.append(hits, node))
             parent[tops] = tops.min()
@@ -96,7 +94,7 @@ def linked_roots(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return out
 
 
-def _search_all(tree: list[tuple[int, dict[int, int]]], codes: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+def search_all(tree: list[tuple[int, dict[int, int]]], codes: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
     """All codes search the tree at once: at each node those that reach it, as (code of the node, codes within radius)."""
     waiting = [(0, np.arange(len(codes)))]
     while waiting:
@@ -110,18 +108,18 @@ def _search_all(tree: list[tuple[int, dict[int, int]]], codes: np.ndarray, radiu
                 waiting.append((child, follow))
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by bucket -> links ``(a, b)`` to each code's root; one bucket at most is held over."""
+def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by shard -> links ``(a, b)`` to each code's root; one shard at most is held over."""
     held: list[np.ndarray] = []
-    names = ("bucket", "low", "high", "code")
+    names = ("route", "shard", "low", "high", "code")
 
     def links(rows: np.ndarray) -> pa.RecordBatch:
-        change = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
+        change = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1
         starts, ends = np.append(0, change), np.append(change, len(rows))
         many = ends - starts > 1
         a, b = [], []
         for s, e in zip(starts[many], ends[many], strict=True):
-            codes = rows[s:e, 3]
+            codes = rows[s:e, 4]
             root = linked_roots(codes.view(np.uint64))
             moved = np.flatnonzero(root != np.arange(len(codes)))
             a.append(codes[moved])
@@ -133,9 +131,9 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if batch.num_rows == 0:
             continue
         rows = np.stack([batch.column(n).to_numpy() for n in names], 1)
-        last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(1))
-        cut = last[-1] + 1 if len(last) else 0  # the last bucket may go on in the next batch
-        if cut or (held and (held[-1][-1, :3] != rows[0, :3]).any()):
+        last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(1))
+        cut = last[-1] + 1 if len(last) else 0  # the last shard may go on in the next batch
+        if cut or (held and (held[-1][-1, :4] != rows[0, :4]).any()):
             yield links(np.concatenate([*held, rows[:cut]]))
             held = []
         held.append(rows[cut:])
@@ -143,24 +141,34 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(np.concatenate(held))
 
 
-def _buckets(codes: DataFrame) -> DataFrame:
-    block = lambda i: F.shiftrightunsigned("code", BLOCKS[i][0]).bitwiseAND((1 << (BLOCKS[i][1] - BLOCKS[i][0])) - 1)
-    keys = [F.lit(t << 26) + F.shiftleft(block(i), 13) + block(j) for t, (i, j) in enumerate(combinations(range(5), 2))]
-    return codes.select(F.explode(F.array(*keys)).alias("bucket"), "code")
+def routes(codes: int, tree: int = TREE) -> list[int]:
+    """Bit masks: two codes within the radius agree on all bits of at least one; a mask's shards have about ``tree`` codes."""
+    bits = max(0, (codes // tree).bit_length())
+    if not bits:
+        return [0]
+    first = lambda at, width, n: ((1 << n) - 1) << (at + width - n)
+    if bits <= 16:
+        return [first(16 * i, 16, bits) for i in range(4)]
+    edges = [0, 13, 26, 39, 52, 64]
+    spans = list(zip(edges, np.diff(edges).tolist(), strict=False))
+    return [first(*a, min(a[1], -(-bits // 2))) | first(*b, min(b[1], bits // 2)) for a, b in combinations(spans, 2)]
 
 
-def fingerprint_links(codes: DataFrame, shard: int = SHARD) -> DataFrame:
+def fingerprint_links(codes: DataFrame, shard: int = SHARD, tree: int = TREE) -> DataFrame:
     """Distinct ``codes(code)`` -> links ``(a, b)`` whose components are those of all pairs within the radius."""
-    rows = _buckets(codes)
-    large = durable(rows.groupBy("bucket").count().where(F.col("count") > shard))
-    plain = rows.select("bucket", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), "code")
+    signed = [m - (1 << 64) if m >> 63 else m for m in routes(codes.count(), tree)]
+    keys = F.array(*[F.struct(F.lit(t).cast("long").alias("route"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("shard")) for t, m in enumerate(signed)])
+    rows = codes.select("code", F.explode(keys).alias("k")).select("k.route", "k.shard", "code")
+    large = durable(rows.groupBy("route", "shard").count().where(F.col("count") > shard))
+    zero = F.lit(0).cast("long")
+    plain = rows.select("route", "shard", zero.alias("low"), zero.alias("high"), "code")
     if not large.isEmpty():
-        plain = plain.join(large, "bucket", "left_anti")
-        cut = rows.join(large, "bucket").withColumn("n", F.ceil(F.col("count") / shard)).withColumn("own", F.pmod(F.xxhash64("code"), "n"))
-        other = cut.select("bucket", "own", "code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-        plain = plain.unionAll(other.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "code"))
-    sent = plain.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return sent.mapInArrow(_bucket_links, "a long, b long").distinct()
+        plain = plain.join(large, ["route", "shard"], "left_anti")
+        cut = rows.join(large, ["route", "shard"]).withColumn("n", F.ceil(F.col("count") / shard)).withColumn("own", F.pmod(F.xxhash64("code"), "n"))
+        other = cut.select("route", "shard", "own", "code", F.explode(F.sequence(zero, F.col("n") - 1)).alias("other"))
+        plain = plain.unionAll(other.select("route", "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "code"))
+    key = ["route", "shard", "low", "high"]
+    return plain.repartition(*key).sortWithinPartitions(*key).mapInArrow(_shard_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,26 +180,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     bounded_batches(docs.sparkSession)
     prints = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("code")))
-    return grouped(prints).select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def grouped(prints: DataFrame) -> DataFrame:
-    """``prints(doc_id, code)`` -> with ``root`` (smallest code of the component) and ``component_id``."""
-    kinds = durable(prints.groupBy("code").agg(F.min("doc_id").alias("first_id")))
+    kinds = rooted(prints.groupBy("code").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    names = kinds.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = durable(kinds.join(names, "root").select("code", "component_id", "n"))
+    # a code of over a thousandth of all rows would fill one task; there are at most a thousand of them
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(found.where(F.col("n") * HOT_CODES > total).drop("n"))
+    joined = prints.join(hot, "code").unionByName(prints.join(hot.select("code"), "code", "left_anti").join(found.drop("n"), "code"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def rooted(kinds: DataFrame) -> DataFrame:
+    """One row for each ``code`` -> the same with ``root``, the smallest code of its component."""
+    kinds = durable(kinds)
     star = components(fingerprint_links(kinds.select("code")))
-    rooted = kinds.join(star, F.col("code") == F.col("node"), "left").select("code", "first_id", F.coalesce("root", "code").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.join(names, "root").select("code", "root", "component_id"), "code")
+    return kinds.join(star, F.col("code") == F.col("node"), "left").select(*kinds.columns, F.coalesce("root", "code").alias("root"))
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns unchanged."""
+    """``docs`` with one row of each component, the one with the smallest id; all columns unchanged.
+
+    Every text is fingerprinted once, into a table in the shared folder beside its row.  Null ids come last; of rows with
+    equal ids the first of that table stays.  Null and empty texts are one component; an empty table gives an empty
+    result; columns may have any names.
+    """
     bounded_batches(docs.sparkSession)
     row = "_tidemark_row"
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), docs[id_col].cast("long").alias("doc_id"), fingerprint_column(docs[text_col]).alias("code"))
-    prints = durable(whole.select("doc_id", "code"))
-    kept = durable(grouped(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "code").count())
-    stay = whole.join(kept, [whole["code"] == kept["code"], whole["doc_id"].eqNullSafe(kept["doc_id"])], "left_semi")
-    if not kept.where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():  # repeated ids or none: one row of each component
-        stay = stay.dropDuplicates(["code"])
-    return stay.select(f"{row}.*")
+    whole = durable(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), F.monotonically_increasing_id().alias("_n"), fingerprint_column(docs[text_col]).alias("_code")))
+    doc_id = F.col(row).getField(id_col).cast("long")
+    order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("_n").alias("n"))
+    kept = rooted(whole.groupBy(F.col("_code").alias("code")).agg(F.min(order).alias("first"))).groupBy("root").agg(F.min("first").alias("first"))
+    return whole.join(kept.select(F.col("first.n").alias("_n")).hint("shuffle_hash"), "_n", "left_semi").select(f"{row}.*")

@@ -1,19 +1,21 @@
 """Exact tokenizing with public vocabularies through per-worker caches of short chunks, and tree concatenation.
 
 A text is cut only where the tokenizer itself always starts anew, so its ids are those of its chunks in order.  Chunks
-repeat far more often than texts; each worker keeps the ids of the chunks it has met, up to ``CACHE`` entries.
+repeat far more often than texts; each worker keeps the ids of the chunks it has met, up to ``CACHE`` entries beside
+those of the batch at hand.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import cache
 
 import numpy as np
 import regex
 
-CACHE = 250_000
+CACHE = 300_000
 SPECIAL = "<|endoftext|>"
 #: The byte-level vocabulary's split pattern, white space written out as Unicode's White_Space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -110,49 +112,77 @@ def chunk_cache(path: str) -> ChunkCache:
     return ChunkCache(path)
 
 
-_MARK_BYTES = MARKS.encode()
+#: a word of letters that lower-casing and composing leave single, and the marks at its end
+_LETTERS_THEN_MARKS = re.compile(rf"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([{re.escape(MARKS)}]*)")
 
 
-def _stem(word: bytes) -> tuple[bytes, bytes]:
-    """A word without its last marks, in lower case, and the marks; the lower-casing vocabulary encodes both alone."""
-    stem = word.rstrip(_MARK_BYTES)
-    if stem and (stem[-1:].isalnum() or stem[-2:].decode("utf-8", "replace")[-1].lower()[-1].isalpha()):
-        return stem.lower(), word[len(stem) :]
-    return word, b""
+class WordCache:
+    """White-space-free word -> its ids, for a lower-casing vocabulary that drops white space.
 
+    A word of Latin letters and end marks is the ids of its lower-cased letters, which repeat more often than words, and
+    those of the marks; any other word goes through the whole tokenizer as it stands, since special tokens are matched
+    before lower-casing.
+    """
 
-def word_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of a lower-casing vocabulary that drops white space: no token crosses an ASCII blank.
+    def __init__(self, path: str):
+        self.held = chunk_cache(path)
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode the words of a batch that are not known yet.  A full cache keeps what the batch has of it, and the stems
+        met since it last was full."""
+        known, fresh = self.known, words.difference(self.known)
+        if len(known) + len(fresh) > CACHE:
+            known = self.known = {w: known[w] for w in words.intersection(known)}
+        if len(self.stems) > CACHE // 2:
+            self.stems, self.older = {}, self.stems
+        stems, older, merge, table = self.stems, self.older.get, self.held.model.tokenize, byte_characters()
+        other: list[bytes] = []
+        for word in fresh:
+            try:
+                found = _LETTERS_THEN_MARKS.fullmatch(word.decode())
+            except UnicodeDecodeError:
+                found = None
+            if not found:
+                other.append(word)
+                continue
+            stem, marks = found.groups()
+            stem = stem.lower()
+            ids = stems.get(stem)
+            if ids is None:
+                ids = older(stem)
+                if ids is None:
+                    written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(table)
+                    ids = array("H", [t.id for t in merge(written)]).tobytes()
+                stems[stem] = ids
+            if marks:
+                end = stems.get(marks)
+                if end is None:
+                    end = stems[marks] = self._whole([marks])[0]
+                ids += end
+            known[word] = ids
+        for at in range(0, len(other), 1024):
+            part = other[at : at + 1024]
+            known.update(zip(part, self._whole([w.decode("utf-8", "replace") for w in part]), strict=True))
 
-    The cache holds stems, which are far fewer than words; ASCII letters need no other step than the merges.
-    """
-    held = chunk_cache(path)
-    known, merge = held.known, held.model.tokenize
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(code.ids, "<u2").tobytes() for code in self.held.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@cache
+def word_cache(path: str) -> WordCache:
+    return WordCache(path)
+
+
+def word_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Ids of a lower-casing vocabulary that drops white space: no token crosses an ASCII blank."""
+    held = word_cache(path)
     words = [(t or "").encode().split() for t in texts]
-    if len(known) > CACHE:
-        known.clear()
-    found: dict[bytes, bytes] = {}
-    other: list[bytes] = []
-    for word in set().union(*words):
-        end = word.rstrip(_MARK_BYTES)
-        stem = end.lower()
-        if not stem.isalpha():  # ASCII letters only
-            other.append(word)
-            continue
-        ids = known.get(stem)
-        if ids is None:
-            ids = known[stem] = array("H", [t.id for t in merge(stem.decode())]).tobytes()
-        if len(end) < len(word):
-            marks = word[len(end) :]
-            if marks not in known:
-                held.learn([marks], keep=True)
-            ids += known[marks]
-        found[word] = ids
-    parts = list(map(_stem, other))
-    held.learn(dict.fromkeys(x for pair in parts for x in pair if x), keep=True)
-    for word, (stem, marks) in zip(other, parts, strict=True):
-        found[word] = known[stem] + known[marks] if marks else known[stem]
-    return [np.frombuffer(b"".join(map(found.__getitem__, ws)), "<u2") for ws in words]
+    held.learn(set().union(*words))
+    find = held.known.__getitem__
+    return [np.frombuffer(b"".join(map(find, ws)), "<u2") for ws in words]
 
 
 def byte_ids(text: str, path: str) -> np.ndarray:
