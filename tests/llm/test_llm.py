@@ -296,19 +296,109 @@ def test_language_model_counts_and_gain(spark, empty):
     assert lm.score_documents(empty).count() == 0
 
 
-def test_model_probabilities_sum_to_one():
-    rng = np.random.RandomState(0)
-    model = lm.Model(rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32))
-    t = lm.Tokens(["a bb cc dd", None, "x"])
-    assert np.allclose(model.probabilities(t.features()).sum(1), 1, atol=1e-5)
-    shown, expected = np.zeros((2, lm.FEATURES, lm.CLASSES))
-    lm.statistics(model, t, shown, expected)
-    assert shown.sum() == len(t.ids) * lm.USED and abs(expected.sum() - shown.sum()) < 1e-3
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def plain_form(w):
+    return zlib.crc32(w.rstrip(b".,")[-2:] if len(w) > 3 else w)
+
+
+def plain_path(w):
+    form, other = plain_mix(plain_form(w) + 1), plain_mix(zlib.crc32(w) + 2)
+    first = 15 if not w else form % 7 if len(w) <= 3 else 7 + form % 8
+    return first, (other >> 8) % 16, (other >> 16) % 16
+
+
+def plain_rows(left, path, number):
+    """The rows of a token of that path after the words ``left`` (nearest first; None: no word there), one level at a time."""
+    whole = lambda n: 0 if left[n] is None else plain_mix(zlib.crc32(left[n]) * 2 + 1)
+    form = lambda n: 0 if left[n] is None else plain_mix(plain_form(left[n]) * 2 + 9)
+    history = [whole(0) + 1 & MASK, whole(1) ^ 1 << 40, form(0) * 3 + form(1) * 7 + 2 & MASK, form(2) * 3 + form(3) * 7 + 3 & MASK]
+    prefix = 0
+    for level in range(3):
+        rows = [plain_mix(h ^ plain_mix(prefix + 1000 * level + 11)) % (number // 4 if level == 0 else number) for h in history]
+        yield [r // 16 * 16 + path[1] for r in rows] if level == 2 else rows, prefix
+        prefix = prefix * 16 + path[level]
+
+
+def random_model(rows=64, seed=0):
+    rng = np.random.RandomState(seed)
+    return lm.Model([rng.normal(size=(n, 16)).astype(np.float32) for n in (rows // 4, rows, rows)], [np.log(rng.dirichlet(np.ones(16), 16**k)).astype(np.float32) for k in range(3)])
+
+
+def plain_log10(model, left, path):
+    total = 0.0
+    for level, (rows, prefix) in enumerate(plain_rows(left, path, model.rows)):
+        logits = model.bias[level][prefix].astype(float) + sum(model.weights[level][r].astype(float) for r in rows)
+        total += math.log10(math.exp(logits[path[level]]) / np.exp(logits).sum())
+    return total
+
+
+def test_history_scores_equal_brute_force():
+    model = random_model()
+    texts = ["The house, and thé house over there", None, "x", "a bb ccc dddd " * 30, "Ending. of ending"]
+    got = lm.history_scores(model, lm.Tokens(texts), slab=7)
+    for text, score in zip(texts, got, strict=True):
+        words = (text or "").encode().lower().split() + [b""]
+        left = lambda i: [words[i - n] if i >= n else None for n in (1, 2, 3, 4)]  # noqa: B023, E731
+        assert abs(score - sum(plain_log10(model, left(i), plain_path(w)) for i, w in enumerate(words))) < 1e-3
+
+
+def test_all_words_sum_to_one_after_a_history():
+    model = random_model(seed=3)
+    paths = [(a, b, c) for a in range(16) for b in range(16) for c in range(16)]
+    assert abs(sum(10 ** plain_log10(model, [b"the", b"house", None, None], p) for p in paths) - 1) < 1e-6
+    words = [w.encode() for ws in WORDS.values() for w in ws]
+    c = Counter({w: i for i, w in enumerate(words)})
+    path = lm.paths_of(words)
+    assert path.tolist() == [(p[0] * 16 + p[1]) * 16 + p[2] for p in map(plain_path, words)]
+    total = np.bincount(path, [c[w] for w in words], minlength=lm.PATHS) + np.bincount(path, [c[w] > 0 for w in words], minlength=lm.PATHS) + 1
+    known = {w: p for w, p in zip(words, path, strict=True) if c[w]}
+    for p in set(path.tolist()):  # the known words and one unit for all unseen ones
+        assert abs(sum((c[w] + 1) / total[p] for w in known if known[w] == p) + 1 / total[p] - 1) < 1e-9
+
+
+def test_sums_of_the_updates_equal_brute_force():
+    texts = ["the house and the thing, and the house", "and over", "", "x yy zzz wwww " * 9]
+    tokens, number = lm.Tokens(texts), 64
+    starts = lm.level_starts(number)
+    model = random_model(number, 5)
+    want, met = np.zeros((starts[-1], 32)), Counter()
+    for text in texts:
+        words = text.encode().split() + [b""]
+        for i, w in enumerate(words):
+            path = plain_path(w)
+            met[path] += 1
+            for level, (rows, prefix) in enumerate(plain_rows([words[i - n] if i >= n else None for n in (1, 2, 3, 4)], path, number)):
+                logits = model.bias[level][prefix].astype(float) + sum(model.weights[level][r].astype(float) for r in rows)
+                for r in rows:
+                    want[starts[level] + r, path[level]] += 1
+                    want[starts[level] + r, 16:] += np.exp(logits) / np.exp(logits).sum()
+    got = np.zeros_like(want)
+    lm.later_sums(model, tokens, got, slab=10)
+    assert np.allclose(got, want, atol=1e-3)
+    first, paths = np.zeros_like(want), np.zeros(lm.PATHS, np.int64)
+    lm.first_sums(tokens, number, first, paths)
+    assert {p: paths[(p[0] * 16 + p[1]) * 16 + p[2]] for p in met} == dict(met) and paths.sum() == len(tokens.ids)
+    start, blank = np.zeros_like(want), lm.Model([np.zeros_like(w) for w in model.weights], lm.bias_of(paths))
+    lm.later_sums(blank, tokens, start)  # the first update needs no softmax: the same as one with weights of zero
+    for level in range(3):
+        here = slice(starts[level], starts[level + 1])
+        assert np.allclose(first[here, :16], start[here, :16])
+        assert np.allclose(lm.first_expected(level, first[here, 16:], first[here, :16], blank.bias[level]), start[here, 16:], atol=1e-3)
 
 
 def test_history_chooses_the_word_within_its_class(spark):
-    """Words of one class and equal frequency, told apart by the word before them alone."""
-    twins = [w for w in (f"{a}{b}zzing" for a in "abcdefgh" for b in "abcdefgh") if lm.word_class(w.encode()) == lm.word_class(b"aazzing")][:8]
+    """Words of one first digit and equal frequency, told apart by the word before them alone."""
+    made = [f"{a}{b}zzing" for a in "abcdefgh" for b in "abcdefgh"]
+    twins = list({plain_path(w.encode()): w for w in made}.values())[:8]
+    assert len({plain_path(w.encode())[0] for w in twins}) == 1
     rng = random.Random(3)
     draw = lambda right: " ".join(f"left{(i + (0 if right else 1)) % 8} {twins[i]}" for i in (rng.randrange(8) for _ in range(20)))
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
@@ -318,57 +408,33 @@ def test_history_chooses_the_word_within_its_class(spark):
     assert right > wrong + 20 * 0.5
 
 
-def test_words_of_a_class_sum_to_one_after_every_history(spark):
-    texts = ["a bb a cc", "bb a a dd a", "cc a bb"]
-    pairs, c = Counter(), Counter()
-    for ws in ([*t.encode().split(), b""] for t in texts):
-        for i, w in enumerate(ws):
-            c[w] += 1
-            for n in (1, 2):
-                left = ws[i - n] if i >= n else b""
-                pairs[n, left, w] += 1
-                pairs[n, left, lm.word_class(w)] += 1
-    words = [*c, b"unseen"]
-    k = lm.word_class(b"a")
-    inside = [w for w in words if lm.word_class(w) == k]
-    total = sum(c[w] for w in inside) + sum(c[w] > 0 for w in inside) + 1
-    share = np.array([*((c[w] + 1) / total for w in inside), 1 / total])  # the last stands for the unseen
-    for left in words:
-        n = np.array([[pairs[1, left, x] for x in [*inside, None]], [pairs[2, left, x] for x in [*inside, None]], *[[pairs[i, left, k]] * len(share) for i in (1, 2)]])
-        assert abs(lm.in_class(share, n).sum() - 1) < 1e-9
-
-
-def test_pair_counts_are_those_of_the_whole_corpus(spark):
-    """Blocks and hash ranges of any number give the scores of one block and one range."""
+def test_scores_do_not_depend_on_blocks_and_ranges(spark, monkeypatch):
     rng = random.Random(9)
     docs = spark.createDataFrame([(i, prose(rng, "en", 60)) for i in range(80)], "doc_id long, text string")
     score = lambda parts: {r["doc_id"]: r["score"] for r in lm.score_documents(docs.repartition(parts)).collect()}
-    want, bucket = score(1), lm.BUCKET_PAIRS
-    try:
-        lm.BUCKET_PAIRS = 3000
-        got = score(3)
-    finally:
-        lm.BUCKET_PAIRS = bucket
+    want = score(1)
+    monkeypatch.setattr(lm, "BUCKET_WORDS", 20)
+    got = score(3)
     assert all(abs(got[i] - want[i]) < 1e-3 for i in want)
 
 
-def test_model_grows_with_its_training_tokens():
-    assert lm.sizes(0) == (lm.FEATURES, lm.CLASSES)
-    assert lm.sizes(150_000_000)[0] > lm.FEATURES and lm.sizes(9_000_000_000) == (lm.MOST_FEATURES, lm.CLASS_SIZES[-1])
-    assert lm.Tokens(["aa longer"], 96).features(1 << 16).max() < 1 << 16
+def test_many_tasks_add_up_as_few(spark):
+    rng = np.random.RandomState(1)
+    sums = rng.randint(0, 50, (70, lm.level_starts(64)[-1], 32)).astype(float)
+    rows = [(part, t % 64, sums[t, at : at + lm.GROUP].astype("<f4").tobytes()) for t in range(70) for part, at in enumerate(range(0, sums.shape[1], lm.GROUP))]
+    df = spark.createDataFrame(rows, lm._SUMS).repartition(5)
+    for tasks in (3, 70):
+        total, _ = lm._gather(df, tasks, 64)
+        assert np.allclose(total, sums.sum(0))
 
 
-def test_no_round_is_empty_where_ids_are_equal(spark):
-    rows = spark.createDataFrame([(None if i % 2 else 7, f"text {i}") for i in range(200)], "doc_id long, text string")
-    assert {r["share"] for r in rows.select(lm.share(lm.ROUNDS).alias("share")).distinct().collect()} == set(range(lm.ROUNDS))
+def test_model_grows_with_its_training_bytes():
+    assert lm.rows_for(0) == lm.LEAST_ROWS and lm.rows_for(300_000_000) > lm.LEAST_ROWS and lm.rows_for(1 << 45) == lm.MOST_ROWS
 
 
-def test_class_distribution_is_that_of_all_training_documents(spark):
-    rows = [(i, "a bb longer" if i % 3 else "zz") for i in range(30)]
-    model = lm.train(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1)
-    n = Counter(lm.word_class(w) for _, t in rows for w in [*t.encode().split(), b""])
-    want = np.array([n[k] + 0.5 for k in range(lm.CLASSES)])
-    assert np.allclose(np.exp(model.bias), want / want.sum(), atol=1e-6)
+def test_no_share_is_empty_where_ids_are_equal(spark):
+    rows = spark.createDataFrame([(None if i % 2 else 7, f"text {i}") for i in range(200)], "doc_id long, text string")
+    assert {r["share"] for r in rows.select(lm.share(lm.ROUNDS).alias("share")).distinct().collect()} == set(range(lm.ROUNDS))
 
 
 # -- op6 ---------------------------------------------------------------------------------------------------------------

@@ -2,8 +2,9 @@
 
 Text is read in windows of bytes, many windows at once.  Each direction keeps a small gated recurrent state (piecewise
 linear gates, so that a step is a table lookup, a small matrix product and clips); both states label every byte, and a
-document's probabilities are the mean over its bytes.  Training is backpropagation through time in numpy on a bounded
-sample of labelled documents; prediction runs over whole texts inside the tasks.
+document's probabilities are the mean over its bytes.  A window is 192 bytes in training and prediction alike; the states
+start anew in each.  Training is backpropagation through time in numpy on the whole texts of a bounded sample of labelled
+documents; prediction runs over whole texts inside the tasks.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql.window import Window as W
 from .common import bounded_batches
 
 HIDDEN, PAD = 8, 256
-WINDOW, TRAIN_WINDOW = 192, 64
-PER_LANGUAGE, WINDOWS_EACH = 400, 4
+WINDOW = 192
+PER_LANGUAGE = 120  # labelled documents of each language that the network is trained on
 
 
 @dataclass
@@ -103,7 +104,7 @@ def gradients(net: Network, windows: np.ndarray, target: np.ndarray) -> tuple[fl
     return loss, [d_table, d_state, d_label, d_bias]
 
 
-def train(windows: np.ndarray, target: np.ndarray, languages: list[str], *, epochs: int = 10, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
+def train(windows: np.ndarray, target: np.ndarray, languages: list[str], *, epochs: int = 5, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
     """Adam over shuffled batches of windows."""
     net = Network.fresh(languages, seed)
     values = [net.table, net.state, net.label, net.bias]
@@ -152,27 +153,31 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample_windows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> pd.DataFrame:
-    """At most ``per_language`` labelled documents of each language outside the held-out part, chosen by a hash of the
-    id, and ``WINDOWS_EACH`` windows at places over the whole of each text."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("binary").alias("data"))
-    # the sample's hashes are found from two small columns, so texts of other rows never move
-    first = W.partitionBy("lang").orderBy("h")
-    last = rows.select("lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
-    few = rows.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))  # one row for each language, as the network has outputs
-    chosen = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "data"))).where(F.col("n") <= per_language)
-    places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda i: F.substring("data", (F.octet_length("data") * i / WINDOWS_EACH).cast("int") + 1, F.lit(TRAIN_WINDOW)))
-    return chosen.select("lang", "h", "n", F.posexplode(places).alias("at", "w")).where(F.octet_length("w") > 0).orderBy("lang", "n", "at").select("lang", "w").toPandas()
+def sample_documents(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> pd.DataFrame:
+    """``lang`` and ``data`` (UTF-8) of at most ``per_language`` different labelled documents of each language outside the
+    held-out part: those with the least hashes of id and text.
+
+    The number of different documents of each language gives a hash threshold that about three times the sample passes, so
+    a language with any share of the rows moves no more than that.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("binary").alias("data"))
+    share = 3.0 * per_language / F.approx_count_distinct("h", 0.02)
+    most = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
+    limits = rows.groupBy("lang").agg(most.alias("most"))  # one row for each language, as the network has outputs
+    few = rows.join(F.broadcast(limits), "lang").where(F.col("h") <= F.col("most"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = few.select("lang", "h").distinct().withColumn("n", place).where(F.col("n") <= per_language).drop("n")
+    return few.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("data").alias("data")).orderBy("lang", "h").toPandas()
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
     """A network trained on the sample, or None if nothing is labelled."""
     bounded_batches(docs.sparkSession)
-    seen = sample_windows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language)
+    seen = sample_documents(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language)
     if seen.empty:
         return None
     languages = sorted(seen["lang"].unique())
-    windows, owner = byte_windows([bytes(w) for w in seen["w"]], TRAIN_WINDOW)
+    windows, owner = byte_windows([bytes(w) for w in seen["data"]], WINDOW)
     target = seen["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()[owner]
     return train(windows, target, languages)
 
