@@ -611,6 +611,70 @@ def test_blocks_of_hard_markup():
     assert text("<p>a<b>b<br>c<p>d &lt;&#233;&gt; \xa0 e<!-- <p>x -->f") == ["ab c", "d <é> ef"]
     assert text('<a title="x > y">q</a> 1 < 2<script>"<p>no</p>"</script><style>p{}</style>') == ["q 1 < 2"]
     assert text("<ul><li>a<li>b</ul>tail<title>t<b></title>") == ["a", "b", "tail", "t<b>"]
+    assert text("a &l<b>t;</b> b") == ["a &lt; b"]  # references end where their text does
+
+
+STORY = ["The river was high in the spring, and the people of the town came down to look at it.", "Nobody had seen so much water before. Some of them took pictures; others just stood there.", "By the evening it had fallen again, and the road to the mill was open."]
+ANSWERS = ["I was there too and it was scary!", "Great article, thanks for sharing this with us all.", "We had the same thing in our village last year."]
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact</a></li></ul></nav>'
+FOOTER = "<footer><p>&copy; 2024 The Daily Page. All rights reserved.</p></footer>"
+
+
+def whole(x):
+    return f"<!DOCTYPE html><html><head><title>High water</title></head><body>{x}</body></html>"
+
+
+#: markup that no given page has
+TEMPLATES = {
+    "lists and subheadings": (whole(f"{MENU}<article><h1>High water</h1><p>{STORY[0]}</p><h2>What happened</h2><p>{STORY[1]}</p><ul><li>The mill road</li><li>The old bridge</li><li>The school</li></ul><p>{STORY[2]}</p></article>{FOOTER}"),
+        ["High water", STORY[0], "What happened", STORY[1], "The mill road", "The old bridge", "The school", STORY[2]]),
+    "table and linked paragraph": (whole(f'{MENU}<article><h1>High water</h1><p>{STORY[0]}</p><p><a href="/map">See the map of the river and all its bridges</a></p><table><tr><th>Place</th><th>Level</th></tr><tr><td>Mill</td><td>3 m</td></tr><tr><td>Bridge</td><td>4 m</td></tr></table><p>{STORY[1]}</p></article>{FOOTER}'),
+        ["High water", STORY[0], "See the map of the river and all its bridges", "Place", "Level", "Mill", "3 m", "Bridge", "4 m", STORY[1]]),
+    "header inside article": (whole(f"{MENU}<article><header><h1>High water</h1></header><p>{STORY[0]}</p><p>{STORY[1]}</p></article>{FOOTER}"), ["High water", STORY[0], STORY[1]]),
+    "comments under responses": (whole(f'{MENU}<article><h1>High water</h1><p>{STORY[0]}</p><p>{STORY[1]}</p></article><div class="responses"><h3>3 responses</h3>' + "".join(f"<div><b>Ann</b><p>{c}</p></div>" for c in ANSWERS) + f"</div>{FOOTER}"), ["High water", STORY[0], STORY[1]]),
+    "comments under a made-up name": (whole(f'<header><a href="/">The Daily Page</a></header>{MENU}<main><h1>High water</h1><p>{STORY[0]}</p><p>{STORY[1]}</p><p>{STORY[2]}</p></main><section class="xq-talk"><h2>3 voices</h2>' + "".join(f'<div class="xq-one"><p>{c}</p></div>' for c in ANSWERS) + f"</section>{FOOTER}"), ["High water", *STORY]),
+    "content div with sidebar": (whole(f'<div class="wrap"><div class="header"><h1>The Daily Page</h1></div><div class="menu"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div><div class="content"><h2>High water</h2><p>{STORY[0]}</p><blockquote>{STORY[1]}</blockquote><p>{STORY[2]}</p></div><div class="sidebar"><h3>Most read</h3><ul><li><a href="/1">The new mayor</a></li><li><a href="/2">A day at sea</a></li></ul></div><div class="footer">&copy; The Daily Page</div></div>'), ["High water", *STORY]),
+    "newsletter inside article": (whole(f'{MENU}<article class="post"><h1>High water</h1><p>{STORY[0]}</p><div class="newsletter"><p>Get our news by mail</p><form><label>Mail</label><input><button>Send</button></form></div><p>{STORY[1]}</p><aside><p>Related: a day at sea</p></aside><p>{STORY[2]}</p></article>{FOOTER}'), ["High water", *STORY]),
+    "cookie notice and form": (whole(f'<div class="cookie-banner"><p>We use cookies to make this page better for you and for us.</p><button>Accept</button></div>{MENU}<main><article><h1>High water</h1><p>{STORY[0]}</p><figure><img src="a.jpg"><figcaption>The mill at noon, seen from the bridge.</figcaption></figure><p>{STORY[1]}</p></article></main><form><label>Search</label><input><button>Go</button></form>{FOOTER}'), ["High water", STORY[0], "The mill at noon, seen from the bridge.", STORY[1]]),
+    "layout table": (whole(f'<table><tr><td class="menu"><a href="/">Home</a><br><a href="/n">News</a></td><td class="content"><h1>High water</h1><p>{STORY[0]}</p><p>{STORY[1]}</p><p>{STORY[2]}</p></td></tr></table><div class="copyright">&copy; 1999 The Daily Page</div>'), ["High water", *STORY]),
+    "ordered list and quote": (whole(f'{MENU}<div class="promo"><p>Buy our calendar now</p></div><main><h1>High water</h1><p>{STORY[0]}</p><ol><li>Stay away from the river.</li><li>Listen to the radio.</li></ol><blockquote><p>{STORY[1]}</p></blockquote><pre>level = 4</pre><p>{STORY[2]}</p></main><div class="share"><a href="/f">Share</a> <a href="/t">Post</a></div>{FOOTER}'), ["High water", STORY[0], "Stay away from the river.", "Listen to the radio.", STORY[1], "level = 4", STORY[2]]),
+}
+
+
+def test_templates_that_no_page_has(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    net = html.fit(pages)
+    wrong = {}
+    for (name, (page, want)), got in zip(TEMPLATES.items(), html.main_texts(net, [p for p, _ in TEMPLATES.values()]), strict=True):
+        if got != "\n".join(want):
+            wrong[name] = got
+    assert not wrong
+    long = TEMPLATES["lists and subheadings"][0].replace("</article>", "".join(f"<p>Line {i} of many.</p>" for i in range(9000)) + "</article>")
+    text = html.main_texts(net, [long, "<p>x"])[0]
+    assert text.count("\n") >= 9000 and text.endswith("Line 8999 of many.") and "All rights" not in text
+
+
+def test_a_long_page_is_labelled_by_slabs_alike(monkeypatch):
+    rng = random.Random(4)
+    blocks = html.page_blocks(page(1, rng, "a title", [prose(rng, "en", 9) for _ in range(40)]))
+    net = html.Labeller.fresh()
+    want = net.run(*html.padded([html.block_vectors(blocks)]))[:, 0]
+    for slab in (4096, 7):
+        monkeypatch.setattr(html, "SLAB", slab)
+        assert np.allclose(net.label(blocks), want, atol=1e-4)
+    groups = list(html.together([5, 100, 3, 50, 9000, 50], pages=3, blocks=200))
+    assert sorted(i for g in groups for i in g) == list(range(6)) and all(len(g) <= 3 for g in groups) and [4] in groups
+
+
+def test_rebuilt_pages_hold_labels_of_both_kinds():
+    rng, r = random.Random(4), np.random.RandomState(1)
+    blocks = html.page_blocks(page(1, rng, "a title", [prose(rng, "en", 9) for _ in range(4)]))
+    for b, y in zip(blocks, html.markup_label(blocks), strict=True):
+        b.label = y
+    seen = [html.rebuilt(blocks, r) for _ in range(60)]
+    assert all(any(b.label for b in v) and not all(b.label for b in v) for v in seen)
+    main = {tag for v in seen for b in v if b.label for tag, _ in b.path}
+    assert {"li", "h2", "td", "blockquote", "figcaption", "a", "header", "pre"} <= main
 
 
 def test_lstm_gradients_are_right():
