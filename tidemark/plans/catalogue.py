@@ -343,7 +343,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "data_checks": data_checks,
     "live_now": lambda m: _dims(live.live_now(m.events, MARK_MS)),
     "label_finality": lambda m: live.label_finality(m.curve, W0 + 30),
-    "ingest_lag": lambda m: live.ingest_lag(m.bare_events),
+    "ingest_lag": lambda m: live.ingest_lag(m.bare_events, MARK_MS),
     "late_event_policy": lambda m: live.late_event_policy(m.states),
     "retract_and_refold": lambda m: live.retract_and_refold_demo(m.bare_events, MARK_MS),
     "advance_checkpoint": lambda m: live.advance_checkpoint(m.bare_events, MARK_MS),

@@ -400,13 +400,13 @@ BODIES: dict[str, str] = {
     # incremental
     "live_now": f"SELECT {K} FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_ms DESC, tie_break DESC, event_id DESC) AS back FROM st WHERE event_ms <= {MARK_MS}) WHERE back = 1 AND fg = 1 AND playing = 1 AND ended = 0 AND event_ms >= {MARK_MS} - 90000",
     "label_finality": f"SELECT {t('minute')}, concurrency, CASE WHEN minute > {W0 + 30} THEN 'provisional' ELSE 'final' END AS finality FROM curve",
-    "ingest_lag": "SELECT max(ingest_ms - event_ms) / 1000 AS max_lag_s, round(avg(ingest_ms - event_ms) / 1000, 4) AS mean_lag_s, count(*) FILTER (WHERE ingest_ms - event_ms > 60000) AS over_60s FROM ev",
+    "ingest_lag": "SELECT max(ingest_ms - event_ms) / 1000 AS max_lag_s, round(avg(ingest_ms - event_ms) / 1000, 4) AS mean_lag_s, count(*) FILTER (WHERE ingest_ms - event_ms > 60000) AS over_60s, " f"({MARK_MS} - max(ingest_ms) FILTER (WHERE ingest_ms <= {MARK_MS})) / 1000 AS cursor_lag_s, {MARK_MS} - max(ingest_ms) FILTER (WHERE ingest_ms <= {MARK_MS}) > 60000 AS cursor_alert FROM ev",
     "late_event_policy": "SELECT (SELECT count(*) FROM tl) AS kept_for_recompute, (SELECT count(*) FROM st WHERE ended > 0 AND signal <> 'END') AS after_end",
     "retract_and_refold": f"SELECT {K}, {t('minute')}, a::BIGINT AS delta_sessions FROM act_d",
     "advance_checkpoint": f"SELECT {ms('max(ingest_ms)', 'checkpoint_ts')} FROM ev WHERE ingest_ms <= {MARK_MS} - 5000",
     "recompute_changed": f"SELECT {K}, {t('minute')}, delta_sessions, delta_open FROM deltas",
     "session_fold": f"SELECT {K}, {t('run_start')}, {t('run_end')} FROM runs",
-    "presence_per_minute_stream": f"SELECT {t('event_ms // 60000', 'minute')}, platform, count(*) AS events FROM {_present} GROUP BY ALL",
+    "presence_per_minute_stream": f"SELECT {t('event_ms // 60000', 'minute')}, platform, count(*) AS events, count(DISTINCT session) AS sessions, count(DISTINCT user_id) AS users FROM {_present} GROUP BY ALL",
 }
 
 ORACLE_SQL = {name: PREFIX + body.replace("round(", "round(1e-9 + ") for name, body in BODIES.items()}

@@ -1,12 +1,14 @@
 """Incremental and streaming forms: recompute of changed sessions, a stateful session fold, presence, and live questions.
 
 The recompute (default) reads whole histories of the sessions in a micro-batch and replaces their deltas, so late and
-repeated events heal by themselves.  The fold keeps a few numbers per session and emits runs once the watermark shows that
-nothing can extend them; both give the runs of the batch form.
+repeated events heal by themselves.  The fold is the low-latency form: it holds a session's events until the watermark
+passes them, keeps a few numbers, and emits +1 as soon as a run opens and -1 once nothing can extend it.  It handles events
+one by one in Python; where seconds do not matter, take the recompute.  Both give the runs of the batch form.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
-from ..functions.clean import DIMENSIONS, classify_signal, tie_break
+from ..functions.clean import DIMENSIONS, classify_signal, event_role, tie_break
 from ..functions.numbers import rounded
 from ..functions.times import DAY, MINUTE_MS, div
 from ..operators.deltas import active_deltas, deltas_of, run_ledger, runs_of
@@ -28,40 +30,82 @@ from ..sources.shared import shared_path
 EVENT_COLUMNS = [*KEYS, "event_ms", "event_type", "event", "event_id", "ingest_ms"]
 
 
+_MANIFEST = "batch long, history string, day long, path string"
+
+
 class DeltaTable:
-    """The current deltas as day partitions; a batch rewrites only the days that its sessions touch, into a new folder,
-    and then moves those days' pointers.  Nothing that is being read is overwritten."""
+    """The current deltas as day partitions, and the history they come from, bucketed by session.
+
+    A batch writes its events, the new deltas of its sessions, and the untouched deltas of the days these fall on into
+    folders of its own attempt, and then one manifest file that names them: the commit.  So nothing that is being read is
+    overwritten, a failed attempt leaves only folders that no manifest names, a repeated batch changes nothing, and a new
+    object on the same root goes on where the last commit was.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, rules: Rules = DEFAULT):
-        self.spark, self.root, self.rules = spark, root, rules
-        self.days: dict[int, str] = {}  # at most the days of the retention
+    def __init__(self, spark: SparkSession, root: str, rules: Rules = DEFAULT, buckets: int = 16):
+        self.spark, self.root, self.rules, self.buckets = spark, root.rstrip("/"), rules, buckets
+        self.batch, self.history, self.days = -1, [], {}
+        self._load()
 
-    def read(self) -> DataFrame | None:
-        paths = sorted(self.days.values())
-        return self.spark.read.parquet(*paths) if paths else None
+    def _load(self) -> None:
+        """The state of the last commit: a row for each batch's history and for each day's folders."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return
+        rows = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/*").collect()
+        self.batch = max((r["batch"] for r in rows), default=-1)
+        self.history = sorted(r["history"] for r in rows if r["history"])
+        for r in rows:
+            if r["batch"] == self.batch and r["path"]:
+                self.days.setdefault(r["day"], []).append(r["path"])
+
+    def read(self, days: list[int] | None = None) -> DataFrame:
+        """The current deltas, of some days or of all; only those days' folders are read."""
+        paths = [x for d in sorted(self.days) if days is None or d in days for x in self.days[d]]
+        schema = T.StructType([*[T.StructField(k, T.LongType() if k == "content_id" else T.StringType()) for k in KEYS], *[T.StructField(c, T.LongType()) for c in ("minute", "delta_sessions", "delta_open", "day_no")]])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("session"), F.lit(self.buckets)).cast("int")
+
+    def histories(self, schema: T.StructType, keys: DataFrame, touched: list[int], paths: list[str]) -> DataFrame:
+        """Whole histories of the sessions ``keys``, from the buckets that hold them alone."""
+        whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+        rows = self.spark.read.option("basePath", f"{self.root}/history").schema(whole).parquet(*paths)
+        return rows.where(F.col("bucket").isin(touched)).select(*schema.names).join(keys, "session", "left_semi")
+
+    def _days_in(self, path: str) -> list[int]:
+        """Days that have a folder in a written table."""
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(fs)
+        return [int(f.getPath().getName().split("=")[1]) for f in found if f.getPath().getName().startswith("part_day=")]
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch.  The history keeps a folder per batch, so a retried batch replaces its own rows."""
-        history = f"{self.root}/history"
-        batch.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
-        every = self.spark.read.parquet(history).where(F.col("batch") <= batch_id).select(*EVENT_COLUMNS)
-        keys = batch.select("session").distinct()
-        day = div("minute", DAY)
-        fresh = deltas_of(every.join(keys, "session", "left_semi"), self.rules).withColumn("day_no", day)
-        old = self.read()
-        stale = old.join(keys, "session", "left_semi").select("day_no") if old is not None else None
-        touched = fresh.select("day_no") if stale is None else fresh.select("day_no").unionAll(stale)
-        days = [r["day_no"] for r in touched.distinct().collect()]  # calendar days
-        kept = old.where(F.col("day_no").isin(days)).join(keys, "session", "left_anti") if old is not None else None
-        rows = fresh if kept is None else fresh.unionByName(kept)
-        target = f"{self.root}/deltas/version={batch_id}"
-        rows.withColumn("part_day", F.col("day_no")).write.mode("overwrite").partitionBy("part_day").parquet(target)
-        written = {r["day_no"] for r in rows.select("day_no").distinct().collect()}
-        for d in days:
-            if d in written:
-                self.days[d] = f"{target}/part_day={d}"
-            else:
-                self.days.pop(d, None)
+        """One micro-batch.  A batch that is already committed is left alone."""
+        if batch_id <= self.batch:
+            return
+        attempt = f"attempt={batch_id}-{uuid.uuid4().hex}"
+        own, day = f"{self.root}/history/{attempt}", div("minute", DAY)
+        events = batch.select(*EVENT_COLUMNS)
+        events.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(own)
+        now = self.spark.read.schema(T.StructType([*events.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(own)
+        touched = [r["bucket"] for r in now.select("bucket").distinct().collect()]  # at most all buckets
+        keys = now.select("session").distinct()
+        every = self.histories(events.schema, keys, touched, [*self.history, own])
+        # runs lie between a session's first event and the timeout of its last, so the days to replace follow from times alone
+        reach = F.sequence(div("event_ms", DAY * MINUTE_MS), div(F.col("event_ms") + self.rules.timeout_ms + 2 * MINUTE_MS, DAY * MINUTE_MS))
+        days = sorted(r["d"] for r in every.select(F.explode(reach).alias("d")).distinct().collect())  # calendar days
+        target = f"{self.root}/deltas/{attempt}"
+        deltas_of(every, self.rules).withColumn("day_no", day).withColumn("part_day", day).write.partitionBy("part_day").parquet(f"{target}/fresh")
+        kept = self.read(days).join(keys, "session", "left_anti")
+        kept.withColumn("part_day", F.col("day_no")).write.partitionBy("part_day").parquet(f"{target}/kept")
+        after = {d: paths for d, paths in self.days.items() if d not in days}
+        for part in ("fresh", "kept"):
+            for d in self._days_in(f"{target}/{part}"):
+                after.setdefault(d, []).append(f"{target}/{part}/part_day={d}")
+        rows = [(batch_id, own, None, None)] + [(batch_id, None, d, path) for d, paths in after.items() for path in paths]
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/batch={batch_id}")
+        self.batch, self.history, self.days = batch_id, [*self.history, own], after
 
 
 def _replay(events: DataFrame, order: str, slots: int, start, finish: int | None = None) -> None:
@@ -97,137 +141,183 @@ def run_recompute(events: DataFrame, slots: int = 3, rules: Rules = DEFAULT) ->
     return table.read().drop("day_no")
 
 
-RUN = T.StructType([*[T.StructField(k, T.LongType() if k == "content_id" else T.StringType()) for k in KEYS], T.StructField("run_start", T.LongType()), T.StructField("run_end", T.LongType())])
-STATE = T.StructType([T.StructField(c, T.LongType()) for c in ("fg", "playing", "ended", "last_ms", "seen_ms", "run_start", "run_last", "content_id")] + [T.StructField(c, T.StringType()) for c in DIMENSIONS if c != "content_id"])
+def _text(names) -> list[T.StructField]:
+    return [T.StructField(k, T.LongType() if k == "content_id" else T.StringType()) for k in names]
+
+
+DELTA = T.StructType([*_text(KEYS), T.StructField("minute", T.LongType()), T.StructField("delta_sessions", T.LongType())])
+STATE = T.StructType([T.StructField(c, T.LongType()) for c in ("fg", "playing", "ended", "last_ms", "seen_ms", "run_last")] + _text(DIMENSIONS))
+PENDING = T.StructType([T.StructField("event_ms", T.LongType()), T.StructField("tie_break", T.IntegerType()), T.StructField("event_id", T.LongType()), T.StructField("signal", T.StringType()), *_text(DIMENSIONS)])
 NONE = -1
 
 
 class SessionFold(StatefulProcessor):
-    """Gate switches, the last event and the open run of one session.
+    """Gate switches, the last event and the open run of one session, and its events that the watermark has not
+    passed yet.
 
-    A segment is folded when the next event arrives or its timeout passes.  A run is emitted when the watermark is beyond
-    the minute after its last one, so that nothing can extend it; a session is forgotten ``evict_ms`` after its last event.
+    Events are folded in the order of their time, whatever their arrival.  A run's +1 is emitted when it opens.  Its -1 is
+    emitted, dated to the minute after its last one, when the watermark is beyond the minute after that, so that nothing can
+    extend it; a silent session's run ends with the timeout of its last event (T4).  A session is forgotten ``evict_ms``
+    after its last event (T8).
     """
 
     def __init__(self, rules: Rules = DEFAULT, evict_ms: int = 86_400_000):
+        if not rules.use_liveness:
+            raise ValueError("without the liveness gate a run has no end that a watermark could show")
         self.rules, self.evict_ms = rules, evict_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("session", STATE)
+        self.pending = handle.getListState("pending", PENDING)
 
     def _load(self) -> dict | None:
         return dict(zip(STATE.names, self.state.get(), strict=True)) if self.state.exists() else None
 
     def _counted(self, s: dict) -> bool:
-        return s["fg"] == 1 and s["playing"] == 1 and s["ended"] == 0
-
-    def _occupy(self, s: dict, stop_ms: int, out: list) -> None:
-        """Fold the segment from the last event to ``stop_ms`` into the open run."""
-        if s["last_ms"] == NONE or not self._counted(s):
-            return
-        first, last = s["last_ms"] // MINUTE_MS, stop_ms // MINUTE_MS
-        if s["run_start"] != NONE and first > s["run_last"] + 1:
-            out.append((s["run_start"], s["run_last"] + 1))
-            s["run_start"] = NONE
-        if s["run_start"] == NONE:
-            s["run_start"], s["run_last"] = first, last
+        return s["ended"] == 0 and (s["fg"] == 1 or not self.rules.use_fg) and (s["playing"] == 1 or not self.rules.use_playing)
+
+    def _occupy(self, s: dict, first: int, last: int, out: list) -> None:
+        """The minutes from ``first`` to ``last`` are active: extend the open run, or close it and open another."""
+        if s["run_last"] != NONE and first > s["run_last"] + 1:
+            self._close_run(s, out)
+        if s["run_last"] == NONE:
+            out.append((first, 1))
+        s["run_last"] = max(s["run_last"], last)
+
+    def _close_run(self, s: dict, out: list) -> None:
+        out.append((s["run_last"] + 1, -1))
+        s["run_last"] = NONE
+
+    def _fold(self, s: dict, event_ms: int, signal: str, out: list) -> None:
+        if s["last_ms"] != NONE and self._counted(s):
+            self._occupy(s, s["last_ms"] // MINUTE_MS, min(event_ms, s["last_ms"] + self.rules.timeout_ms) // MINUTE_MS, out)
+        error = self.rules.error_policy if signal == "ERR" else None
+        if signal in ("FG", "BG"):
+            s["fg"] = int(signal == "FG")
+        elif signal in ("PLAY", "RESUME"):
+            s["playing"] = 1
+        elif signal == "PAUSE" or error == "inactive":
+            s["playing"] = 0
+        elif signal == "END" or error == "terminal":
+            s["ended"] += 1
+        s["last_ms"] = s["seen_ms"] = event_ms
+        if self._counted(s):
+            self._occupy(s, event_ms // MINUTE_MS, event_ms // MINUTE_MS, out)
+
+    def _due(self, s: dict) -> int:
+        """When the open run is final, or else when the session is forgotten."""
+        if s["run_last"] == NONE:
+            return s["seen_ms"] + self.evict_ms
+        silent = (s["last_ms"] + self.rules.timeout_ms) // MINUTE_MS if s["last_ms"] != NONE and self._counted(s) else NONE
+        return (max(silent, s["run_last"]) + 2) * MINUTE_MS
+
+    def _advance(self, key, waiting: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        """Fold what the watermark has passed, close what is final, and set the timer for what is next."""
+        s, out = self._load(), []
+        waiting.sort(key=lambda e: e[:3])
+        ready = sum(e[0] <= watermark for e in waiting)
+        for event_ms, _, _, signal, *dims in waiting[:ready]:
+            if s is None:
+                s = {"fg": self.rules.fg_default, "playing": self.rules.playing_default, "ended": 0, "last_ms": NONE, "seen_ms": NONE, "run_last": NONE} | dict(zip(DIMENSIONS, dims, strict=True))
+            self._fold(s, int(event_ms), signal, out)
+        rest = waiting[ready:]
+        if s is not None and s["run_last"] != NONE and watermark >= self._due(s):
+            if s["last_ms"] != NONE and self._counted(s):
+                self._occupy(s, s["last_ms"] // MINUTE_MS, (s["last_ms"] + self.rules.timeout_ms) // MINUTE_MS, out)
+            self._close_run(s, out)
+            s["last_ms"] = NONE  # the gates stay until the session is forgotten
+        if s is not None and s["run_last"] == NONE and watermark >= self._due(s):
+            if out:
+                yield self._rows(key, s, out)
+            s, out = None, []
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        if rest:
+            self.pending.put(rest)
         else:
-            s["run_last"] = max(s["run_last"], last)
-
-    def _rows(self, key, s: dict, out: list) -> Iterator[pd.DataFrame]:
+            self.pending.clear()
+        if s is None:
+            self.state.clear()
+        else:
+            self.state.update(tuple(s[c] for c in STATE.names))
+        next_at = [e[0] for e in rest[:1]] + ([] if s is None else [self._due(s)])
+        if next_at:
+            self.handle.registerTimer(max(min(next_at), watermark + 1))
         if out:
-            dims = [s[d] for d in DIMENSIONS]
-            yield pd.DataFrame([(key[0], *dims, a, b) for a, b in out], columns=RUN.names)
+            yield self._rows(key, s, out)
 
-    def _save(self, s: dict) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        reach = (s["last_ms"] + self.rules.timeout_ms) // MINUTE_MS if s["last_ms"] != NONE and self._counted(s) else NONE
-        reach = max(reach, s["run_last"] if s["run_start"] != NONE else NONE)
-        due = (reach + 2) * MINUTE_MS if reach != NONE else s["seen_ms"] + self.evict_ms
-        self.handle.registerTimer(due)
-        self.state.update(tuple(s[c] for c in STATE.names))
+    def _rows(self, key, s: dict, out: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *(s[d] for d in DIMENSIONS), minute, delta) for minute, delta in out], columns=DELTA.names)
+
+    def _waiting(self) -> list[tuple]:
+        return [tuple(e) for e in self.pending.get()] if self.pending.exists() else []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(ORDER, kind="stable")
-        s, out = self._load(), []
-        for e in batch.itertuples(index=False):
-            if s is None:
-                s = {"fg": self.rules.fg_default, "playing": self.rules.playing_default, "ended": 0, "last_ms": NONE, "seen_ms": NONE, "run_start": NONE, "run_last": NONE} | {d: getattr(e, d) for d in DIMENSIONS}
-            self._occupy(s, min(e.event_ms, s["last_ms"] + self.rules.timeout_ms), out)
-            if e.signal in ("FG", "BG"):
-                s["fg"] = int(e.signal == "FG")
-            elif e.signal in ("PLAY", "RESUME", "PAUSE"):
-                s["playing"] = int(e.signal != "PAUSE")
-            elif e.signal == "END":
-                s["ended"] += 1
-            s["last_ms"] = s["seen_ms"] = int(e.event_ms)
-        yield from self._rows(key, s, out)
-        self._save(s)
+        waiting = self._waiting()
+        for batch in rows:
+            waiting += [tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in e) for e in batch[PENDING.names].itertuples(index=False)]
+        yield from self._advance(key, waiting, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s, out = self._load(), []
-        if s is None:
-            return
-        self._occupy(s, s["last_ms"] + self.rules.timeout_ms, out)
-        folded = s["last_ms"] != NONE and self._counted(s)
-        if s["run_start"] != NONE:
-            out.append((s["run_start"], s["run_last"] + 1))
-            s["run_start"] = NONE
-            folded = True
-        yield from self._rows(key, s, out)
-        if folded:  # the gates stay until the session is forgotten
-            s["last_ms"] = NONE
-            self._save(s)
-        else:
-            self.state.clear()
+        yield from self._advance(key, self._waiting(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def session_fold(stream: DataFrame, rules: Rules = DEFAULT, delay: str = "0 seconds") -> DataFrame:
-    """A stream of typed events -> runs as they become final.
+def session_fold(stream: DataFrame, rules: Rules = DEFAULT, delay: str = "0 seconds", evict_ms: int = 86_400_000) -> DataFrame:
+    """A stream of typed events -> deltas: +1 at a run's first minute as it opens, -1 after its last as it is final.
 
-    Events later than the watermark's ``delay`` are dropped; the recompute form is the one that absorbs them.
+    Events later than the watermark's ``delay`` are dropped; the recompute form is the one that absorbs them.  A session's
+    events within the delay are held in its state, so the delay bounds what one session can hold.
     """
+    if rules.ignore_downloads:
+        stream = stream.where(event_role() != "ignore")
     at = F.timestamp_millis("event_ms")
     rows = stream.withColumn("at", at).withWatermark("at", delay).withColumn("signal", classify_signal()).withColumn("tie_break", tie_break("signal", rules.tie_order)).select(*KEYS, *ORDER, "signal", "at")
-    return rows.groupBy("session").transformWithStateInPandas(SessionFold(rules), RUN, "Append", "EventTime")
+    return rows.groupBy("session").transformWithStateInPandas(SessionFold(rules, evict_ms), DELTA, "Append", "EventTime")
+
+
+def runs_of_deltas(deltas: DataFrame) -> DataFrame:
+    """Each session's +1 with the -1 that follows: ``KEYS, run_start, run_end``."""
+    end = F.lead("minute").over(W.partitionBy("session").orderBy("minute"))
+    return deltas.withColumn("run_end", end).where("delta_sessions = 1").select(*KEYS, F.col("minute").alias("run_start"), "run_end")
 
 
-def run_session_fold(events: DataFrame, slots: int = 3, rules: Rules = DEFAULT) -> DataFrame:
-    """T3 over ``events`` in event-time order; the runs emitted until a last far event."""
+def run_session_fold(events: DataFrame, slots: int = 3, rules: Rules = DEFAULT, order: str = "event_ms", delay: str = "0 seconds") -> DataFrame:
+    """T3 over ``events`` arriving by ``order``; the runs emitted until a last far event."""
     spark = events.sparkSession
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     out = shared_path(spark, "runs")
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        start = lambda source: session_fold(source, rules).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "offsets")).outputMode("append").start()
-        _replay(events.select(*EVENT_COLUMNS), "event_ms", slots, start, finish=86_400_000)
+        start = lambda source: session_fold(source, rules, delay).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "offsets")).outputMode("append").start()
+        _replay(events.select(*EVENT_COLUMNS), order, slots, start, finish=2 * 86_400_000)
     finally:
         if before is None:
             spark.conf.unset(provider)
         else:
             spark.conf.set(provider, before)
-    return spark.read.schema(RUN).parquet(out).where("session <> 'end'")
+    return runs_of_deltas(spark.read.schema(DELTA).parquet(out).where("session <> 'end'"))
 
 
 def presence_stream(stream: DataFrame, delay: str = "0 seconds", by: tuple[str, ...] = ("platform",)) -> DataFrame:
-    """Signs of presence by tumbling minute and slice, with a mergeable sketch of the sessions, without any state
-    of ours."""
+    """Signs of presence by tumbling minute and slice, with mergeable sketches of the sessions and users, without any
+    state of ours."""
     rows = stream.withColumn("at", F.timestamp_millis("event_ms")).withWatermark("at", delay)
-    return present_events(rows).groupBy(F.window("at", "1 minute"), *by).agg(F.count("*").alias("events"), F.hll_sketch_agg("session", F.lit(14)).alias("sessions_sketch")).select(div(F.unix_millis("window.start"), MINUTE_MS).alias("minute"), *by, "events", "sessions_sketch")
+    sketch = lambda c: F.hll_sketch_agg(c, F.lit(14)).alias(f"{c}s_sketch")
+    return present_events(rows).groupBy(F.window("at", "1 minute"), *by).agg(F.count("*").alias("events"), sketch("session"), sketch("user_id")).select(div(F.unix_millis("window.start"), MINUTE_MS).alias("minute"), *by, "events", "sessions_sketch", F.col("user_ids_sketch").alias("users_sketch"))
 
 
 def run_presence(events: DataFrame, slots: int = 3) -> DataFrame:
+    """T10 over ``events``, with the sketches' estimates of the distinct sessions and users."""
     spark = events.sparkSession
     out = shared_path(spark, "presence")
     start = lambda source: presence_stream(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "offsets")).outputMode("append").start()
     _replay(events.select(*EVENT_COLUMNS), "event_ms", slots, start, finish=86_400_000)
-    return spark.read.parquet(out).select("minute", "platform", "events")
+    return spark.read.parquet(out).select("minute", "platform", "events", F.hll_sketch_estimate("sessions_sketch").alias("sessions"), F.hll_sketch_estimate("users_sketch").alias("users"))
 
 
 def advance_checkpoint(events: DataFrame, now_ms: int, settle_ms: int = 5000) -> DataFrame:
@@ -253,10 +343,11 @@ def late_event_policy(states: DataFrame) -> DataFrame:
     return states.agg(F.count("*").alias("kept_for_recompute"), F.count_if((F.col("ended") > 0) & (F.col("signal") != "END")).alias("after_end"))
 
 
-def ingest_lag(events: DataFrame) -> DataFrame:
-    """Seconds between an event and its arrival."""
+def ingest_lag(events: DataFrame, now_ms: int) -> DataFrame:
+    """Seconds between an event and its arrival, and from the newest arrival by ``now_ms`` until then."""
     lag: Column = F.col("ingest_ms") - F.col("event_ms")
-    return events.agg((F.max(lag) / 1000).alias("max_lag_s"), rounded(F.avg(lag) / 1000, 4).alias("mean_lag_s"), F.count_if(lag > 60_000).alias("over_60s"))
+    newest = F.max(F.when(F.col("ingest_ms") <= now_ms, F.col("ingest_ms")))
+    return events.agg((F.max(lag) / 1000).alias("max_lag_s"), rounded(F.avg(lag) / 1000, 4).alias("mean_lag_s"), F.count_if(lag > 60_000).alias("over_60s"), ((now_ms - newest) / 1000).alias("cursor_lag_s"), (now_ms - newest > 60_000).alias("cursor_alert"))
 
 
 def retract_and_refold(ledger: DataFrame, late: DataFrame, history: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
