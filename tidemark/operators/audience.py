@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.clean import KEEPALIVE
+from ..functions.clean import KEEPALIVE, QUALITY
 from ..functions.numbers import rounded
 from ..functions.times import DAY, HOUR, MINUTE_MS, div, minute_of
 
@@ -136,17 +136,19 @@ def buffer_durations(line: DataFrame, closing: Sequence[str] = ("BufferEnd",)) -
 
 
 def startup_latency(line: DataFrame) -> DataFrame:
-    """START to the first PLAY not before it, by platform."""
+    """START to the first PLAY not before it, by platform; an earlier PLAY does not hide a later one."""
     s = F.col("signal")
-    first = line.groupBy("session", "platform").agg(F.min(F.when(s == "START", F.col("event_ms"))).alias("a"), F.min(F.when(s == "PLAY", F.col("event_ms"))).alias("b")).where("b >= a")
-    return quantiles(first.withColumn("gap_s", (F.col("b") - F.col("a")) / 1000), "gap_s", ["platform"], (0.5, 0.9, 0.99))
+    start = F.min(F.when(s == "START", F.col("event_ms"))).over(W.partitionBy("session"))
+    first = line.withColumn("a", start).where((s == "PLAY") & (F.col("event_ms") >= F.col("a"))).groupBy("session", "platform").agg(((F.min("event_ms") - F.min("a")) / 1000).alias("gap_s"))
+    return quantiles(first, "gap_s", ["platform"], (0.5, 0.9, 0.99))
 
 
 def qoe_by_platform(e: DataFrame) -> DataFrame:
-    """Buffer starts and quality downshifts per session and the error rate, by platform."""
+    """Buffer starts, quality downshifts and dropped frames per session and the error rate, by platform."""
     n = F.countDistinct("session")
     per = lambda c, name: rounded(F.count_if(c) / n, 6).alias(name)
-    return e.groupBy("platform").agg(n.alias("sessions"), per(F.col("event") == "BufferStart", "buffers_per_session"), per(F.lower("event").isin("downshift", "quality-down", "dropped-frames"), "downshifts_per_session"), rounded(F.count_if(F.col("event_type") == "VideoError") / F.count("*"), 6).alias("error_rate"))
+    event = F.col("event")
+    return e.groupBy("platform").agg(n.alias("sessions"), per(event == "BufferStart", "buffers_per_session"), per(event == "downshift", "downshifts_per_session"), per(event == "dropped-frames", "dropped_frames_per_session"), rounded(F.count_if(F.col("event_type") == "VideoError") / F.count("*"), 6).alias("error_rate"))
 
 
 def error_outcomes(line: DataFrame) -> DataFrame:
@@ -184,16 +186,20 @@ def session_patterns(line: DataFrame) -> DataFrame:
 
 
 def fg_vs_naive(curve: DataFrame, e: DataFrame) -> DataFrame:
-    """Active against any-event sessions in each minute and their ratio."""
+    """Active against any-event sessions in each minute, their ratio, and the ratios of the peaks and of the means."""
     both = curve.join(naive_minutes(e), "minute", "left").fillna(0, ["naive"])
-    return both.withColumn("overcount", rounded(F.col("naive") / F.nullif("concurrency", F.lit(0)), 6))
+    ratio = lambda f, name: rounded(f("naive") / F.nullif(f("concurrency"), F.lit(0)), 6).alias(name)
+    whole = both.agg(ratio(F.max, "peak_overcount"), ratio(F.sum, "mean_overcount"))  # one row
+    return both.withColumn("overcount", rounded(F.col("naive") / F.nullif("concurrency", F.lit(0)), 6)).join(whole)
 
 
 def fg_share_at_minute(active: DataFrame, e: DataFrame, minute: int, dim: str = "platform") -> DataFrame:
-    """Sessions present and active at one minute by a dimension."""
+    """Sessions present and active at one minute by a dimension, and the content that most of the active ones watch."""
     present = e.where(minute_of("event_ms") == minute).groupBy(dim).agg(F.countDistinct("session").alias("present"))
-    counted = active.where(F.col("minute") == minute).groupBy(dim).agg(F.count("*").alias("active"))
-    return present.join(counted, dim, "full_outer").fillna(0)
+    now = active.where(F.col("minute") == minute)
+    counted = now.groupBy(dim).agg(F.count("*").alias("active"))
+    top = now.groupBy(dim, "content_id").agg(F.count("*").alias("n")).groupBy(dim).agg(F.min_by("content_id", F.struct(-F.col("n"), F.col("content_id"))).alias("top_content"))
+    return present.join(counted, dim, "full_outer").fillna(0).join(top, dim, "left")
 
 
 def sessions_per_user(e: DataFrame) -> DataFrame:
@@ -201,6 +207,12 @@ def sessions_per_user(e: DataFrame) -> DataFrame:
     return e.groupBy("user_id").agg(F.countDistinct("session").alias("sessions")).groupBy("sessions").agg(F.count("*").alias("users"))
 
 
+def heavy_users(e: DataFrame, max_sessions: int) -> DataFrame:
+    """Users with more than ``max_sessions`` sessions, with their events and the time from first to last."""
+    rows = e.groupBy("user_id").agg(F.countDistinct("session").alias("sessions"), F.count("*").alias("events"), ((F.max("event_ms") - F.min("event_ms")) / 1000).alias("span_s"))
+    return rows.where(F.col("sessions") > max_sessions)
+
+
 def _user_spans(line: DataFrame) -> DataFrame:
     return line.groupBy("session", "user_id", "platform").agg(F.min("event_ms").alias("lo"), F.max("event_ms").alias("hi"))
 
@@ -313,7 +325,7 @@ def heartbeat_taxonomy(states: DataFrame) -> DataFrame:
     beats = states.where(F.col("event_type") == "VideoHeartbeat").withColumn("gap_s", (F.col("event_ms") - F.lag("event_ms").over(order)) / 1000)
     p = lambda q: F.percentile("gap_s", F.lit(q))
     name, signal = F.col("event"), F.col("signal")
-    kind = F.when(signal.isin("PAUSE", "RESUME"), "STATE").when(F.lower(name).like("download%"), "DOWNLOAD").when(F.lower(name).like("ad%"), "AD").when(name.isin(*KEEPALIVE), "KEEPALIVE").when(name.isin("BufferStart", "BufferEnd"), "QUALITY").otherwise("UX")
+    kind = F.when(signal.isin("PAUSE", "RESUME"), "STATE").when(F.lower(name).like("download%"), "DOWNLOAD").when(F.lower(name).like("ad%"), "AD").when(name.isin(*KEEPALIVE), "KEEPALIVE").when(name.isin(*QUALITY), "QUALITY").otherwise("UX")
     return beats.groupBy(kind.alias("class"), "event").agg(F.count("*").alias("n"), rounded((p(0.75) - p(0.25)) / F.nullif(p(0.5), F.lit(0.0)), 4).alias("iqr_over_median"), rounded(F.avg((F.col("fg") == 0).cast("int")), 6).alias("background_share"))
 
 

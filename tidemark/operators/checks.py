@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.clean import KEEPALIVE
 from ..functions.numbers import rounded
-from ..functions.times import minute_of
+from ..functions.times import div
 
 #: The seven event types.
 EVENT_TYPES = ("VideoSessionStart", "VideoSessionEnd", "VideoPlay", "AppBackgrounded", "AppForegrounded", "VideoError", "VideoHeartbeat")
@@ -127,13 +127,20 @@ def ledger_is_sound(ledger: DataFrame) -> DataFrame:
     return _check(ledger.withColumn("reach", reach), "ledger_faults", F.count_if(bad), 0, EQUAL)
 
 
+def ledger_run_count(ledger: DataFrame, active: DataFrame) -> DataFrame:
+    """How far the number of runs is from that of active minutes without an active one before."""
+    before = active.select("session", (F.col("minute") + 1).alias("minute"))
+    islands = active.join(before, ["session", "minute"], "left_anti").agg(F.count("*").alias("islands"))
+    return _check(ledger.agg(F.count("*").alias("runs")).join(islands), "ledger_run_count", F.max(F.abs(F.col("runs") - F.col("islands"))), 0, EQUAL)  # one row each
+
+
 def pinned_is_first(line: DataFrame, e: DataFrame) -> DataFrame:
-    """Sessions whose pinned platform isn't that of their first event."""
-    from ..functions.clean import classify_signal, tie_break
+    """Sessions of which some pinned dimension isn't that of the first event."""
+    from ..functions.clean import DIMENSIONS, classify_signal, tie_break
 
-    first = e.groupBy("session").agg(F.min_by("platform", F.struct("event_ms", tie_break(classify_signal()), "event_id")).alias("p"))
-    pinned = line.select("session", "platform").distinct().join(first, "session")
-    return _check(pinned, "pins_not_first", F.count_if(F.col("platform") != F.col("p")), 0, EQUAL)
+    first = e.groupBy("session").agg(F.min_by(F.struct(*DIMENSIONS), F.struct("event_ms", tie_break(classify_signal()), "event_id")).alias("p"))
+    pinned = line.select("session", F.struct(*DIMENSIONS).alias("d")).distinct().join(first, "session")
+    return _check(pinned, "pins_not_first", F.count_if(~F.col("d").eqNullSafe(F.col("p"))), 0, EQUAL)
 
 
 def ended_is_inactive(states: DataFrame, segments: DataFrame) -> DataFrame:
@@ -142,6 +149,12 @@ def ended_is_inactive(states: DataFrame, segments: DataFrame) -> DataFrame:
     return _check(segments.join(end, "session"), "active_after_end", F.count_if(F.col("seg_start_ms") > F.col("end_ms")), 0, EQUAL)
 
 
+def errors_go_inactive(line: DataFrame, segments: DataFrame, timeout_ms: int = 90_000) -> DataFrame:
+    """Active segments of sessions with an error that outlast the timeout of the session's last event."""
+    last = line.groupBy("session").agg(F.max("event_ms").alias("hi"), F.count_if(F.col("signal") == "ERR").alias("errors")).where("errors > 0")
+    return _check(segments.join(last, "session"), "active_beyond_timeout", F.count_if(F.col("seg_stop_ms") > F.col("hi") + timeout_ms), 0, EQUAL)
+
+
 def hour_cut_equals(curve: DataFrame, seeded: DataFrame) -> DataFrame:
     """Change minutes at which the hour-cut sum differs from the full one."""
     both = seeded.join(curve.select("minute", F.col("concurrency").alias("full")), "minute")
@@ -155,7 +168,6 @@ def gap_minutes_carry(curve: DataFrame, points: DataFrame) -> DataFrame:
     return _check(quiet, "gap_minutes_changed", F.count_if(F.col("concurrency") != F.col("b")), 0, EQUAL)
 
 
-def one_partition_per_session(e: DataFrame) -> DataFrame:
-    """Sessions whose events fall into several partitions of the session's start day."""
-    start = F.min("event_ms").over(W.partitionBy("session"))
-    return _check(e.withColumn("d", minute_of(start)).groupBy("session").agg(F.countDistinct("d").alias("n")), "sessions_over_partitions", F.count_if(F.col("n") > 1), 0, EQUAL)
+def one_partition_per_session(e: DataFrame, day_ms: int = 86_400_000) -> DataFrame:
+    """Sessions whose events fall on several days, so that a partition by event day would part them."""
+    return _check(e.groupBy("session").agg(F.countDistinct(div("event_ms", day_ms)).alias("n")), "sessions_over_partitions", F.count_if(F.col("n") > 1), 0, EQUAL)

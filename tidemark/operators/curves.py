@@ -216,7 +216,10 @@ def hour_seeded_curve(cut: DataFrame) -> DataFrame:
 
 
 def compare_curves(actual: DataFrame, computed: DataFrame, floor: int = 3, share: float = 0.03) -> DataFrame:
-    """Q25: both values of each minute, difference, share and whether it is within max(floor, share)."""
+    """Q25: both values of each minute, difference, share, whether it is within max(floor, share), and whether the minute is
+    the worst (the first of the greatest difference)."""
     both = actual.select("minute", F.col("concurrency").alias("actual")).join(computed.select("minute", F.col("concurrency").alias("computed")), "minute", "full_outer").fillna(0, ["actual", "computed"])
     diff = F.col("computed") - F.col("actual")
-    return both.withColumns({"diff": diff, "pct": rounded(100.0 * diff / F.greatest(F.col("actual"), F.lit(1)), 4), "ok": F.abs(diff) <= F.greatest(F.lit(float(floor)), share * F.col("actual"))})
+    worst = both.agg(F.min_by("minute", F.struct(-F.abs(diff), F.col("minute"))).alias("_worst"))  # one row
+    rows = both.withColumns({"diff": diff, "pct": rounded(100.0 * diff / F.greatest(F.col("actual"), F.lit(1)), 4), "ok": F.abs(diff) <= F.greatest(F.lit(float(floor)), share * F.col("actual"))})
+    return rows.join(worst).withColumn("worst", F.col("minute") == F.col("_worst")).drop("_worst")

@@ -174,11 +174,24 @@ def phantom_audience(m: Model) -> DataFrame:
     return both.withColumns({"diff": F.col("si") - F.col("sa"), "alert": F.col("sa") > F.col("si") * F.lit(1.02)})
 
 
+def peak_minute_shift(m: Model) -> DataFrame:
+    """The peak of each platform and video type, and by how many minutes it is after the peak of all."""
+    total = Q.peak_summary(m.curve).select(F.col("peak_minute").alias("_all"))  # one row
+    def peaks(dim: str, deltas: DataFrame) -> DataFrame:
+        rows = Q.peak_summary(Q.dense_curve(deltas, m.start, m.end, [dim]), [dim])
+        return rows.select(F.lit(dim).alias("dimension"), F.col(dim).alias("value"), "peak", "peak_minute")
+
+    both = peaks("platform", m.deltas).unionByName(peaks("video_type", m.typed("video_type")))
+    return both.join(F.broadcast(total)).withColumn("shift_minutes", F.col("peak_minute") - F.col("_all")).drop("_all")
+
+
 def phantom_share_by(m: Model, dim: str = "platform") -> DataFrame:
-    """Wall-clock against active hours of each slice."""
+    """Wall-clock against active hours of each slice, and the peaks of present and of active sessions."""
     naive = m.spans.groupBy(dim).agg(rounded(F.sum(F.col("last_ms") - F.col("first_ms")) / HOUR_MS, 4).alias("naive_hours"))
     active = m.intervals.groupBy(dim).agg(rounded(F.sum(F.col("end_ms") - F.col("start_ms")) / HOUR_MS, 4).alias("active_hours"))
-    return naive.join(active, dim, "left").withColumn("phantom_share", rounded((F.col("naive_hours") - F.col("active_hours")) / F.nullif("naive_hours", F.lit(0.0)), 4))
+    peak = lambda minutes, name: minutes.groupBy(dim, "minute").agg(F.count("*").alias("n")).groupBy(dim).agg(F.max("n").alias(name))
+    peaks = peak(m.open_minutes, "naive_peak").join(peak(m.minutes, "active_peak"), dim, "left").fillna(0, ["active_peak"])
+    return naive.join(active, dim, "left").join(peaks, dim, "left").withColumn("phantom_share", rounded((F.col("naive_hours") - F.col("active_hours")) / F.nullif("naive_hours", F.lit(0.0)), 4))
 
 
 def data_checks(m: Model) -> DataFrame:
@@ -191,9 +204,9 @@ def data_checks(m: Model) -> DataFrame:
     return _union([
         V.has_columns(e, "raw_columns", [*G.KEYS, "event_type", "event", "event_ms", "app_version", "audio_language", "subtitle_language", "player_version"]),
         V.known_event_types(e), V.one_content_per_session(e), V.arrival_order(e), V.keepalive_cadence(m.line), V.gap_p99(m.line), V.watched_has_metadata(e, m.content), V.active_after_error(m.line),
-        V.count_events(e, "resume_beats", F.col("event") == "resume", 100), V.distinct_values(e, "platforms", "platform", 1, 20), V.count_events(e, "empty_dimensions", empty, 0, V.EQUAL), V.distinct_values(e, "categories", "category", 20, 200),
-        V.repeated_events(e), V.ties(m.line, 0), V.never_negative(curve), V.nets_to_zero(m.deltas), V.equals_occupancy(curve, m.minutes, start, end), V.equals_occupancy(dense_by, m.minutes, start, end, ["platform"]),
-        V.active_within_presence(m.minutes, m.open_minutes), V.ledger_is_sound(S.run_ledger(m.runs)), V.pinned_is_first(m.line, e), V.ended_is_inactive(m.states, m.active),
+        V.count_events(e, "resume_beats", F.col("event") == "resume", 1000), V.distinct_values(e, "platforms", "platform", 1, 20), V.count_events(e, "empty_dimensions", empty, 0, V.EQUAL), V.distinct_values(e, "categories", "category", 20, 200),
+        V.repeated_events(e), V.ties(m.line, 1000), V.never_negative(curve), V.nets_to_zero(m.deltas), V.equals_occupancy(curve, m.minutes, start, end), V.equals_occupancy(dense_by, m.minutes, start, end, ["platform"]),
+        V.active_within_presence(m.minutes, m.open_minutes), V.ledger_is_sound(S.run_ledger(m.runs)), V.ledger_run_count(S.run_ledger(m.runs), m.minutes), V.pinned_is_first(m.line, e), V.ended_is_inactive(m.states, m.active), V.errors_go_inactive(m.line, m.active),
         V.hour_cut_equals(as_curve, Q.hour_seeded_curve(S.hour_cut_deltas(m.runs))), V.gap_minutes_carry(curve, points), V.one_partition_per_session(e), V.has_columns(m.deltas, "delta_columns", [*G.KEYS, "minute", "delta_sessions", "delta_open"]),
     ])
 
@@ -305,7 +318,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "background_durations": lambda m: A.background_durations(m.line),
     "after_background": lambda m: A.after_background(m.line),
     "pause_durations": lambda m: A.pause_durations(m.line),
-    "buffer_durations": lambda m: A.buffer_durations(m.line, ("network-activity",)),
+    "buffer_durations": lambda m: A.buffer_durations(m.line),
     "startup_latency": lambda m: A.startup_latency(m.line),
     "qoe_by_platform": lambda m: A.qoe_by_platform(m.bare_events),
     "error_outcomes": lambda m: A.error_outcomes(m.line),
@@ -316,6 +329,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "fg_vs_naive": lambda m: A.fg_vs_naive(m.curve, m.bare_events),
     "fg_share_at_minute": lambda m: A.fg_share_at_minute(m.minutes, m.bare_events, W0 + 30),
     "sessions_per_user": lambda m: A.sessions_per_user(m.bare_events),
+    "heavy_users": lambda m: A.heavy_users(m.bare_events, 20),
     "overlapping_session_pairs": lambda m: A.overlapping_session_pairs(m.line),
     "multi_platform_users": lambda m: A.multi_platform_users(m.bare_events),
     "late_after_end": lambda m: A.late_after_end(m.line),
@@ -329,7 +343,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "liveness_family_coverage": lambda m: A.liveness_family_coverage(m.bare_events),
     "background_signal_share": lambda m: A.background_signal_share(m.states),
     "dim_join_coverage": lambda m: A.dim_join_coverage(m.bare_events, m.content),
-    "peak_minute_shift": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, m.start, m.end, ["platform"]), ["platform"]),
+    "peak_minute_shift": peak_minute_shift,
     "heartbeat_write_amplification": lambda m: A.heartbeat_write_amplification(m.line),
     "heartbeat_taxonomy": lambda m: A.heartbeat_taxonomy(m.states),
     "opening_closing_signatures": lambda m: A.opening_closing_signatures(m.line),

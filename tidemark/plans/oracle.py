@@ -37,8 +37,8 @@ raw AS (
       WHEN kind = 'click' AND k % 4 = 0 THEN 'AppBackgrounded' WHEN kind = 'click' AND k % 4 = 1 THEN 'AppForegrounded'
       WHEN kind = 'error' AND k % 2 = 0 THEN 'VideoSessionEnd' WHEN kind = 'error' THEN 'VideoError' ELSE 'VideoHeartbeat' END AS event_type,
     CASE WHEN kind = 'view' THEN 'Play' WHEN kind = 'signup' THEN 'VideoSessionStart'
-      WHEN kind = 'click' THEN ['AppBackgrounded', 'AppForegrounded', 'buffer-health', 'network-activity'][k % 4 + 1]
-      WHEN kind = 'purchase' THEN ['pause', 'resume', 'BufferStart'][k % 3 + 1]
+      WHEN kind = 'click' THEN ['AppBackgrounded', 'AppForegrounded', 'buffer-health', 'network-activity', 'AppBackgrounded', 'AppForegrounded', 'downshift', 'dropped-frames'][k % 8 + 1]
+      WHEN kind = 'purchase' THEN ['pause', 'resume', 'BufferStart', 'pause', 'resume', 'BufferEnd'][k % 6 + 1]
       WHEN k % 2 = 0 THEN 'VideoSessionEnd' ELSE 'VideoError' END AS event,
     1704067200000 + us // 1000 AS event_ms,
     ['android', 'ios', 'web', 'mweb', 'androidtv', 'firetv', 'appletv', 'roku', 'samsungtv', 'lgtv'][(user_id + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) % 10 + 1] AS platform,
@@ -211,7 +211,7 @@ def _gap(source: str, part: str, order: str) -> str:
 
 
 CHECKS = [
-    check("raw_columns", "0", "(SELECT 1)", 0, "v = 0"),
+    check("raw_columns", "13 - count(*)", "(DESCRIBE SELECT * FROM ev) WHERE column_name IN ('session', 'user_id', 'platform', 'country', 'video_resolution', 'content_id', 'event_type', 'event', 'event_ms', 'app_version', 'audio_language', 'subtitle_language', 'player_version')", 0, "v = 0"),
     check("event_types", "count(DISTINCT event_type)", "ev", 7, "v = 7"),
     check("sessions_over_contents", "count(*) FILTER (WHERE n > 1)", "(SELECT count(DISTINCT content_id) AS n FROM ev GROUP BY session)", 2, "v <= 2"),
     check("out_of_order", "count(*) FILTER (WHERE event_ms < b)", "(SELECT *, lag(event_ms) OVER (PARTITION BY session ORDER BY ingest_ms, event_ms, event_id) AS b FROM ev)", 0, "v = 0"),
@@ -219,24 +219,26 @@ CHECKS = [
     check("gap_p99_s", "quantile_cont(g, 0.99)", _gap("tl", "session", ORD), 90, "v < 90"),
     check("contents_without_metadata", "count(*)", "(SELECT DISTINCT content_id FROM ev WHERE content_id NOT IN (SELECT content_id FROM content))", 0, "v = 0"),
     check("active_after_error", "count(*) FILTER (WHERE hi > err + 5000)", "(SELECT max(CASE WHEN signal = 'ERR' THEN event_ms END) AS err, max(event_ms) AS hi FROM tl GROUP BY session)", 20, "v <= 20"),
-    check("resume_beats", "count(*) FILTER (WHERE event = 'resume')", "ev", 100, "v > 100"),
+    check("resume_beats", "count(*) FILTER (WHERE event = 'resume')", "ev", 1000, "v > 1000"),
     check("platforms", "count(DISTINCT platform)", "ev", 20, "v BETWEEN 1 AND 20"),
     check("empty_dimensions", "count(*) FILTER (WHERE coalesce(platform, '') = '' OR coalesce(country, '') = '' OR content_id IS NULL)", "ev", 0, "v = 0"),
     check("categories", "count(DISTINCT category)", "ev", 200, "v BETWEEN 20 AND 200"),
     check("exact_duplicates", "count(*)", "(SELECT 1 FROM ev GROUP BY session, event_ms, event_type, event, event_id HAVING count(*) > 1)", 0, "v > 0"),
-    check("same_ms_ties", "count(*)", "(SELECT 1 FROM tl GROUP BY session, event_ms HAVING count(*) > 1)", 0, "v > 0"),
+    check("same_ms_ties", "count(*)", "(SELECT 1 FROM tl GROUP BY session, event_ms HAVING count(*) > 1)", 1000, "v > 1000"),
     check("negative_minutes", "count(*) FILTER (WHERE concurrency < 0)", "curve", 0, "v = 0"),
     check("sessions_not_netting", "count(*) FILTER (WHERE a <> 0 OR o <> 0)", "(SELECT sum(delta_sessions) AS a, sum(delta_open) AS o FROM deltas GROUP BY session)", 0, "v = 0"),
     check("curve_against_occupancy", "count(*) FILTER (WHERE concurrency <> n)", "(SELECT curve.minute, concurrency, count(mins.session) AS n FROM curve LEFT JOIN mins USING (minute) GROUP BY ALL)", 0, "v = 0"),
-    check("curve_against_occupancy_platform", "0", "(SELECT 1)", 0, "v = 0"),
+    check("curve_against_occupancy_platform", "count(*) FILTER (WHERE concurrency <> n)", f"(SELECT s.minute, s.platform, concurrency, count(mins.session) AS n FROM {sliced_curve('platform')} AS s LEFT JOIN mins ON mins.minute = s.minute AND mins.platform = s.platform GROUP BY ALL)", 0, "v = 0"),
     check("active_over_present", "count(*) FILTER (WHERE a > o)", f"(SELECT minute, sum(a) AS a, sum(1 - a) AS o FROM {_presence} GROUP BY minute)", 0, "v = 0"),
+    check("ledger_run_count", "abs((SELECT count(*) FROM runs) - count(*))", "mins AS m ANTI JOIN (SELECT session, minute + 1 AS minute FROM mins) AS b ON b.session = m.session AND b.minute = m.minute", 0, "v = 0"),
     check("ledger_faults", "count(*) FILTER (WHERE run_start >= run_end OR run_start < reach)", "(SELECT *, lag(run_end) OVER (PARTITION BY session ORDER BY run_start) AS reach FROM runs)", 0, "v = 0"),
-    check("pins_not_first", "0", "(SELECT 1)", 0, "v = 0"),
+    check("pins_not_first", "count(*) FILTER (WHERE p <> f)", "(SELECT DISTINCT session, row(user_id, platform, country, video_resolution, content_id) AS p FROM tl) JOIN (SELECT session, row(user_id, platform, country, video_resolution, content_id) AS f FROM sig QUALIFY row_number() OVER (PARTITION BY session ORDER BY event_ms, tie_break, event_id) = 1) USING (session)", 0, "v = 0"),
     check("active_after_end", "count(*) FILTER (WHERE seg_start_ms > end_ms)", "act JOIN (SELECT session, min(event_ms) AS end_ms FROM tl WHERE signal = 'END' GROUP BY session) USING (session)", 0, "v = 0"),
-    check("hour_cut_differs", "0", "(SELECT 1)", 0, "v = 0"),
-    check("gap_minutes_changed", "0", "(SELECT 1)", 0, "v = 0"),
-    check("sessions_over_partitions", "0", "(SELECT 1)", 0, "v = 0"),
-    check("delta_columns", "0", "(SELECT 1)", 0, "v = 0"),
+    check("active_beyond_timeout", "count(*) FILTER (WHERE seg_stop_ms > hi + 90000)", "act JOIN (SELECT session, max(event_ms) AS hi FROM tl GROUP BY session HAVING count(*) FILTER (WHERE signal = 'ERR') > 0) USING (session)", 0, "v = 0"),
+    check("hour_cut_differs", "count(*) FILTER (WHERE concurrency <> cc)", f"(SELECT minute, (sum(d) OVER (PARTITION BY hour ORDER BY minute))::BIGINT AS concurrency FROM (SELECT hour, minute, sum(d) AS d FROM {_cut_d} WHERE minute < hour + 60 GROUP BY ALL)) JOIN points USING (minute)", 0, "v = 0"),
+    check("gap_minutes_changed", "count(*) FILTER (WHERE c.concurrency <> b.concurrency)", "curve AS c JOIN curve AS b ON b.minute = c.minute - 1 WHERE c.minute NOT IN (SELECT minute FROM deltas)", 0, "v = 0"),
+    check("sessions_over_partitions", "count(*) FILTER (WHERE n > 1)", "(SELECT count(DISTINCT event_ms // 86400000) AS n FROM ev GROUP BY session)", 0, "v = 0"),
+    check("delta_columns", "9 - count(*)", "(DESCRIBE SELECT * FROM deltas) WHERE column_name IN ('session', 'user_id', 'platform', 'country', 'video_resolution', 'content_id', 'minute', 'delta_sessions', 'delta_open')", 0, "v = 0"),
 ]
 
 BODIES: dict[str, str] = {
@@ -322,7 +324,7 @@ BODIES: dict[str, str] = {
     "phantom_audience": f"SELECT {t('minute')}, concurrency AS sa, coalesce(si, 0) AS si, coalesce(si, 0) - concurrency AS diff, concurrency > 1.02 * coalesce(si, 0) AS alert FROM curve LEFT JOIN (SELECT event_ms // 60000 AS minute, count(DISTINCT session) AS si FROM {_present} GROUP BY 1) USING (minute)",
     "peak_people": f"SELECT users AS peak_users, {t('m', 'peak_minute')} FROM (SELECT max(users) AS users, arg_max(minute, users * 100000000 - minute) AS m FROM (SELECT minute, count(DISTINCT user_id) AS users FROM mins GROUP BY minute))",
     "content_drilldown": f"SELECT {t('minute', 'bucket')}, concurrency FROM " + filtered_curve("content_id = 49"),
-    "compare_curves": f"""SELECT {t('minute')}, actual, computed, computed - actual AS diff, round(100.0 * (computed - actual) / greatest(actual, 1), 4) AS pct, abs(computed - actual) <= greatest(3.0, 0.03 * actual) AS ok FROM (
+    "compare_curves": f"""SELECT {t('minute')}, actual, computed, computed - actual AS diff, round(100.0 * (computed - actual) / greatest(actual, 1), 4) AS pct, abs(computed - actual) <= greatest(3.0, 0.03 * actual) AS ok, row_number() OVER (ORDER BY abs(computed - actual) DESC, minute) = 1 AS worst FROM (
       SELECT curve.minute, concurrency AS actual, count(iv.session) AS computed FROM curve LEFT JOIN iv ON iv.start_ms <= curve.minute * 60000 AND iv.end_ms > curve.minute * 60000 GROUP BY ALL)""",
     # dashboard
     "meta": f"SELECT {t('lo', 'min_minute')}, {t('hi', 'max_minute')}, platform, country, video_type, category, show_name FROM (SELECT min(minute) AS lo, max(minute) AS hi, string_agg(DISTINCT platform, '|' ORDER BY platform) AS platform, string_agg(DISTINCT country, '|' ORDER BY country) AS country FROM deltas), (SELECT string_agg(DISTINCT video_type, '|' ORDER BY video_type) AS video_type, string_agg(DISTINCT category, '|' ORDER BY category) AS category, string_agg(DISTINCT show_name, '|' ORDER BY show_name) AS show_name FROM content)",
@@ -357,16 +359,17 @@ BODIES: dict[str, str] = {
     "background_durations": f"SELECT {quantile_columns('gap_s')}, {ends('gap_s')} FROM " + until_next("signal IN ('BG', 'FG')", "signal = 'BG'") + " WHERE next_signal = 'FG'",
     "after_background": "SELECT coalesce(next_signal, 'none') AS next_signal, count(*) AS n, round(avg(gap_s), 4) AS mean_s FROM " + until_next("signal <> 'HB'", "signal = 'BG'") + " GROUP BY ALL",
     "pause_durations": f"SELECT {quantile_columns('gap_s')}, {ends('gap_s')} FROM " + until_next("signal IN ('PAUSE', 'RESUME')", "signal = 'PAUSE'") + " WHERE next_signal = 'RESUME'",
-    "buffer_durations": f"SELECT {quantile_columns('gap_s')}, {ends('gap_s')} FROM " + until_next("event IN ('BufferStart', 'network-activity')", "event = 'BufferStart'") + " WHERE next_event = 'network-activity'",
-    "startup_latency": f"SELECT platform, {quantile_columns('g', (0.5, 0.9, 0.99))}, {ends('g')} FROM (SELECT platform, (b - a) / 1000 AS g FROM (SELECT session, platform, min(CASE WHEN signal = 'START' THEN event_ms END) AS a, min(CASE WHEN signal = 'PLAY' THEN event_ms END) AS b FROM tl GROUP BY ALL) WHERE b >= a) GROUP BY platform",
-    "qoe_by_platform": "SELECT platform, count(DISTINCT session) AS sessions, round(count(*) FILTER (WHERE event = 'BufferStart') / count(DISTINCT session), 6) AS buffers_per_session, round(count(*) FILTER (WHERE lower(event) IN ('downshift', 'quality-down', 'dropped-frames')) / count(DISTINCT session), 6) AS downshifts_per_session, round(count(*) FILTER (WHERE event_type = 'VideoError') / count(*), 6) AS error_rate FROM ev GROUP BY platform",
+    "buffer_durations": f"SELECT {quantile_columns('gap_s')}, {ends('gap_s')} FROM " + until_next("event IN ('BufferStart', 'BufferEnd')", "event = 'BufferStart'") + " WHERE next_event = 'BufferEnd'",
+    "startup_latency": f"SELECT platform, {quantile_columns('g', (0.5, 0.9, 0.99))}, {ends('g')} FROM (SELECT p.platform, (min(p.event_ms) - min(s.a)) / 1000 AS g FROM tl AS p JOIN (SELECT session, min(event_ms) AS a FROM tl WHERE signal = 'START' GROUP BY session) AS s ON s.session = p.session AND p.event_ms >= s.a WHERE p.signal = 'PLAY' GROUP BY p.session, p.platform) GROUP BY platform",
+    "qoe_by_platform": "SELECT platform, count(DISTINCT session) AS sessions, round(count(*) FILTER (WHERE event = 'BufferStart') / count(DISTINCT session), 6) AS buffers_per_session, round(count(*) FILTER (WHERE event = 'downshift') / count(DISTINCT session), 6) AS downshifts_per_session, round(count(*) FILTER (WHERE event = 'dropped-frames') / count(DISTINCT session), 6) AS dropped_frames_per_session, round(count(*) FILTER (WHERE event_type = 'VideoError') / count(*), 6) AS error_rate FROM ev GROUP BY platform",
     "error_outcomes": "SELECT ended, recovered, went_on, count(*) AS sessions FROM (SELECT session, max(CASE WHEN signal = 'END' THEN 1 ELSE 0 END) AS ended, max(CASE WHEN event_ms > err AND signal IN ('PLAY', 'RESUME', 'FG') THEN 1 ELSE 0 END) AS recovered, max(CASE WHEN event_ms > err THEN 1 ELSE 0 END) AS went_on FROM tl JOIN (SELECT session, max(event_ms) AS err FROM tl WHERE signal = 'ERR' GROUP BY session) USING (session) GROUP BY session) GROUP BY ALL",
     "breakdown_by": " UNION ALL ".join(f"SELECT {d} AS value, count(*) AS events, count(DISTINCT session) AS sessions, count(DISTINCT user_id) AS users, '{d}' AS dimension FROM ev GROUP BY {d}" for d in DIMS_FOR_BREAKDOWN),
     "engagement_by_video_type": f"SELECT video_type, count(*) AS sessions, round(avg(duration_s), 4) AS mean_duration_s, round(avg(bg), 6) AS bg_per_session, round(sum(pauses) * 60 / greatest(sum(duration_s), 1.0), 6) AS pauses_per_minute FROM {_typed_sessions} GROUP BY video_type",
     "duration_by_type_platform": f"SELECT video_type, platform, count(*) AS sessions, round(avg(duration_s), 4) AS mean_duration_s FROM {_typed_sessions} GROUP BY ALL",
     "session_patterns": "SELECT CASE WHEN ms < 60000 THEN 'bounced' WHEN bg > 0 AND pause > 0 THEN 'mixed' WHEN bg > 0 THEN 'background_only' WHEN pause > 0 THEN 'pause_only' ELSE 'uninterrupted' END AS pattern, count(*) AS sessions FROM (SELECT max(event_ms) - min(event_ms) AS ms, count(*) FILTER (WHERE signal = 'BG') AS bg, count(*) FILTER (WHERE signal = 'PAUSE') AS pause FROM tl GROUP BY session) GROUP BY ALL",
-    "fg_vs_naive": f"SELECT {t('minute')}, concurrency, coalesce(naive, 0) AS naive, round(coalesce(naive, 0) / nullif(concurrency, 0), 6) AS overcount FROM curve LEFT JOIN {_naive} USING (minute)",
-    "fg_share_at_minute": f"SELECT platform, sum(p)::BIGINT AS present, sum(a)::BIGINT AS active FROM (SELECT platform, count(DISTINCT session) AS p, 0 AS a FROM ev WHERE event_ms // 60000 = {W0 + 30} GROUP BY platform UNION ALL SELECT platform, 0, count(*) FROM mins WHERE minute = {W0 + 30} GROUP BY platform) GROUP BY platform",
+    "fg_vs_naive": f"SELECT {t('minute')}, concurrency, coalesce(naive, 0) AS naive, round(coalesce(naive, 0) / nullif(concurrency, 0), 6) AS overcount, round(max(coalesce(naive, 0)) OVER () / nullif(max(concurrency) OVER (), 0), 6) AS peak_overcount, round(sum(coalesce(naive, 0)) OVER () / nullif(sum(concurrency) OVER (), 0), 6) AS mean_overcount FROM curve LEFT JOIN {_naive} USING (minute)",
+    "fg_share_at_minute": f"SELECT * FROM (SELECT platform, sum(p)::BIGINT AS present, sum(a)::BIGINT AS active FROM (SELECT platform, count(DISTINCT session) AS p, 0 AS a FROM ev WHERE event_ms // 60000 = {W0 + 30} GROUP BY platform UNION ALL SELECT platform, 0, count(*) FROM mins WHERE minute = {W0 + 30} GROUP BY platform) GROUP BY platform) LEFT JOIN (SELECT platform, content_id AS top_content FROM (SELECT platform, content_id, count(*) AS n FROM mins WHERE minute = {W0 + 30} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY platform ORDER BY n DESC, content_id) = 1) USING (platform)",
+    "heavy_users": "SELECT user_id, count(DISTINCT session) AS sessions, count(*) AS events, (max(event_ms) - min(event_ms)) / 1000 AS span_s FROM ev GROUP BY user_id HAVING count(DISTINCT session) > 20",
     "sessions_per_user": "SELECT sessions, count(*) AS users FROM (SELECT count(DISTINCT session) AS sessions FROM ev GROUP BY user_id) GROUP BY sessions",
     "overlapping_session_pairs": "SELECT user_id, count(*) AS pairs FROM (SELECT a.user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session) AS i FROM spans) AS a JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session) AS i FROM spans) AS b ON a.user_id = b.user_id AND a.i < b.i AND a.first_ms <= b.last_ms AND b.first_ms <= a.last_ms) GROUP BY user_id",
     "multi_platform_users": "SELECT platforms, count(DISTINCT user_id) AS users, count(*) AS minutes FROM (SELECT user_id, event_ms // 60000 AS m, string_agg(DISTINCT platform, '+' ORDER BY platform) AS platforms FROM ev GROUP BY ALL HAVING count(DISTINCT platform) > 1) GROUP BY platforms",
@@ -381,9 +384,9 @@ BODIES: dict[str, str] = {
     "liveness_family_coverage": " UNION ALL ".join(f"SELECT '{k}' AS family, count(DISTINCT CASE WHEN event = '{k}' THEN session END) AS sessions FROM ev" for k in ("buffer-health", "video-resize", "network-bandwidth", "network-activity")) + f" UNION ALL SELECT 'any', count(DISTINCT CASE WHEN event IN {KEEP} THEN session END) FROM ev UNION ALL SELECT 'all', count(DISTINCT session) FROM ev",
     "background_signal_share": "SELECT event, count(*) AS n, round(count(*) FILTER (WHERE fg = 0) / count(*), 6) AS background_share FROM st WHERE event_type = 'VideoHeartbeat' GROUP BY event",
     "dim_join_coverage": "SELECT (SELECT count(DISTINCT content_id) FROM ev) AS watched_contents, count(DISTINCT content_id) AS missing_contents, count(*) AS missing_events FROM ev WHERE content_id NOT IN (SELECT content_id FROM content)",
-    "peak_minute_shift": peak_of(sliced_curve("platform"), "platform"),
+    "peak_minute_shift": " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, peak, {t('m', 'peak_minute')}, m - (SELECT m FROM (SELECT {PEAK} FROM curve)) AS shift_minutes FROM (SELECT {d}, {PEAK} FROM {sliced_curve(d)} GROUP BY {d})" for d in ("platform", "video_type")),
     "heartbeat_write_amplification": "SELECT count(*) AS steps, count(*) FILTER (WHERE m = 0) AS stayed, count(*) FILTER (WHERE m = 1) AS advanced, round(count(*) FILTER (WHERE m = 0) / count(*), 6) AS same_share FROM (SELECT event_ms // 60000 - lag(event_ms // 60000) OVER " + ORDW + " AS m FROM tl) WHERE m IS NOT NULL",
-    "heartbeat_taxonomy": f"SELECT class, event, count(*) AS n, round((quantile_cont(g, 0.75) - quantile_cont(g, 0.25)) / nullif(quantile_cont(g, 0.5), 0), 4) AS iqr_over_median, round(avg(CASE WHEN fg = 0 THEN 1 ELSE 0 END), 6) AS background_share FROM (SELECT *, CASE WHEN signal IN ('PAUSE', 'RESUME') THEN 'STATE' WHEN lower(event) LIKE 'download%' THEN 'DOWNLOAD' WHEN lower(event) LIKE 'ad%' THEN 'AD' WHEN event IN {KEEP} THEN 'KEEPALIVE' WHEN event IN ('BufferStart', 'BufferEnd') THEN 'QUALITY' ELSE 'UX' END AS class FROM " + _gap("(SELECT * FROM st WHERE event_type = 'VideoHeartbeat')", "session, event", "event_ms, event_id") + ") GROUP BY ALL",
+    "heartbeat_taxonomy": f"SELECT class, event, count(*) AS n, round((quantile_cont(g, 0.75) - quantile_cont(g, 0.25)) / nullif(quantile_cont(g, 0.5), 0), 4) AS iqr_over_median, round(avg(CASE WHEN fg = 0 THEN 1 ELSE 0 END), 6) AS background_share FROM (SELECT *, CASE WHEN signal IN ('PAUSE', 'RESUME') THEN 'STATE' WHEN lower(event) LIKE 'download%' THEN 'DOWNLOAD' WHEN lower(event) LIKE 'ad%' THEN 'AD' WHEN event IN {KEEP} THEN 'KEEPALIVE' WHEN event IN ('BufferStart', 'BufferEnd', 'downshift', 'upshift', 'dropped-frames', 'network-change') THEN 'QUALITY' ELSE 'UX' END AS class FROM " + _gap("(SELECT * FROM st WHERE event_type = 'VideoHeartbeat')", "session, event", "event_ms, event_id") + ") GROUP BY ALL",
     "opening_closing_signatures": f"SELECT signature, count(*) AS sessions, 'opening' AS side FROM (SELECT string_agg(signal, '>' ORDER BY n) AS signature FROM (SELECT session, signal, row_number() OVER {ORDW} AS n FROM tl) WHERE n <= 4 GROUP BY session) GROUP BY signature UNION ALL SELECT signature, count(*), 'closing' FROM (SELECT string_agg(signal, '>' ORDER BY n DESC) AS signature FROM (SELECT session, signal, row_number() OVER (PARTITION BY session ORDER BY event_ms DESC, tie_break DESC, event_id DESC) AS n FROM tl) WHERE n <= 4 GROUP BY session) GROUP BY signature",
     "signal_trigrams": f"SELECT signal || '>' || b || '>' || c AS trigram, count(*) AS n FROM (SELECT signal, lead(signal, 1) OVER {ORDW} AS b, lead(signal, 2) OVER {ORDW} AS c FROM tl WHERE signal <> 'HB') WHERE c IS NOT NULL GROUP BY ALL",
     "exclusion_reasons": f"""SELECT CASE WHEN r = '' THEN 'active' ELSE r END AS reason, count(*) AS segments, round(sum(ms) / 3600000, 4) AS hours FROM (SELECT concat_ws('+', CASE WHEN fg = 0 THEN 'background' END, CASE WHEN playing = 0 THEN 'paused' END, CASE WHEN stale = 1 THEN 'stale' END) AS r, ms FROM (
@@ -394,7 +397,7 @@ BODIES: dict[str, str] = {
       LEFT JOIN (SELECT session, sum(end_ms - start_ms) / 3600000 AS active, count(*) AS n FROM iv GROUP BY session) USING (session) GROUP BY archetype""",
     "state_paths": f"SELECT length, sessions, round(sessions / sum(sessions) OVER (), 6) AS share FROM (SELECT path, length, count(*) AS sessions FROM (SELECT string_agg(signal, '>' ORDER BY {ORD}) AS path, count(*) AS length FROM tl WHERE signal <> 'HB' GROUP BY session) GROUP BY ALL)",
     "ux_while_background": "SELECT signal, event, count(*) AS events, count(DISTINCT session) AS sessions FROM st WHERE fg = 0 AND signal IN ('PLAY', 'PAUSE', 'RESUME') GROUP BY ALL",
-    "phantom_share_by": "SELECT platform, naive_hours, active_hours, round((naive_hours - active_hours) / nullif(naive_hours, 0), 4) AS phantom_share FROM (SELECT platform, round(sum(w) / 3600000.0, 4) AS naive_hours FROM (SELECT platform, last_ms - first_ms AS w FROM spans) GROUP BY platform) LEFT JOIN (SELECT platform, round(sum(end_ms - start_ms) / 3600000.0, 4) AS active_hours FROM iv GROUP BY platform) USING (platform)",
+    "phantom_share_by": "SELECT platform, naive_hours, active_hours, naive_peak, coalesce(active_peak, 0) AS active_peak, round((naive_hours - active_hours) / nullif(naive_hours, 0), 4) AS phantom_share FROM (SELECT platform, round(sum(w) / 3600000.0, 4) AS naive_hours FROM (SELECT platform, last_ms - first_ms AS w FROM spans) GROUP BY platform) LEFT JOIN (SELECT platform, round(sum(end_ms - start_ms) / 3600000.0, 4) AS active_hours FROM iv GROUP BY platform) USING (platform) LEFT JOIN (SELECT platform, max(n) AS naive_peak FROM (SELECT platform, minute, count(*) AS n FROM (SELECT platform, unnest(range(first_minute, close_minute)) AS minute FROM spans) GROUP BY ALL) GROUP BY platform) USING (platform) LEFT JOIN (SELECT platform, max(n) AS active_peak FROM (SELECT platform, minute, count(*) AS n FROM mins GROUP BY ALL) GROUP BY platform) USING (platform)",
     "without_heavy_users": f"SELECT {t('minute', 'bucket')}, concurrency FROM " + filtered_curve("user_id NOT IN (SELECT user_id FROM ev GROUP BY user_id HAVING count(DISTINCT session) > 14)"),
     "data_checks": " UNION ALL ".join(CHECKS),
     # incremental

@@ -68,8 +68,8 @@ class SessionData:
             .when((kind == "error") & (F.col("k") % 2 == 0), "VideoSessionEnd").when(kind == "error", "VideoError").otherwise(beat)
         )
         event = (
-            F.when(kind == "view", "Play").when((kind == "click") & (F.col("k") % 4 == 2), "buffer-health").when((kind == "click") & (F.col("k") % 4 == 3), "network-activity")
-            .when(kind == "purchase", _pick(("pause", "resume", "BufferStart"), F.col("k"))).otherwise(event_type)
+            F.when(kind == "view", "Play").when((kind == "click") & (F.col("k") % 4 >= 2), _pick(("", "", "buffer-health", "network-activity", "", "", "downshift", "dropped-frames"), F.col("k")))
+            .when(kind == "purchase", _pick(("pause", "resume", "BufferStart", "pause", "resume", "BufferEnd"), F.col("k"))).otherwise(event_type)
         )
         n_part = self.table("part").agg(F.count("*").alias("n_part"))  # one row
         nation = self.table("nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.col("n_name").alias("country"))
