@@ -48,7 +48,7 @@ def test_a_failed_attempt_leaves_no_trace(spark, batches, monkeypatch):
     first, second, every = batches
     table = live.DeltaTable(spark, shared_path(spark, "attempt"))
     table.apply(first, 0)
-    monkeypatch.setattr(live.DeltaTable, "_days_in", lambda *_: 1 / 0)
+    monkeypatch.setattr(live.DeltaTable, "read", lambda *_: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         table.apply(second, 1)
     monkeypatch.undo()

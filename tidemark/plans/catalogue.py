@@ -21,6 +21,7 @@ from ..operators import gates as G
 from ..operators import rollups as R
 from ..sources import tables as IO
 from ..sources.adapter import SessionData
+from ..sources.shared import stored
 from ..streaming import live
 from .config import DEFAULT
 from .oracle import DIMS_FOR_BREAKDOWN, MARK_MS, W0, W1, WHOLE
@@ -77,9 +78,15 @@ class Model(SessionData):
         return R.open_minutes(self.spans)
 
     @cached_property
-    def deltas(self) -> DataFrame:
+    def computed_deltas(self) -> DataFrame:
         return S.merged_deltas(S.active_deltas(self.runs), S.open_deltas(self.spans))
 
+    @cached_property
+    def deltas(self) -> DataFrame:
+        """The current deltas as a stored table, which the read queries start from."""
+        inputs = [f"{self.sf_dir}/{name}.parquet" for name in ("events", "part", "nation")]
+        return stored(self.spark, "deltas", inputs, lambda: self.computed_deltas, f"minute div {DAY}")
+
     @cached_property
     def curve(self) -> DataFrame:
         return Q.dense_curve(self.deltas, self.start, self.end)
@@ -235,7 +242,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "minute_runs": lambda m: m.runs,
     "active_deltas": lambda m: S.active_deltas(m.runs),
     "open_deltas": lambda m: S.open_deltas(m.spans),
-    "merged_deltas": lambda m: m.deltas,
+    "merged_deltas": lambda m: m.computed_deltas,
     "full_range_deltas": lambda m: S.full_range_deltas(m.spans, m.deltas),
     "current_deltas": lambda m: S.current_deltas(m.deltas.withColumn("computed_ms", F.lit(2)).unionByName(m.deltas.withColumns({"computed_ms": F.lit(1), "delta_sessions": F.col("delta_sessions") + 1}))).drop("computed_ms"),
     "run_ledger": lambda m: S.run_ledger(m.runs),

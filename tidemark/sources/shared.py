@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -16,3 +17,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_STORED: dict[tuple, tuple] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of a table's files, so that a changed table is noticed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(folder)))
+
+
+def stored(spark: SparkSession, name: str, inputs: list[str], build, day: str) -> DataFrame:
+    """The table that ``build`` gives, written once in a session by day partitions for as long as its ``inputs`` stay as
+    they are, and read from there; ``day`` is the SQL expression of a row's day."""
+    key = (spark.sparkContext.applicationId, name, *((path, _files(spark, path)) for path in inputs))
+    path, schema = _STORED.get(key, (None, None))
+    if path is not None:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):  # the shared folder was cleared
+            path = None
+    if path is None:
+        rows, path = build(), shared_path(spark, name)
+        rows.withColumn("part_day", F.expr(day)).hint("rebalance", "part_day").write.partitionBy("part_day").parquet(path)
+        schema = rows.schema
+        _STORED[key] = path, schema
+    return spark.read.schema(schema).parquet(path).select(*schema.names)

@@ -74,11 +74,11 @@ class DeltaTable:
         rows = self.spark.read.option("basePath", f"{self.root}/history").schema(whole).parquet(*paths)
         return rows.where(F.col("bucket").isin(touched)).select(*schema.names).join(keys, "session", "left_semi")
 
-    def _days_in(self, path: str) -> list[int]:
-        """Days that have a folder in a written table."""
+    def _parts(self, path: str, column: str) -> list[int]:
+        """The values of ``column`` that have a folder in a written table."""
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         found = fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(fs)
-        return [int(f.getPath().getName().split("=")[1]) for f in found if f.getPath().getName().startswith("part_day=")]
+        return [int(f.getPath().getName().split("=")[1]) for f in found if f.getPath().getName().startswith(f"{column}=")]
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch.  A batch that is already committed is left alone."""
@@ -89,7 +89,7 @@ class DeltaTable:
         events = batch.select(*EVENT_COLUMNS)
         events.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(own)
         now = self.spark.read.schema(T.StructType([*events.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(own)
-        touched = [r["bucket"] for r in now.select("bucket").distinct().collect()]  # at most all buckets
+        touched = self._parts(own, "bucket")
         keys = now.select("session").distinct()
         every = self.histories(events.schema, keys, touched, [*self.history, own])
         # runs lie between a session's first event and the timeout of its last, so the days to replace follow from times alone
@@ -101,7 +101,7 @@ class DeltaTable:
         kept.withColumn("part_day", F.col("day_no")).write.partitionBy("part_day").parquet(f"{target}/kept")
         after = {d: paths for d, paths in self.days.items() if d not in days}
         for part in ("fresh", "kept"):
-            for d in self._days_in(f"{target}/{part}"):
+            for d in self._parts(f"{target}/{part}", "part_day"):
                 after.setdefault(d, []).append(f"{target}/{part}/part_day={d}")
         rows = [(batch_id, own, None, None)] + [(batch_id, None, d, path) for d, paths in after.items() for path in paths]
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/batch={batch_id}")
