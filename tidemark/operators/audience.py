@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 from ..functions.clean import KEEPALIVE, QUALITY
 from ..functions.numbers import rounded
 from ..functions.times import DAY, HOUR, MINUTE_MS, div, minute_of
+from .quantiles import exact_quantiles, joined
 
 
 HOUR_MS = 3_600_000
@@ -27,8 +28,8 @@ def _session_order():
 
 
 def quantiles(rows: DataFrame, value: str, by: Sequence[str] = (), at: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    p = [rounded(F.percentile(value, F.lit(q)), 4).alias(f"p{round(q * 100)}") for q in at]
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), *p, F.min(value).alias("least"), F.max(value).alias("most"))
+    p = [rounded(name, 4).alias(name) for name in (f"p{round(q * 100)}" for q in at)]
+    return exact_quantiles(rows, value, at, by).select(*by, "n", *p, "least", "most")
 
 
 def dataset_counts(e: DataFrame) -> DataFrame:
@@ -323,10 +324,12 @@ def heartbeat_taxonomy(states: DataFrame) -> DataFrame:
     """Heartbeat events by measured class: count, gap spread over median, share sent in the background."""
     order = W.partitionBy("session", "event").orderBy("event_ms", "event_id")
     beats = states.where(F.col("event_type") == "VideoHeartbeat").withColumn("gap_s", (F.col("event_ms") - F.lag("event_ms").over(order)) / 1000)
-    p = lambda q: F.percentile("gap_s", F.lit(q))
     name, signal = F.col("event"), F.col("signal")
     kind = F.when(signal.isin("PAUSE", "RESUME"), "STATE").when(F.lower(name).like("download%"), "DOWNLOAD").when(F.lower(name).like("ad%"), "AD").when(name.isin(*KEEPALIVE), "KEEPALIVE").when(name.isin(*QUALITY), "QUALITY").otherwise("UX")
-    return beats.groupBy(kind.alias("class"), "event").agg(F.count("*").alias("n"), rounded((p(0.75) - p(0.25)) / F.nullif(p(0.5), F.lit(0.0)), 4).alias("iqr_over_median"), rounded(F.avg((F.col("fg") == 0).cast("int")), 6).alias("background_share"))
+    named = beats.withColumn("class", kind)
+    counted = named.groupBy("class", "event").agg(F.count("*").alias("n"), rounded(F.avg((F.col("fg") == 0).cast("int")), 6).alias("background_share"))
+    spread = exact_quantiles(named, "gap_s", (0.25, 0.5, 0.75), ["class", "event"]).select("class", "event", rounded((F.col("p75") - F.col("p25")) / F.nullif("p50", F.lit(0.0)), 4).alias("iqr_over_median"))
+    return joined(counted, spread, ["class", "event"], "left")
 
 
 def opening_closing_signatures(line: DataFrame, length: int = 4) -> DataFrame:

@@ -308,6 +308,14 @@ BODIES: dict[str, str] = {
     "peak_by_video_type": peak_of(sliced_curve("video_type"), "video_type"),
     "active_vs_open": f"SELECT {t('minute')}, concurrency AS active, opened AS open, round(100.0 * concurrency / greatest(opened, 1), 1) AS pct_watching FROM curve",
     "unique_active_users": "SELECT count(DISTINCT user_id) AS users, count(*) AS starts FROM starts",
+    "local_peaks": f"""SELECT {t('minute')}, concurrency FROM (
+        WITH RECURSIVE ranked AS MATERIALIZED (SELECT minute, minute // 1440 AS d, row_number() OVER (PARTITION BY minute // 1440 ORDER BY concurrency DESC, minute) AS place FROM curve),
+        greedy AS (
+          SELECT DISTINCT d, 0::BIGINT AS place, []::BIGINT[] AS taken FROM ranked
+          UNION ALL SELECT r.d, r.place, CASE WHEN len(taken) < 6 AND coalesce(list_min([abs(x - r.minute) for x in taken]), 15) >= 15 THEN list_append(taken, r.minute) ELSE taken END
+          FROM greedy JOIN ranked AS r ON r.d = greedy.d AND r.place = greedy.place + 1)
+        SELECT unnest(taken) AS minute FROM greedy QUALIFY row_number() OVER (PARTITION BY d ORDER BY place DESC) = 1) JOIN curve USING (minute)""",
+    "publish_events": "SELECT session AS key, to_json(struct_pack(session := session, event_type := event_type, event := event, event_ms := event_ms))::VARCHAR AS value FROM raw",
     "hourly_summary": f"SELECT {t('minute // 60 * 60', 'hour')}, max(concurrency) AS peak, round(coalesce(avg(CASE WHEN concurrency > 0 THEN concurrency END), 0), 4) AS avg_occupied FROM curve GROUP BY ALL",
     "get_peak": f"SELECT v AS peak_value, {t('m', 'peak_minute')} FROM (SELECT max(concurrency) AS v, arg_max(minute, concurrency * 100000000 - minute) AS m FROM curve)",
     "active_users_at": f"SELECT count(DISTINCT user_id) AS active_users, count(*) AS active_sessions FROM (SELECT session, any_value(user_id) AS user_id FROM deltas WHERE content_id = 49 AND minute <= {W0 + 30} GROUP BY session HAVING sum(delta_sessions) > 0)",
