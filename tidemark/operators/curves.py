@@ -155,6 +155,20 @@ def range_peak_avg(deltas: DataFrame, start: int, end: int) -> DataFrame:
     return points.agg(F.max(F.when(inside, F.col("cc"))).alias("peak"), rounded(F.sum(F.when(F.col("minute") < end, F.col("cc") * width)) / (end - start), 4).alias("avg_time_weighted"))
 
 
+def range_matrix(deltas: DataFrame, ranges: dict[str, tuple[int, int]], filters: dict[str, Column]) -> DataFrame:
+    """Q14 for every range under every filter at once: each delta is marked with the filters it passes, so there is one
+    running sum for each filter, whatever the number of ranges."""
+    passed = F.array_compact(F.array(*[F.when(test, name) for name, test in filters.items()]))
+    points = change_points(deltas.withColumn("filter_name", F.explode(passed)), ["filter_name"])
+    after = F.lead("minute").over(W.partitionBy("filter_name").orderBy("minute"))
+    asked = F.array(*[F.struct(F.lit(name).alias("range_name"), F.lit(a).cast("long").alias("_lo"), F.lit(b).cast("long").alias("_hi")) for name, (a, b) in ranges.items()])
+    each = points.withColumn("_next", after).select("*", F.inline(asked))
+    minute, lo, hi = F.col("minute"), F.col("_lo"), F.col("_hi")
+    width = F.greatest(F.least(F.coalesce("_next", hi), hi) - F.greatest(minute, lo), F.lit(0))
+    mean = rounded(F.sum(F.when(minute < hi, F.col("cc") * width)) / (hi - lo), 4)
+    return each.groupBy("range_name", "filter_name", "_lo", "_hi").agg(F.max(F.when((minute >= lo) & (minute < hi), F.col("cc"))).alias("peak"), mean.alias("avg_time_weighted")).drop("_lo", "_hi")
+
+
 def interval_overlap(intervals: DataFrame, start: int, end: int) -> DataFrame:
     lo, hi = start * MINUTE_MS, end * MINUTE_MS
     return intervals.where((F.col("start_ms") < hi) & (F.col("end_ms") > lo)).withColumns({"start_ms": F.greatest("start_ms", F.lit(lo)), "end_ms": F.least("end_ms", F.lit(hi))})

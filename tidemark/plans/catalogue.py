@@ -21,10 +21,10 @@ from ..operators import gates as G
 from ..operators import rollups as R
 from ..sources import tables as IO
 from ..sources.adapter import SessionData
-from ..sources.shared import stored
+from ..sources.shared import shared_path, stored
 from ..streaming import live
 from .config import DEFAULT
-from .oracle import DIMS_FOR_BREAKDOWN, MARK_MS, W0, W1, WHOLE
+from .oracle import DIMS_FOR_BREAKDOWN, HOURLY_SPLITS, MARK_MS, RANGES, W0, W1, WHOLE
 
 MAIN_CONTENT = 49
 HOUR_MS = 3_600_000
@@ -218,6 +218,40 @@ def data_checks(m: Model) -> DataFrame:
     ])
 
 
+def read_events_csv(m: Model) -> DataFrame:
+    """A1, A2: the events as landing rows in CSV files, read back."""
+    path = shared_path(m.spark, "landing")
+    IO.as_landing_rows(m.bare_events).write.option("header", True).csv(path)
+    return IO.read_events_csv(m.spark, path)
+
+
+def read_dim_csv(m: Model) -> DataFrame:
+    """The content metadata in CSV files, read back."""
+    path = shared_path(m.spark, "content")
+    m.content.select(*IO.CONTENT).write.option("header", True).csv(path)
+    return IO.read_dim_csv(m.spark, path)
+
+
+def write_partitioned(m: Model) -> DataFrame:
+    """A5: the deltas stored by day, read back with the day of their partition."""
+    path = shared_path(m.spark, "by-day")
+    IO.write_partitioned(m.deltas, path, "minute", G.KEYS)
+    return m.spark.read.parquet(path).select(*G.KEYS, "minute", "delta_sessions", "delta_open", F.col("day").cast("string").alias("stored_day"))
+
+
+def replay_day(m: Model) -> DataFrame:
+    """The events replayed ten times as fast, as a stream into a table."""
+    out = shared_path(m.spark, "replayed")
+    source = IO.replay_day(m.spark, m.bare_events.select("event_id", "session", "event_ms"), shared_path(m.spark, "replay"), 10, 60)
+    IO.run_until_done(source.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(m.spark, "offsets")).start())
+    return m.spark.read.parquet(out).select("event_id", "session", "event_ms")
+
+
+def range_matrix(m: Model) -> DataFrame:
+    platform = F.col("platform")
+    return Q.range_matrix(m.typed("video_type"), RANGES, {"no_filter": F.lit(True), "android": platform == "android", "ios": platform == "ios", "live": F.col("video_type") == "live"})
+
+
 def _dims(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*G.KEYS, *more)
 
@@ -225,6 +259,10 @@ def _dims(df: DataFrame, *more: str) -> DataFrame:
 #: name -> the operator over the model; time columns are shown as timestamps.
 BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "decode_events": lambda m: clean.decode_events(IO.as_landing_rows(m.raw_events), F.col("ingest_ms").cast("long"), keep=["event_id"]).select("event_id", "session", "user_id", "content_id", "event_type", "event", "event_ms", "platform", "country", "ingest_ms"),
+    "read_events_csv": read_events_csv,
+    "read_dim_csv": read_dim_csv,
+    "write_partitioned": write_partitioned,
+    "replay_day": replay_day,
     "normalize_dim": lambda m: m.bare_events.groupBy(clean.normalize_dim("audio_language").alias("audio"), clean.normalize_dim("subtitle_language").alias("subtitle")).agg(F.count("*").alias("events")),
     "latest_version": lambda m: clean.latest_version(m.content_versions, ["content_id"], "updated_ms"),
     "enrich_content": lambda m: clean.enrich_content(m.raw_events, m.content).select("event_id", "session", "content_id", *clean.CONTENT_ATTRIBUTES),
@@ -276,6 +314,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "peak_by_platform": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, m.start, m.end, ["platform"]), ["platform"]),
     "peak_by_country": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, m.start, m.end, ["country"]), ["country"]),
     "peak_by_video_type": lambda m: Q.peak_summary(Q.dense_curve(m.typed("video_type"), m.start, m.end, ["video_type"]), ["video_type"]),
+    **{f"peak_by_{dim}": lambda m, dim=dim: Q.peak_summary(Q.dense_curve(m.typed(dim), m.start, m.end, [dim]), [dim]) for dim in ("category", "show_name")},
     "active_vs_open": lambda m: Q.active_vs_open(m.deltas, W0, W1),
     "unique_active_users": lambda m: Q.unique_active_users(m.deltas, W0, W1),
     "hourly_summary": lambda m: Q.hourly_summary(m.curve),
@@ -285,6 +324,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "predict_load": lambda m: Q.predict_load(Q.trend(m.deltas, W1)),
     "range_peak_avg": lambda m: Q.range_peak_avg(m.deltas, W0, W1),
     "average_variants": average_variants,
+    "range_matrix": range_matrix,
     "range_metrics": lambda m: Q.range_metrics(m.intervals, W0, W1),
     "concurrency_at": lambda m: Q.concurrency_at(m.deltas, m.intervals, [W0, W0 + 20, W0 + 45]),
     "local_peaks": lambda m: Q.local_peaks(m.curve),
@@ -303,6 +343,8 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "traffic_day": lambda m: D.traffic(m.deltas, m.start, m.end, "day"),
     "traffic_split_by_category": lambda m: D.traffic_split(m.deltas, m.content, W0, W1, "hour", "category"),
     "traffic_split_by_platform": lambda m: D.traffic_split(m.deltas, m.content, W0, W1, "minute", "platform"),
+    **{f"traffic_split_by_{dim}": lambda m, dim=dim: D.traffic_split(m.deltas, m.content, W0, W1, "hour", dim) for dim in HOURLY_SPLITS},
+    "traffic_wide_by_video_type": lambda m: D.traffic_wide(D.traffic_split(m.deltas, m.content, W0, W1, "hour", "video_type"), ["live", "vod", "unknown"]),
     "geo": lambda m: D.geo(m.deltas, W0, W1),
     "content_ranking": lambda m: D.content_ranking(m.deltas, m.content, W0, W1),
     "content_metadata": lambda m: D.content_metadata(m.content, R.content_estimated_end(m.deltas, m.content), MAIN_CONTENT),

@@ -5,6 +5,7 @@ from __future__ import annotations
 W0, W1 = 28_401_150, 28_401_210
 LO_MS, HI_MS = W0 * 60_000, W1 * 60_000  # 2024-01-01 00:30 and 01:30 in minutes since the epoch
 MARK_MS = 1_704_067_200_000 + 60 * 60_000  # the watermark of the open-session queries, 01:00
+RANGES = {"before": (W0 - 90, W0 - 60), "ramp_up": (W0 - 30, W0 - 20), "sustained": (W0 - 10, W0 + 10), "one_minute": (W0 - 28, W0 - 27), "ramp_down": (W0 + 70, W0 + 90), "hour": (W0, W1), "day": (W0 - 30, W0 + 1410)}
 K = "session, user_id, platform, country, video_resolution, content_id"
 SLICE = "platform, country, video_resolution, content_id"
 
@@ -195,6 +196,9 @@ _session_flags = "SELECT session, platform, content_id, (max(event_ms) - min(eve
 _typed_sessions = f"(SELECT f.*, coalesce(video_type, 'unknown') AS video_type FROM ({_session_flags}) AS f LEFT JOIN content USING (content_id))"
 
 
+HOURLY_SPLITS = ("country", "video_resolution", "video_type", "show_name", "title")
+
+
 def traffic_split(slot: str, dim: str) -> str:
     counted = f"(SELECT {slot} AS slot, {dim} AS series, count(*) AS n FROM starts GROUP BY ALL)"
     best = f"(SELECT series FROM {counted} GROUP BY series ORDER BY sum(n) DESC, series LIMIT 8)"
@@ -243,6 +247,10 @@ CHECKS = [
 
 BODIES: dict[str, str] = {
     # cleaning
+    "read_events_csv": "SELECT content_id::VARCHAR AS content_id, session::VARCHAR AS video_session_id, user_id::VARCHAR AS user_id, event_type::VARCHAR AS event_type, event::VARCHAR AS event, event_ms::VARCHAR AS event_timestamp, platform::VARCHAR AS platform, app_version::VARCHAR AS app_version, country::VARCHAR AS country, nullif(audio_language, '') AS audio_language, subtitle_language::VARCHAR AS subtitle_language, player_version::VARCHAR AS player_version, video_resolution::VARCHAR AS video_resolution, event_ms::VARCHAR AS session_start_epoch, event_id::VARCHAR AS event_id, ingest_ms::VARCHAR AS ingest_ms FROM raw",
+    "read_dim_csv": "SELECT content_id, title, video_type, category FROM content",
+    "write_partitioned": f"SELECT {K}, {t('minute')}, delta_sessions, delta_open, strftime(make_timestamp(minute * 60000000), '%Y-%m-%d') AS stored_day FROM deltas",
+    "replay_day": f"SELECT event_id, session, {ms('lo + (event_ms - lo) // 10', 'event_ts')} FROM raw CROSS JOIN (SELECT min(event_ms) AS lo FROM raw)",
     "decode_events": f"SELECT event_id, session, user_id, content_id, event_type, event, {ms('event_ms', 'event_ts')}, platform, country, {ms('ingest_ms', 'ingest_ts')} FROM raw",
     "normalize_dim": "SELECT audio, subtitle, count(*) AS events FROM (SELECT CASE WHEN a IN ('', 'unk', 'off') THEN 'unknown' ELSE a END AS audio, CASE WHEN s IN ('', 'unk', 'off') THEN 'unknown' ELSE s END AS subtitle FROM (SELECT lower(split_part(audio_language, '-', 1)) AS a, lower(split_part(subtitle_language, '-', 1)) AS s FROM ev)) GROUP BY ALL",
     "latest_version": f"SELECT content_id, title, video_type, category, show_name, {ms('updated_ms', 'updated_ts')} FROM content",
@@ -305,6 +313,8 @@ BODIES: dict[str, str] = {
     "peak_summary": peak_of("curve"),
     "peak_by_platform": peak_of(sliced_curve("platform"), "platform"),
     "peak_by_country": peak_of(sliced_curve("country"), "country"),
+    "peak_by_category": peak_of(sliced_curve("category"), "category"),
+    "peak_by_show_name": peak_of(sliced_curve("show_name"), "show_name"),
     "peak_by_video_type": peak_of(sliced_curve("video_type"), "video_type"),
     "active_vs_open": f"SELECT {t('minute')}, concurrency AS active, opened AS open, round(100.0 * concurrency / greatest(opened, 1), 1) AS pct_watching FROM curve",
     "unique_active_users": "SELECT count(DISTINCT user_id) AS users, count(*) AS starts FROM starts",
@@ -323,6 +333,13 @@ BODIES: dict[str, str] = {
     "predict_load": f"SELECT current, slope, predicted, growth, CASE WHEN n < 2 THEN 'insufficient_data' WHEN growth >= 0.2 THEN 'scale_up' WHEN growth <= -0.2 THEN 'scale_down' ELSE 'hold' END AS action FROM (SELECT *, CASE WHEN current <> 0 THEN round((predicted - current) / current, 6) END AS growth FROM (SELECT *, greatest(0, current + slope * 10) AS predicted FROM {_last}))",
     "range_peak_avg": f"SELECT max(CASE WHEN minute >= {W0} AND minute < {W1} THEN cc END) AS peak, round(sum(CASE WHEN minute < {W1} THEN cc * greatest(least(nxt, {W1}) - greatest(minute, {W0}), 0) END) / ({W1} - {W0}), 4) AS avg_time_weighted FROM (SELECT *, lead(minute, 1, {W1}) OVER (ORDER BY minute) AS nxt FROM points)",
     "average_variants": f"SELECT (SELECT round(coalesce(avg(CASE WHEN concurrency > 0 THEN concurrency END), 0), 4) FROM curve) AS avg_occupied, (SELECT round(avg(concurrency), 4) FROM curve) AS avg_all, (SELECT round(coalesce(sum(least(end_ms, {HI_MS}) - greatest(start_ms, {LO_MS})), 0) / ({HI_MS} - {LO_MS}), 4) FROM iv WHERE start_ms < {HI_MS} AND end_ms > {LO_MS}) AS avg_time_weighted",
+    "range_matrix": f"""SELECT range_name, filter_name, max(CASE WHEN minute >= lo AND minute < hi THEN cc END)::BIGINT AS peak,
+        round(sum(CASE WHEN minute < hi THEN cc * greatest(least(coalesce(nxt, hi), hi) - greatest(minute, lo), 0) END) / (hi - lo), 4) AS avg_time_weighted
+      FROM (SELECT *, lead(minute) OVER (PARTITION BY filter_name ORDER BY minute) AS nxt FROM (
+        SELECT filter_name, minute, sum(sum(delta_sessions)) OVER (PARTITION BY filter_name ORDER BY minute) AS cc FROM (
+          SELECT 'no_filter' AS filter_name, * FROM typed UNION ALL SELECT 'android', * FROM typed WHERE platform = 'android'
+          UNION ALL SELECT 'ios', * FROM typed WHERE platform = 'ios' UNION ALL SELECT 'live', * FROM typed WHERE video_type = 'live') GROUP BY filter_name, minute))
+      CROSS JOIN (VALUES {', '.join(f"('{name}', {a}, {b})" for name, (a, b) in RANGES.items())}) AS r(range_name, lo, hi) GROUP BY range_name, filter_name, lo, hi""",
     "range_metrics": f"""SELECT (SELECT max(c) FROM (SELECT sum(d) OVER (ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT unnest([greatest(start_ms, {LO_MS}), least(end_ms, {HI_MS})]) AS moment, unnest([1, -1]) AS d FROM iv WHERE start_ms < {HI_MS} AND end_ms > {LO_MS})))::BIGINT AS peak,
       round(sum(least(end_ms, {HI_MS}) - greatest(start_ms, {LO_MS})) / ({HI_MS} - {LO_MS}), 3) AS avg_time_weighted, count(DISTINCT session) AS sessions, count(DISTINCT user_id) AS users FROM iv WHERE start_ms < {HI_MS} AND end_ms > {LO_MS}""",
     "concurrency_at": f"SELECT {t('m', 'at_minute')}, (SELECT sum(delta_sessions) FROM deltas WHERE minute <= m)::BIGINT AS prefix_sum, (SELECT count(*) FROM iv WHERE start_ms <= m * 60000::BIGINT AND end_ms > m * 60000::BIGINT) AS covering FROM (SELECT unnest([{W0}, {W0 + 20}, {W0 + 45}])::BIGINT AS m)",
@@ -343,6 +360,8 @@ BODIES: dict[str, str] = {
     "traffic_minute": "SELECT minute % 1440 AS slot, count(*) AS value FROM starts GROUP BY ALL",
     "traffic_day": f"SELECT {t('minute // 1440 * 1440', 'bucket')}, count(*) AS value FROM starts GROUP BY ALL",
     "traffic_split_by_category": traffic_split("minute % 1440 // 60", "category"),
+    **{f"traffic_split_by_{dim}": traffic_split("minute % 1440 // 60", dim) for dim in HOURLY_SPLITS},
+    "traffic_wide_by_video_type": "SELECT minute % 1440 // 60 AS slot, count(*) FILTER (WHERE video_type = 'live') AS live, count(*) FILTER (WHERE video_type = 'vod') AS vod, count(*) FILTER (WHERE video_type = 'unknown') AS unknown FROM starts GROUP BY 1",
     "traffic_split_by_platform": traffic_split("minute % 1440", "platform"),
     "geo": "SELECT country, count(*) AS sessions, count(DISTINCT user_id) AS users, round(100.0 * count(*) / (SELECT count(*) FROM starts), 2) AS share_pct FROM starts GROUP BY country",
     "content_ranking": "SELECT s.content_id, sessions, coalesce(c.title, 'Content ' || s.content_id) AS title, coalesce(c.video_type, 'unknown') AS video_type, coalesce(c.category, 'unknown') AS category FROM (SELECT content_id, count(*) AS sessions FROM starts GROUP BY content_id ORDER BY sessions DESC, content_id LIMIT 20) AS s LEFT JOIN content AS c USING (content_id)",

@@ -25,8 +25,8 @@ def reject_pointer_file(spark: SparkSession, path: str) -> None:
 
 
 def read_events_csv(spark: SparkSession, path: str, delimiter: str = ",", limit: int | None = None) -> DataFrame:
-    """A1: a header-named CSV; names and values trimmed, a byte order mark dropped, empty lines skipped, ragged rows kept
-    (missing cells null), every column a string."""
+    """A1: a header-named CSV; names and values trimmed, a byte order mark dropped, empty lines skipped, ragged rows kept,
+    every column a string; an empty or missing cell is null."""
     reject_pointer_file(spark, path)
     rows = spark.read.option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     rows = rows.toDF(*[c.strip().lstrip("﻿").strip() for c in rows.columns])
