@@ -7,7 +7,11 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_module
+from tidemark.functions.times import HOUR
+from tidemark.operators import rollups as R
 from tidemark.plans import catalogue, oracle
 
 DATA = "/root/testdata/sf0.001"
@@ -48,12 +52,27 @@ def test_other_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
 
 
-def test_sketch_estimates_are_near_the_exact_counts(spark):
-    keys = ["minute", "platform", "country", "video_resolution", "content_id"]
-    exact = catalogue.QUERIES["minute_stats"](spark, DATA)
-    near = catalogue.QUERIES["minute_stats_sketch"](spark, DATA)
-    both = exact.join(near.select(*keys, near["active_users"].alias("e")), keys)
-    assert both.count() == exact.count() and both.where("abs(active_users - e) > 0.05 * active_users + 0.5").count() == 0
+def far_estimates(exact, near, keys, name):
+    """Rows of ``exact``, how many of them ``near`` has, and how many estimates are off by over 5% (small counts: by one)."""
+    both = exact.select(*keys, name).join(near.select(*keys, near[name].alias("estimate")), keys)
+    return exact.count(), both.count(), both.where(f"abs({name} - estimate) > 0.05 * {name} + 0.5").count()
+
+
+@pytest.mark.parametrize(("name", "column"), [("minute_stats", "active_users"), ("minute_stats", "open_users"), ("presence_minute", "sessions"), ("presence_minute", "users")])
+def test_sketch_estimates_are_near_the_exact_counts(spark, name, column):
+    exact, near = catalogue.QUERIES[name](spark, DATA), catalogue.QUERIES[f"{name}_sketch"](spark, DATA)
+    keys = [c for c in exact.columns if c not in ("active_sessions", "open_sessions", "active_users", "open_users", "sessions", "users")]
+    rows, met, far = far_estimates(exact, near, keys, column)
+    assert rows == met and far == 0
+
+
+def test_hourly_sketches_count_each_user_once(spark):
+    m = catalogue.Model(spark, DATA)
+    keys = ["bucket", "platform", "country", "video_resolution", "content_id"]
+    near = R.estimated_users(R.rolled_stats(R.minute_stats(m.minutes, m.open_minutes, sketches=True), HOUR))
+    exact = m.minutes.withColumn("bucket", F.expr(f"minute div {HOUR} * {HOUR}")).groupBy(*keys).agg(F.countDistinct("user_id").alias("active_users"))
+    rows, met, far = far_estimates(exact, near, keys, "active_users")
+    assert rows == met > 0 and far == 0
 
 
 def test_entry(spark):

@@ -369,16 +369,22 @@ def session_archetypes(states: DataFrame, intervals: DataFrame) -> DataFrame:
     return out.select("archetype", "sessions", rounded("w", 4).alias("wall_hours"), rounded("a", 4).alias("active_hours"), rounded(F.col("a") / F.nullif("w", F.lit(0.0)), 4).alias("retained"), "mean_intervals")
 
 
-def state_paths(line: DataFrame) -> DataFrame:
-    """Heartbeat-free signal paths, how many sessions take each and their share.
+def state_paths(line: DataFrame, shown: int = 8) -> DataFrame:
+    """Heartbeat-free signal paths: each path's length, its first ``shown`` signals, how many sessions take it, their share.
 
     A path is the hash chain of its (place, signal) pairs, so a session's signals are never gathered into one value.
     """
-    order = _session_order()
-    rows = line.where(F.col("signal") != "HB").withColumn("n", F.row_number().over(order))
-    paths = rows.groupBy("session").agg(F.sum(F.xxhash64("n", "signal").cast("decimal(38,0)")).alias("path"), F.count("*").alias("length"))
-    counted = paths.groupBy("path", "length").agg(F.count("*").alias("sessions"))
-    return counted.select("length", "sessions", rounded(F.col("sessions") / F.sum("sessions").over(W.partitionBy()), 6).alias("share"))
+    rows = line.where(F.col("signal") != "HB").withColumn("n", F.row_number().over(_session_order()))
+    first = F.array_sort(F.collect_list(F.when(F.col("n") <= shown, F.struct("n", "signal"))))
+    paths = rows.groupBy("session").agg(F.sum(F.xxhash64("n", "signal").cast("decimal(38,0)")).alias("path"), F.count("*").alias("length"), F.array_join(first["signal"], ">").alias("opening"))
+    counted = paths.groupBy("path", "length", "opening").agg(F.count("*").alias("sessions"))
+    return counted.select("length", "opening", "sessions", rounded(F.col("sessions") / F.sum("sessions").over(W.partitionBy()), 6).alias("share"))
+
+
+def contradictory_transitions(line: DataFrame) -> DataFrame:
+    """Heartbeat-free signals that repeat the one before them or follow an END, by pair."""
+    rows = line.where(F.col("signal") != "HB").withColumn("before", F.lag("signal").over(_session_order()))
+    return rows.where((F.col("before") == F.col("signal")) | (F.col("before") == "END")).groupBy("before", "signal").agg(F.count("*").alias("n"), F.countDistinct("session").alias("sessions"))
 
 
 def ux_while_background(states: DataFrame) -> DataFrame:

@@ -84,7 +84,8 @@ def geo(deltas: DataFrame, start: int, end: int) -> DataFrame:
 def content_ranking(deltas: DataFrame, content: DataFrame, start: int, end: int, limit: int = 20) -> DataFrame:
     """The contents with most starts (ties by id) and their newest metadata."""
     top = starts_in(deltas, start, end).groupBy("content_id").agg(F.count("*").alias("sessions")).orderBy(F.desc("sessions"), "content_id").limit(limit)
-    named = F.broadcast(top).join(content.select("content_id", "title", "video_type", "category"), "content_id", "left")
+    names = content.select("content_id", "title", "video_type", "category").join(F.broadcast(top.select("content_id")), "content_id", "left_semi")
+    named = top.join(F.broadcast(names), "content_id", "left")  # both have ``limit`` rows at most
     return named.withColumn("title", F.coalesce("title", F.concat(F.lit("Content "), F.col("content_id").cast("string")))).fillna("unknown", ["video_type", "category"])
 
 

@@ -400,6 +400,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "exclusion_reasons": lambda m: A.exclusion_reasons(m.states),
     "session_archetypes": lambda m: A.session_archetypes(m.states, m.intervals),
     "state_paths": lambda m: A.state_paths(m.line),
+    "contradictory_transitions": lambda m: A.contradictory_transitions(m.line),
     "ux_while_background": lambda m: A.ux_while_background(m.states),
     "phantom_share_by": phantom_share_by,
     "without_heavy_users": lambda m: Q.concurrency_curve(S.deltas_of(A.without_heavy_users(m.bare_events, 14)), W0, W1),

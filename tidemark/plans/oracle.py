@@ -422,7 +422,8 @@ BODIES: dict[str, str] = {
       SELECT session, wall, CASE WHEN wall > 6 THEN 'marathon' WHEN err = 1 THEN 'errored' WHEN last_fg = 0 THEN 'ended_backgrounded' WHEN bg >= 2 THEN 'multi_excursion' WHEN bg = 1 THEN 'single_excursion' ELSE 'never_backgrounded' END AS archetype FROM (
         SELECT session, (max(event_ms) - min(event_ms)) / 3600000 AS wall, count(*) FILTER (WHERE signal = 'BG') AS bg, max(CASE WHEN signal = 'ERR' THEN 1 ELSE 0 END) AS err, last(fg ORDER BY {ORD}) AS last_fg FROM st GROUP BY session))
       LEFT JOIN (SELECT session, sum(end_ms - start_ms) / 3600000 AS active, count(*) AS n FROM iv GROUP BY session) USING (session) GROUP BY archetype""",
-    "state_paths": f"SELECT length, sessions, round(sessions / sum(sessions) OVER (), 6) AS share FROM (SELECT path, length, count(*) AS sessions FROM (SELECT string_agg(signal, '>' ORDER BY {ORD}) AS path, count(*) AS length FROM tl WHERE signal <> 'HB' GROUP BY session) GROUP BY ALL)",
+    "state_paths": f"SELECT length, opening, sessions, round(sessions / sum(sessions) OVER (), 6) AS share FROM (SELECT path, array_to_string(string_split(path, '>')[1:8], '>') AS opening, length, count(*) AS sessions FROM (SELECT string_agg(signal, '>' ORDER BY {ORD}) AS path, count(*) AS length FROM tl WHERE signal <> 'HB' GROUP BY session) GROUP BY ALL)",
+    "contradictory_transitions": f"SELECT before, signal, count(*) AS n, count(DISTINCT session) AS sessions FROM (SELECT session, signal, lag(signal) OVER {ORDW} AS before FROM tl WHERE signal <> 'HB') WHERE before = signal OR before = 'END' GROUP BY ALL",
     "ux_while_background": "SELECT signal, event, count(*) AS events, count(DISTINCT session) AS sessions FROM st WHERE fg = 0 AND signal IN ('PLAY', 'PAUSE', 'RESUME') GROUP BY ALL",
     "phantom_share_by": "SELECT platform, naive_hours, active_hours, naive_peak, coalesce(active_peak, 0) AS active_peak, round((naive_hours - active_hours) / nullif(naive_hours, 0), 4) AS phantom_share FROM (SELECT platform, round(sum(w) / 3600000.0, 4) AS naive_hours FROM (SELECT platform, last_ms - first_ms AS w FROM spans) GROUP BY platform) LEFT JOIN (SELECT platform, round(sum(end_ms - start_ms) / 3600000.0, 4) AS active_hours FROM iv GROUP BY platform) USING (platform) LEFT JOIN (SELECT platform, max(n) AS naive_peak FROM (SELECT platform, minute, count(*) AS n FROM (SELECT platform, unnest(range(first_minute, close_minute)) AS minute FROM spans) GROUP BY ALL) GROUP BY platform) USING (platform) LEFT JOIN (SELECT platform, max(n) AS active_peak FROM (SELECT platform, minute, count(*) AS n FROM mins GROUP BY ALL) GROUP BY platform) USING (platform)",
     "without_heavy_users": f"SELECT {t('minute', 'bucket')}, concurrency FROM " + filtered_curve("user_id NOT IN (SELECT user_id FROM ev GROUP BY user_id HAVING count(DISTINCT session) > 14)"),
