@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, langid, lm, packing, quality, sharding, simhash, topk
+from . import bpe, chat, collocations, html, langid, linededup, lm, packing, quality, sharding, simhash, topk, variants
 from .tokens import vocabulary_path
 
 
@@ -62,6 +62,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_simhash, op4_chat, op5_lm, op6_sharding, op7_packing, op8_bpe, op9_langid, op10_html)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL}
+
+def op12_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_simhash, op4_chat, op5_lm, op6_sharding, op7_packing, op8_bpe, op9_langid, op10_html, op11_collocations, op12_linededup, op13_variants)}
+
+ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_linededup": linededup.ORACLE_SQL, "op13_variants": variants.ORACLE_SQL}
