@@ -4,10 +4,11 @@ Every word opens one window of at most five words, padded where its piece ends;
 Spark's ROLLUP over the window columns then sums the counts of all shorter phrases as prefixes, so no n-gram of another
 length is ever exploded.  The counts of a phrase's parts come from the same table by equi-joins.
 
-A phrase can only reach the least count if each pair of neighbouring words in it does.  A first pass adds up the words and
-pairs of all documents in a table of a fixed number of slots (a parameter); a slot can only overstate, so a window may be
-padded from the first pair whose slot is below the least count on, without changing a count that matters.  With more text
-than the slots can tell apart nothing is padded early: the windows grow, the results stay.
+A phrase can only reach the least count if all phrases inside it do.  Two passes before the windows add up the words and
+pairs, then the longer phrases whose pairs may be frequent, of all documents in tables of a fixed number of slots (a
+parameter).  A slot can only overstate, so a window may be padded from where its phrase's slot is below the least count on,
+without changing a count that matters.  With more text than the slots can tell apart (16 million of them do for some 10 GB)
+less is padded early: the windows grow, the results stay.
 """
 
 from __future__ import annotations
@@ -58,20 +59,30 @@ def word_ids(data: bytes) -> tuple[list[bytes], np.ndarray]:
     return kinds, np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
 
 
-def slots_of(kinds: list[bytes], ids: np.ndarray, lang: str, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slot of each distinct word, whether a pair stands at each position, and its slot."""
-    seed = xxhash.xxh32_intdigest(lang.encode())
-    mask = np.uint64(slots - 1)
+def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def grams(kinds: list[bytes], ids: np.ndarray, lang: str, slots: int, known: list[np.ndarray], upto: int = ORDER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size from 1: the positions at which a phrase of this size may be frequent, and their slots.
+
+    ``known`` has the frequent slots of words and pairs, and of longer phrases, as far as they are counted."""
+    seed, mask = xxhash.xxh32_intdigest(lang.encode()), np.uint64(slots - 1)
     h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in kinds), np.uint64, len(kinds))
-    pair = np.zeros(len(ids), bool)
-    pair[:-1] = (ids[:-1] >= 0) & (ids[1:] >= 0)
-    at = np.flatnonzero(pair)
-    both = h[ids[at]] * np.uint64(0x9E3779B97F4A7C15) + h[ids[at + 1]]
-    both ^= both >> np.uint64(29)
-    both *= np.uint64(0xBF58476D1CE4E5B9)
-    pair_slot = np.zeros(len(ids), np.int64)
-    pair_slot[at] = ((both >> np.uint64(32)) & mask).astype(np.int64)
-    return (h & mask).astype(np.int64), pair, pair_slot
+    at = np.flatnonzero(ids >= 0)
+    code = h[ids[at]]
+    for size in range(1, upto + 1):
+        if size > 1:  # a phrase stands where the shorter ones at its first and its second word do
+            both = np.flatnonzero(np.diff(at) == 1)
+            at = at[both]
+            code = (code[both] ^ (code[both] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[ids[at + size - 1]]
+        mixed = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        slot = ((mixed >> np.uint64(32)) & mask).astype(np.int64)
+        table = 0 if size <= 2 else 1
+        if table < len(known):
+            hit = _bit(known[table], slot)
+            at, code, slot = at[hit], code[hit], slot[hit]
+        yield size, at, slot
 
 
 def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -84,14 +95,16 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
                 yield lang, data
 
 
-def _count_slots(slots: int, least: int):
+def _count_slots(slots: int, least: int, known: list[np.ndarray]):
+    sizes = range(3, ORDER + 1) if known else (1, 2)
+
     def run(batches):
         counts = np.zeros(slots, np.int32)
         for lang, data in _by_lang(batches):
             kinds, ids = word_ids(data)
-            word, pair, pair_slot = slots_of(kinds, ids, lang, slots)
-            np.add.at(counts, word[ids[ids >= 0]], 1)
-            np.add.at(counts, pair_slot[pair], 1)
+            for size, _, slot in grams(kinds, ids, lang, slots, known, max(sizes)):
+                if size in sizes:
+                    np.add.at(counts, slot, 1)
             np.minimum(counts, least, out=counts)  # a sum of cut counts reaches ``least`` exactly where the true sum does
         for b in range(0, slots, BLOCK):
             part = counts[b : b + BLOCK]
@@ -120,48 +133,45 @@ def _add_slots(least: int):
     return run
 
 
-def frequent_slots(docs: DataFrame, least: int, slots: int = SLOTS) -> np.ndarray:
-    """A bit for each slot: whether its words and pairs come to ``least``.  ``slots / 8`` bytes reach the driver."""
-    rows = docs.mapInArrow(_count_slots(slots, least), "block int, counts binary").repartition("block").sortWithinPartitions("block")
+def frequent_slots(docs: DataFrame, least: int, slots: int, known: list[np.ndarray]) -> np.ndarray:
+    """A bit for each slot: whether its phrases come to ``least``.  Words and pairs are counted first, then, with these
+    ``known``, longer phrases.  ``slots / 8`` bytes reach the driver."""
+    rows = docs.mapInArrow(_count_slots(slots, least, known), "block int, counts binary").repartition("block").sortWithinPartitions("block")
     out = np.zeros(slots, np.uint8)
     for r in rows.mapInArrow(_add_slots(least), "block int, bits binary").toLocalIterator():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
     return np.packbits(out)
 
 
-def windows(ids: np.ndarray, known: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, vocab: int, phrases: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct windows at all word positions (rows of ``ORDER`` indexes, -1 for padding) and their counts.
 
-    ``known``: by word, whether it may be frequent; ``follows``: by position, whether the pair that stands there may be.
+    ``phrases``: for each size the positions at which a phrase of that size may be frequent; these shrink with the size.
     """
-    n, vocab = len(ids), len(known) + 1
-    first = np.full(n, -1)
-    real = ids >= 0
-    first[real] = np.where(known[ids[real]], ids[real], -1)
-    open_ = real & (first >= 0) & follows
-    alone = np.bincount(first[real & ~open_] + 1, minlength=vocab)
-    singles = np.flatnonzero(alone)
-    out = [np.column_stack([singles - 1, np.full((len(singles), ORDER - 1), -1)])]
-    at = np.flatnonzero(open_)
-    columns, going, group = [first[at]], np.ones(len(at), bool), first[at]
-    for k in range(1, ORDER):  # the lead columns: the word k places on, while every pair up to it holds
-        going &= follows[np.minimum(at + k - 1, n - 1)] & (at + k < n)
-        lead = np.where(going, ids[np.minimum(at + k, n - 1)], -1)
-        columns.append(lead)
-        _, group = np.unique(group * vocab + lead + 1, return_inverse=True)
-    _, where, times = np.unique(group, return_index=True, return_counts=True)
-    out.append(np.column_stack([c[where] for c in columns]))
-    return np.vstack(out), np.concatenate([alone[singles], times])
-
-
-def _window_rows(bits: np.ndarray, slots: int):
-    hit = lambda at: (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-
+    none = int((ids >= 0).sum()) - len(phrases[0])
+    rows, times = [np.full((1, ORDER), -1)], [np.array([none])]
+    longer = [*phrases[1:], np.zeros(0, np.int64)]
+    for size, (at, next_) in enumerate(zip(phrases, longer, strict=True), 1):
+        at = at[~np.isin(at, next_, assume_unique=True, kind="table")] if len(next_) else at  # windows of exactly this size
+        if not len(at):
+            continue
+        leads = [ids[at + k] for k in range(size)]  # the lead columns
+        group = leads[0]
+        for lead in leads[1:]:
+            _, group = np.unique(group * vocab + lead, return_inverse=True)
+        _, where, n = np.unique(group, return_index=True, return_counts=True)
+        rows.append(np.column_stack([*[c[where] for c in leads], np.full((len(where), ORDER - size), -1)]))
+        times.append(n)
+    return np.vstack(rows), np.concatenate(times)
+
+
+def _window_rows(slots: int, known: list[np.ndarray]):
     def run(batches):
         for lang, data in _by_lang(batches):
             kinds, ids = word_ids(data)
-            word, pair, pair_slot = slots_of(kinds, ids, lang, slots)
-            rows, times = windows(ids, hit(word), pair & hit(pair_slot))
+            if not kinds:
+                continue
+            rows, times = windows(ids, len(kinds), [at for _, at, _ in grams(kinds, ids, lang, slots, known)])
             names = pa.array(kinds, pa.binary()).cast(pa.string())
             columns = {c: names.take(pa.array(rows[:, k], mask=rows[:, k] < 0)) for k, c in enumerate(COLUMNS)}
             table = pa.table({"lang": pa.array([lang] * len(rows), pa.string()), **columns, "c": pa.array(times.astype(np.int64))})
@@ -173,8 +183,10 @@ def _window_rows(bits: np.ndarray, slots: int):
 def phrase_counts(docs: DataFrame, least: int = 100, slots: int = SLOTS) -> DataFrame:
     """``docs(lang, text)`` -> ``lang, size, phrase, f``: all phrases of up to five words found ``least`` times, and a row of
     size 0 and phrase ``''`` for each language with the number of all its words."""
-    bits = frequent_slots(docs, least, slots)
-    rows = docs.mapInArrow(_window_rows(bits, slots), ", ".join(["lang string", *[f"{c} string" for c in COLUMNS], "c long"]))
+    known: list[np.ndarray] = []
+    for _ in range(2):
+        known = [*known, frequent_slots(docs, least, slots, known)]
+    rows = docs.mapInArrow(_window_rows(slots, known), ", ".join(["lang string", *[f"{c} string" for c in COLUMNS], "c long"]))
     longest = rows.groupBy("lang", *COLUMNS).agg(F.sum("c").alias("c"))
     rolled = longest.rollup("lang", *COLUMNS).agg(F.sum("c").alias("f"), F.grouping_id().alias("_g"))
     size = F.lit(ORDER) - F.bit_count("_g")
