@@ -16,18 +16,27 @@ from pyspark.sql.window import Window as W
 from ..functions.clean import CONTENT_ATTRIBUTES
 from ..functions.numbers import rounded
 from ..functions.times import DAY, HOUR, MINUTE_MS, div
+from .quantiles import joined
 
 GRAINS = {"minute": 1, "hour": HOUR, "day": DAY}
 
 
-def running_sum(steps: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Replace ``values`` (one row per slice and minute) by their sums since the beginning of the slice's history."""
+SHORT = 7 * DAY
+
+
+def running_sum(steps: DataFrame, values: Sequence[str], by: Sequence[str] = (), short: bool = False) -> DataFrame:
+    """Replace ``values`` (one row per slice and minute) by their sums since the beginning of the slice's history.
+
+    ``short``: the steps of a slice span few days, so one window orders them."""
+    if short:
+        so_far = W.partitionBy(*by).orderBy("minute").rowsBetween(W.unboundedPreceding, 0)
+        return steps.select(*by, "minute", *[F.sum(v).over(so_far).cast("long").alias(v) for v in values])
     days = steps.withColumn("_day", div("minute", DAY))
     earlier = W.partitionBy(*by).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
     base = days.groupBy(*by, "_day").agg(*[F.sum(v).alias(v) for v in values]).select(*by, "_day", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_base_{v}") for v in values])
     inside = W.partitionBy(*by, "_day").orderBy("minute").rowsBetween(W.unboundedPreceding, 0)
     local = days.withColumns({v: F.sum(v).over(inside) for v in values})
-    return local.join(base, [*by, "_day"]).select(*by, "minute", *[(F.col(v) + F.col(f"_base_{v}")).cast("long").alias(v) for v in values])
+    return joined(local, base, [*by, "_day"]).select(*by, "minute", *[(F.col(v) + F.col(f"_base_{v}")).cast("long").alias(v) for v in values])
 
 
 def dim_filter(deltas: DataFrame, content: DataFrame | None = None, **dims) -> DataFrame:
@@ -66,13 +75,18 @@ def filled_steps(steps: DataFrame, start: int, end: int, by: Sequence[str] = (),
 def dense_curve(deltas: DataFrame, start: int, end: int, by: Sequence[str] = (), values: Mapping[str, str] | None = None) -> DataFrame:
     """Running sums at every minute of [start, end): ``by, minute`` and the renamed ``values``."""
     values = values or {"delta_sessions": "concurrency"}
-    steps = filled_steps(minute_steps(deltas.where(F.col("minute") < end), by, list(values)), start, end, by, list(values))
-    return running_sum(steps, list(values), by).where(F.col("minute") >= start).select(*by, "minute", *[F.col(k).alias(v) for k, v in values.items()])
+    steps = filled_steps(minute_steps(since(deltas, start, end), by, list(values)), start, end, by, list(values))
+    return running_sum(steps, list(values), by, end - start <= SHORT).where(F.col("minute") >= start).select(*by, "minute", *[F.col(k).alias(v) for k, v in values.items()])
+
+
+def since(deltas: DataFrame, start: int, end: int) -> DataFrame:
+    """The deltas before ``end``, with all history before ``start`` dated to the minute before it."""
+    return deltas.where(F.col("minute") < end).withColumn("minute", F.greatest("minute", F.lit(start - 1)))
 
 
-def change_points(deltas: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def change_points(deltas: DataFrame, by: Sequence[str] = (), short: bool = False) -> DataFrame:
     """Running sums at the minutes that have a delta."""
-    return running_sum(minute_steps(deltas, by), ["delta_sessions"], by).withColumnRenamed("delta_sessions", "cc")
+    return running_sum(minute_steps(deltas, by), ["delta_sessions"], by, short).withColumnRenamed("delta_sessions", "cc")
 
 
 def concurrency_curve(deltas: DataFrame, start: int, end: int, grain: str = "minute", by: Sequence[str] = ()) -> DataFrame:
@@ -128,8 +142,8 @@ def active_users_at(deltas: DataFrame, content_id: int, minute: int) -> DataFram
 def trend(deltas: DataFrame, end: int, lookback: int = 10, dense: bool = False) -> DataFrame:
     """Q12: the change points (or, ``dense``, all minutes) of [end - lookback, end] with the change from the one before,
     its share, and the direction of the newest: rising, falling, flat, or insufficient_data below two points."""
-    points = dense_curve(deltas, end - lookback - 1, end + 1).withColumnRenamed("concurrency", "cc") if dense else change_points(deltas)
-    day = W.orderBy("minute")  # a point a minute: one task orders days, not events
+    points = dense_curve(deltas, end - lookback - 1, end + 1).withColumnRenamed("concurrency", "cc") if dense else change_points(since(deltas, end - lookback, end + 1), short=lookback <= SHORT)
+    day = W.orderBy("minute")  # a point a minute of the lookback
     stepped = points.where(F.col("minute") <= end).withColumn("delta", F.col("cc") - F.lag("cc", 1, 0).over(day))
     shown = stepped.where(F.col("minute") >= end - lookback).withColumn("pct_change", rounded(F.col("delta") / F.nullif(F.col("cc") - F.col("delta"), F.lit(0)), 6))
     every = W.partitionBy()
@@ -149,10 +163,10 @@ def predict_load(points: DataFrame, horizon: int = 10) -> DataFrame:
 
 def range_peak_avg(deltas: DataFrame, start: int, end: int) -> DataFrame:
     """Q14: peak at the change points of the range and the time-weighted mean over [start, end)."""
-    points = change_points(deltas).withColumn("next", F.lead("minute", 1, end).over(W.orderBy("minute")))
+    points = change_points(since(deltas, start, end), short=end - start <= SHORT).withColumn("next", F.lead("minute", 1, end).over(W.orderBy("minute")))
     width = F.greatest(F.least("next", F.lit(end)) - F.greatest("minute", F.lit(start)), F.lit(0))
     inside = (F.col("minute") >= start) & (F.col("minute") < end)
-    return points.agg(F.max(F.when(inside, F.col("cc"))).alias("peak"), rounded(F.sum(F.when(F.col("minute") < end, F.col("cc") * width)) / (end - start), 4).alias("avg_time_weighted"))
+    return points.agg(F.max(F.when(inside, F.col("cc"))).alias("peak"), rounded(F.coalesce(F.sum(F.when(F.col("minute") < end, F.col("cc") * width)), F.lit(0)) / (end - start), 4).alias("avg_time_weighted"))
 
 
 def range_matrix(deltas: DataFrame, ranges: dict[str, tuple[int, int]], filters: dict[str, Column]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from ..functions.clean import CONTENT_ATTRIBUTES
 from ..functions.numbers import rounded
 from ..functions.times import DAY, HOUR, MINUTE_MS, div
-from .curves import change_points, dense_curve, with_attribute
+from .curves import SHORT, change_points, dense_curve, since, with_attribute
 
 BUCKETS = {"minute": lambda: F.pmod("minute", F.lit(DAY)), "hour": lambda: div(F.pmod("minute", F.lit(DAY)), HOUR), "day": lambda: div("minute", DAY) * DAY}
 
@@ -38,14 +38,14 @@ def dataset_info(events: DataFrame) -> DataFrame:
     return events.agg((div(F.max("event_ms"), 1000) * 1000).alias("newest_ms"), *[_list(c) for c in ("platform", "country", "video_type", "category")])
 
 
-def kpis(deltas: DataFrame, events: DataFrame, start: int, end: int) -> DataFrame:
+def kpis(deltas: DataFrame, spans: DataFrame, start: int, end: int) -> DataFrame:
     """D3: peak, mean over all minutes, current, users with a start in the window, mean watch seconds of the sessions
     that began in it; negative concurrency counts as 0."""
     curve = dense_curve(deltas, start, end).withColumn("c", F.greatest("concurrency", F.lit(0)))
     level = curve.agg(F.max("c").alias("peak_concurrency"), rounded(F.avg("c"), 1).alias("avg_concurrency"), F.max_by("c", "minute").alias("current_concurrency"))
     users = starts_in(deltas, start, end).agg(F.countDistinct("user_id").alias("distinct_active_users"))
-    spans = events.groupBy("session").agg(F.min("event_ms").alias("lo"), F.max("event_ms").alias("hi")).where((F.col("lo") >= start * MINUTE_MS) & (F.col("lo") < end * MINUTE_MS))
-    watch = spans.agg(rounded(F.coalesce(F.avg(div("hi", 1000) - div("lo", 1000)), F.lit(0.0)), 1).alias("avg_watch_seconds"))
+    spans = spans.where((F.col("first_ms") >= start * MINUTE_MS) & (F.col("first_ms") < end * MINUTE_MS))
+    watch = spans.agg(rounded(F.coalesce(F.avg(div("last_ms", 1000) - div("first_ms", 1000)), F.lit(0.0)), 1).alias("avg_watch_seconds"))
     return level.join(users).join(watch)  # one row each
 
 
@@ -105,9 +105,9 @@ def health_signals(events: DataFrame, start: int, end: int, by: Sequence[str] =
 def billable_impressions(deltas: DataFrame, advertisers: DataFrame, start: int, end: int) -> DataFrame:
     """D10 for every advertiser: the running concurrency of its contents at the last change minute in the window, 0
     without one.  Deltas are summed by content and minute before they meet the advertiser map."""
-    steps = deltas.where((F.col("minute") < end) & (F.col("delta_sessions") != 0)).groupBy("content_id", "minute").agg(F.sum("delta_sessions").alias("delta_sessions"))
+    steps = since(deltas, start, end).where(F.col("delta_sessions") != 0).groupBy("content_id", "minute").agg(F.sum("delta_sessions").alias("delta_sessions"))
     mapped = steps.join(advertisers, "content_id")
-    points = change_points(mapped, ["advertiser_id"]).where(F.col("minute") >= start)
+    points = change_points(mapped, ["advertiser_id"], end - start <= SHORT).where(F.col("minute") >= start)
     last = points.groupBy("advertiser_id").agg(F.max_by("cc", "minute").alias("impressions"))
     return advertisers.select("advertiser_id").distinct().join(last, "advertiser_id", "left").fillna(0, ["impressions"])
 

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.clean import DIMENSIONS, classify_signal
 from ..functions.numbers import rounded
 from ..functions.times import DAY, HOUR, div, minute_of
-from .curves import dense_curve
+from .curves import dense_curve, running_sum
 
 SLICE = ["platform", "country", "video_resolution", "content_id"]
 
@@ -100,6 +101,26 @@ def hour_anchors(deltas: DataFrame, start: int, end: int) -> DataFrame:
     return dense_curve(deltas, start, end).where(F.col("minute") % HOUR == 0).select(F.col("minute").alias("hour"), "concurrency")
 
 
+ANCHOR_SLICE = ["platform", "country", "video_resolution", "content_id"]
+
+
+def slice_anchors(deltas: DataFrame, by: Sequence[str] = ANCHOR_SLICE) -> DataFrame:
+    """R9 by slice: ``by, hour, delta_sessions, delta_open``, the sums of all deltas before each full hour, where they are not
+    both zero.  A slice's changes are summed by hour first; between two changes its level is repeated."""
+    values = ["delta_sessions", "delta_open"]
+    hours = deltas.groupBy(*by, (div("minute", HOUR) * HOUR).alias("minute")).agg(*[F.sum(v).alias(v) for v in values])
+    levels = running_sum(hours, values, by)
+    following = F.lead("minute").over(W.partitionBy(*by).orderBy("minute"))  # hours of one slice, not its deltas
+    held = levels.withColumn("_next", F.coalesce(following, F.col("minute") + HOUR)).where("delta_sessions <> 0 OR delta_open <> 0")
+    return held.select(*by, F.explode(F.sequence(F.col("minute") + HOUR, "_next", F.lit(HOUR).cast("long"))).alias("hour"), *values)
+
+
+def slice_members(deltas: DataFrame, dims: Sequence[str] = ANCHOR_SLICE) -> DataFrame:
+    """``dimension, value, first_minute``: every value of each dimension and when it is first seen."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])).alias("m")
+    return deltas.select("minute", each).groupBy("m.dimension", "m.value").agg(F.min("minute").alias("first_minute"))
+
+
 def representation_row_counts(events: DataFrame, minutes: DataFrame, intervals: DataFrame, runs: DataFrame, deltas: DataFrame) -> DataFrame:
     """The rows that each representation of the same history takes, deltas also by grouping set."""
     count = lambda df, name: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("representation"), "rows")

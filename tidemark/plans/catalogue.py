@@ -21,7 +21,8 @@ from ..operators import gates as G
 from ..operators import rollups as R
 from ..sources import tables as IO
 from ..sources.adapter import SessionData
-from ..sources.shared import shared_path, stored
+from ..sources.serving import DeltaStore
+from ..sources.shared import shared_path
 from ..streaming import live
 from .config import DEFAULT
 from .oracle import DIMS_FOR_BREAKDOWN, HOURLY_SPLITS, MARK_MS, RANGES, W0, W1, WHOLE
@@ -82,14 +83,28 @@ class Model(SessionData):
         return S.merged_deltas(S.active_deltas(self.runs), S.open_deltas(self.spans))
 
     @cached_property
-    def deltas(self) -> DataFrame:
-        """The current deltas as a stored table, which the read queries start from."""
+    def store(self) -> DeltaStore:
+        """The stored tables, which the read queries start from."""
         inputs = [f"{self.sf_dir}/{name}.parquet" for name in ("events", "part", "nation")]
-        return stored(self.spark, "deltas", inputs, lambda: self.computed_deltas, f"minute div {DAY}")
+        return DeltaStore(self.spark, inputs, lambda: self.computed_deltas, lambda: self.spans.select("session", "first_ms", "last_ms"))
+
+    @cached_property
+    def deltas(self) -> DataFrame:
+        """The current deltas of the whole history."""
+        return self.store.by_day.drop("part_day")
+
+    def near(self, dim: str | None = None) -> DataFrame:
+        """Deltas for curves over [start, end), without the days before; see ``DeltaStore.near``."""
+        return self.store.near(self.start, self.end, dim)
+
+    def curve_by(self, dim: str) -> DataFrame:
+        """The curve of every value of a delta column or a content attribute."""
+        deltas = self.near(dim) if dim in G.KEYS else Q.with_attribute(self.near("content_id"), self.content, dim)
+        return Q.dense_curve(deltas, self.start, self.end, [dim])
 
     @cached_property
     def curve(self) -> DataFrame:
-        return Q.dense_curve(self.deltas, self.start, self.end)
+        return Q.dense_curve(self.near(), self.start, self.end)
 
     @cached_property
     def bare_events(self) -> DataFrame:
@@ -97,7 +112,7 @@ class Model(SessionData):
         return self.raw_events
 
     def filtered(self, **dims) -> DataFrame:
-        return Q.dense_curve(Q.dim_filter(self.deltas, self.content, **dims), W0, W1)
+        return Q.dense_curve(Q.dim_filter(self.near(), self.content, **dims), self.start, self.end)
 
     def typed(self, *attributes: str) -> DataFrame:
         return Q.with_attribute(self.deltas, self.content, *attributes)
@@ -184,11 +199,11 @@ def phantom_audience(m: Model) -> DataFrame:
 def peak_minute_shift(m: Model) -> DataFrame:
     """The peak of each platform and video type, and by how many minutes it is after the peak of all."""
     total = Q.peak_summary(m.curve).select(F.col("peak_minute").alias("_all"))  # one row
-    def peaks(dim: str, deltas: DataFrame) -> DataFrame:
-        rows = Q.peak_summary(Q.dense_curve(deltas, m.start, m.end, [dim]), [dim])
+    def peaks(dim: str) -> DataFrame:
+        rows = Q.peak_summary(m.curve_by(dim), [dim])
         return rows.select(F.lit(dim).alias("dimension"), F.col(dim).alias("value"), "peak", "peak_minute")
 
-    both = peaks("platform", m.deltas).unionByName(peaks("video_type", m.typed("video_type")))
+    both = peaks("platform").unionByName(peaks("video_type"))
     return both.join(F.broadcast(total)).withColumn("shift_minutes", F.col("peak_minute") - F.col("_all")).drop("_all")
 
 
@@ -306,23 +321,23 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "minute_serving": lambda m: R.minute_serving(m.minutes, m.line, m.spans),
     "hour_anchors": lambda m: R.hour_anchors(m.deltas, m.start, m.end),
     "representation_row_counts": lambda m: R.representation_row_counts(m.events, m.minutes, m.intervals, m.runs, m.deltas),
-    "concurrency_curve": lambda m: Q.concurrency_curve(m.deltas, W0, W1),
-    "concurrency_curve_hour": lambda m: Q.concurrency_curve(m.deltas, W0, W1, "hour"),
+    "concurrency_curve": lambda m: Q.concurrency_curve(m.near(), W0, W1),
+    "concurrency_curve_hour": lambda m: Q.concurrency_curve(m.near(), W0, W1, "hour"),
     "dim_filter": lambda m: m.filtered(platform=["android", "ios"], video_type="live"),
-    "minute_fill": lambda m: Q.dense_curve(m.deltas, W0, W1, ["platform"]),
+    "minute_fill": lambda m: m.curve_by("platform"),
     "peak_summary": lambda m: Q.peak_summary(m.curve),
-    "peak_by_platform": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, m.start, m.end, ["platform"]), ["platform"]),
-    "peak_by_country": lambda m: Q.peak_summary(Q.dense_curve(m.deltas, m.start, m.end, ["country"]), ["country"]),
-    "peak_by_video_type": lambda m: Q.peak_summary(Q.dense_curve(m.typed("video_type"), m.start, m.end, ["video_type"]), ["video_type"]),
-    **{f"peak_by_{dim}": lambda m, dim=dim: Q.peak_summary(Q.dense_curve(m.typed(dim), m.start, m.end, [dim]), [dim]) for dim in ("category", "show_name")},
-    "active_vs_open": lambda m: Q.active_vs_open(m.deltas, W0, W1),
-    "unique_active_users": lambda m: Q.unique_active_users(m.deltas, W0, W1),
+    "peak_by_platform": lambda m: Q.peak_summary(m.curve_by("platform"), ["platform"]),
+    "peak_by_country": lambda m: Q.peak_summary(m.curve_by("country"), ["country"]),
+    "peak_by_video_type": lambda m: Q.peak_summary(m.curve_by("video_type"), ["video_type"]),
+    **{f"peak_by_{dim}": lambda m, dim=dim: Q.peak_summary(m.curve_by(dim), [dim]) for dim in ("category", "show_name")},
+    "active_vs_open": lambda m: Q.active_vs_open(m.near(), W0, W1),
+    "unique_active_users": lambda m: Q.unique_active_users(m.near(), W0, W1),
     "hourly_summary": lambda m: Q.hourly_summary(m.curve),
-    "get_peak": lambda m: Q.get_peak(Q.concurrency_curve(m.deltas, W0, W1)),
+    "get_peak": lambda m: Q.get_peak(Q.concurrency_curve(m.near(), W0, W1)),
     "active_users_at": lambda m: Q.active_users_at(m.deltas, MAIN_CONTENT, W0 + 30),
-    "trend": lambda m: Q.trend(m.deltas, W1),
-    "predict_load": lambda m: Q.predict_load(Q.trend(m.deltas, W1)),
-    "range_peak_avg": lambda m: Q.range_peak_avg(m.deltas, W0, W1),
+    "trend": lambda m: Q.trend(m.store.near(W1 - 10, W1 + 1), W1),
+    "predict_load": lambda m: Q.predict_load(Q.trend(m.store.near(W1 - 10, W1 + 1), W1)),
+    "range_peak_avg": lambda m: Q.range_peak_avg(m.near(), W0, W1),
     "average_variants": average_variants,
     "range_matrix": range_matrix,
     "range_metrics": lambda m: Q.range_metrics(m.intervals, W0, W1),
@@ -333,23 +348,23 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "decline_alert": lambda m: Q.decline_alert(m.curve),
     "phantom_audience": phantom_audience,
     "peak_people": lambda m: m.minutes.groupBy("minute").agg(F.countDistinct("user_id").alias("users")).agg(F.max("users").alias("peak_users"), Q._peak_minute("users").alias("peak_minute")),
-    "content_drilldown": lambda m: Q.concurrency_curve(Q.dim_filter(m.deltas, content_id=MAIN_CONTENT), W0, W1),
+    "content_drilldown": lambda m: Q.concurrency_curve(Q.dim_filter(m.near(), content_id=MAIN_CONTENT), W0, W1),
     "compare_curves": lambda m: Q.compare_curves(m.curve, interval_curve(m)),
     "meta": lambda m: D.meta(m.deltas, m.content),
     "dataset_info": lambda m: D.dataset_info(m.events),
-    "kpis": lambda m: D.kpis(m.deltas, m.bare_events, W0, W1),
-    "traffic": lambda m: D.traffic(m.deltas, W0, W1, "hour"),
-    "traffic_minute": lambda m: D.traffic(m.deltas, W0, W1, "minute"),
+    "kpis": lambda m: D.kpis(m.near(), m.store.spans_between(W0, W1), W0, W1),
+    "traffic": lambda m: D.traffic(m.near(), W0, W1, "hour"),
+    "traffic_minute": lambda m: D.traffic(m.near(), W0, W1, "minute"),
     "traffic_day": lambda m: D.traffic(m.deltas, m.start, m.end, "day"),
-    "traffic_split_by_category": lambda m: D.traffic_split(m.deltas, m.content, W0, W1, "hour", "category"),
-    "traffic_split_by_platform": lambda m: D.traffic_split(m.deltas, m.content, W0, W1, "minute", "platform"),
-    **{f"traffic_split_by_{dim}": lambda m, dim=dim: D.traffic_split(m.deltas, m.content, W0, W1, "hour", dim) for dim in HOURLY_SPLITS},
-    "traffic_wide_by_video_type": lambda m: D.traffic_wide(D.traffic_split(m.deltas, m.content, W0, W1, "hour", "video_type"), ["live", "vod", "unknown"]),
-    "geo": lambda m: D.geo(m.deltas, W0, W1),
-    "content_ranking": lambda m: D.content_ranking(m.deltas, m.content, W0, W1),
+    "traffic_split_by_category": lambda m: D.traffic_split(m.near(), m.content, W0, W1, "hour", "category"),
+    "traffic_split_by_platform": lambda m: D.traffic_split(m.near(), m.content, W0, W1, "minute", "platform"),
+    **{f"traffic_split_by_{dim}": lambda m, dim=dim: D.traffic_split(m.near(), m.content, W0, W1, "hour", dim) for dim in HOURLY_SPLITS},
+    "traffic_wide_by_video_type": lambda m: D.traffic_wide(D.traffic_split(m.near(), m.content, W0, W1, "hour", "video_type"), ["live", "vod", "unknown"]),
+    "geo": lambda m: D.geo(m.near(), W0, W1),
+    "content_ranking": lambda m: D.content_ranking(m.near(), m.content, W0, W1),
     "content_metadata": lambda m: D.content_metadata(m.content, R.content_estimated_end(m.deltas, m.content), MAIN_CONTENT),
     "health_signals": lambda m: D.health_signals(m.bare_events, W0, W1),
-    "billable_impressions": lambda m: D.billable_impressions(m.deltas, m.advertisers, W0, W1),
+    "billable_impressions": lambda m: D.billable_impressions(m.near(), m.advertisers, W0, W1),
     "billing_reconciliation": lambda m: D.billing_reconciliation(D.billable_impressions(m.deltas, m.advertisers, W0, W1), D.billable_impressions(S.active_deltas(m.runs), m.advertisers, W0, W1)),
     "advertiser_content": lambda m: D.advertiser_content(m.advertisers),
     "dataset_counts": lambda m: A.dataset_counts(m.bare_events),

@@ -29,9 +29,10 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(folder)))
 
 
-def stored(spark: SparkSession, name: str, inputs: list[str], build, day: str) -> DataFrame:
-    """The table that ``build`` gives, written once in a session by day partitions for as long as its ``inputs`` stay as
-    they are, and read from there; ``day`` is the SQL expression of a row's day."""
+def stored(spark: SparkSession, name: str, inputs: list[str], build, day: str, order: list[str]) -> DataFrame:
+    """The table that ``build`` gives, written once in a session by day partitions (sorted by ``order`` in each file) for as
+    long as its ``inputs`` stay as they are, and read from there; ``day`` is the SQL expression of a row's day, which comes
+    back as ``part_day``: filter by it to read some days only."""
     key = (spark.sparkContext.applicationId, name, *((path, _files(spark, path)) for path in inputs))
     path, schema = _STORED.get(key, (None, None))
     if path is not None:
@@ -39,8 +40,8 @@ def stored(spark: SparkSession, name: str, inputs: list[str], build, day: str) -
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):  # the shared folder was cleared
             path = None
     if path is None:
-        rows, path = build(), shared_path(spark, name)
-        rows.withColumn("part_day", F.expr(day)).hint("rebalance", "part_day").write.partitionBy("part_day").parquet(path)
+        rows, path = build().drop("part_day").withColumn("part_day", F.expr(day).cast("long")), shared_path(spark, name)
+        rows.hint("rebalance", "part_day").sortWithinPartitions("part_day", *order).write.partitionBy("part_day").parquet(path)
         schema = rows.schema
         _STORED[key] = path, schema
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    return spark.read.schema(schema).parquet(path)
