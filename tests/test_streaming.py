@@ -6,6 +6,7 @@ from dataclasses import replace
 import pytest
 
 from tidemark.functions.clean import DIMENSIONS, classify_signal, event_role, tie_break
+from tidemark.operators import curves as Q
 from tidemark.operators import deltas as S
 from tidemark.plans.config import Rules
 from tidemark.sources.shared import shared_path
@@ -48,7 +49,7 @@ def test_a_failed_attempt_leaves_no_trace(spark, batches, monkeypatch):
     first, second, every = batches
     table = live.DeltaTable(spark, shared_path(spark, "attempt"))
     table.apply(first, 0)
-    monkeypatch.setattr(live.DeltaTable, "read", lambda *_: 1 / 0)
+    monkeypatch.setattr(live, "full_range_deltas", lambda *_: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         table.apply(second, 1)
     monkeypatch.undo()
@@ -70,6 +71,44 @@ def test_only_touched_buckets_are_read(spark, batches):
     assert rows(table.read()) == rows(S.deltas_of(first)) and live.DeltaTable(spark, table.root).batch == 1
 
 
+def test_a_batch_writes_rows_of_its_sessions_only(spark, make_events):
+    table = live.DeltaTable(spark, shared_path(spark, "append"))
+    day = {f"d{i}": [("08:00:00", "PLAY"), ("08:20:00", "HB"), ("08:21:00", "END")] for i in range(30)}
+    table.apply(make_events(day), 0)
+    late = make_events({"d3": [("08:10:00", "HB")], "new": [("09:00:00", "PLAY"), ("09:00:30", "END")]})
+    table.apply(late, 1)
+    written = [r["count"] for r in table._versions().groupBy("version").count().orderBy("version").collect()]
+    assert written[1] < 30 and written[0] > 600
+    every = make_events(day).unionByName(late)
+    assert rows(table.read()) == rows(S.deltas_of(every))
+    day_no = table._versions().select("part_day").first()["part_day"]
+    plan = table.read([day_no])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part_day" in plan and rows(table.read([day_no])) == rows(table.read()) and not table.read([day_no + 1]).count()
+
+
+def test_retention_drops_rows_and_files_and_later_reads_hold(spark, make_events):
+    night = {"old": [("10:00:00", "PLAY"), ("10:00:40", "END")], "over": [("23:58:30", "PLAY"), ("23:59:50", "HB"), ("24:00:40", "HB"), ("24:01:30", "END")], "new": [("30:00:00", "PLAY"), ("30:00:20", "END")]}
+    first = make_events(night)
+    table = live.DeltaTable(spark, shared_path(spark, "retention"))
+    table.apply(first, 0)
+    before = Q.dense_curve(table.read(), 1440, 1900, values={"delta_sessions": "a", "delta_open": "o"}).collect()
+    table.expire(1)
+    for t in (table, live.DeltaTable(spark, table.root)):
+        assert Q.dense_curve(t.read(), 1440, 1900, values={"delta_sessions": "a", "delta_open": "o"}).collect() == before
+        assert {r["session"] for r in t.read().select("session").collect()} == {"over", "new"}
+    assert not table._folders(f"{table.root}/deltas/*/part_day=0") and not table._folders(f"{table.root}/history/*/*/day=0")
+    assert len(table._folders(f"{table.root}/manifest/*")) == 1
+    # a late event of a session over the cut still meets its whole history
+    late = make_events({"over": [("24:01:00", "PAUSE")]})
+    table = live.DeltaTable(spark, table.root)
+    table.apply(late, 1)
+    want = Q.dense_curve(S.deltas_of(first.unionByName(late)), 1440, 1900, values={"delta_sessions": "a", "delta_open": "o"}).collect()
+    assert Q.dense_curve(table.read(), 1440, 1900, values={"delta_sessions": "a", "delta_open": "o"}).collect() == want
+    table.expire(1)
+    table.expire(2)
+    assert table.read().count() == 0 and not table._folders(f"{table.root}/history/*/*/day=1")
+
+
 class Held:
     """A state handle in memory."""
 

@@ -21,8 +21,8 @@ from pyspark.sql.window import Window as W
 from ..functions.clean import DIMENSIONS, classify_signal, event_role, tie_break
 from ..functions.numbers import rounded
 from ..functions.times import DAY, MINUTE_MS, div
-from ..operators.deltas import active_deltas, deltas_of, run_ledger, runs_of
-from ..operators.gates import KEYS, ORDER, gate_states, is_counted, timeline
+from ..operators.deltas import active_deltas, full_range_deltas, merged_deltas, minute_runs, open_deltas, run_ledger, runs_of, session_minutes, session_spans
+from ..operators.gates import KEYS, ORDER, active_segments, gate_states, is_counted, liveness_segments, timeline
 from ..operators.rollups import present_events
 from ..plans.config import DEFAULT, Rules
 from ..sources.shared import shared_path
@@ -30,82 +30,157 @@ from ..sources.shared import shared_path
 EVENT_COLUMNS = [*KEYS, "event_ms", "event_type", "event", "event_id", "ingest_ms"]
 
 
-_MANIFEST = "batch long, history string, day long, path string"
+_MANIFEST = "commit long, base boolean, batch long, history string, deltas string, oldest_day long"
+_VALUES = ["delta_sessions", "delta_open"]
 
 
 class DeltaTable:
-    """The current deltas as day partitions, and the history they come from, bucketed by session.
+    """The deltas as versions, by day, and the history they come from, by bucket of the session and day.
 
-    A batch writes its events, the new deltas of its sessions, and the untouched deltas of the days these fall on into
-    folders of its own attempt, and then one manifest file that names them: the commit.  So nothing that is being read is
-    overwritten, a failed attempt leaves only folders that no manifest names, a repeated batch changes nothing, and a new
-    object on the same root goes on where the last commit was.
+    A batch appends its events, and for each of its sessions a row for every minute of the session's span with the batch as
+    version; the newest version of a (session, minute) holds.  So what a batch writes depends on its sessions alone, and no
+    stored row is read or written again.  One manifest file that names the folders of an attempt is the commit: nothing that
+    is being read is overwritten, a failed attempt leaves only folders that no manifest names, a repeated batch changes
+    nothing, and a new object on the same root goes on where the last commit was.
     """
 
     def __init__(self, spark: SparkSession, root: str, rules: Rules = DEFAULT, buckets: int = 16):
         self.spark, self.root, self.rules, self.buckets = spark, root.rstrip("/"), rules, buckets
-        self.batch, self.history, self.days = -1, [], {}
+        self.batch, self.history, self.versions, self.oldest_day, self.commits = -1, [], [], None, -1
         self._load()
 
+    # -- files ---------------------------------------------------------------------------------------------------------
+
+    def _path(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
+
+    def _folders(self, pattern: str) -> list[str]:
+        fs, path = self._path(pattern)
+        return [str(f.getPath()) for f in fs.globStatus(path) or []]
+
+    def _delete(self, path: str) -> None:
+        fs, found = self._path(path)
+        fs.delete(found, True)
+
     def _load(self) -> None:
-        """The state of the last commit: a row for each batch's history and for each day's folders."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        """The state of the last commit: the rows since the last base."""
+        if not self._folders(f"{self.root}/manifest/*"):
             return
         rows = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/*").collect()
+        base = max((r["commit"] for r in rows if r["base"]), default=-1)
+        rows = sorted((r for r in rows if r["commit"] >= base), key=lambda r: r["commit"])
+        self.commits = max((r["commit"] for r in rows), default=-1)
         self.batch = max((r["batch"] for r in rows), default=-1)
-        self.history = sorted(r["history"] for r in rows if r["history"])
-        for r in rows:
-            if r["batch"] == self.batch and r["path"]:
-                self.days.setdefault(r["day"], []).append(r["path"])
+        self.history = [r["history"] for r in rows if r["history"]]
+        self.versions = [r["deltas"] for r in rows if r["deltas"]]
+        self.oldest_day = max((r["oldest_day"] for r in rows if r["oldest_day"] is not None), default=None)
+
+    def _commit(self, rows: list[tuple[str | None, str | None]], base: bool) -> None:
+        self.commits += 1
+        told = [(self.commits, base, self.batch, history, deltas, self.oldest_day) for history, deltas in rows]
+        self.spark.createDataFrame(told, _MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/commit={self.commits}")
+
+    # -- reading -------------------------------------------------------------------------------------------------------
+
+    def _versions(self, days: list[int] | None = None) -> DataFrame:
+        texts = [T.StructField(k, T.LongType() if k == "content_id" else T.StringType()) for k in KEYS]
+        schema = T.StructType([*texts, *[T.StructField(c, T.LongType()) for c in ("minute", *_VALUES, "version", "part_day")]])
+        rows = self.spark.read.option("basePath", f"{self.root}/deltas").schema(schema).parquet(*self.versions) if self.versions else self.spark.createDataFrame([], schema)
+        if self.oldest_day is not None:
+            rows = rows.where(F.col("part_day") >= self.oldest_day)
+        return rows if days is None else rows.where(F.col("part_day").isin(list(days)))
 
     def read(self, days: list[int] | None = None) -> DataFrame:
-        """The current deltas, of some days or of all; only those days' folders are read."""
-        paths = [x for d in sorted(self.days) if days is None or d in days for x in self.days[d]]
-        schema = T.StructType([*[T.StructField(k, T.LongType() if k == "content_id" else T.StringType()) for k in KEYS], *[T.StructField(c, T.LongType()) for c in ("minute", "delta_sessions", "delta_open", "day_no")]])
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        """The current deltas, of some days or of all; only those days' partitions are read."""
+        rest = [*(k for k in KEYS if k != "session"), *_VALUES]
+        newest = self._versions(days).groupBy("session", "minute").agg(F.max_by(F.struct(*rest), "version").alias("_r"))
+        rows = newest.select("session", "minute", "_r.*").where("delta_sessions <> 0 OR delta_open <> 0")
+        return rows.select(*KEYS, "minute", *_VALUES)
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("session"), F.lit(self.buckets)).cast("int")
 
     def histories(self, schema: T.StructType, keys: DataFrame, touched: list[int], paths: list[str]) -> DataFrame:
         """Whole histories of the sessions ``keys``, from the buckets that hold them alone."""
-        whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-        rows = self.spark.read.option("basePath", f"{self.root}/history").schema(whole).parquet(*paths)
+        rows = self._history(schema, paths)
         return rows.where(F.col("bucket").isin(touched)).select(*schema.names).join(keys, "session", "left_semi")
 
-    def _parts(self, path: str, column: str) -> list[int]:
-        """The values of ``column`` that have a folder in a written table."""
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        found = fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(fs)
-        return [int(f.getPath().getName().split("=")[1]) for f in found if f.getPath().getName().startswith(f"{column}=")]
+    def _history(self, schema: T.StructType, paths: list[str]) -> DataFrame:
+        whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("day", T.LongType())])
+        rows = self.spark.read.option("basePath", f"{self.root}/history").schema(whole).parquet(*paths)
+        return rows if self.oldest_day is None else rows.where(F.col("day") >= self.oldest_day)
+
+    # -- writing -------------------------------------------------------------------------------------------------------
+
+    def _kept_days(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with their ``part_day``; what lies before the oldest day is summed up in the minute before it, as the level
+        that the day opens with."""
+        if self.oldest_day is not None:
+            minute = F.greatest("minute", F.lit(self.oldest_day * DAY - 1)).alias("minute")
+            rows = rows.groupBy(*KEYS, minute).agg(*[F.sum(v).alias(v) for v in _VALUES])
+        day = div("minute", DAY)
+        return rows.withColumn("part_day", day if self.oldest_day is None else F.greatest(day, F.lit(self.oldest_day)))
+
+    def _append(self, rows: DataFrame, path: str) -> None:
+        rows.hint("rebalance", "part_day").write.partitionBy("part_day").parquet(path)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch.  A batch that is already committed is left alone."""
         if batch_id <= self.batch:
             return
         attempt = f"attempt={batch_id}-{uuid.uuid4().hex}"
-        own, day = f"{self.root}/history/{attempt}", div("minute", DAY)
+        own, target = f"{self.root}/history/{attempt}", f"{self.root}/deltas/{attempt}"
         events = batch.select(*EVENT_COLUMNS)
-        events.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(own)
-        now = self.spark.read.schema(T.StructType([*events.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(own)
-        touched = self._parts(own, "bucket")
-        keys = now.select("session").distinct()
+        day = div("event_ms", DAY * MINUTE_MS)
+        day = day if self.oldest_day is None else F.greatest(day, F.lit(self.oldest_day))
+        placed = events.withColumns({"bucket": self._bucket(), "day": day})
+        placed.repartition(self.buckets, "bucket").write.partitionBy("bucket", "day").parquet(own)
+        touched = [int(p.rsplit("=", 1)[1]) for p in self._folders(f"{own}/bucket=*")]
+        keys = self._history(events.schema, [own]).select("session").distinct()
         every = self.histories(events.schema, keys, touched, [*self.history, own])
-        # runs lie between a session's first event and the timeout of its last, so the days to replace follow from times alone
-        reach = F.sequence(div("event_ms", DAY * MINUTE_MS), div(F.col("event_ms") + self.rules.timeout_ms + 2 * MINUTE_MS, DAY * MINUTE_MS))
-        days = sorted(r["d"] for r in every.select(F.explode(reach).alias("d")).distinct().collect())  # calendar days
-        target = f"{self.root}/deltas/{attempt}"
-        deltas_of(every, self.rules).withColumn("day_no", day).withColumn("part_day", day).write.partitionBy("part_day").parquet(f"{target}/fresh")
-        kept = self.read(days).join(keys, "session", "left_anti")
-        kept.withColumn("part_day", F.col("day_no")).write.partitionBy("part_day").parquet(f"{target}/kept")
-        after = {d: paths for d, paths in self.days.items() if d not in days}
-        for part in ("fresh", "kept"):
-            for d in self._parts(f"{target}/{part}", "part_day"):
-                after.setdefault(d, []).append(f"{target}/{part}/part_day={d}")
-        rows = [(batch_id, own, None, None)] + [(batch_id, None, d, path) for d, paths in after.items() for path in paths]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/batch={batch_id}")
-        self.batch, self.history, self.days = batch_id, [*self.history, own], after
+        line = timeline(every, self.rules)
+        spans = session_spans(line, self.rules)
+        runs = minute_runs(session_minutes(active_segments(liveness_segments(gate_states(line, self.rules), self.rules))))
+        fresh = full_range_deltas(spans, merged_deltas(active_deltas(runs), open_deltas(spans)))
+        self._append(self._kept_days(fresh).withColumn("version", F.lit(batch_id).cast("long")), target)
+        self.batch = batch_id
+        self._commit([(own, target)], base=False)
+        self.history, self.versions = [*self.history, own], [*self.versions, target]
+
+    def expire(self, oldest_day: int) -> None:
+        """Forget the days before ``oldest_day`` (days since the epoch), rows and files.
+
+        Sessions that go on into the kept days take their level, and their events, over the cut: both are small and written
+        first.  Then comes the commit, and only then the old day partitions go.  After a failure in between, the next call
+        deletes what is left.
+        """
+        if self.oldest_day is None or oldest_day > self.oldest_day:
+            attempt = f"attempt=expire-{self.batch}-{uuid.uuid4().hex}"
+            own, target = f"{self.root}/history/{attempt}", f"{self.root}/deltas/{attempt}"
+            cut = oldest_day * DAY
+            before, now = self.read().where(F.col("minute") < cut), self.oldest_day
+            self.oldest_day = oldest_day
+            level = self._kept_days(before).where("delta_sessions <> 0 OR delta_open <> 0")
+            self._append(level.withColumn("version", F.lit(self.batch).cast("long")), target)
+            carried = []
+            if self.history:
+                self.oldest_day = now
+                schema = T.StructType([f for f in self.spark.read.parquet(self.history[-1]).schema.fields if f.name in EVENT_COLUMNS])
+                every = self._history(schema, self.history)
+                live = every.where(F.col("day") >= oldest_day).select("session").distinct()
+                every.where(F.col("day") < oldest_day).join(live, "session", "left_semi").withColumn("day", F.lit(oldest_day)).repartition(self.buckets, "bucket").write.partitionBy("bucket", "day").parquet(own)
+                carried = [own] if self._folders(f"{own}/bucket=*") else []
+                self.oldest_day = oldest_day
+            self.history, self.versions = [*self.history, *carried], [*self.versions, target]
+            self._commit([(h, None) for h in self.history] + [(None, v) for v in self.versions], base=True)
+        for pattern in ("deltas/*/part_day=*", "history/*/bucket=*/day=*"):
+            for path in self._folders(f"{self.root}/{pattern}"):
+                if int(path.rsplit("=", 1)[1]) < self.oldest_day:
+                    self._delete(path)
+        for path in self._folders(f"{self.root}/manifest/commit=*"):
+            if int(path.rsplit("=", 1)[1]) < self.commits:
+                self._delete(path)
 
 
 def _replay(events: DataFrame, order: str, slots: int, start, finish: int | None = None) -> None:
@@ -138,7 +213,7 @@ def run_recompute(events: DataFrame, slots: int = 3, rules: Rules = DEFAULT) ->
     table = DeltaTable(spark, shared_path(spark, "recompute"), rules)
     start = lambda source: source.writeStream.foreachBatch(table.apply).option("checkpointLocation", shared_path(spark, "offsets")).start()
     _replay(events.select(*EVENT_COLUMNS), "ingest_ms", slots, start)
-    return table.read().drop("day_no")
+    return table.read()
 
 
 def _text(names) -> list[T.StructField]:
