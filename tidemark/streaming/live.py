@@ -187,7 +187,9 @@ def _replay(events: DataFrame, order: str, slots: int, start, finish: int | None
     """Append ``slots`` contiguous shares of ``events`` by ``order`` to a stream's folder, letting it finish each; at the
     end one row far in the future (``finish`` ms) moves the watermark on."""
     spark = events.sparkSession
-    folder = shared_path(spark, "replay")
+    folder, staged = shared_path(spark, "replay"), shared_path(spark, "staged")
+    events.write.parquet(staged)  # computed once, whatever the number of slots
+    events = spark.read.schema(events.schema).parquet(staged)
     bounds = events.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     step = (bounds["hi"] - bounds["lo"]) // slots + 1
     schema = events.schema
