@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import audience as A
 from tidemark.operators import curves as Q
 from tidemark.operators import deltas as S
 from tidemark.operators import gates as G
@@ -138,3 +140,59 @@ def test_full_range_overwrites_stale_rows(make_events):
     new = full.withColumn("computed_ms", F.lit(2))
     now = S.current_deltas(old.select(*new.columns).unionByName(new))
     assert sorted(now.where("delta_sessions <> 0").select("minute", "delta_sessions").collect()) == sorted(merged.where("delta_sessions <> 0").select("minute", "delta_sessions").collect())
+
+
+@pytest.mark.parametrize("rules", [Rules(), Rules(error_policy="inactive", fg_default=0), Rules(error_policy="terminal", use_liveness=False, ignore_downloads=True)])
+def test_gates_by_a_prefix_scan_equal_those_by_windows(make_events, rules):
+    rng = random.Random(8)
+    names = ["START", "PLAY", "BG", "FG", "PAUSE", "RESUME", "ERR", "HB", "HB", "DOWNLOAD"]
+    clock = lambda i: f"{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}"
+    hot = [(clock(rng.randrange(6 * 3600)), rng.choice(names)) for _ in range(600)] + [("05:50:00", "END")]
+    sessions = {"hot": hot} | {f"s{i}": [(clock(rng.randrange(3600)), rng.choice([*names, "END"])) for _ in range(30)] for i in range(40)}
+    events = make_events(sessions)
+    want = G.liveness_segments(G.gate_states(G.timeline(events, rules), rules), rules)
+    got = G.chunked_segments(G.chunked_timeline(events, rules), rules)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session" in plan and "_chunk" in plan.split("hashpartitioning(session", 1)[1][:40]
+
+
+def test_intervals_meet_points_and_ranges_once(spark):
+    rng = random.Random(3)
+    hour = 3_600_000
+    spans = [(f"s{i}", f"u{i % 7}", a := rng.randrange(9 * hour), a + rng.choice([0, 1, 60_000, hour, 4 * hour])) for i in range(80)]
+    intervals = spark.createDataFrame(spans, "session string, user_id string, start_ms long, end_ms long")
+    points = [rng.randrange(10 * hour) for _ in range(50)] + [spans[0][2], spans[0][3]]
+    got = Q.stabbing_join(intervals, spark.createDataFrame([(p,) for p in points], "at_ms long"), "at_ms").select("session", "at_ms").collect()
+    assert sorted(map(tuple, got)) == sorted((s, p) for s, _, a, b in spans for p in points if a <= p < b)
+    ranges = [(f"r{i}", lo := rng.randrange(600), lo + rng.choice([0, 1, 30, 300])) for i in range(30)]
+    frame = spark.createDataFrame(ranges, "range_name string, start_minute long, end_minute long")
+    met = Q.overlap_join(intervals, frame.selectExpr("range_name", "start_minute * 60000 AS lo", "end_minute * 60000 AS hi"), "lo", "hi").select("session", "range_name").collect()
+    assert sorted(map(tuple, met)) == sorted((s, r) for s, _, a, b in spans for r, lo, hi in ranges if a < hi * 60_000 and b > lo * 60_000 and a < b and lo < hi)
+    named = {r["range_name"]: r for r in Q.range_audience(intervals, frame.where("start_minute < end_minute")).collect()}
+    for r, lo, hi in ranges:
+        inside = [(s, u, min(b, hi * 60_000) - max(a, lo * 60_000)) for s, u, a, b in spans if a < hi * 60_000 and b > lo * 60_000 and a < b]
+        if lo < hi:
+            assert (named[r]["sessions"], named[r]["users"]) == (len(inside), len({x[1] for x in inside})) and abs(named[r]["avg_time_weighted"] - sum(x[2] for x in inside) / ((hi - lo) * 60_000)) < 0.001
+
+
+def test_concurrency_at_any_number_of_minutes(spark, make_events):
+    events = make_events({"a": [("10:00:10", "PLAY"), ("10:01:00", "HB"), ("10:02:20", "END")], "b": [("10:01:30", "PLAY"), ("10:02:00", "PAUSE")]})
+    deltas, intervals = S.deltas_of(events), G.active_intervals(events)
+    asked = spark.range(598, 606).select(F.col("id").alias("at_minute"))
+    got = {r["at_minute"]: (r["prefix_sum"], r["covering"]) for r in Q.concurrency_at(deltas, intervals, asked).collect()}
+    level = lambda m: sum(r["delta_sessions"] for r in deltas.collect() if r["minute"] <= m)
+    assert got == {m: (level(m), sum(r["start_ms"] <= m * 60_000 < r["end_ms"] for r in intervals.collect())) for m in range(598, 606)}
+
+
+def test_overlapping_sessions_of_a_user(make_events):
+    rng = random.Random(11)
+    spans = {f"s{i}": (a := rng.randrange(3000), a + rng.choice([0, 10, 600])) for i in range(40)}
+    clock = lambda i: f"{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}"
+    events = make_events({s: [(clock(a), "PLAY"), (clock(b), "HB")] for s, (a, b) in spans.items()}).withColumn("user_id", F.concat(F.lit("u"), F.substring("session", -1, 1)))
+    want = {}
+    for s, (a, b) in spans.items():
+        for t, (c, d) in spans.items():
+            if s < t and s[-1] == t[-1] and a <= d and c <= b:
+                want["u" + s[-1]] = want.get("u" + s[-1], 0) + 1
+    assert {r["user_id"]: r["pairs"] for r in A.overlapping_session_pairs(G.timeline(events)).collect()} == want and want

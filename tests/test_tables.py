@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean
+from tidemark.operators import checks as V
 from tidemark.sources import tables as IO
 
 
@@ -79,3 +80,35 @@ def test_language_is_normalised(spark):
 def test_roles(spark):
     rows = spark.createDataFrame([("VideoHeartbeat", "download-x"), ("VideoPlay", "Play"), ("VideoError", "VideoError")], "event_type string, event string")
     assert [r[0] for r in rows.select(clean.event_role()).collect()] == ["ignore", "trigger", "liveness"]
+
+
+def test_quoted_fields_hold_delimiters_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('content_id,title,video_type,category\n7,"He said ""hi"", ok",live,c\n8,"two\nlines",vod,d\n9,"",vod,\n')
+    assert [tuple(r) for r in IO.read_dim_csv(spark, str(path)).collect()] == [(7, 'He said "hi", ok', "live", "c"), (8, "two\nlines", "vod", "d"), (9, None, "vod", None)]
+
+
+def test_rows_that_do_not_fit_are_rescued(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text("content_id,title\n1,a\n2,b,too,many\n3\n")
+    rows = IO.read_events_csv(spark, str(path), rescue="record").collect()
+    assert [tuple(r) for r in rows] == [("1", "a", None), ("2", "b", "2,b,too,many"), ("3", None, "3")]
+
+
+def test_a_pointer_among_the_files_of_a_folder_is_refused(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("content_id,title\n" + "1,a\n" * 500)
+    assert IO.read_events_csv(spark, str(tmp_path)).count() == 1500
+    (tmp_path / "z.csv").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:0\n")
+    with pytest.raises(ValueError, match="pointer"):
+        IO.read_events_csv(spark, str(tmp_path))
+
+
+def test_sessions_over_midnight_lie_in_one_partition_by_start_day(spark, make_events, tmp_path):
+    events = make_events({"night": [("23:59:00", "PLAY"), ("24:01:00", "END")], "day": [("10:00:00", "PLAY")], "next": [("24:30:00", "PLAY")]})
+    IO.write_partitioned(IO.by_session_start(events, "event_ms"), str(tmp_path / "start"), "start_minute", ["session"])
+    stored = spark.read.parquet(str(tmp_path / "start"))
+    assert tuple(V.one_partition_per_session(stored).first())[1:] == (0.0, 0.0, True)
+    assert {(r["session"], str(r["day"])) for r in stored.collect()} == {("night", "1970-01-01"), ("day", "1970-01-01"), ("next", "1970-01-02")}
+    IO.write_partitioned(events.withColumn("at", F.expr("event_ms div 60000")), str(tmp_path / "event"), "at", ["session"])
+    assert tuple(V.one_partition_per_session(spark.read.parquet(str(tmp_path / "event"))).first())[1:] == (1.0, 0.0, False)

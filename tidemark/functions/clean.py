@@ -16,7 +16,7 @@ CONTENT_ATTRIBUTES = ["title", "video_type", "category", "show_name"]
 PAUSES = ("pause", "speed-pause", "AdPause")
 RESUMES = ("resume", "speed-resume", "AdResume")
 #: Heartbeat events sent on a timer.
-QUALITY = ("BufferStart", "BufferEnd", "downshift", "upshift", "dropped-frames", "network-change")
+QUALITY = ("BufferStart", "BufferEnd", "downshift", "upshift", "dropped-frames", "network-change", "speed-change", "video_quality_change")
 KEEPALIVE = ("buffer-health", "video-resize", "network-bandwidth", "network-activity")
 
 

@@ -169,6 +169,7 @@ def gap_minutes_carry(curve: DataFrame, points: DataFrame) -> DataFrame:
     return _check(quiet, "gap_minutes_changed", F.count_if(F.col("concurrency") != F.col("b")), 0, EQUAL)
 
 
-def one_partition_per_session(e: DataFrame, day_ms: int = 86_400_000) -> DataFrame:
-    """Sessions whose events fall on several days, so that a partition by event day would part them."""
-    return _check(e.groupBy("session").agg(F.countDistinct(div("event_ms", day_ms)).alias("n")), "sessions_over_partitions", F.count_if(F.col("n") > 1), 0, EQUAL)
+def one_partition_per_session(stored: DataFrame) -> DataFrame:
+    """Sessions of a stored table whose rows lie in several of its partition folders."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1)
+    return _check(stored.select("session", folder.alias("_folder")).groupBy("session").agg(F.countDistinct("_folder").alias("n")), "sessions_over_partitions", F.count_if(F.col("n") > 1), 0, EQUAL)

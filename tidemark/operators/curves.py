@@ -210,14 +210,40 @@ def range_metrics(intervals: DataFrame, start: int, end: int) -> DataFrame:
     return peak.join(rest)  # one row each
 
 
-def concurrency_at(deltas: DataFrame, intervals: DataFrame, minutes: Sequence[int]) -> DataFrame:
-    """Q17: the prefix sum at given minutes beside the count of intervals that cover the minute's first instant."""
-    spark = deltas.sparkSession
-    asked = F.array(*[F.lit(int(m)).cast("long") for m in minutes])
-    prefix = deltas.select(F.explode(F.filter(asked, lambda m: m >= F.col("minute"))).alias("at_minute"), "delta_sessions").groupBy("at_minute").agg(F.sum("delta_sessions").alias("prefix_sum"))
-    stab = intervals.select(F.explode(F.filter(asked, lambda m: (m * MINUTE_MS >= F.col("start_ms")) & (m * MINUTE_MS < F.col("end_ms")))).alias("at_minute")).groupBy("at_minute").agg(F.count("*").alias("covering"))
-    axis = spark.range(1).select(F.explode(asked).alias("at_minute"))
-    return axis.join(prefix, "at_minute", "left").join(stab, "at_minute", "left").fillna(0, ["prefix_sum", "covering"])
+def stabbing_join(intervals: DataFrame, points: DataFrame, at_ms: str, bucket_ms: int = HOUR * MINUTE_MS) -> DataFrame:
+    """Every pair of an interval [start_ms, end_ms) and a point in it: both meet in buckets of time by an equi-join.  A point
+    lies in one bucket, so each pair comes once."""
+    buckets = F.sequence(div("start_ms", bucket_ms), div(F.col("end_ms") - 1, bucket_ms))
+    spread = intervals.where("end_ms > start_ms").withColumn("_bucket", F.explode(buckets))
+    return spread.join(points.withColumn("_bucket", div(at_ms, bucket_ms)), "_bucket").where((F.col(at_ms) >= F.col("start_ms")) & (F.col(at_ms) < F.col("end_ms"))).drop("_bucket")
+
+
+def overlap_join(intervals: DataFrame, ranges: DataFrame, lo_ms: str, hi_ms: str, bucket_ms: int = HOUR * MINUTE_MS) -> DataFrame:
+    """Every pair of an interval and a range [lo_ms, hi_ms) that overlap.  Both are spread over the buckets of time that they
+    touch; a pair counts in the first bucket that both touch."""
+    left = intervals.where("end_ms > start_ms").withColumns({"_from": div("start_ms", bucket_ms)}).withColumn("_bucket", F.explode(F.sequence("_from", div(F.col("end_ms") - 1, bucket_ms))))
+    right = ranges.where(F.col(hi_ms) > F.col(lo_ms)).withColumn("_begin", div(lo_ms, bucket_ms)).withColumn("_bucket", F.explode(F.sequence("_begin", div(F.col(hi_ms) - 1, bucket_ms))))
+    first = F.col("_bucket") == F.greatest("_from", "_begin")
+    return left.join(right, "_bucket").where(first & (F.col("start_ms") < F.col(hi_ms)) & (F.col("end_ms") > F.col(lo_ms))).drop("_bucket", "_from", "_begin")
+
+
+def range_audience(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Q16 for any number of ``ranges(range_name, start_minute, end_minute)``: time-weighted mean, sessions and users of each."""
+    asked = ranges.select("range_name", (F.col("start_minute") * MINUTE_MS).alias("_lo"), (F.col("end_minute") * MINUTE_MS).alias("_hi"))
+    met = overlap_join(intervals, asked, "_lo", "_hi").withColumn("_ms", F.least("end_ms", "_hi") - F.greatest("start_ms", "_lo"))
+    found = met.groupBy("range_name").agg(F.sum("_ms").alias("_ms"), F.countDistinct("session").alias("sessions"), F.countDistinct("user_id").alias("users"))
+    mean = rounded(F.coalesce("_ms", F.lit(0)) / (F.col("_hi") - F.col("_lo")), 3).alias("avg_time_weighted")
+    return asked.join(found, "range_name", "left").select("range_name", mean, F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("users", F.lit(0)).alias("users"))
+
+
+def concurrency_at(deltas: DataFrame, intervals: DataFrame, asked: DataFrame) -> DataFrame:
+    """Q17: the prefix sum at each ``at_minute`` of ``asked`` beside the count of intervals that cover the minute's first
+    instant.  The asked minutes are zero steps of the running sum, so there may be any number of them."""
+    asked = asked.select(F.col("at_minute").cast("long").alias("at_minute")).distinct()
+    steps = deltas.select("minute", "delta_sessions").unionByName(asked.select(F.col("at_minute").alias("minute"), F.lit(0).cast("long").alias("delta_sessions")))
+    prefix = running_sum(minute_steps(steps), ["delta_sessions"]).select(F.col("minute").alias("at_minute"), F.col("delta_sessions").alias("prefix_sum"))
+    stab = stabbing_join(intervals, asked.withColumn("_at_ms", F.col("at_minute") * MINUTE_MS), "_at_ms").groupBy("at_minute").agg(F.count("*").alias("covering"))
+    return asked.join(prefix, "at_minute").join(stab, "at_minute", "left").fillna(0, ["covering"])
 
 
 def local_peaks(curve: DataFrame, n: int = 6, spacing: int = 15) -> DataFrame:

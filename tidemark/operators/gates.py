@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.clean import DIMENSIONS, classify_signal, event_role, pin_dimensions, tie_break
+from ..functions.times import div
 from ..plans.config import DEFAULT, Rules
 
 KEYS = ["session", *DIMENSIONS]
@@ -60,6 +61,48 @@ def liveness_segments(states: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     return states.withColumns({"seg_end_ms": end, "is_active": is_counted(rules)})
 
 
+def chunked_timeline(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """``timeline`` for sessions of any length: the first event's dimensions are an aggregate that meets the events by a join,
+    which Spark splits where one session is hot."""
+    if rules.ignore_downloads:
+        events = events.where(event_role() != "ignore")
+    signal = classify_signal()
+    rows = events.withColumn("signal", signal).withColumn("tie_break", tie_break("signal", rules.tie_order))
+    first = rows.groupBy("session").agg(F.min_by(F.struct(*DIMENSIONS), F.struct(*ORDER)).alias("_d")).select("session", "_d.*")
+    once = rows.groupBy("session", "event_ms", "event_type", "event", "signal", "tie_break").agg(F.min("event_id").alias("event_id"))
+    return once.join(first, "session").select(*KEYS, "event_ms", "event_type", "event", "signal", "tie_break", "event_id")
+
+
+def chunked_segments(line: DataFrame, rules: Rules = DEFAULT, chunk_ms: int = 600_000) -> DataFrame:
+    """S1, S2 by a prefix scan: the columns of ``liveness_segments(gate_states(line))``, with a session's events in many tasks.
+
+    What a chunk of time does to the gates is a function: each gate is set to a value or left alone, ends are added, and
+    such functions compose to one of the same kind.  Each (session, chunk) is summed up to its function and first event; a
+    scan over a session's chunks gives the gates that a chunk starts with and the event that follows it; inside a chunk a
+    window does the rest.
+    """
+    s, chunk = F.col("signal"), ["session", "_chunk"]
+    stops = ("PAUSE", "ERR") if rules.error_policy == "inactive" else ("PAUSE",)
+    ends = ("END", "ERR") if rules.error_policy == "terminal" else ("END",)
+    marked = line.withColumns({
+        "_chunk": div("event_ms", chunk_ms), "_fg": F.when(s == "FG", 1).when(s == "BG", 0),
+        "_playing": F.when(s.isin("PLAY", "RESUME"), 1).when(s.isin(*stops), 0), "_ends": s.isin(*ends).cast("int"),
+    })
+    place = F.struct(*ORDER)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c)
+    done = marked.groupBy(*chunk).agg(last("_fg"), last("_playing"), F.sum("_ends").alias("_ends"), F.min("event_ms").alias("_first"))
+    scan = W.partitionBy("session").orderBy("_chunk")
+    before = scan.rowsBetween(W.unboundedPreceding, -1)
+    opened = done.select(*chunk, F.coalesce(F.last("_fg", ignorenulls=True).over(before), F.lit(rules.fg_default)).alias("_fg0"), F.coalesce(F.last("_playing", ignorenulls=True).over(before), F.lit(rules.playing_default)).alias("_playing0"), F.coalesce(F.sum("_ends").over(before), F.lit(0)).alias("_ends0"), F.lead("_first").over(scan).alias("_next"))
+    inside = W.partitionBy(*chunk).orderBy(*ORDER)
+    so_far = inside.rowsBetween(W.unboundedPreceding, 0)
+    local = marked.withColumns({"_fg": F.last("_fg", ignorenulls=True).over(so_far), "_playing": F.last("_playing", ignorenulls=True).over(so_far), "_ends": F.sum("_ends").over(so_far), "_after": F.lead("event_ms").over(inside)})
+    states = local.join(opened, chunk).withColumns({"fg": F.coalesce("_fg", "_fg0"), "playing": F.coalesce("_playing", "_playing0"), "ended": (F.col("_ends") + F.col("_ends0")).cast("int"), "_after": F.coalesce("_after", "_next")})
+    cap = F.col("event_ms") + rules.timeout_ms
+    end = F.least("_after", cap) if rules.use_liveness else F.coalesce("_after", cap)
+    return states.withColumns({"seg_end_ms": end, "is_active": is_counted(rules)}).select(*line.columns, "fg", "playing", "ended", "seg_end_ms", "is_active")
+
+
 def active_segments(segments: DataFrame) -> DataFrame:
     """S3: the active segments as ``session, dims, seg_start_ms, seg_stop_ms``."""
     return segments.where("is_active").select(*KEYS, F.col("event_ms").alias("seg_start_ms"), F.col("seg_end_ms").alias("seg_stop_ms"))

@@ -25,7 +25,7 @@ from ..sources.serving import DeltaStore
 from ..sources.shared import shared_path
 from ..streaming import live
 from .config import DEFAULT
-from .oracle import DIMS_FOR_BREAKDOWN, HOURLY_SPLITS, MARK_MS, RANGES, W0, W1, WHOLE
+from .oracle import DIMS_FOR_BREAKDOWN, HOURLY_SPLITS, MARK_MS, MIDNIGHT_MS, RANGES, W0, W1, WHOLE
 
 MAIN_CONTENT = 49
 HOUR_MS = 3_600_000
@@ -216,6 +216,20 @@ def phantom_share_by(m: Model, dim: str = "platform") -> DataFrame:
     return naive.join(active, dim, "left").join(peaks, dim, "left").withColumn("phantom_share", rounded((F.col("naive_hours") - F.col("active_hours")) / F.nullif("naive_hours", F.lit(0.0)), 4))
 
 
+def stored_by_start(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Events stored by the day on which their session starts."""
+    path = shared_path(spark, "by-start")
+    IO.write_partitioned(IO.by_session_start(events.select("session", "event_ms"), "event_ms"), path, "start_minute", ["session"])
+    return spark.read.parquet(path)
+
+
+def midnight_layout(m: Model) -> DataFrame:
+    """A5: the events of a table with sessions over midnight, by the partition that they are stored in."""
+    rows = stored_by_start(m.spark, m.bare_events.withColumn("event_ms", F.col("event_ms") + MIDNIGHT_MS))
+    later = div("event_ms", DAY * MINUTE_MS) > div("start_minute", DAY)
+    return rows.groupBy(F.col("day").cast("string").alias("stored_day")).agg(F.countDistinct("session").alias("sessions"), F.count("*").alias("events"), F.count_if(later).alias("after_midnight"))
+
+
 def data_checks(m: Model) -> DataFrame:
     """V1-V25 as one table."""
     e, empty = m.events, (F.coalesce(F.col("platform"), F.lit("")) == "") | (F.coalesce(F.col("country"), F.lit("")) == "") | F.col("content_id").isNull()
@@ -229,7 +243,7 @@ def data_checks(m: Model) -> DataFrame:
         V.count_events(e, "resume_beats", F.col("event") == "resume", 1000), V.distinct_values(e, "platforms", "platform", 1, 20), V.count_events(e, "empty_dimensions", empty, 0, V.EQUAL), V.distinct_values(e, "categories", "category", 20, 200),
         V.repeated_events(e), V.ties(m.line, 1000), V.never_negative(curve), V.nets_to_zero(m.deltas), V.equals_occupancy(curve, m.minutes, start, end), V.equals_occupancy(dense_by, m.minutes, start, end, ["platform"]),
         V.active_within_presence(m.minutes, m.open_minutes), V.ledger_is_sound(S.run_ledger(m.runs)), V.ledger_run_count(S.run_ledger(m.runs), m.minutes), V.pinned_is_first(m.line, e), V.ended_is_inactive(m.states, m.active), V.errors_go_inactive(m.line, m.active),
-        V.hour_cut_equals(as_curve, Q.hour_seeded_curve(S.hour_cut_deltas(m.runs))), V.gap_minutes_carry(curve, points), V.one_partition_per_session(e), V.has_columns(m.deltas, "delta_columns", [*G.KEYS, "minute", "delta_sessions", "delta_open"]),
+        V.hour_cut_equals(as_curve, Q.hour_seeded_curve(S.hour_cut_deltas(m.runs))), V.gap_minutes_carry(curve, points), V.one_partition_per_session(stored_by_start(m.spark, m.bare_events)), V.has_columns(m.deltas, "delta_columns", [*G.KEYS, "minute", "delta_sessions", "delta_open"]),
     ])
 
 
@@ -247,6 +261,14 @@ def read_dim_csv(m: Model) -> DataFrame:
     return IO.read_dim_csv(m.spark, path)
 
 
+def read_quoted_csv(m: Model) -> DataFrame:
+    """Content metadata whose titles hold quotes, delimiters and line breaks, in CSV files, read back."""
+    path = shared_path(m.spark, "quoted")
+    title = F.concat(F.lit('He said "'), "title", F.lit('", '), "category", F.lit("\nand left"))
+    m.content.select("content_id", title.alias("title"), "video_type", "category").write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return IO.read_dim_csv(m.spark, path)
+
+
 def write_partitioned(m: Model) -> DataFrame:
     """A5: the deltas stored by day, read back with the day of their partition."""
     path = shared_path(m.spark, "by-day")
@@ -276,7 +298,9 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "decode_events": lambda m: clean.decode_events(IO.as_landing_rows(m.raw_events), F.col("ingest_ms").cast("long"), keep=["event_id"]).select("event_id", "session", "user_id", "content_id", "event_type", "event", "event_ms", "platform", "country", "ingest_ms"),
     "read_events_csv": read_events_csv,
     "read_dim_csv": read_dim_csv,
+    "read_quoted_csv": read_quoted_csv,
     "write_partitioned": write_partitioned,
+    "midnight_layout": midnight_layout,
     "replay_day": replay_day,
     "normalize_dim": lambda m: m.bare_events.groupBy(clean.normalize_dim("audio_language").alias("audio"), clean.normalize_dim("subtitle_language").alias("subtitle")).agg(F.count("*").alias("events")),
     "latest_version": lambda m: clean.latest_version(m.content_versions, ["content_id"], "updated_ms"),
@@ -289,6 +313,7 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "apply_retention": lambda m: IO.apply_retention(m.deltas, "minute", W0 + 30),
     "gate_states": lambda m: _dims(m.states, "event_ms", "tie_break", "signal", "event_id", "fg", "playing", "ended"),
     "liveness_segments": lambda m: _dims(m.segments, "event_ms", "signal", "event_id", "seg_end_ms", "is_active"),
+    "chunked_segments": lambda m: G.chunked_segments(G.chunked_timeline(m.bare_events)).select(*G.KEYS, "event_ms", "signal", "event_id", "fg", "playing", "ended", "seg_end_ms", "is_active"),
     "active_segments": lambda m: m.active,
     "active_intervals": lambda m: G.active_intervals(m.events),
     "session_minutes": lambda m: m.minutes,
@@ -341,7 +366,8 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "average_variants": average_variants,
     "range_matrix": range_matrix,
     "range_metrics": lambda m: Q.range_metrics(m.intervals, W0, W1),
-    "concurrency_at": lambda m: Q.concurrency_at(m.deltas, m.intervals, [W0, W0 + 20, W0 + 45]),
+    "range_audience": lambda m: Q.range_audience(m.intervals, m.spark.createDataFrame([(k, a, b) for k, (a, b) in RANGES.items()], "range_name string, start_minute long, end_minute long")),
+    "concurrency_at": lambda m: Q.concurrency_at(m.deltas, m.intervals, m.spark.createDataFrame([(W0,), (W0 + 20,), (W0 + 45,)], "at_minute long")),
     "local_peaks": lambda m: Q.local_peaks(m.curve),
     "union_peak_vs_sum": union_peak_vs_sum,
     "hour_seeded_curve": lambda m: Q.hour_seeded_curve(S.hour_cut_deltas(m.runs)),

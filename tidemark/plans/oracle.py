@@ -4,6 +4,7 @@ from __future__ import annotations
 
 W0, W1 = 28_401_150, 28_401_210
 LO_MS, HI_MS = W0 * 60_000, W1 * 60_000  # 2024-01-01 00:30 and 01:30 in minutes since the epoch
+MIDNIGHT_MS = 23 * 3_600_000  # moves the session data over midnight
 MARK_MS = 1_704_067_200_000 + 60 * 60_000  # the watermark of the open-session queries, 01:00
 RANGES = {"before": (W0 - 90, W0 - 60), "ramp_up": (W0 - 30, W0 - 20), "sustained": (W0 - 10, W0 + 10), "one_minute": (W0 - 28, W0 - 27), "ramp_down": (W0 + 70, W0 + 90), "hour": (W0, W1), "day": (W0 - 30, W0 + 1410)}
 K = "session, user_id, platform, country, video_resolution, content_id"
@@ -38,7 +39,7 @@ raw AS (
       WHEN kind = 'click' AND k % 4 = 0 THEN 'AppBackgrounded' WHEN kind = 'click' AND k % 4 = 1 THEN 'AppForegrounded'
       WHEN kind = 'error' AND k % 2 = 0 THEN 'VideoSessionEnd' WHEN kind = 'error' THEN 'VideoError' ELSE 'VideoHeartbeat' END AS event_type,
     CASE WHEN kind = 'view' THEN 'Play' WHEN kind = 'signup' THEN 'VideoSessionStart'
-      WHEN kind = 'click' THEN ['AppBackgrounded', 'AppForegrounded', 'buffer-health', 'network-activity', 'AppBackgrounded', 'AppForegrounded', 'downshift', 'dropped-frames'][k % 8 + 1]
+      WHEN kind = 'click' THEN ['AppBackgrounded', 'AppForegrounded', 'buffer-health', 'network-activity', 'AppBackgrounded', 'AppForegrounded', 'downshift', 'dropped-frames', 'AppBackgrounded', 'AppForegrounded', 'speed-change', 'video_quality_change', 'AppBackgrounded', 'AppForegrounded', 'buffer-health', 'network-activity'][k % 16 + 1]
       WHEN kind = 'purchase' THEN ['pause', 'resume', 'BufferStart', 'pause', 'resume', 'BufferEnd'][k % 6 + 1]
       WHEN k % 2 = 0 THEN 'VideoSessionEnd' ELSE 'VideoError' END AS event,
     1704067200000 + us // 1000 AS event_ms,
@@ -235,13 +236,13 @@ CHECKS = [
     check("curve_against_occupancy_platform", "count(*) FILTER (WHERE concurrency <> n)", f"(SELECT s.minute, s.platform, concurrency, count(mins.session) AS n FROM {sliced_curve('platform')} AS s LEFT JOIN mins ON mins.minute = s.minute AND mins.platform = s.platform GROUP BY ALL)", 0, "v = 0"),
     check("active_over_present", "count(*) FILTER (WHERE a > o)", f"(SELECT minute, sum(a) AS a, sum(1 - a) AS o FROM {_presence} GROUP BY minute)", 0, "v = 0"),
     check("ledger_run_count", "abs((SELECT count(*) FROM runs) - count(*))", "mins AS m ANTI JOIN (SELECT session, minute + 1 AS minute FROM mins) AS b ON b.session = m.session AND b.minute = m.minute", 0, "v = 0"),
-    check("ledger_faults", "count(*) FILTER (WHERE run_start >= run_end OR run_start < reach)", "(SELECT *, lag(run_end) OVER (PARTITION BY session ORDER BY run_start) AS reach FROM runs)", 0, "v = 0"),
+    check("ledger_faults", "count(*) FILTER (WHERE sign NOT IN (1, -1) OR run_start >= run_end OR run_start < reach)", "(SELECT *, 1 AS sign, lag(run_end) OVER (PARTITION BY session ORDER BY run_start) AS reach FROM runs)", 0, "v = 0"),
     check("pins_not_first", "count(*) FILTER (WHERE p <> f)", "(SELECT DISTINCT session, row(user_id, platform, country, video_resolution, content_id) AS p FROM tl) JOIN (SELECT session, row(user_id, platform, country, video_resolution, content_id) AS f FROM sig QUALIFY row_number() OVER (PARTITION BY session ORDER BY event_ms, tie_break, event_id) = 1) USING (session)", 0, "v = 0"),
     check("active_after_end", "count(*) FILTER (WHERE seg_start_ms > end_ms)", "act JOIN (SELECT session, min(event_ms) AS end_ms FROM tl WHERE signal = 'END' GROUP BY session) USING (session)", 0, "v = 0"),
     check("active_beyond_timeout", "count(*) FILTER (WHERE seg_stop_ms > hi + 90000)", "act JOIN (SELECT session, max(event_ms) AS hi FROM tl GROUP BY session HAVING count(*) FILTER (WHERE signal = 'ERR') > 0) USING (session)", 0, "v = 0"),
     check("hour_cut_differs", "count(*) FILTER (WHERE concurrency <> cc)", f"(SELECT minute, (sum(d) OVER (PARTITION BY hour ORDER BY minute))::BIGINT AS concurrency FROM (SELECT hour, minute, sum(d) AS d FROM {_cut_d} WHERE minute < hour + 60 GROUP BY ALL)) JOIN points USING (minute)", 0, "v = 0"),
     check("gap_minutes_changed", "count(*) FILTER (WHERE c.concurrency <> b.concurrency)", "curve AS c JOIN curve AS b ON b.minute = c.minute - 1 WHERE c.minute NOT IN (SELECT minute FROM deltas)", 0, "v = 0"),
-    check("sessions_over_partitions", "count(*) FILTER (WHERE n > 1)", "(SELECT count(DISTINCT event_ms // 86400000) AS n FROM ev GROUP BY session)", 0, "v = 0"),
+    check("sessions_over_partitions", "count(*) FILTER (WHERE n > 1)", "(SELECT count(DISTINCT stored) AS n FROM (SELECT session, min(event_ms) OVER (PARTITION BY session) // 86400000 AS stored FROM ev) GROUP BY session)", 0, "v = 0"),
     check("delta_columns", "9 - count(*)", "(DESCRIBE SELECT * FROM deltas) WHERE column_name IN ('session', 'user_id', 'platform', 'country', 'video_resolution', 'content_id', 'minute', 'delta_sessions', 'delta_open')", 0, "v = 0"),
 ]
 
@@ -262,6 +263,10 @@ BODIES: dict[str, str] = {
     "changed_sessions": f"SELECT session, count(*) AS events FROM ev WHERE session IN (SELECT session FROM ev WHERE ingest_ms > {MARK_MS} AND ingest_ms <= {MARK_MS} + 595000) GROUP BY session",
     "apply_retention": f"SELECT {K}, {t('minute')}, delta_sessions, delta_open FROM deltas WHERE minute >= {W0 + 30}",
     # state machine
+    "read_quoted_csv": "SELECT content_id, 'He said \"' || title || '\", ' || category || chr(10) || 'and left' AS title, video_type, category FROM content",
+    "midnight_layout": f"SELECT strftime(make_timestamp(lo * 1000), '%Y-%m-%d') AS stored_day, count(DISTINCT session) AS sessions, count(*) AS events, count(*) FILTER (WHERE moved // 86400000 > lo // 86400000) AS after_midnight FROM (SELECT *, min(moved) OVER (PARTITION BY session) AS lo FROM (SELECT session, event_ms + {MIDNIGHT_MS} AS moved FROM raw)) GROUP BY ALL",
+    "chunked_segments": f"SELECT {K}, {ms('event_ms', 'event_ts')}, signal, event_id, fg, playing, ended, {ms('seg_end_ms', 'seg_end_ts')}, is_active FROM seg",
+    "range_audience": "SELECT range_name, round(coalesce(sum(CASE WHEN session IS NOT NULL THEN least(end_ms, hi) - greatest(start_ms, lo) END), 0) / (hi - lo), 3) AS avg_time_weighted, count(DISTINCT session) AS sessions, count(DISTINCT user_id) AS users FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in RANGES) + "]) AS range_name, unnest([" + ", ".join(str(a * 60_000) for a, _ in RANGES.values()) + "]) AS lo, unnest([" + ", ".join(str(b * 60_000) for _, b in RANGES.values()) + "]) AS hi) AS r LEFT JOIN iv ON start_ms < hi AND end_ms > lo AND end_ms > start_ms GROUP BY range_name, lo, hi",
     "gate_states": f"SELECT {K}, {ms('event_ms', 'event_ts')}, tie_break, signal, event_id, fg, playing, ended FROM st",
     "liveness_segments": f"SELECT {K}, {ms('event_ms', 'event_ts')}, signal, event_id, {ms('seg_end_ms', 'seg_end_ts')}, is_active FROM seg",
     "active_segments": f"SELECT {K}, {ms('seg_start_ms', 'seg_start_ts')}, {ms('seg_stop_ms', 'seg_stop_ts')} FROM act",
@@ -413,7 +418,7 @@ BODIES: dict[str, str] = {
     "dim_join_coverage": "SELECT (SELECT count(DISTINCT content_id) FROM ev) AS watched_contents, count(DISTINCT content_id) AS missing_contents, count(*) AS missing_events FROM ev WHERE content_id NOT IN (SELECT content_id FROM content)",
     "peak_minute_shift": " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, peak, {t('m', 'peak_minute')}, m - (SELECT m FROM (SELECT {PEAK} FROM curve)) AS shift_minutes FROM (SELECT {d}, {PEAK} FROM {sliced_curve(d)} GROUP BY {d})" for d in ("platform", "video_type")),
     "heartbeat_write_amplification": "SELECT count(*) AS steps, count(*) FILTER (WHERE m = 0) AS stayed, count(*) FILTER (WHERE m = 1) AS advanced, round(count(*) FILTER (WHERE m = 0) / count(*), 6) AS same_share FROM (SELECT event_ms // 60000 - lag(event_ms // 60000) OVER " + ORDW + " AS m FROM tl) WHERE m IS NOT NULL",
-    "heartbeat_taxonomy": f"SELECT class, event, count(*) AS n, round((quantile_cont(g, 0.75) - quantile_cont(g, 0.25)) / nullif(quantile_cont(g, 0.5), 0), 4) AS iqr_over_median, round(avg(CASE WHEN fg = 0 THEN 1 ELSE 0 END), 6) AS background_share FROM (SELECT *, CASE WHEN signal IN ('PAUSE', 'RESUME') THEN 'STATE' WHEN lower(event) LIKE 'download%' THEN 'DOWNLOAD' WHEN lower(event) LIKE 'ad%' THEN 'AD' WHEN event IN {KEEP} THEN 'KEEPALIVE' WHEN event IN ('BufferStart', 'BufferEnd', 'downshift', 'upshift', 'dropped-frames', 'network-change') THEN 'QUALITY' ELSE 'UX' END AS class FROM " + _gap("(SELECT * FROM st WHERE event_type = 'VideoHeartbeat')", "session, event", "event_ms, event_id") + ") GROUP BY ALL",
+    "heartbeat_taxonomy": f"SELECT class, event, count(*) AS n, round((quantile_cont(g, 0.75) - quantile_cont(g, 0.25)) / nullif(quantile_cont(g, 0.5), 0), 4) AS iqr_over_median, round(avg(CASE WHEN fg = 0 THEN 1 ELSE 0 END), 6) AS background_share FROM (SELECT *, CASE WHEN signal IN ('PAUSE', 'RESUME') THEN 'STATE' WHEN lower(event) LIKE 'download%' THEN 'DOWNLOAD' WHEN lower(event) LIKE 'ad%' THEN 'AD' WHEN event IN {KEEP} THEN 'KEEPALIVE' WHEN event IN ('BufferStart', 'BufferEnd', 'downshift', 'upshift', 'dropped-frames', 'network-change', 'speed-change', 'video_quality_change') THEN 'QUALITY' ELSE 'UX' END AS class FROM " + _gap("(SELECT * FROM st WHERE event_type = 'VideoHeartbeat')", "session, event", "event_ms, event_id") + ") GROUP BY ALL",
     "opening_closing_signatures": f"SELECT signature, count(*) AS sessions, 'opening' AS side FROM (SELECT string_agg(signal, '>' ORDER BY n) AS signature FROM (SELECT session, signal, row_number() OVER {ORDW} AS n FROM tl) WHERE n <= 4 GROUP BY session) GROUP BY signature UNION ALL SELECT signature, count(*), 'closing' FROM (SELECT string_agg(signal, '>' ORDER BY n DESC) AS signature FROM (SELECT session, signal, row_number() OVER (PARTITION BY session ORDER BY event_ms DESC, tie_break DESC, event_id DESC) AS n FROM tl) WHERE n <= 4 GROUP BY session) GROUP BY signature",
     "signal_trigrams": f"SELECT signal || '>' || b || '>' || c AS trigram, count(*) AS n FROM (SELECT signal, lead(signal, 1) OVER {ORDW} AS b, lead(signal, 2) OVER {ORDW} AS c FROM tl WHERE signal <> 'HB') WHERE c IS NOT NULL GROUP BY ALL",
     "exclusion_reasons": f"""SELECT CASE WHEN r = '' THEN 'active' ELSE r END AS reason, count(*) AS segments, round(sum(ms) / 3600000, 4) AS hours FROM (SELECT concat_ws('+', CASE WHEN fg = 0 THEN 'background' END, CASE WHEN playing = 0 THEN 'paused' END, CASE WHEN stale = 1 THEN 'stale' END) AS r, ms FROM (

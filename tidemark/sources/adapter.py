@@ -20,6 +20,7 @@ EPOCH_MS = 1_704_067_200_000  # 2024-01-01
 PLATFORMS = ("android", "ios", "web", "mweb", "androidtv", "firetv", "appletv", "roku", "samsungtv", "lgtv")
 RESOLUTIONS = ("480p", "720p", "1080p", "unknown")
 AUDIO = ("en-US", "HI", "ta-IN", "UNK", "off", "")
+BEATS = ("", "", "buffer-health", "network-activity", "", "", "downshift", "dropped-frames", "", "", "speed-change", "video_quality_change", "", "", "buffer-health", "network-activity")
 SUBTITLES = ("off", "EN", "hi-in", "unk")
 
 
@@ -68,7 +69,7 @@ class SessionData:
             .when((kind == "error") & (F.col("k") % 2 == 0), "VideoSessionEnd").when(kind == "error", "VideoError").otherwise(beat)
         )
         event = (
-            F.when(kind == "view", "Play").when((kind == "click") & (F.col("k") % 4 >= 2), _pick(("", "", "buffer-health", "network-activity", "", "", "downshift", "dropped-frames"), F.col("k")))
+            F.when(kind == "view", "Play").when((kind == "click") & (F.col("k") % 4 >= 2), _pick(BEATS, F.col("k")))
             .when(kind == "purchase", _pick(("pause", "resume", "BufferStart", "pause", "resume", "BufferEnd"), F.col("k"))).otherwise(event_type)
         )
         n_part = self.table("part").agg(F.count("*").alias("n_part"))  # one row

@@ -19,17 +19,29 @@ POINTER = "version https://git-lfs"
 
 
 def reject_pointer_file(spark: SparkSession, path: str) -> None:
-    """A2: refuse a large-file pointer in place of the data."""
-    if any(r["value"].startswith(POINTER) for r in spark.read.text(path).limit(1).collect()):
-        raise ValueError(f"{path} is a large-file pointer, not the data; fetch it first")
+    """A2: refuse a large-file pointer in place of the data, or as any file of a folder; only tiny files are opened."""
+    tiny = spark.read.format("binaryFile").load(path).where("length < 1024")
+    found = tiny.where(F.col("content").cast("string").startswith(POINTER)).select("path").head(1)
+    if found:
+        raise ValueError(f"{found[0]['path']} is a large-file pointer, not the data; fetch it first")
 
 
-def read_events_csv(spark: SparkSession, path: str, delimiter: str = ",", limit: int | None = None) -> DataFrame:
+def read_events_csv(spark: SparkSession, path: str, delimiter: str = ",", limit: int | None = None, rescue: str | None = None, multiline: bool = True) -> DataFrame:
     """A1: a header-named CSV; names and values trimmed, a byte order mark dropped, empty lines skipped, ragged rows kept,
-    every column a string; an empty or missing cell is null."""
+    every column a string; an empty or missing cell is null.
+
+    Quoted fields may hold the delimiter, doubled quotes and, with ``multiline``, line breaks; such files aren't split, so
+    switch it off for large files known to have none.  ``rescue`` names a column that holds the whole record where a row
+    doesn't fit the header, null elsewhere.
+    """
     reject_pointer_file(spark, path)
-    rows = spark.read.option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    rows = rows.toDF(*[c.strip().lstrip("﻿").strip() for c in rows.columns])
+    read = spark.read.option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    read = read.option("quote", '"').option("escape", '"').option("multiLine", multiline)
+    header = read.csv(path)
+    if rescue:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header.columns, rescue]])
+        header = read.schema(schema).option("columnNameOfCorruptRecord", rescue).csv(path)
+    rows = header.toDF(*[c.strip().lstrip("\ufeff").strip() for c in header.columns])
     return rows.limit(limit) if limit is not None else rows
 
 
@@ -69,14 +81,20 @@ def read_events_stream(spark: SparkSession, *, servers: str | None = None, topic
     return source.select(F.from_json(F.col("value").cast("string"), LANDING_SCHEMA).alias("v")).select("v.*")
 
 
-def write_partitioned(df: DataFrame, path: str, minute: str, keys: Sequence[str], files_per_day: int = 8) -> None:
+def write_partitioned(df: DataFrame, path: str, minute: str, keys: Sequence[str]) -> None:
     """A5: partitioned by the day of ``minute`` (epoch minutes) and sorted by ``keys`` in each file.
 
-    A day is dealt to ``files_per_day`` tasks, so that one busy day isn't one task's work.
+    Spark cuts a day into files of its advisory partition size, so a busy day is many tasks and a quiet one a single file.
     """
     day = F.date_add(F.lit("1970-01-01").cast("date"), div(minute, DAY).cast("int"))
-    slot = F.pmod(F.xxhash64(*keys), F.lit(files_per_day))
-    df.withColumn("day", day).repartition("day", slot).sortWithinPartitions("day", *keys).write.partitionBy("day").parquet(path)
+    df.withColumn("day", day).hint("rebalance", "day").sortWithinPartitions("day", *keys).write.partitionBy("day").parquet(path)
+
+
+def by_session_start(df: DataFrame, at_ms: str) -> DataFrame:
+    """Rows of sessions with ``start_minute``, the minute of the session's first row: partitioned by its day, a session lies
+    in one partition, also over midnight."""
+    first = df.groupBy("session").agg(minute_of(F.min(at_ms)).alias("start_minute"))
+    return df.join(first, "session")
 
 
 def apply_retention(df: DataFrame, minute: str, oldest_minute: int) -> DataFrame:
