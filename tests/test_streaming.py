@@ -4,6 +4,7 @@ import random
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.clean import DIMENSIONS, classify_signal, event_role, tie_break
 from tidemark.operators import curves as Q
@@ -234,3 +235,27 @@ def test_stream_with_late_arrivals_equals_batch(make_events):
     got = live.run_session_fold(events, order="ingest_ms", delay="120 seconds")
     want = S.runs_of(events).select("session", "run_start", "run_end")
     assert sorted(map(tuple, got.select("session", "run_start", "run_end").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_stream_tells_its_own_clock(spark, make_events, tmp_path):
+    events = make_events({"a": [("10:00:00", "PLAY"), ("10:00:50", "HB"), ("10:04:10", "HB")]}).select(*live.EVENT_COLUMNS)
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = live.presence_stream(source, "30 seconds").writeStream.format("memory").queryName("clock").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    clock = live.stream_clock(spark, query)
+    query.stop()
+    last = (10 * 3600 + 4 * 60 + 10) * 1000
+    got = clock.collect()
+    assert max(r["newest_ms"] or 0 for r in got) == last and max(r["watermark_ms"] for r in got) == last - 30_000 and sum(r["rows"] for r in got) == 3
+    curve = spark.range(600, 606).select(F.col("id").alias("minute"))
+    labels = {r["minute"]: r["finality"] for r in live.label_by_stream(curve, clock).collect()}
+    assert [labels[m] for m in range(600, 606)] == ["final"] * 3 + ["provisional"] * 3
+    assert set(live.label_by_stream(curve, clock.limit(0)).toPandas()["finality"]) == {"provisional"}
+
+
+def test_live_sessions_are_read_from_the_state(spark, make_events):
+    events = make_events({"a": [("10:00:00", "PLAY"), ("10:02:00", "HB")], "b": [("10:00:00", "PLAY"), ("10:01:00", "END")], "c": [("10:00:00", "PLAY")], "d": [("10:01:50", "PLAY"), ("10:02:10", "BG")], "e": [("10:01:59", "PLAY"), ("10:05:00", "PAUSE")]})
+    as_of = (10 * 3600 + 2 * 60 + 30) * 1000
+    got = {r["session"] for r in live.run_live_from_state(events, as_of).collect()}
+    assert got == {r["session"] for r in live.live_now(events, as_of).collect()} == {"a", "e"}

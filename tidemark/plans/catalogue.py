@@ -458,6 +458,8 @@ BUILD: dict[str, Callable[[Model], DataFrame]] = {
 #: Structured Streaming runs over the model's events, replayed from files in the shared folder.
 STREAMS: dict[str, Callable[[Model], DataFrame]] = {
     "recompute_changed": lambda m: live.run_recompute(m.bare_events),
+    "live_from_state": lambda m: live.run_live_from_state(m.bare_events, MARK_MS),
+    "finality_by_watermark": lambda m: live.run_finality(m.bare_events.where(F.col("event_ms") <= MARK_MS), m.curve),
     "session_fold": lambda m: live.run_session_fold(m.bare_events),
     "presence_per_minute_stream": lambda m: live.run_presence(m.bare_events),
 }

@@ -434,6 +434,8 @@ BODIES: dict[str, str] = {
     "without_heavy_users": f"SELECT {t('minute', 'bucket')}, concurrency FROM " + filtered_curve("user_id NOT IN (SELECT user_id FROM ev GROUP BY user_id HAVING count(DISTINCT session) > 14)"),
     "data_checks": " UNION ALL ".join(CHECKS),
     # incremental
+    "live_from_state": f"SELECT {K} FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_ms DESC, tie_break DESC, event_id DESC) AS back FROM st WHERE event_ms <= {MARK_MS}) WHERE back = 1 AND fg = 1 AND playing = 1 AND ended = 0 AND event_ms >= {MARK_MS} - 90000",
+    "finality_by_watermark": f"SELECT {t('minute')}, concurrency, CASE WHEN (minute + 1) * 60000 <= (SELECT max(event_ms) FROM ev WHERE event_ms <= {MARK_MS}) THEN 'final' ELSE 'provisional' END AS finality FROM curve",
     "live_now": f"SELECT {K} FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_ms DESC, tie_break DESC, event_id DESC) AS back FROM st WHERE event_ms <= {MARK_MS}) WHERE back = 1 AND fg = 1 AND playing = 1 AND ended = 0 AND event_ms >= {MARK_MS} - 90000",
     "label_finality": f"SELECT {t('minute')}, concurrency, CASE WHEN minute > {W0 + 30} THEN 'provisional' ELSE 'final' END AS finality FROM curve",
     "ingest_lag": "SELECT max(ingest_ms - event_ms) / 1000 AS max_lag_s, round(avg(ingest_ms - event_ms) / 1000, 4) AS mean_lag_s, count(*) FILTER (WHERE ingest_ms - event_ms > 60000) AS over_60s, " f"({MARK_MS} - max(ingest_ms) FILTER (WHERE ingest_ms <= {MARK_MS})) / 1000 AS cursor_lag_s, {MARK_MS} - max(ingest_ms) FILTER (WHERE ingest_ms <= {MARK_MS}) > 60000 AS cursor_alert FROM ev",

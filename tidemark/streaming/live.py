@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
@@ -365,19 +368,83 @@ def runs_of_deltas(deltas: DataFrame) -> DataFrame:
 def run_session_fold(events: DataFrame, slots: int = 3, rules: Rules = DEFAULT, order: str = "event_ms", delay: str = "0 seconds") -> DataFrame:
     """T3 over ``events`` arriving by ``order``; the runs emitted until a last far event."""
     spark = events.sparkSession
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
     out = shared_path(spark, "runs")
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with rocks_state(spark):
         start = lambda source: session_fold(source, rules, delay).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "offsets")).outputMode("append").start()
         _replay(events.select(*EVENT_COLUMNS), order, slots, start, finish=2 * 86_400_000)
+    return runs_of_deltas(spark.read.schema(DELTA).parquet(out).where("session <> 'end'"))
+
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that ``transformWithState`` needs, for as long as a query runs or its state is read."""
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        yield
     finally:
         if before is None:
-            spark.conf.unset(provider)
+            spark.conf.unset(ROCKS[0])
         else:
-            spark.conf.set(provider, before)
-    return runs_of_deltas(spark.read.schema(DELTA).parquet(out).where("session <> 'end'"))
+            spark.conf.set(ROCKS[0], before)
+
+
+def live_from_state(spark: SparkSession, checkpoint: str, as_of_ms: int, rules: Rules = DEFAULT) -> DataFrame:
+    """T6 from the fold's own state, read by Spark's state data source: the sessions that watch at ``as_of_ms``, which the
+    query's watermark must have passed by less than a minute.  No event is read."""
+    state = spark.read.format("statestore").option("stateVarName", "session").load(checkpoint)
+    known = state.select(F.col("key.session").alias("session"), "value.*")
+    return known.where(is_counted(rules) & (F.col("last_ms") >= as_of_ms - rules.timeout_ms)).select(*KEYS)
+
+
+def run_live_from_state(events: DataFrame, as_of_ms: int, slots: int = 3, rules: Rules = DEFAULT) -> DataFrame:
+    """The events up to ``as_of_ms`` go through the fold, whose state then answers."""
+    spark = events.sparkSession
+    out, offsets = shared_path(spark, "runs"), shared_path(spark, "offsets")
+    with rocks_state(spark):
+        start = lambda source: session_fold(source, rules).writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets).outputMode("append").start()
+        known = events.where(F.col("event_ms") <= as_of_ms).select(*EVENT_COLUMNS)
+        ends_at = known.agg(F.max("event_ms")).first()[0]
+        _replay(known, "event_ms", slots, start, finish=as_of_ms + 1 - (as_of_ms if ends_at is None else ends_at))
+        live = live_from_state(spark, offsets, as_of_ms, rules).where("session <> 'end'")
+        path = shared_path(spark, "live")
+        live.write.parquet(path)  # read while the state store's setting holds
+    return spark.read.schema(live.schema).parquet(path)
+
+
+def stream_clock(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """T11 from the query's progress events, one row a batch: ``batch, rows, watermark_ms, newest_ms`` (the latest event that
+    the batch brought), ``behind_s`` (how far the watermark is behind it) and ``trigger_ms`` (when the batch began)."""
+    millis = lambda text: None if text is None else int(datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp() * 1000 + 0.5)
+    told = []
+    for p in query.recentProgress:  # Spark keeps the last hundred
+        times = dict(p["eventTime"] or {})
+        told.append((p["batchId"], p["numInputRows"], millis(times.get("watermark")), millis(times.get("max")), millis(p["timestamp"])))
+    rows = spark.createDataFrame(told, "batch long, rows long, watermark_ms long, newest_ms long, trigger_ms long")
+    return rows.withColumn("behind_s", (F.col("newest_ms") - F.col("watermark_ms")) / 1000)
+
+
+def label_by_stream(curve: DataFrame, clock: DataFrame) -> DataFrame:
+    """T7 by the stream's own watermark: a minute is final once the watermark has passed its end."""
+    mark = clock.agg(F.coalesce(F.max("watermark_ms"), F.lit(0)).alias("_mark"))  # one row
+    final = (F.col("minute") + 1) * MINUTE_MS <= F.col("_mark")
+    return curve.join(F.broadcast(mark)).withColumn("finality", F.when(final, "final").otherwise("provisional")).drop("_mark")
+
+
+def run_finality(events: DataFrame, curve: DataFrame, slots: int = 3) -> DataFrame:
+    """``curve`` labelled by the watermark that the presence stream has reached after all of ``events``."""
+    spark = events.sparkSession
+    seen: list[StreamingQuery] = []
+
+    def start(source: DataFrame) -> StreamingQuery:
+        seen.append(presence_stream(source).writeStream.format("parquet").option("path", shared_path(spark, "presence")).option("checkpointLocation", shared_path(spark, "offsets")).outputMode("append").start())
+        return seen[-1]
+
+    _replay(events.select(*EVENT_COLUMNS), "event_ms", slots, start)
+    return label_by_stream(curve, stream_clock(spark, seen[-1]))
 
 
 def presence_stream(stream: DataFrame, delay: str = "0 seconds", by: tuple[str, ...] = ("platform",)) -> DataFrame:
