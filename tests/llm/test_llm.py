@@ -276,6 +276,20 @@ def test_chat_digests(spark):
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_a_conversation_with_most_of_the_rows_is_rendered_and_parsed_before_the_shuffle(spark):
+    rows = [(None if i % 3 else 1, i, "assistant" if i % 2 else "user", "[INST] " * (i % 5) + f"turn {i} " + "very long " * (20_000 if i == 7 else 1)) for i in range(400)]
+    formatted = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    assert "Exchange" not in formatted._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    plan = chat.read_back(formatted)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("_digest") < plan.index("RepartitionByExpression [conv_id") < plan.index("_parse_pieces") < plan.index("_format")
+    got = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
+    for conv in (None, 1):
+        own = [r for r in rows if r[0] == conv]
+        assert got[conv]["n_turns"] == len(own) and got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in own).encode()).hexdigest()
+    pieces = [r["rendered"] for r in chat.in_order(formatted).where("conv_id = 1").collect()]
+    assert chat.parse("".join(pieces)) == [(r, t) for c, _, r, t in rows if c == 1]
+
+
 # -- op5 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -81,64 +81,85 @@ def render_turn(role: str, text: str) -> tuple[str, int, int, int]:
     raise AssertionError("escaping every marker character always parses back")
 
 
-FORMATTED = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("rendered", pa.string()), ("loss_start", pa.int64()), ("loss_length", pa.int64()), ("escape_level", pa.int32())])
+FORMATTED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("rendered", pa.string()), ("loss_start", pa.int64()), ("loss_length", pa.int64()), ("escape_level", pa.int32())])
+PARSED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("in_loss", pa.bool_()), ("chars", pa.int64())])
 DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, piece = object(), 0
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in FORMATTED}
-        for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-            piece = piece + 1 if conv == last else 0
-            last = conv
-            for name, value in zip(out, (conv, piece, *render_turn(role or "", text or "")), strict=True):
+        for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
+            for name, value in zip(out, (conv, turn, *render_turn(role or "", text or "")), strict=True):
                 out[name].append(value)
         yield rows_out(FORMATTED, out)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces in order -> one digest for each conversation; only running hashes and sums are held."""
+def _parse_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece parsed, and what its loss span shows compared with the parsed text."""
+    for batch in batches:
+        out: dict[str, list] = {f.name: [] for f in PARSED}
+        for conv, turn, rendered, start, length in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "rendered", "loss_start", "loss_length")), strict=True):
+            turns = parse(rendered)
+            if turns is None or len(turns) != 1:
+                raise ValueError("a formatted piece is not of the grammar")
+            role, text = turns[0]
+            in_loss = role == "assistant"
+            if unescape(rendered[start : start + length]) != (text if in_loss else ""):
+                raise ValueError("a loss span is not the assistant's text")
+            for name, value in zip(out, (conv, turn, role, text, in_loss, len(rendered)), strict=True):
+                out[name].append(value)
+        yield rows_out(PARSED, out)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parsed turns in order -> one digest for each conversation; only running hashes and sums are held."""
 
     def row(conv, n, turns, loss_n, loss, chars):
         return rows_out(DIGEST, dict(zip(DIGEST.names, ([conv], [n], [turns.hexdigest()], [loss_n], [loss.hexdigest()], [chars]), strict=True)))
 
     state = None
     for batch in batches:
-        for conv, rendered, start, length in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "rendered", "loss_start", "loss_length")), strict=True):
+        for conv, role, text, in_loss, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "in_loss", "chars")), strict=True):
             if state is None or state[0] != conv:
                 if state:
                     yield row(*state)
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            turns = parse(rendered)
-            if turns is None:
-                raise ValueError("a formatted piece is not of the grammar")
-            for role, text in turns:
-                state[2].update(f"{role}\n{text}\n".encode())
-            loss = unescape(rendered[start : start + length])
-            state[4].update(loss.encode())
-            state[1] += len(turns)
-            state[3] += len(loss)
-            state[5] += len(rendered)
+            state[2].update(f"{role}\n{text}\n".encode())
+            if in_loss:
+                state[4].update(text.encode())
+                state[3] += len(text)
+            state[1] += 1
+            state[5] += chars
     if state:
         yield row(*state)
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text`` -> one row per turn with its rendered piece and loss span, in order in each partition.
+    """``conv_id, turn, role, text`` -> one row per turn with its rendered piece and loss span, in the input's order.
 
-    A conversation's formatted text is its pieces joined in order; ``loss_start`` and ``loss_length`` are code points of
-    the piece.  Rows are ordered by turn, then role and text (ties, repeated rows stay); a null turn comes first; a null
-    text or role is empty; null ids form one conversation; an empty table gives an empty result; other columns are
-    ignored.  A conversation streams through one task, of which only the current piece is in memory.
+    A conversation's formatted text is its pieces joined by turn (``in_order``); ``loss_start`` and ``loss_length`` are code
+    points of the piece.  Turns are rendered where they lie, so a huge conversation is many tasks' work.  A null text or role
+    is empty; repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn"), F.col("role"), F.col("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format, "conv_id long, piece long, rendered string, loss_start long, loss_length long, escape_level int")
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role"), F.col("text"))
+    return rows.mapInArrow(_format, "conv_id long, turn long, rendered string, loss_start long, loss_length long, escape_level int")
+
+
+def in_order(formatted: DataFrame) -> DataFrame:
+    """The pieces of each conversation behind each other in one partition, by turn (null first), ties by the piece."""
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the parser and the loss mask read from ``format_chat``'s rows (in its order)."""
-    return formatted.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Digests of what the parser and the loss mask read from ``format_chat``'s rows, one row per conversation.
+
+    Pieces are parsed where they lie; the digests alone need the order: by turn (null first), then role and text; repeated
+    rows stay, null ids form one conversation.  A conversation streams through one task, which holds running hashes only.
+    """
+    parsed = formatted.mapInArrow(_parse_pieces, "conv_id long, turn long, role string, text string, in_loss boolean, chars long")
+    ordered = parsed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 ORACLE_SQL = r"""
