@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,9 +14,9 @@ from ..plans.config import DEFAULT, Rules
 from .gates import KEYS, active_intervals, segments_of, timeline
 
 
-def session_minutes(segments: DataFrame) -> DataFrame:
-    """Every minute that an active segment touches, both ends included, once per session."""
-    return segments.select(*KEYS, F.explode(F.sequence(minute_of("seg_start_ms"), minute_of("seg_stop_ms"))).alias("minute")).distinct()
+def session_minutes(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every minute that an active segment touches, both ends included, once per session (and variant ``by``)."""
+    return segments.select(*KEYS, *by, F.explode(F.sequence(minute_of("seg_start_ms"), minute_of("seg_stop_ms"))).alias("minute")).distinct()
 
 
 def interval_minutes(intervals: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ over one session ordered by time; the session key is shuffled once and all steps
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -34,31 +35,39 @@ def timeline(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     return rows.groupBy(*KEYS, "event_ms", "event_type", "event", "signal", "tie_break").agg(F.min("event_id").alias("event_id"))
 
 
-def gate_states(line: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """``fg``, ``playing`` carried forward and ``ended`` counted up, after each event."""
+def gate_columns(rules: Rules = DEFAULT) -> dict[str, Column]:
+    """``fg``, ``playing`` carried forward and ``ended`` counted up, over a session in order."""
     s, so_far = F.col("signal"), _in_order().rowsBetween(W.unboundedPreceding, 0)
     stops = ("PAUSE", "ERR") if rules.error_policy == "inactive" else ("PAUSE",)
     ends = ("END", "ERR") if rules.error_policy == "terminal" else ("END",)
     carry = lambda on, off, default: F.coalesce(F.last(F.when(s.isin(*on), 1).when(s.isin(*off), 0), ignorenulls=True).over(so_far), F.lit(default))
-    return line.withColumns({"fg": carry(("FG",), ("BG",), rules.fg_default), "playing": carry(("PLAY", "RESUME"), stops, rules.playing_default), "ended": F.sum(F.when(s.isin(*ends), 1).otherwise(0)).over(so_far).cast("int")})
+    return {"fg": carry(("FG",), ("BG",), rules.fg_default), "playing": carry(("PLAY", "RESUME"), stops, rules.playing_default), "ended": F.sum(F.when(s.isin(*ends), 1).otherwise(0)).over(so_far).cast("int")}
+
 
+def gate_states(line: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """The gates after each event."""
+    return line.withColumns(gate_columns(rules))
 
-def is_counted(rules: Rules = DEFAULT) -> Column:
-    test = F.col("ended") == 0
+
+def is_counted(rules: Rules = DEFAULT, suffix: str = "") -> Column:
+    test = F.col(f"ended{suffix}") == 0
     if rules.use_fg:
-        test = test & (F.col("fg") == 1)
-    return test & (F.col("playing") == 1) if rules.use_playing else test
+        test = test & (F.col(f"fg{suffix}") == 1)
+    return test & (F.col(f"playing{suffix}") == 1) if rules.use_playing else test
 
 
-def liveness_segments(states: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """Each event opens a segment up to the next event, ``timeout_s`` long at most.
+def segment_end(after: Column, rules: Rules = DEFAULT) -> Column:
+    """Where an event's segment ends if the next event is at ``after`` (null: none).
 
     Without the liveness gate a segment runs to the next event; the last one is ``timeout_s`` long in any case.
     """
-    after = F.lead("event_ms").over(_in_order())
     cap = F.col("event_ms") + rules.timeout_ms
-    end = F.least(after, cap) if rules.use_liveness else F.coalesce(after, cap)
-    return states.withColumns({"seg_end_ms": end, "is_active": is_counted(rules)})
+    return F.least(after, cap) if rules.use_liveness else F.coalesce(after, cap)
+
+
+def liveness_segments(states: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """Each event opens a segment up to the next event, ``timeout_s`` long at most."""
+    return states.withColumns({"seg_end_ms": segment_end(F.lead("event_ms").over(_in_order()), rules), "is_active": is_counted(rules)})
 
 
 def chunked_timeline(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -98,9 +107,7 @@ def chunked_segments(line: DataFrame, rules: Rules = DEFAULT, chunk_ms: int = 60
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
     local = marked.withColumns({"_fg": F.last("_fg", ignorenulls=True).over(so_far), "_playing": F.last("_playing", ignorenulls=True).over(so_far), "_ends": F.sum("_ends").over(so_far), "_after": F.lead("event_ms").over(inside)})
     states = local.join(opened, chunk).withColumns({"fg": F.coalesce("_fg", "_fg0"), "playing": F.coalesce("_playing", "_playing0"), "ended": (F.col("_ends") + F.col("_ends0")).cast("int"), "_after": F.coalesce("_after", "_next")})
-    cap = F.col("event_ms") + rules.timeout_ms
-    end = F.least("_after", cap) if rules.use_liveness else F.coalesce("_after", cap)
-    return states.withColumns({"seg_end_ms": end, "is_active": is_counted(rules)}).select(*line.columns, "fg", "playing", "ended", "seg_end_ms", "is_active")
+    return states.withColumns({"seg_end_ms": segment_end(F.col("_after"), rules), "is_active": is_counted(rules)}).select(*line.columns, "fg", "playing", "ended", "seg_end_ms", "is_active")
 
 
 def active_segments(segments: DataFrame) -> DataFrame:
@@ -112,13 +119,14 @@ def segments_of(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     return active_segments(liveness_segments(gate_states(timeline(events, rules), rules), rules))
 
 
-def merge_touching(segments: DataFrame) -> DataFrame:
-    """Half-open intervals from segments: those that touch or overlap become one, empty ones go."""
-    order = W.partitionBy("session").orderBy("seg_start_ms", "seg_stop_ms")
+def merge_touching(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Half-open intervals from segments: those that touch or overlap become one, empty ones go.  ``by``: variants of the
+    measure that are kept apart; a session's variants stay in its partition."""
+    order = W.partitionBy("session", *by).orderBy("seg_start_ms", "seg_stop_ms")
     reach = F.max("seg_stop_ms").over(order.rowsBetween(W.unboundedPreceding, -1))
     marked = segments.where("seg_stop_ms > seg_start_ms").withColumn("_new", F.when(F.col("seg_start_ms") <= reach, 0).otherwise(1))
     island = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy(*KEYS, "_island").agg(F.min("seg_start_ms").alias("start_ms"), F.max("seg_stop_ms").alias("end_ms")).drop("_island")
+    return island.groupBy(*KEYS, *by, "_island").agg(F.min("seg_start_ms").alias("start_ms"), F.max("seg_stop_ms").alias("end_ms")).drop("_island")
 
 
 def active_intervals(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -159,16 +167,38 @@ VARIANTS = {
 }
 
 
-def open_session_intervals(events: DataFrame, watermark_ms: int, policy: str, rules: Rules = DEFAULT) -> DataFrame:
-    """Intervals known at ``watermark_ms``.  P1 drops sessions without END, P2 keeps them active until their last
-    signal's timeout, P3 until the watermark if their last state counts."""
+def variant_segments(states: DataFrame, name: str, variants: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """The active segments of several readings of the same events in one pass, with the reading in the column ``name``.
+    ``variants``: for each whether an event counts, and where its segment ends."""
+    options = [F.when(counts, F.struct(F.lit(v).alias(name), end.alias("seg_stop_ms"))) for v, (counts, end) in variants.items()]
+    each = states.select(*KEYS, F.col("event_ms").alias("seg_start_ms"), F.explode(F.array_compact(F.array(*options))).alias("_v"))
+    return each.select(*KEYS, "seg_start_ms", "_v.*")
+
+
+def _next_event() -> Column:
+    return F.lead("event_ms").over(_in_order())
+
+
+def policy_segments(events: DataFrame, policies: Sequence[str], rules: Rules = DEFAULT) -> DataFrame:
+    """Active segments by ``policy``, the reading of an error; one order of a session serves all."""
+    gates = {f"{c}_{p}": column for p in policies for c, column in gate_columns(replace(rules, error_policy=p)).items()}
+    states = timeline(events, rules).withColumns(gates | {"_after": _next_event()})
+    return variant_segments(states, "policy", {p: (is_counted(rules, f"_{p}"), segment_end(F.col("_after"), rules)) for p in policies})
+
+
+def ablation_segments(states: DataFrame, variants: dict[str, Rules] = VARIANTS) -> DataFrame:
+    """Active segments by ``variant``, with some of the gates each, from the gates of all."""
+    rows = states.withColumn("_after", _next_event())
+    return variant_segments(rows, "variant", {v: (is_counted(r), segment_end(F.col("_after"), r)) for v, r in variants.items()})
+
+
+def open_session_segments(events: DataFrame, watermark_ms: int, rules: Rules = DEFAULT) -> DataFrame:
+    """Active segments known at ``watermark_ms`` by ``policy``.  P1 drops sessions without END, P2 keeps them active until
+    their last signal's timeout, P3 until the watermark if their last state counts."""
     known = events.where(F.col("event_ms") <= watermark_ms)
-    if policy == "P1":
-        known = known.join(known.where(classify_signal() == "END").select("session").distinct(), "session", "left_semi")
-    intervals = active_intervals(known, rules)
-    if policy != "P3":
-        return intervals
-    last = W.partitionBy("session").orderBy(*[F.col(c).desc() for c in ORDER])
-    states = gate_states(timeline(known, rules), rules).withColumn("_n", F.row_number().over(last)).where("_n = 1").where(is_counted(rules))
-    tail = states.where(F.col("event_ms") < watermark_ms).select(*KEYS, F.col("event_ms").alias("seg_start_ms"), F.lit(watermark_ms).cast("long").alias("seg_stop_ms"))
-    return merge_touching(intervals.select(*KEYS, F.col("start_ms").alias("seg_start_ms"), F.col("end_ms").alias("seg_stop_ms")).unionByName(tail))
+    closed = F.max(F.col("signal") == "END").over(W.partitionBy("session"))
+    states = gate_states(timeline(known, rules), rules).withColumns({"_after": _next_event(), "_closed": closed})
+    end = segment_end(F.col("_after"), rules)
+    tail = F.when(F.col("_after").isNull() & (F.col("event_ms") < watermark_ms), F.greatest(end, F.lit(watermark_ms).cast("long")))
+    counts = is_counted(rules)
+    return variant_segments(states, "policy", {"P1": (counts & F.col("_closed"), end), "P2": (counts, end), "P3": (counts, F.coalesce(tail, end))})
