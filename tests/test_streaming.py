@@ -259,3 +259,62 @@ def test_live_sessions_are_read_from_the_state(spark, make_events):
     as_of = (10 * 3600 + 2 * 60 + 30) * 1000
     got = {r["session"] for r in live.run_live_from_state(events, as_of).collect()}
     assert got == {r["session"] for r in live.live_now(events, as_of).collect()} == {"a", "e"}
+
+
+def late_sessions(make_events, seed, spread):
+    """Sessions whose events arrive up to ``spread`` seconds late; those of the last one arrive in order of their time."""
+    rng = random.Random(seed)
+    sessions = {}
+    for i in range(8):
+        clock, line = 36_000 + rng.randint(0, 300), []
+        for _ in range(15):
+            clock += rng.choice([0, 5, 30, 60, 120])
+            line.append((f"{clock // 3600}:{clock % 3600 // 60}:{clock % 60}", rng.choice(["PLAY", "PAUSE", "HB", "HB", "BG", "FG", "RESUME", "END"])))
+        sessions[f"s{i}"] = line
+    late = f"CASE WHEN session = 's7' THEN 0 ELSE pmod(event_id * 7919, {spread}) * 1000 END"
+    return make_events(sessions).selectExpr("* except (ingest_ms)", f"event_ms + {late} as ingest_ms")
+
+
+def nets(df):
+    return sorted(map(tuple, df.where("delta_sessions <> 0").select("session", "minute", "delta_sessions").collect()))
+
+
+@pytest.mark.parametrize(("rules", "spread"), [(Rules(), 900), (Rules(error_policy="inactive", timeout_s=30), 4000), (Rules(ignore_downloads=True), 1)], ids=str)
+def test_on_time_deltas_and_corrections_equal_batch(make_events, rules, spread):
+    events = late_sessions(make_events, 5, spread)
+    assert nets(live.run_corrected_fold(events, slots=5, rules=rules)) == nets(S.active_deltas(S.runs_of(events, rules)))
+
+
+def test_only_late_sessions_are_corrected_and_a_repeated_batch_changes_nothing(spark, make_events):
+    events = late_sessions(make_events, 9, 2000)
+    said = S.active_deltas(S.runs_of(events.where("event_id % 3 > 0"))).select(*live.DELTA.names).withColumn("late", F.lit(False))
+    ledger = live.FoldLedger(spark, shared_path(spark, "ledger"), lambda keys: events.join(keys, "session", "left_semi"))
+    mark = lambda *names: spark.createDataFrame([(n, *[None] * 7, True) for n in names], live.SIDE)
+    ledger.apply(said, 0)
+    assert nets(ledger.read()) == nets(said)
+    for _ in range(2):
+        ledger.apply(mark("s1", "s4"), 1)
+        want = S.active_deltas(S.runs_of(events.where("event_id % 3 > 0 OR session IN ('s1', 's4')")))
+        assert nets(ledger.read()) == nets(want)
+    assert {r["session"] for r in ledger.rows().where("kind = 'correction'").select("session").collect()} <= {"s1", "s4"}
+    ledger.apply(said.limit(0), 2)
+    ledger.apply(mark(*[f"s{i}" for i in range(8)]), 3)
+    assert nets(ledger.read()) == nets(S.active_deltas(S.runs_of(events)))
+    plan = ledger.rows().where("bucket IN (3)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:60]
+
+
+def test_a_session_is_handed_over_once_and_forgotten(make_events):
+    frame = typed(make_events({"s": [("10:00:10", "PLAY"), ("10:00:40", "PAUSE"), ("10:04:00", "HB")]}), Rules())
+    play, pause, beat = frame["event_id"].tolist()
+    processor, handle = live.WatchedFold(evict_ms=600_000), Held()
+    processor.init(handle)
+    step = lambda i, at: [(None if r[0] is None else int(r[0]), r[1]) for p in processor.handleInputRows(("s",), iter([frame[frame["event_id"] == i]]), Clock(at)) for r in p[["minute", "late"]].values]
+    at = 36_010_000
+    assert step(play, at) == [(None, True)]  # unknown, and not after the watermark
+    assert step(beat, at) == [(None, True)] and list(handle.timers) == [36_240_000 + 600_000]
+    assert not list(processor.handleExpiredTimer(("s",), Clock(36_840_000), None)) and not handle.values
+    handle.timers.clear()
+    assert step(play, at - 1) == [] and [int(m) for p in processor.handleExpiredTimer(("s",), Clock(at), None) for m in p["minute"]] == [600]
+    assert step(pause, at + 60_000) == [] and handle.values["until"] == (at + 60_000, False)  # after what is folded, so on time
+    assert step(play, at + 60_000) == [(None, True)] and set(handle.values) == {"until"}

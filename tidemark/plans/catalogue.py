@@ -133,26 +133,33 @@ def _union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _by_variant(m: Model, name: str, variants, measured: DataFrame) -> DataFrame:
+    """``measured`` with a row for each variant, also for those without any."""
+    names = m.spark.createDataFrame([(v,) for v in variants], f"{name} string")
+    return names.join(measured, name, "left").fillna(0, ["intervals", "active_hours"])
+
+
 def error_policy(m: Model) -> DataFrame:
     """Intervals and hours under each reading of an error."""
-    of = lambda p: G.active_intervals(m.events, replace(DEFAULT, error_policy=p)).agg(F.count("*").alias("intervals"), _hours(None)).withColumn("policy", F.lit(p))
-    return _union(map(of, ("liveness", "inactive", "terminal")))
+    policies = ("liveness", "inactive", "terminal")
+    whole = G.merge_touching(G.policy_segments(m.events, policies), ["policy"]).groupBy("policy").agg(F.count("*").alias("intervals"), _hours(None))
+    return _by_variant(m, "policy", policies, whole)
 
 
 def gate_ablation(m: Model) -> DataFrame:
     """The measure with its gates added one by one."""
-    def of(name: str) -> DataFrame:
-        segments = G.segments_of(m.events, G.VARIANTS[name])
-        whole = G.merge_touching(segments).agg(F.count("*").alias("intervals"), _hours(None))
-        level = S.session_minutes(segments).groupBy("minute").agg(F.count("*").alias("n")).agg(F.max("n").alias("peak"), F.count("*").alias("occupied_minutes"))
-        return whole.join(level).withColumn("variant", F.lit(name))  # one row each
-
-    return _union(map(of, G.VARIANTS))
+    segments = G.ablation_segments(m.states)
+    whole = G.merge_touching(segments, ["variant"]).groupBy("variant").agg(F.count("*").alias("intervals"), _hours(None))
+    minutes = S.session_minutes(segments, ["variant"]).groupBy("variant", "minute").agg(F.count("*").alias("n"))
+    level = minutes.groupBy("variant").agg(F.max("n").alias("peak"), F.count("*").alias("occupied_minutes"))
+    return _by_variant(m, "variant", G.VARIANTS, level.join(whole, "variant", "left")).fillna(0, ["occupied_minutes"])
 
 
 def open_session_policy(m: Model) -> DataFrame:
-    of = lambda p: G.open_session_intervals(m.events, MARK_MS, p).agg(F.count("*").alias("intervals"), F.countDistinct("session").alias("sessions"), _hours(None)).withColumn("policy", F.lit(p))
-    return _union(map(of, ("P1", "P2", "P3")))
+    """Intervals and hours under each reading of sessions that are still open."""
+    intervals = G.merge_touching(G.open_session_segments(m.events, MARK_MS), ["policy"])
+    whole = intervals.groupBy("policy").agg(F.count("*").alias("intervals"), F.countDistinct("session").alias("sessions"), _hours(None))
+    return _by_variant(m, "policy", ("P1", "P2", "P3"), whole).fillna(0, ["sessions"])
 
 
 def timeout_sweep(m: Model, caps=(45, 60, 90, 120, 300)) -> DataFrame:
@@ -461,6 +468,7 @@ STREAMS: dict[str, Callable[[Model], DataFrame]] = {
     "live_from_state": lambda m: live.run_live_from_state(m.bare_events, MARK_MS),
     "finality_by_watermark": lambda m: live.run_finality(m.bare_events.where(F.col("event_ms") <= MARK_MS), m.curve),
     "session_fold": lambda m: live.run_session_fold(m.bare_events),
+    "corrected_fold": lambda m: live.run_corrected_fold(m.bare_events),
     "presence_per_minute_stream": lambda m: live.run_presence(m.bare_events),
 }
 

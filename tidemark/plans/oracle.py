@@ -441,6 +441,7 @@ BODIES: dict[str, str] = {
     "ingest_lag": "SELECT max(ingest_ms - event_ms) / 1000 AS max_lag_s, round(avg(ingest_ms - event_ms) / 1000, 4) AS mean_lag_s, count(*) FILTER (WHERE ingest_ms - event_ms > 60000) AS over_60s, " f"({MARK_MS} - max(ingest_ms) FILTER (WHERE ingest_ms <= {MARK_MS})) / 1000 AS cursor_lag_s, {MARK_MS} - max(ingest_ms) FILTER (WHERE ingest_ms <= {MARK_MS}) > 60000 AS cursor_alert FROM ev",
     "late_event_policy": "SELECT (SELECT count(*) FROM tl) AS kept_for_recompute, (SELECT count(*) FROM st WHERE ended > 0 AND signal <> 'END') AS after_end",
     "retract_and_refold": f"SELECT {K}, {t('minute')}, a::BIGINT AS delta_sessions FROM act_d",
+    "corrected_fold": f"SELECT {K}, {t('minute')}, a::BIGINT AS delta_sessions FROM act_d",
     "advance_checkpoint": f"SELECT {ms('max(ingest_ms)', 'checkpoint_ts')} FROM ev WHERE ingest_ms <= {MARK_MS} - 5000",
     "recompute_changed": f"SELECT {K}, {t('minute')}, delta_sessions, delta_open FROM deltas",
     "session_fold": f"SELECT {K}, {t('run_start')}, {t('run_end')} FROM runs",

@@ -9,7 +9,7 @@ one by one in Python; where seconds do not matter, take the recompute.  Both giv
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime
 
@@ -186,11 +186,11 @@ class DeltaTable:
                 self._delete(path)
 
 
-def _replay(events: DataFrame, order: str, slots: int, start, finish: int | None = None) -> None:
+def _replay(events: DataFrame, order: str, slots: int, start, finish: int | None = None, folder: str | None = None) -> None:
     """Append ``slots`` contiguous shares of ``events`` by ``order`` to a stream's folder, letting it finish each; at the
     end one row far in the future (``finish`` ms) moves the watermark on."""
     spark = events.sparkSession
-    folder, staged = shared_path(spark, "replay"), shared_path(spark, "staged")
+    folder, staged = folder or shared_path(spark, "replay"), shared_path(spark, "staged")
     events.write.parquet(staged)  # computed once, whatever the number of slots
     events = spark.read.schema(events.schema).parquet(staged)
     bounds = events.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
@@ -346,17 +346,132 @@ class SessionFold(StatefulProcessor):
         pass
 
 
-def session_fold(stream: DataFrame, rules: Rules = DEFAULT, delay: str = "0 seconds", evict_ms: int = 86_400_000) -> DataFrame:
-    """A stream of typed events -> deltas: +1 at a run's first minute as it opens, -1 after its last as it is final.
+SIDE = T.StructType([*DELTA.fields, T.StructField("late", T.BooleanType())])
 
-    Events later than the watermark's ``delay`` are dropped; the recompute form is the one that absorbs them.  A session's
-    events within the delay are held in its state, so the delay bounds what one session can hold.
+
+class WatchedFold(SessionFold):
+    """T5: the fold with a side output for late events.
+
+    An event is late if it isn't after the time up to which its session is folded, or, for a session that isn't known, after
+    the watermark.  What the fold has said of that session may then be wrong: the session is handed over.  Its state goes,
+    and each batch with events of it yields a row marked ``late`` instead of deltas, until ``evict_ms`` after its last one.
     """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.until = handle.getValueState("until", T.StructType([T.StructField("ms", T.LongType()), T.StructField("handed", T.BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows, watermark = list(rows), timerValues.getCurrentWatermarkInMs()
+        until, handed = self.until.get() if self.until.exists() else (watermark, False)
+        if handed or min(int(part["event_ms"].min()) for part in rows) <= until:
+            newest = max(int(part["event_ms"].max()) for part in rows)
+            self.state.clear()
+            self.pending.clear()
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+            forgotten = max(max(newest, watermark) + self.evict_ms, until if handed else NONE)
+            self.handle.registerTimer(forgotten)
+            self.until.update((forgotten, True))
+            yield pd.DataFrame([(key[0], *[None] * (len(SIDE) - 2), True)], columns=SIDE.names)
+        else:
+            yield from super().handleInputRows(key, iter(rows), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.until.exists() and self.until.get()[1]:
+            self.until.clear()
+        else:
+            yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    def _advance(self, key, waiting: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        for part in super()._advance(key, waiting, watermark):
+            yield part.assign(late=False)
+        if self.state.exists() or self.pending.exists():
+            self.until.update((watermark, False))
+        else:
+            self.until.clear()
+
+
+def _fold_input(stream: DataFrame, rules: Rules, delay: str) -> DataFrame:
     if rules.ignore_downloads:
         stream = stream.where(event_role() != "ignore")
     at = F.timestamp_millis("event_ms")
-    rows = stream.withColumn("at", at).withWatermark("at", delay).withColumn("signal", classify_signal()).withColumn("tie_break", tie_break("signal", rules.tie_order)).select(*KEYS, *ORDER, "signal", "at")
-    return rows.groupBy("session").transformWithStateInPandas(SessionFold(rules, evict_ms), DELTA, "Append", "EventTime")
+    return stream.withColumn("at", at).withWatermark("at", delay).withColumn("signal", classify_signal()).withColumn("tie_break", tie_break("signal", rules.tie_order)).select(*KEYS, *ORDER, "signal", "at")
+
+
+def session_fold(stream: DataFrame, rules: Rules = DEFAULT, delay: str = "0 seconds", evict_ms: int = 86_400_000) -> DataFrame:
+    """A stream of typed events -> deltas: +1 at a run's first minute as it opens, -1 after its last as it is final.
+
+    Events later than the watermark's ``delay`` are dropped; ``watched_fold`` and the recompute form answer them.  A session's
+    events within the delay are held in its state, so the delay bounds what one session can hold.
+    """
+    return _fold_input(stream, rules, delay).groupBy("session").transformWithStateInPandas(SessionFold(rules, evict_ms), DELTA, "Append", "EventTime")
+
+
+def watched_fold(stream: DataFrame, rules: Rules = DEFAULT, delay: str = "0 seconds", evict_ms: int = 86_400_000) -> DataFrame:
+    """T5: ``session_fold`` with a row marked ``late`` for each session that a late event has touched; for ``FoldLedger``.
+
+    The fold's input is without the event-time column, so that Spark drops no row as late; the watermark goes on as ever.
+    """
+    return _fold_input(stream, rules, delay).drop("at").groupBy("session").transformWithStateInPandas(WatchedFold(rules, evict_ms), SIDE, "Append", "EventTime")
+
+
+class FoldLedger:
+    """T5: a sink (``foreachBatch``) that keeps what a watched fold says, and takes back what late events have made wrong.
+
+    A session marked late is answered with the inverse of all that the ledger holds of it, and with its runs folded anew
+    from its whole history.  So on-time deltas and corrections together are those of the batch form for any order of arrival.
+    ``history`` gives the events of some sessions (a frame of ``session``) that have arrived so far; the table that the
+    stream reads has them.  Rows lie by batch and by bucket of the session: only touched buckets are read again, and the last
+    batch may be repeated, since it overwrites its own folders.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, history: Callable[[DataFrame], DataFrame], rules: Rules = DEFAULT, buckets: int = 16):
+        self.spark, self.root, self.history, self.rules, self.buckets = spark, root.rstrip("/"), history, rules, buckets
+
+    def _write(self, rows: DataFrame, kind: str, batch_id: int) -> None:
+        placed = rows.withColumn("bucket", F.pmod(F.xxhash64("session"), F.lit(self.buckets)).cast("int"))
+        placed.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/kind={kind}/batch={batch_id}")
+
+    def rows(self) -> DataFrame:
+        """All that was written: ``KEYS, minute, delta_sessions, late, kind, batch, bucket``."""
+        placed = [T.StructField("kind", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())]
+        return self.spark.read.schema(T.StructType([*SIDE.fields, *placed])).parquet(self.root)
+
+    def apply(self, said: DataFrame, batch_id: int) -> None:
+        self._write(said, "fold", batch_id)  # the fold runs once: what follows reads its files
+        known = self.rows().where((F.col("batch") < batch_id) | ((F.col("batch") == batch_id) & (F.col("kind") == "fold")))
+        late = known.where((F.col("batch") == batch_id) & F.col("late"))
+        touched = [r["bucket"] for r in late.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        keys = late.select("session").distinct()
+        before = known.where(F.col("bucket").isin(touched) & ~F.col("late")).join(keys, "session", "left_semi")
+        again = active_deltas(runs_of(self.history(keys), self.rules))
+        both = before.withColumn("delta_sessions", -F.col("delta_sessions")).select(*DELTA.names).unionByName(again.select(*DELTA.names))
+        self._write(_net(both).withColumn("late", F.lit(False)), "correction", batch_id)
+
+    def read(self) -> DataFrame:
+        """The deltas that hold now."""
+        return _net(self.rows().where(~F.col("late")))
+
+
+def _net(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy(*KEYS, "minute").agg(F.sum("delta_sessions").alias("delta_sessions")).where("delta_sessions <> 0")
+
+
+def run_corrected_fold(events: DataFrame, slots: int = 3, rules: Rules = DEFAULT, order: str = "ingest_ms", delay: str = "0 seconds") -> DataFrame:
+    """T5 over ``events`` arriving by ``order``: the deltas after all corrections."""
+    spark = events.sparkSession
+    folder = shared_path(spark, "replay")
+    arrived = lambda keys: spark.read.schema(source_schema).parquet(folder).join(keys, "session", "left_semi")
+    rows = events.select(*EVENT_COLUMNS)
+    source_schema = rows.schema
+    ledger = FoldLedger(spark, shared_path(spark, "ledger"), arrived, rules)
+    with rocks_state(spark):
+        start = lambda source: watched_fold(source, rules, delay).writeStream.foreachBatch(ledger.apply).option("checkpointLocation", shared_path(spark, "offsets")).outputMode("append").start()
+        _replay(rows, order, slots, start, finish=2 * 86_400_000, folder=folder)
+    return ledger.read().where("session <> 'end'")
 
 
 def runs_of_deltas(deltas: DataFrame) -> DataFrame:
