@@ -318,3 +318,24 @@ def test_a_session_is_handed_over_once_and_forgotten(make_events):
     assert step(play, at - 1) == [] and [int(m) for p in processor.handleExpiredTimer(("s",), Clock(at), None) for m in p["minute"]] == [600]
     assert step(pause, at + 60_000) == [] and handle.values["until"] == (at + 60_000, False)  # after what is folded, so on time
     assert step(play, at + 60_000) == [(None, True)] and set(handle.values) == {"until"}
+
+
+def test_a_rollup_kept_up_to_date_equals_a_full_one_after_each_batch(spark, make_events):
+    beats = lambda a, n: [(f"{a + k // 60}:{k % 60}:10", "HB") for k in range(0, n, 7)]
+    batches = [make_events({f"a{i}": beats(22, 100) for i in range(9)}), make_events({"b": beats(23, 80), "c": [("23:10:00", "PAUSE")]}, platform="tv"), make_events({"a1": beats(22, 30), "d": beats(49, 20)}), make_events({"e": [("1:00:00", "BG")]})]
+    rollup = live.PresenceRollup(spark, shared_path(spark, "rollup"))
+    told = lambda df: sorted((r["bucket"], r["platform"], r["events"], r["s"], r["u"]) for r in df.select("*", F.hll_sketch_estimate("sessions_sketch").alias("s"), F.hll_sketch_estimate("users_sketch").alias("u")).collect())
+    every = None
+    for i, batch in enumerate(batches):
+        rollup.apply(batch, i)
+        rollup.apply(batch, i)  # a repeated batch changes nothing
+        every = batch if every is None else every.unionByName(batch)
+        for level, size in (("minute", 1), ("hour", 60), ("day", 1440)):
+            at = (F.floor(F.col("event_ms") / (60_000 * size)) * size).alias("bucket")
+            whole = live.present_events(every).groupBy(at, "platform").agg(F.count("*").alias("events"), F.countDistinct("session").alias("s"), F.countDistinct("user_id").alias("u"))
+            assert told(rollup.read(level)) == sorted(map(tuple, whole.collect())), (i, level)
+    assert {r["part"] for r in rollup._rows("minute").where("batch = 2").select("part").distinct().collect()} == {22 * 60, 49 * 60}
+    assert {r["bucket"] for r in rollup._rows("hour").where("batch = 2").select("bucket").distinct().collect()} == {22 * 60, 49 * 60}  # others stay
+    assert not rollup._rows("hour").where("batch = 3").count()
+    plan = rollup._rows("minute", 2, [60])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "part" in plan.split("PartitionFilters: [")[1][:120]

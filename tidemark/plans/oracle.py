@@ -446,6 +446,7 @@ BODIES: dict[str, str] = {
     "recompute_changed": f"SELECT {K}, {t('minute')}, delta_sessions, delta_open FROM deltas",
     "session_fold": f"SELECT {K}, {t('run_start')}, {t('run_end')} FROM runs",
     "presence_per_minute_stream": f"SELECT {t('event_ms // 60000', 'minute')}, platform, count(*) AS events, count(DISTINCT session) AS sessions, count(DISTINCT user_id) AS users FROM {_present} GROUP BY ALL",
+    "presence_rollup": f"SELECT {t('event_ms // 3600000 * 60', 'bucket')}, platform, count(*) AS events, count(DISTINCT session) AS sessions, count(DISTINCT user_id) AS users FROM {_present} GROUP BY ALL",
 }
 
 ORACLE_SQL = {name: PREFIX + body.replace("round(", "round(1e-9 + ") for name, body in BODIES.items()}

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.clean import DIMENSIONS, classify_signal, event_role, tie_break
 from ..functions.numbers import rounded
-from ..functions.times import DAY, MINUTE_MS, div
+from ..functions.times import DAY, HOUR, MINUTE_MS, div, minute_of
 from ..operators.deltas import active_deltas, full_range_deltas, merged_deltas, minute_runs, open_deltas, run_ledger, runs_of, session_minutes, session_spans
 from ..operators.gates import KEYS, ORDER, active_segments, gate_states, is_counted, liveness_segments, timeline
 from ..operators.rollups import present_events
@@ -579,6 +579,65 @@ def run_presence(events: DataFrame, slots: int = 3) -> DataFrame:
     return spark.read.parquet(out).select("minute", "platform", "events", F.hll_sketch_estimate("sessions_sketch").alias("sessions"), F.hll_sketch_estimate("users_sketch").alias("users"))
 
 
+class PresenceRollup:
+    """R6 with its roll-up by hour and day, kept up to date by batches (a ``foreachBatch`` sink).
+
+    Counts and sketches add up, so a batch appends the minutes of its own events alone.  Only the hours and days that it
+    touches are merged anew, an hour from the minutes in its partition and a day from its hours, and appended with the batch
+    as version; the newest version holds.  A batch writes folders of its own, so the last one may be repeated.  The touched
+    hours and days of one batch, not its rows, reach the driver.
+    """
+
+    MEASURES = "events long, sessions_sketch binary, users_sketch binary"
+
+    def __init__(self, spark: SparkSession, root: str, by: tuple[str, ...] = ("platform",)):
+        self.spark, self.root, self.by = spark, root.rstrip("/"), by
+
+    def _rows(self, level: str, upto: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """A level's rows of the batches up to ``upto``, of some partitions or of all."""
+        schema = ", ".join(["bucket long", *[f"{k} {'long' if k == 'content_id' else 'string'}" for k in self.by], self.MEASURES, "batch long", "part long"])
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/level={level}")
+        rows = rows if upto is None else rows.where(F.col("batch") <= upto)
+        return rows if parts is None else rows.where(F.col("part").isin(parts))
+
+    def _write(self, rows: DataFrame, level: str, part_size: int, batch_id: int) -> list[int]:
+        """Write a batch's rows of a level by their ``part``; the parts that it has."""
+        placed = rows.withColumn("part", div("bucket", part_size) * part_size)
+        placed.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/level={level}/batch={batch_id}")
+        own = self._rows(level).where(F.col("batch") == batch_id)
+        return sorted(r["part"] for r in own.select("part").distinct().collect())
+
+    def _merged(self, rows: DataFrame, size: int) -> DataFrame:
+        sketches = [F.hll_union_agg(c).alias(c) for c in ("sessions_sketch", "users_sketch")]
+        return rows.groupBy((div("bucket", size) * size).alias("bucket"), *self.by).agg(F.sum("events").alias("events"), *sketches)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        newest = rows.groupBy("bucket", *self.by).agg(F.max_by(F.struct("events", "sessions_sketch", "users_sketch"), "batch").alias("_r"))
+        return newest.select("bucket", *self.by, "_r.*")
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        sketch = lambda c, name: F.hll_sketch_agg(c, F.lit(14)).alias(name)
+        minutes = present_events(batch).groupBy(minute_of("event_ms").alias("bucket"), *self.by).agg(F.count("*").alias("events"), sketch("session", "sessions_sketch"), sketch("user_id", "users_sketch"))
+        hours = self._write(minutes, "minute", HOUR, batch_id)
+        if hours:
+            days = self._write(self._merged(self._rows("minute", batch_id, hours), HOUR), "hour", DAY, batch_id)
+            self._write(self._merged(self._newest(self._rows("hour", batch_id, days)), DAY), "day", DAY, batch_id)
+
+    def read(self, level: str) -> DataFrame:
+        """``bucket, by, events, sessions_sketch, users_sketch`` by ``level``: minute, hour or day."""
+        rows = self._rows(level)
+        return self._merged(rows, 1) if level == "minute" else self._newest(rows)
+
+
+def run_presence_rollup(events: DataFrame, slots: int = 3) -> DataFrame:
+    """R6 over ``events`` in ``slots`` batches by ingest time: the hours after the last one, with estimates of the distinct."""
+    spark = events.sparkSession
+    rollup = PresenceRollup(spark, shared_path(spark, "rollup"))
+    start = lambda source: source.writeStream.foreachBatch(rollup.apply).option("checkpointLocation", shared_path(spark, "offsets")).start()
+    _replay(events.select(*EVENT_COLUMNS), "ingest_ms", slots, start)
+    return rollup.read("hour").select("bucket", "platform", "events", F.hll_sketch_estimate("sessions_sketch").alias("sessions"), F.hll_sketch_estimate("users_sketch").alias("users"))
+
+
 def advance_checkpoint(events: DataFrame, now_ms: int, settle_ms: int = 5000) -> DataFrame:
     """The newest arrival that has settled by ``now_ms``."""
     return events.where(F.col("ingest_ms") <= now_ms - settle_ms).agg(F.max("ingest_ms").alias("checkpoint_ms"))
