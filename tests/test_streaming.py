@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.clean import DIMENSIONS, classify_signal, event_role, tie_break
 from tidemark.operators import curves as Q
 from tidemark.operators import deltas as S
+from tidemark.operators import rollups as R
+from tidemark.operators.gates import segments_of, timeline
 from tidemark.plans.config import Rules
 from tidemark.sources.shared import shared_path
 from tidemark.streaming import live
@@ -339,3 +341,34 @@ def test_a_rollup_kept_up_to_date_equals_a_full_one_after_each_batch(spark, make
     assert not rollup._rows("hour").where("batch = 3").count()
     plan = rollup._rows("minute", 2, [60])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "part" in plan.split("PartitionFilters: [")[1][:120]
+
+
+def test_statistics_kept_up_to_date_equal_full_ones_after_each_batch(spark, make_events):
+    beats = lambda a, n: [(f"{a + k // 60}:{k % 60}:10", "HB") for k in range(n)]
+    on = lambda a, n: [(f"{a}:0:5", "START"), (f"{a}:0:6", "PLAY"), *beats(a, n)]
+    batches = [
+        make_events({"a": on(22, 130), "b": on(22, 20)}),
+        make_events({"c": on(23, 90)}, platform="tv"),
+        make_events({"a": [("24:11:00", "HB")]}),  # a beat at the end of a long session
+        make_events({"a": [("22:30:30", "PAUSE")]}),  # late: what followed wasn't watched
+        make_events({"b": [("22:0:1", "START")]}, platform="tv"),  # late first event: another slice
+        make_events({"c": beats(23, 1)}, platform="tv"),  # nothing new
+    ]
+    rollup = live.StatsRollup(live.DeltaTable(spark, shared_path(spark, "recompute")), shared_path(spark, "stats"))
+    told = lambda df: sorted(str(sorted(r.asDict().items())) for r in R.estimated_users(df).collect())
+    touched, every = [], None
+    for i, batch in enumerate(batches):
+        rollup.apply(batch, i)
+        rollup.apply(batch, i)  # a repeated batch changes nothing
+        every = batch if every is None else every.unionByName(batch)
+        opened = R.open_minutes(S.session_spans(timeline(every)))
+        full = R.minute_stats(S.session_minutes(segments_of(every)), opened, sketches=True)
+        assert told(rollup.read("minute")) == told(full.withColumnRenamed("minute", "bucket")), i
+        for level, size in (("hour", 60), ("day", 1440)):
+            assert told(rollup.read(level)) == told(R.rolled_stats(full, size)), (i, level)
+        touched.append(sorted(r["part"] // 60 for r in rollup._rows("session").where(F.col("batch") == i).select("part").distinct().collect()))
+    assert touched == [[22, 23, 24], [23, 24], [24], [22, 23, 24], [22], []]
+    assert not rollup.read("minute").where("platform = 'web' AND open_sessions > 1").count()  # b has left the slice
+    again = live.StatsRollup(live.DeltaTable(spark, rollup.table.root), rollup.root)  # a restart goes on
+    again.apply(make_events({"n": on(1, 3)}), len(batches))
+    assert again.read("hour").where("bucket = 60").count() == 1 and again.read("hour").where("bucket = 1320").count() == 2

@@ -30,19 +30,24 @@ def _presence(active: DataFrame, opened: DataFrame) -> DataFrame:
     return flag(active, 1).unionByName(flag(opened, 0))
 
 
-def minute_stats(active: DataFrame, opened: DataFrame, sketches: bool = False) -> DataFrame:
-    """R2: sessions and users active and open in each minute and slice, from true run ends.
-
-    With ``sketches`` the users are mergeable HLL sketches (columns ``*_sketch``) for rollups; otherwise exact counts.
-    """
+def occupied_stats(presence: DataFrame, sketches: bool = False) -> DataFrame:
+    """Sessions and users by minute and slice of rows ``session, dims, minute, is_active, is_open``, a flag at most once for
+    each session and minute."""
     own = lambda flag, c: F.when(F.col(flag) == 1, F.col(c))
     users = (
         [F.hll_sketch_agg(own(f"is_{k}", "user_id"), F.lit(14)).alias(f"{k}_users_sketch") for k in ("active", "open")]
         if sketches
         else [F.countDistinct(own(f"is_{k}", "user_id")).alias(f"{k}_users") for k in ("active", "open")]
     )
-    sessions = [F.sum(f"is_{k}").alias(f"{k}_sessions") for k in ("active", "open")]  # each session and minute occurs once
-    return _presence(active, opened).groupBy("minute", *SLICE).agg(*sessions, *users)
+    return presence.groupBy("minute", *SLICE).agg(*[F.sum(f"is_{k}").alias(f"{k}_sessions") for k in ("active", "open")], *users)
+
+
+def minute_stats(active: DataFrame, opened: DataFrame, sketches: bool = False) -> DataFrame:
+    """R2: sessions and users active and open in each minute and slice, from true run ends.
+
+    With ``sketches`` the users are mergeable HLL sketches (columns ``*_sketch``) for rollups; otherwise exact counts.
+    """
+    return occupied_stats(_presence(active, opened), sketches)
 
 
 def rolled_stats(stats: DataFrame, size: int) -> DataFrame:

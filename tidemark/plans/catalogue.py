@@ -471,6 +471,7 @@ STREAMS: dict[str, Callable[[Model], DataFrame]] = {
     "corrected_fold": lambda m: live.run_corrected_fold(m.bare_events),
     "presence_per_minute_stream": lambda m: live.run_presence(m.bare_events),
     "presence_rollup": lambda m: live.run_presence_rollup(m.bare_events),
+    "stats_rollup": lambda m: live.run_stats_rollup(m.bare_events),
 }
 
 

@@ -447,6 +447,7 @@ BODIES: dict[str, str] = {
     "session_fold": f"SELECT {K}, {t('run_start')}, {t('run_end')} FROM runs",
     "presence_per_minute_stream": f"SELECT {t('event_ms // 60000', 'minute')}, platform, count(*) AS events, count(DISTINCT session) AS sessions, count(DISTINCT user_id) AS users FROM {_present} GROUP BY ALL",
     "presence_rollup": f"SELECT {t('event_ms // 3600000 * 60', 'bucket')}, platform, count(*) AS events, count(DISTINCT session) AS sessions, count(DISTINCT user_id) AS users FROM {_present} GROUP BY ALL",
+    "stats_rollup": f"SELECT * FROM ({_rolled(60)}) JOIN (SELECT {t('minute // 60 * 60', 'bucket')}, {SLICE}, count(DISTINCT CASE WHEN a = 1 THEN user_id END) AS active_users, count(DISTINCT CASE WHEN a = 0 THEN user_id END) AS open_users FROM {_presence} GROUP BY ALL) USING (bucket, {SLICE})",
 }
 
 ORACLE_SQL = {name: PREFIX + body.replace("round(", "round(1e-9 + ") for name, body in BODIES.items()}

@@ -26,7 +26,7 @@ from ..functions.numbers import rounded
 from ..functions.times import DAY, HOUR, MINUTE_MS, div, minute_of
 from ..operators.deltas import active_deltas, full_range_deltas, merged_deltas, minute_runs, open_deltas, run_ledger, runs_of, session_minutes, session_spans
 from ..operators.gates import KEYS, ORDER, active_segments, gate_states, is_counted, liveness_segments, timeline
-from ..operators.rollups import present_events
+from ..operators.rollups import SLICE, estimated_users, occupied_stats, present_events
 from ..plans.config import DEFAULT, Rules
 from ..sources.shared import shared_path
 
@@ -579,34 +579,45 @@ def run_presence(events: DataFrame, slots: int = 3) -> DataFrame:
     return spark.read.parquet(out).select("minute", "platform", "events", F.hll_sketch_estimate("sessions_sketch").alias("sessions"), F.hll_sketch_estimate("users_sketch").alias("users"))
 
 
-class PresenceRollup:
-    """R6 with its roll-up by hour and day, kept up to date by batches (a ``foreachBatch`` sink).
-
-    Counts and sketches add up, so a batch appends the minutes of its own events alone.  Only the hours and days that it
-    touches are merged anew, an hour from the minutes in its partition and a day from its hours, and appended with the batch
-    as version; the newest version holds.  A batch writes folders of its own, so the last one may be repeated.  The touched
-    hours and days of one batch, not its rows, reach the driver.
-    """
+class _RollupFiles:
+    """A roll-up's rows by level, batch and ``part`` (a stretch of time).  A batch writes folders of its own, so the last one
+    may be repeated; the parts of one batch, not its rows, reach the driver."""
 
-    MEASURES = "events long, sessions_sketch binary, users_sketch binary"
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def __init__(self, spark: SparkSession, root: str, by: tuple[str, ...] = ("platform",)):
-        self.spark, self.root, self.by = spark, root.rstrip("/"), by
+    def _columns(self, level: str) -> str:
+        raise NotImplementedError
 
     def _rows(self, level: str, upto: int | None = None, parts: list[int] | None = None) -> DataFrame:
         """A level's rows of the batches up to ``upto``, of some partitions or of all."""
-        schema = ", ".join(["bucket long", *[f"{k} {'long' if k == 'content_id' else 'string'}" for k in self.by], self.MEASURES, "batch long", "part long"])
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/level={level}")
+        rows = self.spark.read.schema(f"{self._columns(level)}, batch long, part long").parquet(f"{self.root}/level={level}")
         rows = rows if upto is None else rows.where(F.col("batch") <= upto)
         return rows if parts is None else rows.where(F.col("part").isin(parts))
 
     def _write(self, rows: DataFrame, level: str, part_size: int, batch_id: int) -> list[int]:
         """Write a batch's rows of a level by their ``part``; the parts that it has."""
         placed = rows.withColumn("part", div("bucket", part_size) * part_size)
-        placed.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/level={level}/batch={batch_id}")
+        placed.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/level={level}/batch={batch_id}")
         own = self._rows(level).where(F.col("batch") == batch_id)
         return sorted(r["part"] for r in own.select("part").distinct().collect())
 
+
+class PresenceRollup(_RollupFiles):
+    """R6 with its roll-up by hour and day, kept up to date by batches (a ``foreachBatch`` sink).
+
+    Counts and sketches add up, so a batch appends the minutes of its own events alone.  Only the hours and days that it
+    touches are merged anew, an hour from the minutes in its partition and a day from its hours, and appended with the batch
+    as version; the newest version holds.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, by: tuple[str, ...] = ("platform",)):
+        super().__init__(spark, root)
+        self.by = by
+
+    def _columns(self, level: str) -> str:
+        return ", ".join(["bucket long", *[f"{k} {'long' if k == 'content_id' else 'string'}" for k in self.by], "events long, sessions_sketch binary, users_sketch binary"])
+
     def _merged(self, rows: DataFrame, size: int) -> DataFrame:
         sketches = [F.hll_union_agg(c).alias(c) for c in ("sessions_sketch", "users_sketch")]
         return rows.groupBy((div("bucket", size) * size).alias("bucket"), *self.by).agg(F.sum("events").alias("events"), *sketches)
@@ -638,6 +649,90 @@ def run_presence_rollup(events: DataFrame, slots: int = 3) -> DataFrame:
     return rollup.read("hour").select("bucket", "platform", "events", F.hll_sketch_estimate("sessions_sketch").alias("sessions"), F.hll_sketch_estimate("users_sketch").alias("users"))
 
 
+class StatsRollup(_RollupFiles):
+    """R2 with R3 and R4, kept up to date by batches (a ``foreachBatch`` sink that feeds the delta table below it).
+
+    Activity, unlike presence, is taken back: a late pause ends a run, a late first event moves a session to another slice.
+    Sketches can't subtract, so the rows below the sketches are kept: what a session was in each minute of its span, as
+    versions.  A batch refolds its sessions, appends only the session minutes that differ from what was held, and builds anew
+    the hours that these lie in and their days.  So a beat at the end of a long session touches its last hour alone.  Hours
+    and days hold sums and minutes beside peaks, hence a day comes from its hours.  An hour is written whole each time and
+    its newest batch holds, which lets slices go.  A span never shrinks, so no session minute need be taken away.  Days that
+    the delta table has expired stay as they are.
+    """
+
+    _STATS = "active_sessions long, open_sessions long, active_users_sketch binary, open_users_sketch binary"
+    _FOLDED = "peak_active_sessions long, sum_active_sessions long, peak_open_sessions long, sum_open_sessions long, minutes long, active_users_sketch binary, open_users_sketch binary"
+
+    def __init__(self, table: DeltaTable, root: str):
+        super().__init__(table.spark, root)
+        self.table = table
+
+    def _columns(self, level: str) -> str:
+        names = KEYS if level == "session" else SLICE
+        keys = ", ".join(f"{k} {'long' if k == 'content_id' else 'string'}" for k in names)
+        return f"bucket long, {keys}, " + {"session": "is_active long, is_open long", "minute": self._STATS}.get(level, self._FOLDED)
+
+    def _levels(self, batch_id: int) -> tuple[DataFrame, list[int]]:
+        """What the batch's sessions are in each minute of their spans, from their version of the deltas; the days of these."""
+        paths = [p for p in self.table.versions if f"/attempt={batch_id}-" in p]
+        days = sorted({int(p.rsplit("=", 1)[1]) for path in paths for p in self.table._folders(f"{path}/part_day=*")})
+        so_far = W.partitionBy("session").orderBy("minute").rowsBetween(W.unboundedPreceding, 0)
+        held = [F.sum(v).over(so_far).alias(a) for v, a in zip(_VALUES, ("is_active", "is_open"), strict=True)]
+        rows = self.table._versions(days).where(F.col("version") == batch_id).select(*KEYS, F.col("minute").alias("bucket"), *held).where("is_open > 0")
+        oldest = self.table.oldest_day
+        return (rows if oldest is None else rows.where(F.col("bucket") >= oldest * DAY)), days
+
+    def _held(self, rows: DataFrame) -> DataFrame:
+        """The newest row of each session and minute."""
+        rest = [*(k for k in KEYS if k != "session"), "is_active", "is_open"]
+        return rows.groupBy("session", "bucket").agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+
+    def _newest(self, rows: DataFrame, key: str) -> DataFrame:
+        return rows.join(rows.groupBy(key).agg(F.max("batch").alias("batch")), [key, "batch"])
+
+    def _folded(self, rows: DataFrame, size: int) -> DataFrame:
+        values = [f(f"{n}_{k}_sessions").alias(f"{n}_{k}_sessions") for k in ("active", "open") for n, f in (("peak", F.max), ("sum", F.sum))]
+        sketches = [F.hll_union_agg(f"{k}_users_sketch").alias(f"{k}_users_sketch") for k in ("active", "open")]
+        return rows.groupBy((div("bucket", size) * size).alias("bucket"), *SLICE).agg(*values, F.sum("minutes").alias("minutes"), *sketches)
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        self.table.apply(batch, batch_id)
+        fresh, days = self._levels(batch_id)
+        if self.table._folders(f"{self.root}/level=session"):
+            before = self._rows("session", batch_id - 1).where(div("part", DAY).isin(days))
+            known = self._held(before.join(fresh.select("session").distinct(), "session", "left_semi"))
+            now = F.struct(*(k for k in KEYS if k != "session"), "is_active", "is_open")
+            fresh = fresh.join(known, ["session", "bucket"], "left").where(~F.col("_r").eqNullSafe(now)).drop("_r")
+        hours = self._write(fresh, "session", HOUR, batch_id)
+        if not hours:
+            return
+        sessions = self._held(self._rows("session", batch_id, hours)).select("session", F.col("bucket").alias("minute"), "_r.*")
+        self._write(occupied_stats(sessions, sketches=True).withColumnRenamed("minute", "bucket"), "minute", HOUR, batch_id)
+        each = [F.col(f"{k}_sessions").alias(f"{n}_{k}_sessions") for k in ("active", "open") for n in ("peak", "sum")]
+        minutes = self._rows("minute", batch_id, hours).where(F.col("batch") == batch_id).select("*", *each, F.lit(1).alias("minutes"))
+        touched = self._write(self._folded(minutes, HOUR), "hour", DAY, batch_id)
+        self._write(self._folded(self._newest(self._rows("hour", batch_id, touched), "bucket"), DAY), "day", DAY, batch_id)
+
+    def read(self, level: str) -> DataFrame:
+        """``bucket``, slice and the columns of ``minute_stats`` or ``rolled_stats`` with sketches, by ``level``: minute, hour
+        or day."""
+        rows = self._newest(self._rows(level), "part" if level == "minute" else "bucket").drop("batch", "part")
+        if level == "minute":
+            return rows
+        means = [rounded(F.col(f"sum_{k}_sessions") / F.col("minutes"), 4).alias(f"avg_{k}_sessions") for k in ("active", "open")]
+        return rows.select("*", *means).drop("sum_active_sessions", "sum_open_sessions", "minutes")
+
+
+def run_stats_rollup(events: DataFrame, slots: int = 3, level: str = "hour") -> DataFrame:
+    """R3, R4 over ``events`` in ``slots`` batches by ingest time: a level after the last one, users as estimates."""
+    spark = events.sparkSession
+    rollup = StatsRollup(DeltaTable(spark, shared_path(spark, "recompute")), shared_path(spark, "stats"))
+    start = lambda source: source.writeStream.foreachBatch(rollup.apply).option("checkpointLocation", shared_path(spark, "offsets")).start()
+    _replay(events.select(*EVENT_COLUMNS), "ingest_ms", slots, start)
+    return estimated_users(rollup.read(level))
+
+
 def advance_checkpoint(events: DataFrame, now_ms: int, settle_ms: int = 5000) -> DataFrame:
     """The newest arrival that has settled by ``now_ms``."""
     return events.where(F.col("ingest_ms") <= now_ms - settle_ms).agg(F.max("ingest_ms").alias("checkpoint_ms"))
