@@ -1,8 +1,10 @@
-"""Data expectations and invariants.  Every check is a one-row DataFrame ``check, observed, bound, ok``."""
+"""Data expectations and invariants.  Every check gives a row ``check, observed, bound, ok``; those of one frame are taken in
+one pass over it."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +19,24 @@ from .quantiles import exact_quantiles
 EVENT_TYPES = ("VideoSessionStart", "VideoSessionEnd", "VideoPlay", "AppBackgrounded", "AppForegrounded", "VideoError", "VideoHeartbeat")
 
 
+class Check(NamedTuple):
+    """An aggregate of a frame, and how it compares with a bound; nothing observed counts as 0."""
+
+    name: str
+    observed: Column
+    bound: float
+    ok: Callable[[Column, Column], Column]
+
+
+def checked(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """One row for each check, from one aggregation of ``df``."""
+    seen = df.agg(*[F.coalesce(c.observed.cast("double"), F.lit(0.0)).alias(f"_{i}") for i, c in enumerate(checks)])
+    row = lambda i, c: F.struct(F.lit(c.name).alias("check"), rounded(f"_{i}", 4).alias("observed"), F.lit(float(c.bound)).alias("bound"), c.ok(F.col(f"_{i}"), F.lit(float(c.bound))).alias("ok"))
+    return seen.select(F.explode(F.array(*[row(i, c) for i, c in enumerate(checks)])).alias("_c")).select("_c.*")
+
+
 def _check(df: DataFrame, name: str, observed: Column, bound: float, ok) -> DataFrame:
-    """``ok`` compares the observed value with the bound; nothing observed counts as 0."""
-    value = F.coalesce(observed.cast("double"), F.lit(0.0))
-    return df.agg(value.alias("observed")).select(F.lit(name).alias("check"), rounded("observed", 4).alias("observed"), F.lit(float(bound)).alias("bound"), ok(F.col("observed"), F.lit(float(bound))).alias("ok"))
+    return checked(df, [Check(name, observed, bound, ok)])
 
 
 AT_MOST, AT_LEAST, ABOVE, EQUAL = (lambda a, b: a <= b), (lambda a, b: a >= b), (lambda a, b: a > b), (lambda a, b: a == b)
@@ -32,11 +48,11 @@ def has_columns(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     return _check(df.sparkSession.range(1), name, F.max(F.lit(absent)), 0, EQUAL)
 
 
-def known_event_types(e: DataFrame) -> DataFrame:
+def known_event_types() -> Check:
     """V2: exactly the known types occur."""
     known = F.countDistinct(F.when(F.col("event_type").isin(*EVENT_TYPES), F.col("event_type")))
     other = F.count_if(~F.col("event_type").isin(*EVENT_TYPES))
-    return _check(e, "event_types", known - other, len(EVENT_TYPES), EQUAL)
+    return Check("event_types", known - other, len(EVENT_TYPES), EQUAL)
 
 
 def one_content_per_session(e: DataFrame, most: int = 2) -> DataFrame:
@@ -70,20 +86,25 @@ def watched_has_metadata(e: DataFrame, content: DataFrame) -> DataFrame:
     return _check(missing, "contents_without_metadata", F.count("*"), 0, EQUAL)
 
 
-def active_after_error(line: DataFrame, most: int = 20, after_s: int = 5) -> DataFrame:
+def session_ends(line: DataFrame) -> DataFrame:
+    """``session, end_ms, err, hi, errors``: the first END, last error, last event and number of errors of each session."""
+    of = lambda signal: F.when(F.col("signal") == signal, F.col("event_ms"))
+    return line.groupBy("session").agg(F.min(of("END")).alias("end_ms"), F.max(of("ERR")).alias("err"), F.max("event_ms").alias("hi"), F.count(of("ERR")).alias("errors"))
+
+
+def active_after_error(ends: DataFrame, most: int = 20, after_s: int = 5) -> DataFrame:
     """V8: sessions with events more than ``after_s`` after their last error."""
-    last = line.groupBy("session").agg(F.max(F.when(F.col("signal") == "ERR", F.col("event_ms"))).alias("err"), F.max("event_ms").alias("hi"))
-    return _check(last, "active_after_error", F.count_if(F.col("hi") > F.col("err") + after_s * 1000), most, AT_MOST)
+    return _check(ends, "active_after_error", F.count_if(F.col("hi") > F.col("err") + after_s * 1000), most, AT_MOST)
 
 
-def count_events(e: DataFrame, name: str, test: Column, bound: float, ok=ABOVE) -> DataFrame:
+def count_events(name: str, test: Column, bound: float, ok=ABOVE) -> Check:
     """How many events pass a test."""
-    return _check(e, name, F.count_if(test), bound, ok)
+    return Check(name, F.count_if(test), bound, ok)
 
 
-def distinct_values(df: DataFrame, name: str, column: str, low: float, high: float) -> DataFrame:
+def distinct_values(name: str, column: str, low: float, high: float) -> Check:
     """Number of distinct values within [low, high]."""
-    return _check(df, name, F.countDistinct(column), high, lambda a, b: a.between(low, b))
+    return Check(name, F.countDistinct(column), high, lambda a, b: a.between(low, b))
 
 
 def repeated_events(e: DataFrame) -> DataFrame:
@@ -97,21 +118,32 @@ def ties(line: DataFrame, bound: float) -> DataFrame:
     return _check(line.groupBy("session", "event_ms").count().where("count > 1"), "same_ms_ties", F.count("*"), bound, ABOVE)
 
 
-def never_negative(curve: DataFrame, value: str = "concurrency") -> DataFrame:
-    """V15."""
-    return _check(curve, "negative_minutes", F.count_if(F.col(value) < 0), 0, EQUAL)
-
-
 def nets_to_zero(deltas: DataFrame) -> DataFrame:
     """Sessions whose deltas do not sum to zero."""
     return _check(deltas.groupBy("session").agg(F.sum("delta_sessions").alias("a"), F.sum("delta_open").alias("o")), "sessions_not_netting", F.count_if((F.col("a") != 0) | (F.col("o") != 0)), 0, EQUAL)
 
 
+def _against_occupancy(curve: DataFrame, active: DataFrame, start: int, end: int, by: Sequence[str]) -> tuple[DataFrame, Check]:
+    counted = active.where((F.col("minute") >= start) & (F.col("minute") < end)).groupBy("minute", *by).agg(F.count("*").alias("n"))
+    differs = F.coalesce("concurrency", F.lit(0)) != F.coalesce("n", F.lit(0))
+    return curve.join(counted, ["minute", *by], "full_outer"), Check("curve_against_occupancy" + "".join(f"_{c}" for c in by), F.count_if(differs), 0, EQUAL)
+
+
 def equals_occupancy(curve: DataFrame, active: DataFrame, start: int, end: int, by: Sequence[str] = ()) -> DataFrame:
     """Minutes at which the delta curve differs from counting occupied session-minutes."""
-    counted = active.where((F.col("minute") >= start) & (F.col("minute") < end)).groupBy("minute", *by).agg(F.count("*").alias("n"))
-    both = curve.join(counted, ["minute", *by], "full_outer").fillna(0, ["concurrency", "n"])
-    return _check(both, "curve_against_occupancy" + "".join(f"_{c}" for c in by), F.count_if(F.col("concurrency") != F.col("n")), 0, EQUAL)
+    both, check = _against_occupancy(curve, active, start, end, by)
+    return checked(both, [check])
+
+
+def curve_checks(curve: DataFrame, points: DataFrame, active: DataFrame, start: int, end: int) -> DataFrame:
+    """V15, V17, V23 of the curve of all: minutes below zero, minutes that differ from occupancy, and minutes without a delta
+    (not in ``points``) whose value differs from the minute before."""
+    both, occupancy = _against_occupancy(curve, active, start, end, ())
+    before = curve.select((F.col("minute") + 1).alias("minute"), F.col("concurrency").alias("b"))
+    rows = both.join(points.select("minute", F.lit(True).alias("moved")), "minute", "left").join(before, "minute", "left")
+    negative = Check("negative_minutes", F.count_if(F.col("concurrency") < 0), 0, EQUAL)
+    changed = Check("gap_minutes_changed", F.count_if(F.col("moved").isNull() & (F.col("concurrency") != F.col("b"))), 0, EQUAL)
+    return checked(rows, [negative, occupancy, changed])
 
 
 def active_within_presence(active: DataFrame, opened: DataFrame) -> DataFrame:
@@ -144,16 +176,12 @@ def pinned_is_first(line: DataFrame, e: DataFrame) -> DataFrame:
     return _check(pinned, "pins_not_first", F.count_if(~F.col("d").eqNullSafe(F.col("p"))), 0, EQUAL)
 
 
-def ended_is_inactive(states: DataFrame, segments: DataFrame) -> DataFrame:
-    """Active segments that begin after their session's END."""
-    end = states.where("signal = 'END'").groupBy("session").agg(F.min("event_ms").alias("end_ms"))
-    return _check(segments.join(end, "session"), "active_after_end", F.count_if(F.col("seg_start_ms") > F.col("end_ms")), 0, EQUAL)
-
-
-def errors_go_inactive(line: DataFrame, segments: DataFrame, timeout_ms: int = 90_000) -> DataFrame:
-    """Active segments of sessions with an error that outlast the timeout of the session's last event."""
-    last = line.groupBy("session").agg(F.max("event_ms").alias("hi"), F.count_if(F.col("signal") == "ERR").alias("errors")).where("errors > 0")
-    return _check(segments.join(last, "session"), "active_beyond_timeout", F.count_if(F.col("seg_stop_ms") > F.col("hi") + timeout_ms), 0, EQUAL)
+def segments_end(ends: DataFrame, segments: DataFrame, timeout_ms: int = 90_000) -> DataFrame:
+    """Active segments that begin after their session's END, and those of sessions with an error that outlast the
+    timeout of the session's last event."""
+    after = Check("active_after_end", F.count_if(F.col("seg_start_ms") > F.col("end_ms")), 0, EQUAL)
+    beyond = Check("active_beyond_timeout", F.count_if((F.col("errors") > 0) & (F.col("seg_stop_ms") > F.col("hi") + timeout_ms)), 0, EQUAL)
+    return checked(segments.join(ends, "session"), [after, beyond])
 
 
 def hour_cut_equals(curve: DataFrame, seeded: DataFrame) -> DataFrame:
@@ -162,13 +190,6 @@ def hour_cut_equals(curve: DataFrame, seeded: DataFrame) -> DataFrame:
     return _check(both, "hour_cut_differs", F.count_if(F.col("concurrency") != F.col("full")), 0, EQUAL)
 
 
-def gap_minutes_carry(curve: DataFrame, points: DataFrame) -> DataFrame:
-    """Minutes without a delta whose value differs from the minute before."""
-    before = curve.select((F.col("minute") + 1).alias("minute"), F.col("concurrency").alias("b"))
-    quiet = curve.join(points.select("minute"), "minute", "left_anti").join(before, "minute")
-    return _check(quiet, "gap_minutes_changed", F.count_if(F.col("concurrency") != F.col("b")), 0, EQUAL)
-
-
 def one_partition_per_session(stored: DataFrame) -> DataFrame:
     """Sessions of a stored table whose rows lie in several of its partition folders."""
     folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1)

@@ -243,14 +243,14 @@ def data_checks(m: Model) -> DataFrame:
     start, end = m.bounds
     curve, dense_by = Q.dense_curve(m.deltas, start, end), Q.dense_curve(m.deltas, start, end, ["platform"])
     points = Q.change_points(m.deltas)
-    as_curve = points.withColumnRenamed("cc", "concurrency")
+    as_curve, ends, ledger = points.withColumnRenamed("cc", "concurrency"), V.session_ends(m.line), S.run_ledger(m.runs)
+    by_event = [V.known_event_types(), V.count_events("resume_beats", F.col("event") == "resume", 1000), V.distinct_values("platforms", "platform", 1, 20), V.count_events("empty_dimensions", empty, 0, V.EQUAL), V.distinct_values("categories", "category", 20, 200)]
     return _union([
         V.has_columns(e, "raw_columns", [*G.KEYS, "event_type", "event", "event_ms", "app_version", "audio_language", "subtitle_language", "player_version"]),
-        V.known_event_types(e), V.one_content_per_session(e), V.arrival_order(e), V.keepalive_cadence(m.line), V.gap_p99(m.line), V.watched_has_metadata(e, m.content), V.active_after_error(m.line),
-        V.count_events(e, "resume_beats", F.col("event") == "resume", 1000), V.distinct_values(e, "platforms", "platform", 1, 20), V.count_events(e, "empty_dimensions", empty, 0, V.EQUAL), V.distinct_values(e, "categories", "category", 20, 200),
-        V.repeated_events(e), V.ties(m.line, 1000), V.never_negative(curve), V.nets_to_zero(m.deltas), V.equals_occupancy(curve, m.minutes, start, end), V.equals_occupancy(dense_by, m.minutes, start, end, ["platform"]),
-        V.active_within_presence(m.minutes, m.open_minutes), V.ledger_is_sound(S.run_ledger(m.runs)), V.ledger_run_count(S.run_ledger(m.runs), m.minutes), V.pinned_is_first(m.line, e), V.ended_is_inactive(m.states, m.active), V.errors_go_inactive(m.line, m.active),
-        V.hour_cut_equals(as_curve, Q.hour_seeded_curve(S.hour_cut_deltas(m.runs))), V.gap_minutes_carry(curve, points), V.one_partition_per_session(stored_by_start(m.spark, m.bare_events)), V.has_columns(m.deltas, "delta_columns", [*G.KEYS, "minute", "delta_sessions", "delta_open"]),
+        V.checked(e, by_event), V.one_content_per_session(e), V.arrival_order(e), V.keepalive_cadence(m.line), V.gap_p99(m.line), V.watched_has_metadata(e, m.content), V.active_after_error(ends),
+        V.repeated_events(e), V.ties(m.line, 1000), V.curve_checks(curve, points, m.minutes, start, end), V.nets_to_zero(m.deltas), V.equals_occupancy(dense_by, m.minutes, start, end, ["platform"]),
+        V.active_within_presence(m.minutes, m.open_minutes), V.ledger_is_sound(ledger), V.ledger_run_count(ledger, m.minutes), V.pinned_is_first(m.line, e), V.segments_end(ends, m.active),
+        V.hour_cut_equals(as_curve, Q.hour_seeded_curve(S.hour_cut_deltas(m.runs))), V.one_partition_per_session(stored_by_start(m.spark, m.bare_events)), V.has_columns(m.deltas, "delta_columns", [*G.KEYS, "minute", "delta_sessions", "delta_open"]),
     ])
 
 
