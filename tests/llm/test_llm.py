@@ -584,15 +584,36 @@ def test_recurrent_gradients_are_right():
         setattr(net, name, getattr(net, name).astype(np.float64))
     windows, target = rng.randint(0, 256, (5, 7)).astype(np.int16), rng.randint(0, 3, 5)
     windows[0, 5:] = langid.PAD
-    _, grads = langid.gradients(net, windows, target)
-    for value, grad, at in ((net.table, grads[0], (1, windows[2, 3], 20)), (net.state, grads[1], (0, 2, 4)), (net.label, grads[2], (1, 2, 0)), (net.bias, grads[3], (1,))):
-        old, e = value[at], 1e-4
-        value[at] = old + e
-        up = langid.gradients(net, windows, target)[0]
-        value[at] = old - e
-        down = langid.gradients(net, windows, target)[0]
-        value[at] = old
-        assert abs((up - down) / (2 * e) - grad[at]) < 1e-4
+    for lead in (0, 2):
+        _, grads = langid.gradients(net, windows, target, lead)
+        for value, grad, at in ((net.table, grads[0], (1, windows[2, 3], 20)), (net.table, grads[0], (0, windows[3, 0], 20)), (net.state, grads[1], (0, 2, 4)), (net.label, grads[2], (1, 2, 0)), (net.bias, grads[3], (1,))):
+            old, e = value[at], 1e-4
+            value[at] = old + e
+            up = langid.gradients(net, windows, target, lead)[0]
+            value[at] = old - e
+            down = langid.gradients(net, windows, target, lead)[0]
+            value[at] = old
+            assert abs((up - down) / (2 * e) - grad[at]) < 1e-4
+
+
+def test_windows_read_over_their_edges():
+    texts = [bytes(range(1, 30)), b"", b"x", bytes(range(40, 60))]
+    view, starts, owner = langid.byte_windows(texts, 10, 4)
+    windows = view[starts]
+    assert windows.shape == (6, 18) and owner.tolist() == [0, 0, 0, 2, 3, 3]
+    for i, text in enumerate(texts):
+        middle = windows[owner == i][:, 4:-4].ravel()
+        assert bytes(middle[middle != langid.PAD].astype(np.uint8)) == text  # each byte once
+    assert windows[1].tolist() == list(range(7, 25)) and windows[0, :4].tolist() == windows[3, :4].tolist() == [langid.PAD] * 4
+    assert langid.byte_windows([], 10, 4)[1].size == langid.byte_windows([b""], 10, 4)[1].size == 0
+    net = langid.Network.fresh(["a", "b"])
+    changed = windows.copy()
+    changed[1, 3] = changed[1, 14] = 200  # one byte beyond either edge
+    seen = np.abs(net.run(windows[1:2], 4) - net.run(changed[1:2], 4)).max((1, 2))
+    assert seen.shape == (10,) and seen[0] > 0 and seen[-1] > 0
+    long = bytes(np.random.RandomState(1).randint(97, 123, 5000, dtype=np.uint8))
+    whole = langid.softmax(net.run(np.frombuffer(long, np.uint8).astype(np.int16)[None]))[:, 0].mean(0)
+    assert np.abs(langid.document_probabilities(net, [long])[0] - whole).max() < 1e-3  # as if read in one piece
 
 
 # -- op10 --------------------------------------------------------------------------------------------------------------

@@ -2,8 +2,8 @@
 
 Text is read in windows of bytes, many windows at once.  Each direction keeps a small gated recurrent state (piecewise
 linear gates, so that a step is a table lookup, a small matrix product and clips); both states label every byte, and a
-document's probabilities are the mean over its bytes.  A window is 192 bytes in training and prediction alike; the states
-start anew in each.  Training is backpropagation through time in numpy on the whole texts of a bounded sample of labelled
+document's probabilities are the mean over its bytes.  A window labels 192 bytes, in training and prediction alike, and
+reads 32 more on either side, so that the states of both directions come into it from the text around.  Training is backpropagation through time in numpy on the whole texts of a bounded sample of labelled
 documents; prediction runs over whole texts inside the tasks.
 """
 
@@ -22,7 +22,8 @@ from pyspark.sql.window import Window as W
 from .common import bounded_batches
 
 HIDDEN, PAD = 8, 256
-WINDOW = 192
+WINDOW = 192  # bytes labelled by one window
+LEAD = 32  # bytes read before and after them
 PER_LANGUAGE = 120  # labelled documents of each language that the network is trained on
 
 
@@ -44,8 +45,9 @@ class Network:
         table[:, :, : 2 * h] = table[:, :, : 2 * h] * 0.25 + 0.5
         return cls(languages, *(x.astype(np.float32) for x in (table, rng.normal(0, 0.3, (2, h, 3 * h)), rng.normal(0, 0.3, (2, h, len(languages))), np.zeros(len(languages)))))
 
-    def run(self, windows: np.ndarray, keep: bool = False):
-        """``windows`` (B, T) of byte codes -> logits (T, B, L); with ``keep`` also what backpropagation needs."""
+    def run(self, windows: np.ndarray, lead: int = 0, keep: bool = False):
+        """``windows`` (B, T) of byte codes -> logits (T - 2 lead, B, L) of all but the ``lead`` first and last; with ``keep``
+        also what backpropagation needs."""
         b, t = windows.shape
         h = HIDDEN
         both = np.stack([windows.T, windows.T[::-1]])  # (2, T, B)
@@ -61,7 +63,7 @@ class Network:
             states[i + 1] = new + gates[..., :h] * (before - new)
             if keep:
                 held.append((x, u, gates, raw, new))
-        forward, backward = states[1:, 0], states[1:, 1][::-1]
+        forward, backward = (s[lead : t - lead] for s in (states[1:, 0], states[1:, 1][::-1]))
         logits = forward @ self.label[0] + backward @ self.label[1] + self.bias
         return (logits, both, states, held) if keep else logits
 
@@ -71,21 +73,25 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def gradients(net: Network, windows: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean cross entropy of every non-pad byte's label and its gradient by backpropagation through time."""
-    logits, both, states, held = net.run(windows, keep=True)
+def gradients(net: Network, windows: np.ndarray, target: np.ndarray, lead: int = 0) -> tuple[float, list[np.ndarray]]:
+    """Mean cross entropy of the label of every byte but padding and the ``lead`` first and last, and its gradient by
+    backpropagation through time."""
+    logits, both, states, held = net.run(windows, lead, keep=True)
     h, t = HIDDEN, windows.shape[1]
-    real = (windows.T != PAD)[..., None] / max(1, (windows != PAD).sum())
+    own = slice(lead, t - lead)
+    real = (windows.T[own] != PAD)[..., None]
+    real = real / max(1, real.sum())
     p = softmax(logits)
     rows = np.arange(len(target))
     loss = float(-(np.log(p[:, rows, target] + 1e-9) * real[..., 0]).sum())
     d = p.copy()
     d[:, rows, target] -= 1
     d = (d * real).astype(np.float32)
-    seen = np.stack([states[1:, 0], states[1:, 1][::-1]])  # (2, T, B, H)
+    seen = np.stack([states[1:, 0], states[1:, 1][::-1]])[:, own]  # (2, T - 2 lead, B, H)
     d_label = np.stack([np.tensordot(s, d, ((0, 1), (0, 1))) for s in seen])
     d_bias = d.sum((0, 1))
-    d_states = np.stack([d @ net.label[0].T, (d @ net.label[1].T)[::-1]], 1)  # (T, 2, B, H) in reading order
+    d_states = np.zeros_like(states[1:])  # (T, 2, B, H) in reading order
+    d_states[own, 0], d_states[own, 1] = d @ net.label[0].T, (d @ net.label[1].T)[::-1]
     d_table, d_state = np.zeros_like(net.table), np.zeros_like(net.state)
     carry = np.zeros_like(states[0])
     for i in range(t - 1, -1, -1):
@@ -104,7 +110,7 @@ def gradients(net: Network, windows: np.ndarray, target: np.ndarray) -> tuple[fl
     return loss, [d_table, d_state, d_label, d_bias]
 
 
-def train(windows: np.ndarray, target: np.ndarray, languages: list[str], *, epochs: int = 5, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
+def train(windows: np.ndarray, target: np.ndarray, languages: list[str], *, lead: int = 0, epochs: int = 5, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
     """Adam over shuffled batches of windows."""
     net = Network.fresh(languages, seed)
     values = [net.table, net.state, net.label, net.bias]
@@ -115,7 +121,7 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], *, epoc
         order = rng.permutation(len(target))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            _, grads = gradients(net, windows[pick], target[pick])
+            _, grads = gradients(net, windows[pick], target[pick], lead)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             step += 1
             now = rate * (1 - step / (total + 1))
@@ -127,24 +133,28 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], *, epoc
     return net
 
 
-def byte_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts in windows of ``size`` padded with ``PAD``, and the text that each window is of."""
+def byte_windows(texts: list[bytes], size: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A view of all stretches of ``size + 2 lead`` bytes, the places in it of the windows, and the text that each is of.
+
+    The middles of a text's windows are its bytes, each once; what lies beyond the text is ``PAD``.
+    """
     counts = np.array([-(-len(t) // size) for t in texts], np.int64)
-    out = np.full(int(counts.sum()) * size, PAD, np.int16)
-    at = 0
-    for text, n in zip(texts, counts, strict=True):
-        out[at : at + len(text)] = np.frombuffer(text, np.uint8)
-        at += int(n) * size
-    return out.reshape(-1, size), np.repeat(np.arange(len(texts)), counts)
+    begins = np.concatenate([[0], np.cumsum(counts * size + 2 * lead)]).astype(np.int64)
+    flat = np.full(max(int(begins[-1]), size + 2 * lead), PAD, np.int16)
+    for text, at in zip(texts, begins, strict=False):
+        flat[at + lead : at + lead + len(text)] = np.frombuffer(text, np.uint8)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.lib.stride_tricks.sliding_window_view(flat, size + 2 * lead), begins[owner] + place * size, owner
 
 
 def document_probabilities(net: Network, texts: list[bytes], block: int = 1024) -> np.ndarray:
     """(documents, languages): the mean of the label probabilities of every byte."""
     total = np.zeros((len(texts), len(net.languages)))
-    windows, owner = byte_windows(texts, WINDOW)
-    for at in range(0, len(windows), block):
-        part = windows[at : at + block]
-        p = softmax(net.run(part)) * (part.T != PAD)[..., None]
+    view, starts, owner = byte_windows(texts, WINDOW, LEAD)
+    for at in range(0, len(starts), block):
+        part = view[starts[at : at + block]]
+        p = softmax(net.run(part, LEAD)) * (part.T[LEAD:-LEAD] != PAD)[..., None]
         np.add.at(total, owner[at : at + block], p.sum(0))
     return total / np.maximum(total.sum(1, keepdims=True), 1e-9)
 
@@ -177,9 +187,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     if seen.empty:
         return None
     languages = sorted(seen["lang"].unique())
-    windows, owner = byte_windows([bytes(w) for w in seen["data"]], WINDOW)
+    view, starts, owner = byte_windows([bytes(w) for w in seen["data"]], WINDOW, LEAD)
     target = seen["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()[owner]
-    return train(windows, target, languages)
+    return train(view[starts], target, languages, lead=LEAD)
 
 
 def predict_column(net: Network | None):
@@ -217,7 +227,11 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(docs: DataFrame, *, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those whose language is ``und`` or scores below ``least``; all columns unchanged."""
+    """``docs`` without those whose language is ``und`` or scores below ``least``; all columns unchanged, whatever their names.
+
+    Null and letterless texts go; repeated rows and rows of null id are judged by their text each; without any label all go;
+    an empty table stays empty.
+    """
     net = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     row = "_tidemark_row"
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), predict_column(net)(docs[text_col]).alias("p"))
