@@ -442,6 +442,17 @@ def test_many_tasks_add_up_as_few(spark):
         assert np.allclose(total, sums.sum(0))
 
 
+def test_later_updates_read_every_training_document(spark, docs, monkeypatch):
+    sums, gather = [], lm._gather
+    monkeypatch.setattr(lm, "_gather", lambda *a: sums.append(gather(*a)) or sums[-1])
+    training = docs.where(~lm.held_out(F.col("doc_id")))
+    lm.train(training)
+    tokens = sum(len((r["text"] or "").encode().split()) + 1 for r in training.collect())
+    first, *later = (total[:, : lm.DIGITS].sum() for total, _ in sums)
+    assert len(later) == len(lm.STEPS) - 1
+    assert first == sum(later) == tokens * lm.USED * lm.LEVELS
+
+
 def test_model_grows_with_its_training_bytes():
     assert lm.rows_for(0) == lm.LEAST_ROWS and lm.rows_for(300_000_000) > lm.LEAST_ROWS and lm.rows_for(1 << 45) == lm.MOST_ROWS
 

@@ -13,8 +13,9 @@ training tokens, one unit of mass a path standing for unseen words; so the facto
 Training is by synchronous gradient updates.  The first is from all training documents: against the digit distributions
 without history (the bias), what the model expects of a row needs no softmax, only how often the row was met under each
 prefix.  Each later one takes a hash share of the training documents, sums what its tokens show and what the present
-weights expect of each (row, digit), and moves the weights by the exponentiated-gradient step.  Spark adds the tasks' sums
-up in groups of rows.  The number of rows follows from the training bytes.
+weights expect of each (row, digit), and moves the weights by the exponentiated-gradient step.  There are as many shares as
+later updates, so every training document is learned from twice: in the first update and in one later.  Spark adds the
+tasks' sums up in groups of rows.  The number of rows follows from the training bytes.
 
 Scoring runs over blocks of documents in sparse numpy batches.  The blocks' distinct words are dealt by hash range, counted
 there over the whole corpus, and their counts sent back, so no task holds the whole vocabulary.
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ PATHS = DIGITS**LEVELS
 END = DIGITS - 1  # the first digit of the end of a text
 LEAST_ROWS, MOST_ROWS, BYTES_A_ROW = 1 << 15, 1 << 17, 4096  # a task holds 2 * 16 sums for each row of 3 levels: 100 MB at most
 TASK_BYTES = 1024  # training bytes of a task for each row, since each task sends all its sums
-ROUNDS, STEPS, CALM = 4, (0.45, 0.25, 0.2), 1.0
+STEPS, CALM = (0.45, 0.25, 0.2), 1.0
+ROUNDS = len(STEPS) - 1  # a share for each later update
 GROUP = 512  # rows whose sums travel together
 BLOCK_BYTES, BUCKET_WORDS = 8 << 20, 500_000
 
@@ -63,7 +66,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word and one of its form: its ending if it is long, itself if it is short."""
     whole = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    form = np.fromiter((zlib.crc32(w.rstrip(b".,")[-2:] if len(w) > 3 else w) for w in words), np.uint64, len(words))
+    given = pa.array(words, pa.binary())
+    ends = pc.binary_slice(pc.ascii_rtrim(given.view(pa.string()), ".,").view(pa.binary()), -2)
+    forms = pc.if_else(pc.greater(pc.binary_length(given), 3), ends, given).dictionary_encode()
+    form = np.array([zlib.crc32(w) for w in forms.dictionary.to_pylist()], np.uint64)[forms.indices.to_numpy()]
     return whole, form
 
 
@@ -91,18 +97,15 @@ def held_out(id_col: Column) -> Column:
 class Tokens:
     """The tokens of some documents: distinct words, and for each token its word, its document, and its history."""
 
-    def __init__(self, texts: list[str | None]):
-        words: list[bytes] = []
-        lengths = []
-        for text in texts:
-            own = (text or "").encode().lower().split()
-            words += own
-            words.append(b"")
-            lengths.append(len(own) + 1)
-        numbered = pa.array(words, pa.binary()).dictionary_encode()
-        self.words = numbered.dictionary.to_pylist()
+    def __init__(self, texts: list[str | None] | pa.Array):
+        given = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        given = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(given, "")))
+        closed = pc.binary_join_element_wise(given, pc.if_else(pc.equal(given, ""), "", " "), "")  # the blank makes the end: an empty last word
+        split = pc.ascii_split_whitespace(closed)
+        numbered = split.flatten().dictionary_encode()
+        self.words = numbered.dictionary.view(pa.binary()).to_pylist()
         self.ids = numbered.indices.to_numpy().astype(np.int64)
-        self.lengths = np.array(lengths, np.int64)
+        self.lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
         self.document = np.repeat(np.arange(len(texts)), self.lengths)
         self.whole, self.form = word_hashes(self.words)
         self.digits = word_paths(self.words, self.whole, self.form)
@@ -196,30 +199,38 @@ def level_starts(number: int) -> list[int]:
     return [0, number // 4, number // 4 + number, number // 4 + 2 * number]
 
 
-def first_sums(tokens: Tokens, number: int, sums: np.ndarray, paths: np.ndarray) -> None:
+def first_sums(tokens: Tokens, number: int, sums: np.ndarray, paths: np.ndarray, slab: int = 65_536) -> None:
     """Add to ``sums`` (all rows, 2 * DIGITS) how often each row was met with each digit and under each first digit, and to
     ``paths`` the tokens of each path."""
-    starts = level_starts(number)
+    starts, history = level_starts(number), tokens.history()
     digits = tokens.digits[tokens.ids]
     paths += np.bincount((digits[:, 0] * DIGITS + digits[:, 1]) * DIGITS + digits[:, 2], minlength=PATHS)
-    width = 2 * DIGITS
-    for level, (rows, digit, _) in enumerate(tokens.level_rows(number)):
-        size = starts[level + 1] - starts[level]
-        places = [rows * width + digit, rows * width + DIGITS + digits[:, 0]] if level else [rows * width + digit]
-        sums[starts[level] : starts[level + 1]].reshape(-1)[:] += np.bincount(np.concatenate(places).ravel(), minlength=size * width)
+    for at in range(0, len(tokens.ids), slab):
+        first = digits[at : at + slab, 0] + DIGITS
+        for level, (rows, digit, _) in enumerate(tokens.level_rows(number, slice(at, at + slab), history)):
+            here = sums[starts[level] : starts[level + 1]].reshape(-1)
+            rows = rows * (2 * DIGITS)
+            np.add.at(here, (rows + digit).ravel(), 1.0)
+            if level:
+                np.add.at(here, (rows + first).ravel(), 1.0)
 
 
-def later_sums(model: Model, tokens: Tokens, sums: np.ndarray, slab: int = 131_072) -> None:
-    """Add to ``sums`` (all rows, 2 * DIGITS) what the tokens show and what the model expects of each (row, digit)."""
+def later_sums(model: Model, tokens: Tokens, sums: np.ndarray, slab: int = 16_384) -> None:
+    """Add to ``sums`` (all rows, 2 * DIGITS) what the tokens show and what the model expects of each (row, digit).
+
+    Two digits' probabilities are added up as one complex number, single for a batch, which halves the additions."""
     number, history = model.rows, tokens.history()
-    starts, cells = level_starts(number), np.arange(DIGITS)
+    starts = level_starts(number)
+    expected = np.zeros((starts[-1], DIGITS), np.float32)
     for at in range(0, len(tokens.ids), slab):
         for level, (rows, digit, prefix) in enumerate(tokens.level_rows(number, slice(at, at + slab), history)):
-            here = sums[starts[level] : starts[level + 1]]
-            p = model.probabilities(level, rows, prefix).astype(np.float64).ravel()
-            np.add.at(here.reshape(-1), rows.ravel() * (2 * DIGITS) + np.tile(digit, USED), 1.0)
+            here = slice(starts[level], starts[level + 1])
+            np.add.at(sums[here].reshape(-1), (rows * (2 * DIGITS) + digit).ravel(), 1.0)
+            p, total = model.probabilities(level, rows, prefix).view(np.complex64), expected[here].view(np.complex64)
             for own in rows:
-                here[:, DIGITS:] += np.bincount((own[:, None] * DIGITS + cells).ravel(), p, minlength=len(here) * DIGITS).reshape(-1, DIGITS)
+                for pair in range(DIGITS // 2):
+                    np.add.at(total[:, pair], own, p[:, pair])
+    sums[:, DIGITS:] += expected
 
 
 def bias_of(paths: np.ndarray) -> list[np.ndarray]:
@@ -258,7 +269,7 @@ def _first(number: int):
 
         sums, paths = np.zeros((level_starts(number)[-1], 2 * DIGITS)), np.zeros(PATHS, np.int64)
         for batch in small_batches(batches, "text"):
-            first_sums(Tokens(batch.column("text").to_pylist()), number, sums, paths)
+            first_sums(Tokens(batch.column("text")), number, sums, paths)
         if paths.any():
             yield from _sum_rows(sums, TaskContext.get().partitionId() % 64)
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([paths.astype("<f4").tobytes()], pa.binary())], names=["part", "salt", "sums"])
@@ -273,7 +284,7 @@ def _later(shared):
         model = shared.value
         sums = np.zeros((level_starts(model.rows)[-1], 2 * DIGITS))
         for batch in small_batches(batches, "text"):
-            later_sums(model, Tokens(batch.column("text").to_pylist()), sums)
+            later_sums(model, Tokens(batch.column("text")), sums)
         if sums.any():
             yield from _sum_rows(sums, TaskContext.get().partitionId() % 64)
 
@@ -330,14 +341,14 @@ def _moved(weights: np.ndarray, step: float, shown: np.ndarray, expected: np.nda
     return (weights + step * np.log((shown + CALM) / (expected + CALM))).astype(np.float32)
 
 
-def train(training: DataFrame, rounds: int = ROUNDS, steps: tuple[float, ...] = STEPS) -> Model:
-    """The bias and the first update from all ``training(doc_id, text)``, each later update from one of ``rounds`` hash
-    shares of it."""
-    spark = training.sparkSession
+def train(training: DataFrame, steps: tuple[float, ...] = STEPS) -> Model:
+    """The bias and the first update from all ``training(doc_id, text)``, each later update from one of as many hash
+    shares of it; together the later updates read all of it once more."""
+    spark, rounds = training.sparkSession, len(steps) - 1
     size = training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     number = rows_for(size)
     starts = level_starts(number)
-    tasks = lambda part: int(max(2 * spark.sparkContext.defaultParallelism, size // part // (number * TASK_BYTES)))
+    tasks = lambda part: int(max(spark.sparkContext.defaultParallelism, size // part // (number * TASK_BYTES)))
     sums, paths = _gather(training.select("text").coalesce(tasks(1)).mapInArrow(_first(number), _SUMS), tasks(1), number)
     bias, weights = bias_of(paths), []
     for level in range(LEVELS):
@@ -397,7 +408,7 @@ def _score(shared):
 
         model, block = shared.value, TaskContext.get().partitionId() << 33
         for batch in regrouped(batches, "text", BLOCK_BYTES):
-            tokens, held = Tokens(batch.column("text").to_pylist()), batch.column("held_out").to_pylist()
+            tokens, held = Tokens(batch.column("text")), batch.column("held_out").to_pylist()
             history = history_scores(model, tokens)
             order = np.argsort(tokens.whole, kind="stable")
             place = np.empty(len(order), np.int64)
