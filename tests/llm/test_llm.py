@@ -512,6 +512,19 @@ def test_full_caches_change_nothing(monkeypatch):
         assert len(held.known) <= 40 + 90 and len(held.stems) <= 20 + 90
 
 
+def test_words_met_again_after_a_full_cache_are_not_merged_anew(monkeypatch):
+    path = K.vocabulary_path("word_bpe_49k.json")
+    monkeypatch.setattr(K, "CACHE", 40)
+    held, merged = K.WordCache(path), []
+    model = held.held.model
+    monkeypatch.setattr(held.held, "model", type("Counting", (), {"tokenize": lambda _, stem: merged.append(stem) or model.tokenize(stem)})())
+    monkeypatch.setattr(K, "word_cache", lambda _: held)
+    first, second = (" ".join(f"{c}{d}{e}" for d in "abcde" for e in "fghijk") for c in "xy")
+    for text in (first, second, first):
+        assert K.word_ids([text], path)[0].tolist() == K.tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert len(merged) == len(set(merged)) == 60
+
+
 def test_chunked_ids_are_the_librarys():
     rng = random.Random(2)
     for _ in range(1200):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, durable, regrouped, small_batches
 from .sharding import prefix_sums
-from .tokens import word_ids
+from .tokens import coded_words
 
 BUCKETS, DIMENSIONS, BITS = 64, 3, 10
 END_ID = 1
@@ -70,7 +70,8 @@ def _tokenize(path: str):
 
         row = TaskContext.get().partitionId() << 33
         for batch in regrouped(batches, "text", 4 << 20):
-            ids = [np.append(x, np.uint16(END_ID)) for x in word_ids(batch.column("text").to_pylist(), path)]
+            coded, ends = coded_words(batch.column("text"), path)
+            ids = np.split(np.insert(coded, ends, END_ID), ends + np.arange(1, len(ends) + 1))[:-1]
             columns = [pa.array(np.arange(row, row + len(ids))), batch.column("doc_id"), pa.array(curve_keys(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())]
             row += len(ids)
             yield pa.RecordBatch.from_arrays(columns, schema=_TOKENS)

@@ -13,6 +13,8 @@ from array import array
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 CACHE = 300_000
@@ -128,44 +130,50 @@ class WordCache:
         self.held = chunk_cache(path)
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words of a batch that are not known yet.  A full cache keeps what the batch has of it, and the stems
-        met since it last was full."""
-        known, fresh = self.known, words.difference(self.known)
-        if len(known) + len(fresh) > CACHE:
-            known = self.known = {w: known[w] for w in words.intersection(known)}
-        if len(self.stems) > CACHE // 2:
-            self.stems, self.older = {}, self.stems
-        stems, older, merge, table = self.stems, self.older.get, self.held.model.tokenize, byte_characters()
-        other: list[bytes] = []
-        for word in fresh:
-            try:
-                found = _LETTERS_THEN_MARKS.fullmatch(word.decode())
-            except UnicodeDecodeError:
-                found = None
-            if not found:
-                other.append(word)
-                continue
-            stem, marks = found.groups()
-            stem = stem.lower()
-            ids = stems.get(stem)
+        self.older: tuple[dict, dict] = {}, {}
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of a batch's distinct words.  A full cache becomes the older one, from which what is met again is
+        taken back."""
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, (self.known, self.older[1])
+        if len(self.stems) > CACHE:
+            self.stems, self.older = {}, (self.older[0], self.stems)
+        known, stems, merge, table = self.known, self.stems, self.held.model.tokenize, byte_characters()
+        older, older_stem = (d.get for d in self.older)
+        found = list(map(known.get, words))
+        other: list[int] = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            word = words[i]
+            ids = older(word)
             if ids is None:
-                ids = older(stem)
+                try:
+                    parts = _LETTERS_THEN_MARKS.fullmatch(word.decode())
+                except UnicodeDecodeError:
+                    parts = None
+                if not parts:
+                    other.append(i)
+                    continue
+                stem, marks = parts.groups()
+                stem = stem.lower()
+                ids = stems.get(stem)
                 if ids is None:
-                    written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(table)
-                    ids = array("H", [t.id for t in merge(written)]).tobytes()
-                stems[stem] = ids
-            if marks:
-                end = stems.get(marks)
-                if end is None:
-                    end = stems[marks] = self._whole([marks])[0]
-                ids += end
-            known[word] = ids
+                    ids = older_stem(stem)
+                    if ids is None:
+                        written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(table)
+                        ids = array("H", [t.id for t in merge(written)]).tobytes()
+                    stems[stem] = ids
+                if marks:
+                    end = stems.get(marks)
+                    if end is None:
+                        end = stems[marks] = self._whole([marks])[0]
+                    ids += end
+            found[i] = known[word] = ids
         for at in range(0, len(other), 1024):
             part = other[at : at + 1024]
-            known.update(zip(part, self._whole([w.decode("utf-8", "replace") for w in part]), strict=True))
+            for i, ids in zip(part, self._whole([words[i].decode("utf-8", "replace") for i in part]), strict=True):
+                found[i] = known[words[i]] = ids
+        return found
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(code.ids, "<u2").tobytes() for code in self.held.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -176,13 +184,22 @@ def word_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
+def coded_words(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in one array, by a lower-casing vocabulary that drops white space, and where each text ends in it: no
+    token crosses an ASCII blank."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    numbered = split.flatten().dictionary_encode()
+    words = numbered.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    ids = pa.array(word_cache(path).ids(words), pa.large_binary()).take(numbered.indices)
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
+    edges = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] // 2
+    return np.frombuffer(ids.buffers()[2] or b"", "<u2")[: edges[-1]], edges[ends]
+
+
 def word_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of a lower-casing vocabulary that drops white space: no token crosses an ASCII blank."""
-    held = word_cache(path)
-    words = [(t or "").encode().split() for t in texts]
-    held.learn(set().union(*words))
-    find = held.known.__getitem__
-    return [np.frombuffer(b"".join(map(find, ws)), "<u2") for ws in words]
+    """The ids of each text."""
+    ids, ends = coded_words(pa.array(texts, pa.string()), path)
+    return np.split(ids, ends)[: len(texts)]
 
 
 def byte_ids(text: str, path: str) -> np.ndarray:
