@@ -103,7 +103,7 @@ class Tokens:
         closed = pc.binary_join_element_wise(given, pc.if_else(pc.equal(given, ""), "", " "), "")  # the blank makes the end: an empty last word
         split = pc.ascii_split_whitespace(closed)
         numbered = split.flatten().dictionary_encode()
-        self.words = numbered.dictionary.view(pa.binary()).to_pylist()
+        self.words = numbered.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         self.ids = numbered.indices.to_numpy().astype(np.int64)
         self.lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
         self.document = np.repeat(np.arange(len(texts)), self.lengths)
