@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import DOCS, clash
@@ -199,3 +200,18 @@ def test_scanning_a_sorted_list_finds_every_near_pair_once():
             for j in range(4):
                 got += [(mine[a], mine[b]) for a, b in variants.near_in_list(mine, m, m * j // 4, m * (j + 1) // 4)]
         assert sorted(got) == [(x, y) for i, x in enumerate(words) for y in words[i + 1 :] if one_edit(x, y)]
+
+
+def test_a_task_adds_up_equal_windows_of_its_batches():
+    rng = random.Random(5)
+    table = lambda rows: pa.table({"lang": [r[0] for r in rows], **{c: pa.array([r[k] for r in rows], pa.string()) for k, c in enumerate(collocations.COLUMNS, 1)}, "c": pa.array([r[6] for r in rows], pa.int64())})
+    rows = [[(rng.choice("de"), *(rng.choice(["a", "b", None]) for _ in range(5)), rng.randint(1, 9)) for _ in range(100)] for _ in range(20)]
+    want = Counter()
+    for *key, n in (r for part in rows for r in part):
+        want[tuple(key)] += n
+    for limit, once in ((10_000, True), (150, False)):  # with a low limit the same windows may leave more than once
+        got = [tuple(r.values()) for t in collocations.combined(map(table, rows), limit) for r in t.to_pylist()]
+        total = Counter()
+        for *key, n in got:
+            total[tuple(key)] += n
+        assert total == want and (len(got) == len(want)) == once

@@ -32,6 +32,7 @@ SPLITS = b".,;:!?\n\x0b\x0c\r"
 BYTES = bytes(PIECE if c in SPLITS else c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
 COLUMNS = [f"w{k}" for k in range(1, ORDER + 1)]
 BATCH_BYTES = 8 << 20
+HELD_ROWS = 1 << 20  # windows that a task holds to add up equal ones of its batches
 
 
 def slices(texts: list[str | None], size: int = BATCH_BYTES) -> Iterator[bytes]:
@@ -165,8 +166,30 @@ def windows(ids: np.ndarray, vocab: int, phrases: list[np.ndarray]) -> tuple[np.
     return np.vstack(rows), np.concatenate(times)
 
 
-def _window_rows(slots: int, known: list[np.ndarray]):
-    def run(batches):
+def combined(tables: Iterator[pa.Table], limit: int) -> Iterator[pa.Table]:
+    """Equal windows of several tables as one row.  About ``limit`` rows are held; where that many differ they leave."""
+    held: list[pa.Table] = []
+    size = 0
+    for table in tables:
+        held.append(table)
+        size += len(table)
+        if size > limit:
+            held = [_summed(held)]
+            size = len(held[0])
+            if size > limit // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield _summed(held)
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    keys = ["lang", *COLUMNS]
+    return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select([*keys, "c"])
+
+
+def _window_rows(slots: int, known: list[np.ndarray], limit: int = HELD_ROWS):
+    def tables(batches):
         for lang, data in _by_lang(batches):
             kinds, ids = word_ids(data)
             if not kinds:
@@ -174,7 +197,10 @@ def _window_rows(slots: int, known: list[np.ndarray]):
             rows, times = windows(ids, len(kinds), [at for _, at, _ in grams(kinds, ids, lang, slots, known)])
             names = pa.array(kinds, pa.binary()).cast(pa.string())
             columns = {c: names.take(pa.array(rows[:, k], mask=rows[:, k] < 0)) for k, c in enumerate(COLUMNS)}
-            table = pa.table({"lang": pa.array([lang] * len(rows), pa.string()), **columns, "c": pa.array(times.astype(np.int64))})
+            yield pa.table({"lang": pa.array([lang] * len(rows), pa.string()), **columns, "c": pa.array(times.astype(np.int64))})
+
+    def run(batches):
+        for table in combined(tables(batches), limit):
             yield from table.to_batches(max_chunksize=50_000)
 
     return run
