@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, graph, html, langid, lm, packing, quality, sharding, simhash, topk
+from tidemark.llm import bpe, chat, graph, html, langid, lm, packing, quality, queries, sharding, simhash, topk
 from tidemark.llm import tokens as K
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -558,6 +558,21 @@ def test_encode_and_decode(spark, docs, empty):
     assert bpe.encode(empty, BYTE).count() == 0
 
 
+@pytest.mark.parametrize("piece", [64, bpe.PIECE])
+def test_the_worker_that_encodes_also_decodes(spark, docs, empty, piece):
+    rows = docs.unionByName(spark.createDataFrame([(2000, "ends <|endoftext|> " * 30, None, None, 0), (2001, "\U0001f468\u200d\U0001f469 é\u0301\x00 " * 40, None, None, 0)], DOCS))
+    coded = bpe.encode(clash(rows), BYTE, piece=piece, decoded=True)
+    tokenizer, texts = K.tokenizer(BYTE), sorted(((r["doc_id"], r["text"] or "") for r in rows.collect()), key=str)
+    expected = [(i, ids := tokenizer.encode(t, add_special_tokens=False).ids, tokenizer.decode(ids, skip_special_tokens=False)) for i, t in texts]
+    assert sorted((tuple(r) for r in coded.collect()), key=str) == sorted(expected, key=str)
+    assert bpe.encode(empty, BYTE, decoded=True).count() == 0
+
+
+def test_no_task_of_bpe_feeds_one_python_worker_from_another(spark):
+    plan = queries.op8_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_hilbert_curve_visits_neighbours():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     index = packing.hilbert_index(grid, 3)

@@ -48,10 +48,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path("byte_bpe_50k.json")
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), path)
-    decoded = bpe.decode_column(path)(F.col("ids"))
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), path, decoded=True)
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
