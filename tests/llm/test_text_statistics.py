@@ -215,3 +215,12 @@ def test_a_task_adds_up_equal_windows_of_its_batches():
         for *key, n in got:
             total[tuple(key)] += n
         assert total == want and (len(got) == len(want)) == once
+
+
+def test_a_phrase_leaves_one_task_for_each_core_and_not_one_for_each_small_partition(spark):
+    rows = [(i, "the same few words in every text", "en", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).select("lang", "text")
+    made = lambda task_bytes: [int(n) for n in re.findall(r"partitions=(\d+)|Coalesce (\d+)", collocations.phrase_counts(docs.repartition(40), 100, 1 << 16, task_bytes)._jdf.queryExecution().executedPlan().toString()) for n in n if n]
+    assert spark.sparkContext.defaultParallelism in made(collocations.TASK_BYTES) and 400 * 32 // 1024 in made(1024)
+    few, many = ({(r["lang"], r["phrase"]): r["f"] for r in collocations.phrase_counts(docs.repartition(40), 100, 1 << 16, n).collect()} for n in (collocations.TASK_BYTES, 1))
+    assert few == many and few["en", "the same few words in"] == 400

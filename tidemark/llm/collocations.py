@@ -33,6 +33,7 @@ BYTES = bytes(PIECE if c in SPLITS else c + 32 if 65 <= c <= 90 else 32 if c ==
 COLUMNS = [f"w{k}" for k in range(1, ORDER + 1)]
 BATCH_BYTES = 8 << 20
 HELD_ROWS = 1 << 20  # windows that a task holds to add up equal ones of its batches
+TASK_BYTES = 1 << 28  # text of a task at least, where the tasks exceed the cores: each sends a table of slots and its windows once
 
 
 def slices(texts: list[str | None], size: int = BATCH_BYTES) -> Iterator[bytes]:
@@ -206,9 +207,12 @@ def _window_rows(slots: int, known: list[np.ndarray], limit: int = HELD_ROWS):
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, slots: int = SLOTS) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 100, slots: int = SLOTS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """``docs(lang, text)`` -> ``lang, size, phrase, f``: all phrases of up to five words found ``least`` times, and a row of
-    size 0 and phrase ``''`` for each language with the number of all its words."""
+    size 0 and phrase ``''`` for each language with the number of all its words.  Small input partitions are read by one task
+    up to ``task_bytes`` of text, as far as each core still has a task, so that a phrase leaves fewer tasks."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    docs = docs.coalesce(int(max(docs.sparkSession.sparkContext.defaultParallelism, size // task_bytes)))
     known: list[np.ndarray] = []
     for _ in range(2):
         known = [*known, frequent_slots(docs, least, slots, known)]
