@@ -19,6 +19,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def moved_into(spark: SparkSession, path: str, folder: str, name: str) -> None:
+    """Put the folder ``path`` into ``folder`` as ``name``, by one rename."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place(folder))
+    if not fs.rename(place(path), place(f"{folder}/{name}")):
+        raise OSError(f"could not rename {path} to {folder}/{name}")
+
+
 _STORED: dict[tuple, tuple] = {}
 
 
