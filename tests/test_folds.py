@@ -97,6 +97,19 @@ def test_a_bucket_takes_many_sessions_in_one_call():
     assert len(said) == 20_000 and set(handle.values) == {"sessions"} and len(handle.timers) == 1
 
 
+def test_late_sessions_of_a_bucket_are_handed_over_in_one_call():
+    rows = lambda ms, first: pd.DataFrame({"session": [f"s{i}" for i in range(20_000)], "dims": "{}", "event_ms": ms, "tie_break": 2, "event_id": range(first, first + 20_000)})
+    fold, handle = folds.BucketFold(watched=True, evict_ms=600_000), Held()
+    fold.init(handle)
+    assert not list(fold.handleInputRows((0,), iter([rows(36_000_000, 0)]), Clock(0)))
+    list(fold.handleExpiredTimer((0,), Clock(36_000_000), None))
+    late = rows(35_900_000, 20_000)[::2]
+    (said,) = fold.handleInputRows((0,), iter([late, rows(36_010_000, 40_000)[1:2]]), Clock(36_000_000))
+    assert said["late"].all() and set(said["session"]) == set(late["session"]) and said["minute"].isna().all()
+    known = folds.unpacked(handle.values["sessions"][0]).to_pandas()
+    assert (len(known), known["folded"].sum(), known["handed"].sum()) == (20_000, 10_000, 10_000) and len(handle.timers) == 1
+
+
 def test_a_replayed_share_comes_in_by_one_rename(spark, tmp_path):
     """Files that come in one by one can be taken for two micro-batches, and then events are dropped as late."""
     events = spark.range(0, 900, 1, 12).select(F.col("id").alias("event_ms"))
