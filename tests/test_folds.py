@@ -126,3 +126,22 @@ def test_a_replayed_share_comes_in_by_one_rename(spark, tmp_path):
     live._replay(events, "event_ms", 3, lambda source: Query(), finish=50, folder=folder)
     assert seen == [[0, 300], [0, 300, 300], [0, 300, 300, 300], [0, 300, 300, 300, 1]]
     assert spark.read.parquet(live.arrivals(folder)).agg(F.max("event_ms")).first()[0] == 949
+
+
+def test_live_sessions_come_from_a_row_of_state_a_bucket(spark, monkeypatch):
+    """Reading and folding a row a session is what took the time."""
+    rows = spark.range(900).selectExpr(
+        "id as event_id", "concat('s', id div 2) as session", "concat('u', id div 6) as user_id", "'web' as platform", "IF(id % 3 = 0, NULL, 'X') as country", "'720p' as video_resolution", "id div 2 as content_id",
+        "IF(id % 2 = 0, 'VideoPlay', IF(id % 5 = 0, 'VideoSessionEnd', 'VideoHeartbeat')) as event_type", "IF(id % 2 = 0, 'Play', 'buffer-health') as event", "36000000L + id * 200 as event_ms", "0L as ingest_ms",
+    )
+    state, read = [], live.live_from_state
+
+    def spy(spark, checkpoint, *rest):
+        state.append(spark.read.format("statestore").option("stateVarName", "sessions").load(checkpoint).count())
+        return read(spark, checkpoint, *rest)
+
+    monkeypatch.setattr(live, "live_from_state", spy)
+    as_of = 36_000_000 + 800 * 200
+    got = sorted(map(repr, live.run_live_from_state(rows, as_of, slots=2).select(*live.KEYS).collect()))
+    assert got == sorted(map(repr, live.live_now(rows, as_of).select(*live.KEYS).collect())) and len(got) > 100
+    assert state[0] <= live.BUCKETS < 401
